@@ -11,6 +11,7 @@ looks up where the plan puts each rank.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, default_parallelism, text_column
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def default_tokenizer() -> str:
@@ -31,38 +32,51 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Ids of a tokenizer whose normaliser collapses and whose pre-tokenizer splits at white space, so that a text's
-    ids are its blank-separated parts' ids in order; parts are kept in a bounded cache."""
+    """Ids of texts by a tokenizer of the word_bpe kind: it composes (NFC), collapses white space, lower-cases, splits
+    by the pattern below, and ends each part with a token marked as a word's end.
+
+    Texts of plain characters are split here by the same pattern, and each part's ids are kept in a bounded cache;
+    parts not yet known are encoded together, one call for many, and told apart by their end tokens. Any other text
+    (control characters, letters beyond Latin-1, special tokens' marks) is encoded by the tokenizer as it is."""
+
+    PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00c0-\u00ff]*")
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def learn(self, texts: list[list[str]]) -> None:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cache: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self, parts: set[str]) -> None:
+        new = list(parts)
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = self.ids(" ".join(some))
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(some):  # not told apart: one by one
+                self.cache.update((w, self.ids(w).tobytes()) for w in some)
+                continue
+            data, stops = ids.tobytes(), (cut * 4).tolist()
+            self.cache.update(zip(some, (data[a:b] for a, b in zip([0, *stops], stops))))
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if "<|" in text or not self.PLAIN.fullmatch(text):
+            return self.ids(text).tobytes()
+        parts = self.PARTS.findall(text.lower())
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        new = list({w for words in texts for w in words if w not in self.cache})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out, at = [], 0
-        while at < len(texts):
-            block, size = [], 0
-            while at < len(texts) and (size < 4_000_000 or not block):
-                block.append(texts[at].replace("\n", " ").replace("\t", " ").split(" "))
-                size += len(texts[at])
-                at += 1
-            self.learn(block)
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, words)) for words in block]
-        return out
+            self.cache = {}
+        if new := {*parts}.difference(self.cache):
+            self.learn(new)
+        return b"".join(map(self.cache.__getitem__, parts))
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer_path: str, end_id: int = 0) -> DataFrame:
@@ -72,8 +86,8 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokeniz
         tok, end = WordTokenizer(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             ids, rows = b.column("id").to_pylist(), []
-            for i, data in zip(ids, tok.encode(text_column(b, "text"))):
-                data += end
+            for i, text in zip(ids, text_column(b, "text")):
+                data = tok.encode(text) + end
                 for n, s in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[s : s + 4 * capacity]
                     rows.append((i, n, s // 4, len(part) // 4, zlib.crc32(part)))
