@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, licenses, media, quality
+from .common import crc_of_id
+from .decontam import contaminated
 from .packing import pack_documents
 from .simhash import near_duplicates
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,3 +36,47 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
+
+
+@query
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents with the test items they cover."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(crc_of_id() % 4 != 2)
+    out = toxicity(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
+@query
+def op6_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text is stored as 8-bit PCM under a wrong declared type, and read back from where sniffing finds it."""
+    docs = table(spark, sf_dir, "documents")
+    stored = docs.select("doc_id", media.as_wav(media.padded(F.col("text"))).alias("media"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.lit("image/png").alias("declared"))
+    found = media.inspect(stored, "doc_id", "media", "declared", keep=("n_bytes",))
+    feature = F.concat_ws(";", "media_type", "feature", F.concat(F.lit("carved="), F.array_join(F.transform("carved", lambda c: F.format_string("%s@%d+%d", c.type, c.offset, c.length)), "|")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "media_type", "corrected", "carved")
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(crc_of_id() % 3 != 1))
+    out = quality.score(docs, model)
+    return out.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = f"{chat.END}{chat.START}assistant ok"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_conversations(rows.unionByName(own)))
