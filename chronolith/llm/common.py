@@ -31,9 +31,9 @@ class Scratch:
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:6]}"
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=partition_by)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -168,16 +168,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(unpack(got[0].w, np.float64), got[0].bias, got[0].slope, got[0].shift)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """(id_col, score) for each row of docs: whole texts, null as empty; repeated rows score alike; an empty table
-    gives no row; other columns are ignored."""
+    gives no row. keep: columns of docs to return beside the score (if not empty, only these and the score)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, m = Grams(), shared.value
         for b in batches:
             s = [m.score(g.of(t)) for t in byte_column(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(s, pa.float64())], ["id", "score"])
+            others = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in others), pa.array(s, pa.float64())], [*others, "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    kept = [F.col(k).alias(f"keep_{k}") for k in keep] or [F.col(id_col).cast("long").alias("id")]
+    rows = docs.select(*kept, F.col(text_col).alias("text"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1]) + "score double"
+    return rows.mapInArrow(run, schema).withColumnsRenamed({"id": id_col} | {f"keep_{k}": k for k in keep})

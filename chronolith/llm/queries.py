@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, media, quality
+from . import chat, licenses, lm, media, quality
 from .common import crc_of_id
 from .decontam import contaminated
 from .packing import pack_documents
 from .simhash import near_duplicates
+from .suffix import remove_repeats
 from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +81,17 @@ def op10_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(chat.format_conversations(rows.unionByName(own)))
+
+
+@query
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256", "starts", "lengths")
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_of_id() % 5 == 1)
+    scored = lm.score(docs, held_col="held_out")
+    return scored.select("doc_id", (crc_of_id() % 5 == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
