@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,18 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+class Shared:
+    """A broadcast object of any class. It travels with its class by value, so that workers need no copy of this
+    package on their path. Callers bound its size."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.blob = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self.blob.value)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

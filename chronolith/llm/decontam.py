@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import Shared, text_column
 
 WORD = re.compile(r"\w+")
 BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -163,7 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows, out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), None
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
-        shared = spark.sparkContext.broadcast(Benchmark([(r.item, r.text) for r in own], least))
+        shared = Shared(spark, Benchmark([(r.item, r.text) for r in own], least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = shared.value

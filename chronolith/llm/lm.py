@@ -1,9 +1,10 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Exact counts of all tokens, and quantised counts of bigrams, are gathered from all training documents. The bigrams'
+Exact counts of all tokens, and quantised counts of all bigrams, are gathered from all training documents. The bigrams'
 levels 1 + floor(log2(count)) go into a Bloom filter (Talbot & Osborne 2007): each level up to the n-gram's own is a
-member, so a count is read back by probing level after level until one is missing. The filter is broadcast; its bound
-is a parameter, and where the corpus would overfill it, rare bigrams are left out by raising the least count.
+member, so a count is read back by probing level after level until one is missing. The filter is broadcast in parts of
+at most max_bits: a bigram belongs to one part by its hash, a text's score is the sum over the parts, and so a larger
+corpus takes more passes over the tokens while no bigram is left out and no broadcast grows.
 A token's probability after its predecessor is (c(prev, token) + strength * p(token)) / (c(prev) + strength), with
 p(token) the add-half estimate from the exact counts.
 
@@ -25,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_column, default_parallelism, pack, unpack
+from .common import Scratch, Shared, byte_column, default_parallelism, pack, unpack
 
 BATCH_TOKENS = 800_000
 END_HASH = xxhash.xxh64_intdigest(b"", 1)
 DOCS, TOKENS, BIGRAMS = 0, 1, 2
 MAX_BITS = 1 << 29
-PROBES = 3
+PROBES, BITS_PER_MEMBER = 5, 7.5
+NO_ID = np.iinfo(np.int64).min
 STRENGTH = 30.0
 
 
@@ -115,7 +117,7 @@ def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
                 words = text.lower().split()
                 if size and size + len(words) + 1 > BATCH_TOKENS:
                     yield close()
-                ids.append(i if i is not None else np.iinfo(np.int64).min)
+                ids.append(i if i is not None else NO_ID)
                 held.append(bool(h))
                 texts.append(words)
                 size += len(words) + 1
@@ -141,20 +143,19 @@ def sum_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def sum_bigrams(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of BIGRAMS -> keys and levels of those counted twice or more, and how many have each level."""
+    """One bucket of BIGRAMS -> its keys, their levels, and how many members (key, level) these make."""
     keys, where = np.unique(np.concatenate([unpack(x, np.uint32) for x in pdf.a]), return_inverse=True)
     totals = np.bincount(where, weights=np.concatenate([unplanes(x) for x in pdf.b]))
     level = (1 + np.floor(np.log2(totals))).astype(np.uint8)
-    some = level > 1
-    histogram = np.bincount(level[some], minlength=64)[:64].tolist()
-    return pd.DataFrame({"bucket": [int(pdf.bucket.iloc[0])], "keys": [pack(keys[some])], "levels": [pack(level[some])], "histogram": [histogram]})
+    return pd.DataFrame({"bucket": [int(pdf.bucket.iloc[0])], "keys": [pack(keys)], "levels": [pack(level)], "members": [int(level.sum(dtype=np.int64))]})
 
 
 class BloomCounts:
-    """Log-frequency Bloom filter: a segment of bits for each bucket, PROBES bits for each (key, level)."""
+    """Log-frequency Bloom filter, or the part of one that holds slots first, first + 1, ... A slot is a segment of
+    `bits` bits for one of `parts` parts of a bucket; PROBES bits stand for each (key, level)."""
 
-    def __init__(self, segments: list[np.ndarray], bits: int, least: int):
-        self.bits, self.least = bits, least
+    def __init__(self, segments: list[np.ndarray], bits: int, parts: int = 1, first: int = 0):
+        self.bits, self.parts, self.first, self.count = bits, parts, first, len(segments)
         self.data = np.concatenate(segments) if segments else np.zeros(0, np.uint8)
 
     @staticmethod
@@ -164,22 +165,30 @@ class BloomCounts:
         return h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
 
     @classmethod
-    def segment(cls, keys: np.ndarray, levels: np.ndarray, bits: int, least: int) -> np.ndarray:
-        """A bucket's bits. Levels below `least` are not stored."""
+    def segment(cls, keys: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
+        """A slot's bits."""
         out = np.zeros(bits // 8, dtype=np.uint8)
-        for level in range(least, int(levels.max(initial=0)) + 1):
+        for level in range(1, int(levels.max(initial=0)) + 1):
             start, stride = cls.seeds(keys[levels >= level], level)
             for k in range(PROBES):
                 p = ((start + np.uint64(k) * stride) % np.uint64(bits)).astype(np.int64)
                 np.bitwise_or.at(out, p >> 3, (1 << (p & 7)).astype(np.uint8))
         return out
 
+    def here(self, hashes: np.ndarray, buckets: int) -> np.ndarray:
+        """Which bigram hashes belong to the slots of this part."""
+        slot = self.slots(hashes, buckets)
+        return (slot >= self.first) & (slot < self.first + self.count)
+
+    def slots(self, hashes: np.ndarray, buckets: int) -> np.ndarray:
+        return ((hashes % np.uint64(buckets)) * np.uint64(self.parts) + (hashes >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int64)
+
     def levels(self, hashes: np.ndarray, buckets: int) -> np.ndarray:
-        """The level read back for each bigram hash, 0 if none is stored: probes go on level by level while a
-        level's bits are all set."""
+        """The level read back for each bigram hash of this part, 0 if none is stored: probes go on level by level
+        while a level's bits are all set."""
         out = np.zeros(len(hashes), dtype=np.int64)
-        base = (hashes % np.uint64(buckets)).astype(np.int64) * self.bits
-        keys, left, level = hashes >> np.uint64(32), np.arange(len(hashes)), self.least
+        base = (self.slots(hashes, buckets) - self.first) * self.bits
+        keys, left, level = hashes >> np.uint64(32), np.arange(len(hashes)), 1
         while len(left) and level < 64:
             start, stride = self.seeds(keys[left], level)
             for k in range(PROBES):
@@ -212,54 +221,73 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     n, v = totals.where("batch is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     scratch.release()
     pairs = work.where(F.col("kind") == BIGRAMS).select("bucket", "a", "b")
-    kept = scratch.table(pairs.groupBy("bucket").applyInPandas(sum_bigrams, "bucket int, keys binary, levels binary, histogram array<long>"), "bigrams")
-    histogram = np.array([[r.level, r.n] for r in kept.select(F.posexplode("histogram").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()], dtype=np.int64).reshape(-1, 2)
+    kept = scratch.table(pairs.groupBy("bucket").applyInPandas(sum_bigrams, "bucket int, keys binary, levels binary, members long"), "bigrams")
     scratch.release()
-    least, need = 2, 0
-    for least in range(2, 64):  # the least level whose members, at half load, fit the bound
-        need = int(sum(m * (level - least + 1) for level, m in histogram if level >= least)) * PROBES * 1.5
-        if need <= max_bits:
-            break
-    bits = (int(max(need, 64 * buckets) / buckets) + 8) // 8 * 8
+    most = kept.agg(F.coalesce(F.max("members"), F.lit(0))).first()[0]
+    parts = max(1, -(-int(most * BITS_PER_MEMBER) // max_bits))
+    bits = max(64, int(most * BITS_PER_MEMBER / parts) // 8 * 8 + 8)
+    at_once = max(1, max_bits // bits)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [BloomCounts.segment(unpack(k, np.uint32), unpack(x, np.uint8), bits, least).tobytes() for k, x in zip(pdf["keys"], pdf["levels"])]
-            yield pd.DataFrame({"bucket": pdf["bucket"], "data": parts})
+            for bucket, keys, levels in zip(pdf["bucket"], pdf["keys"], pdf["levels"]):
+                keys, levels = unpack(keys, np.uint32), unpack(levels, np.uint8)
+                part = keys % np.uint32(parts)
+                rows = [(bucket * parts + k, BloomCounts.segment(keys[part == k], levels[part == k], bits).tobytes()) for k in range(parts)]
+                yield pd.DataFrame(rows, columns=["slot", "data"])
 
-    segments = [np.zeros(bits // 8, np.uint8) for _ in range(buckets)]
-    for r in kept.select("bucket", "keys", "levels").mapInPandas(build, "bucket int, data binary").toLocalIterator():
-        segments[r.bucket] = np.frombuffer(r.data, np.uint8)
-    shared = spark.sparkContext.broadcast(BloomCounts(segments, bits, least))  # max_bits bounds it
     floor, whole = float(n) + 0.5 * (float(v) + 1), int(n)
-
-    def per_batch(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        bloom, out = shared.value, []
-        found = found.sort_values("bucket")
-        counts = np.concatenate([unpack(x, np.int64) for x in found.counts])
-        upper = np.concatenate([unpack(x, np.uint32) for x in found.upper])
-        for ids, sizes, flow in zip(texts.a, texts.b, texts.c):
-            ids, sizes, flow = unpack(ids, np.int64), unpack(sizes, np.int64), unplanes(flow)
-            flow, order = flow[: sizes.sum()], flow[sizes.sum() :]
-            c, u = np.empty(len(order), np.int64), np.empty(len(order), np.uint64)
-            c[order], u[order] = counts, upper
-            prior = (c + 0.5) / floor
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            before = np.concatenate(([0], flow[:-1]))
-            pair = before * len(c) + flow
-            pair, where = np.unique(pair, return_inverse=True)
-            first, second = np.divmod(pair, len(c))
-            twice = level_count(bloom.levels(bigram_hash(u[first], u[second]), buckets))
-            twice = np.minimum(twice, np.minimum(c[first], c[second]))
-            p = np.log10((twice + strength * prior[second]) / (c[first] + strength))
-            log_prior = np.log10(prior)
-            out.append(pd.DataFrame({
-                "id": ids, "n_tokens": sizes, "n_known": np.add.reduceat((c[flow] > 0).astype(np.int64), starts), "train_tokens": whole,
-                "base_score": np.add.reduceat(log_prior[flow], starts), "score": np.add.reduceat(p[where], starts),
-            }))
-        return pd.concat(out)
-
     texts = work.where(F.col("kind") == DOCS).select("batch", "a", "b", "c")
     back = totals.where("batch is not null").select("batch", "bucket", "counts", "upper")
-    scored = texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInPandas(per_batch, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumn("id", F.when(F.col("id") != F.lit(np.iinfo(np.int64).min).cast("long"), F.col("id"))).withColumnRenamed("id", id_col)
+    slots, scored = buckets * parts, None
+    filters = kept.select("bucket", "keys", "levels").mapInPandas(build, "slot long, data binary")
+    if slots > at_once:
+        filters = scratch.table(filters, "filters")
+
+    def part_of_score(first: int) -> DataFrame:
+        """With the filter's slots from `first` on: the log probabilities of the bigrams that belong there, by
+        document; the other columns with the first part only."""
+        segments = [np.zeros(bits // 8, np.uint8) for _ in range(min(at_once, slots - first))]
+        for r in filters.where(F.col("slot").between(first, first + len(segments) - 1)).toLocalIterator():
+            segments[r.slot - first] = np.frombuffer(r.data, np.uint8)
+        shared = Shared(spark, BloomCounts(segments, bits, parts, first))  # at most max_bits
+
+        def per_batch(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            bloom, out = shared.value, []
+            found = found.sort_values("bucket")
+            counts = np.concatenate([unpack(x, np.int64) for x in found.counts])
+            upper = np.concatenate([unpack(x, np.uint32) for x in found.upper])
+            for batch, ids, sizes, flow in zip(texts.batch, texts.a, texts.b, texts.c):
+                ids, sizes, flow = unpack(ids, np.int64), unpack(sizes, np.int64), unplanes(flow)
+                flow, order = flow[: sizes.sum()], flow[sizes.sum() :]
+                c, u = np.empty(len(order), np.int64), np.empty(len(order), np.uint64)
+                c[order], u[order] = counts, upper
+                prior = (c + 0.5) / floor
+                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                pair, where = np.unique(np.concatenate(([0], flow[:-1])) * len(c) + flow, return_inverse=True)
+                before, token = np.divmod(pair, len(c))
+                hashes, p = bigram_hash(u[before], u[token]), np.zeros(len(pair))
+                own = np.flatnonzero(bloom.here(hashes, buckets))
+                before, token = before[own], token[own]
+                twice = np.minimum(level_count(bloom.levels(hashes[own], buckets)), np.minimum(c[before], c[token]))
+                p[own] = np.log10((twice + strength * prior[token]) / (c[before] + strength))
+                out.append(pd.DataFrame({
+                    "batch": batch, "place": np.arange(len(ids)), "id": ids, "n_tokens": sizes, "score": np.add.reduceat(p[where], starts),
+                    "n_known": 0 if first else np.add.reduceat((c[flow] > 0).astype(np.int64), starts), "train_tokens": whole,
+                    "base_score": 0.0 if first else np.add.reduceat(np.log10(prior)[flow], starts),
+                }))
+            return pd.concat(out)
+
+        schema = "batch long, place long, id long, n_tokens long, score double, n_known long, train_tokens long, base_score double"
+        return texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInPandas(per_batch, schema)
+
+    for first in range(0, slots, at_once):  # one part unless the corpus outgrows max_bits
+        part = part_of_score(first)
+        if slots > at_once:
+            part = scratch.table(part, f"part{first}")
+        scored = part if scored is None else scored.unionByName(part)
+    if slots > at_once:
+        same, added = ("id", "n_tokens", "train_tokens"), ("score", "n_known", "base_score")
+        scored = scored.groupBy("batch", "place").agg(*[F.first(c).alias(c) for c in same], *[F.sum(c).alias(c) for c in added])
+    own_id = F.when(F.col("id") != F.lit(NO_ID).cast("long"), F.col("id")).alias(id_col)
+    return scored.select(own_id, "n_tokens", "n_known", "train_tokens", "base_score", "score")

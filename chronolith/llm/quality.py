@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, pack, unpack
+from .common import Shared, byte_column, pack, unpack
 
 BITS = 17
 MAX_EXAMPLES = 6000
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """(id_col, score) for each row of docs: whole texts, null as empty; repeated rows score alike; an empty table
     gives no row. keep: columns of docs to return beside the score (if not empty, only these and the score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, m = Grams(), shared.value

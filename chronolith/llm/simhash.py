@@ -1,206 +1,289 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-A pair of 64-bit fingerprints that differs in at most r bits shares at least t = 8 - r of its 8 positional bytes
-(r <= 7). By the pigeonhole principle it then shares at least k bytes among any 8 - t + k positions, so the index
-has one posting for each choice of k positions among the first 8 - t + k: no qualifying pair is missed, and a
-posting list holds about N / 256^k fingerprints instead of N / 256. Within a posting list the shared positional
-bytes of each pair are tallied, pairs below t are dropped, and the rest is verified by Hamming distance.
+A pair of fingerprints of n bytes that differs in at most r < n bits shares at least n - r positional bytes. By the
+pigeonhole principle a pair that shares t bytes shares at least k <= t among any n - t + k positions, so the index has
+one posting for each choice of k of so many positions: no pair that shares t bytes is missed, and a posting list holds
+about N / 256^k fingerprints instead of N / 256. Within a posting list the shared positional bytes of each pair are
+tallied, pairs below t are dropped, and the rest is verified by Hamming distance.
 
 Exact copies meet before the index (one row for each distinct fingerprint), and a posting list returns the edges of
 a spanning forest of its links, not all pairs; reachability is the same.
+
+With one lane (64 bits) and at most 7 differing bits, t = 8 - r is guaranteed. A word-shingle similarity of 0.8 is an
+angle of 0.15 pi, beyond what bytes can guarantee; `WIDE` takes three lanes for it: 192 bits estimate the angle, pairs
+within 32 bits link, and t = 2 of the first 16 bytes, which a pair at the threshold shares with probability 0.95 and a
+pair at 0.9 with 0.998.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_column, components, default_parallelism
 
 SEED = 42
+CHUNK, SHORT = 1 << 16, 32
+
+
+@dataclass(frozen=True)
+class Plan:
+    """lanes of 64 bits; links within `bits`; `least` positional bytes shared among the first `positions`; postings
+    for each choice of `width` of them."""
+
+    lanes: int
+    bits: int
+    positions: int
+    least: int
+    width: int
+
+    @staticmethod
+    def guaranteed(bits: int) -> Plan:
+        if not 0 <= bits <= 7:
+            raise ValueError("bits must be 0..7: beyond that no shared byte is guaranteed")
+        return Plan(1, bits, 8, 8 - bits, min(8 - bits, 3 if bits <= 5 else 2))
+
+    def combos(self) -> list[tuple[int, ...]]:
+        return list(combinations(range(self.positions - self.least + self.width), self.width))
+
 
+WIDE = Plan(lanes=3, bits=32, positions=16, least=2, width=2)
 
-def fingerprint(data: bytes, words: int) -> int:
-    """The fingerprint of one text as an unsigned 64-bit integer (0 for a text without words)."""
+
+def fingerprint(data: bytes, words: int, lanes: int = 1) -> np.ndarray:
+    """The fingerprint of one text as `lanes` unsigned 64-bit integers (0 for a text without words). The first lane's
+    hashes are XXH64, the others' are derived from these."""
     tokens = data.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(lanes, dtype=np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
+        starts, ends = [0], [len(joined)]
     else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    on = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(on, bitorder="little").view("<u8")[0])
+        stop = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+        starts = np.concatenate(([0], stop[:-1] + 1))[: len(tokens) - words + 1].tolist()
+        ends = stop[words - 1 :].tolist()
+    digest, on = xxhash.xxh64_intdigest, np.zeros((lanes, 64), dtype=np.int64)
+    for at in range(0, len(starts), CHUNK):
+        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])), np.uint64)
+        for lane in range(lanes):
+            if lane:
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h ^= h >> np.uint64(31)
+            on[lane] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(on * 2 > len(starts), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def names(lanes: int, prefix: str = "f") -> list[str]:
+    return [f"{prefix}{n}" for n in range(lanes)]
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, fp long) for each row; null and empty texts get 0."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int = 1) -> DataFrame:
+    """(id, f0 long, f1 long, ...) for each row; null and empty texts get 0."""
+    cols = names(lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x, words) for x in byte_column(b, "text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(fps)], ["id", "fp"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
-
-
-def index_plan(bits: int, width: int) -> list[tuple[int, ...]]:
-    """The position tuples whose bytes make the posting keys."""
-    if not 0 <= bits <= 7:
-        raise ValueError("bits must be 0..7: beyond that no shared byte is guaranteed")
-    t = 8 - bits
-    k = min(t, width)
-    return list(combinations(range(8 - t + k), k))
-
-
-def forest(x: np.ndarray, bits: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, j) of a spanning forest of the links within x, by tally and verification. left: if given,
-    only pairs of one of the first `left` members and one of the others count."""
-    m, t = len(x), 8 - bits
-    label = np.arange(m)
-    bytes_of = x.view(np.uint8).reshape(m, 8)
-    step = max(1, 2_000_000 // m)
-    pairs_i, pairs_j = [], []
-    for a in range(0, m if left is None else left, step):
-        end = min(a + step, m if left is None else left)
-        tally = np.zeros((end - a, m), dtype=np.uint8)
-        for p in range(8):
-            tally += bytes_of[a:end, p, None] == bytes_of[None, :, p]
-        i, j = np.nonzero(tally >= t)
-        i += a
-        keep = (j > i) if left is None else (j >= left)
-        i, j = i[keep], j[keep]
-        near = np.bitwise_count(x[i] ^ x[j]) <= bits
-        i, j = i[near], j[near]
-        if len(i):  # contract at once: what is already joined needs no more edges
-            li, lj = label[i], label[j]
-            open_ = li != lj
-            while open_.any():
-                lo, hi = np.minimum(li[open_], lj[open_]), np.maximum(li[open_], lj[open_])
-                hi, first = np.unique(hi, return_index=True)
-                lo = lo[first]
-                pairs_i.append(lo)
-                pairs_j.append(hi)
-                to = np.arange(m)
-                to[hi] = lo
-                while (to[to] != to).any():
-                    to = to[to]
-                label = to[label]
-                li, lj = label[i], label[j]
-                open_ = li != lj
-    if not pairs_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(pairs_i), np.concatenate(pairs_j)
-
-
-def links(spark: SparkSession, fps: DataFrame, bits: int, scratch: Scratch, width: int = 3, list_limit: int = 4096) -> DataFrame:
-    """fps(fp long, distinct) -> edges(a, b) between fingerprints, which reach what all links within `bits` reach.
+            fps = np.array([fingerprint(x, words, lanes) for x in byte_column(b, "text")], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(lanes))], ["id", *cols])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in cols))
+
+
+def near(a: np.ndarray, b: np.ndarray, plan: Plan) -> np.ndarray:
+    """near[i, j]: row i of a and row j of b share enough positional bytes and are within the bits."""
+    x, y = (v.view(np.uint8).reshape(len(v), 8 * plan.lanes) for v in (a, b))
+    tally = np.zeros((len(a), len(b)), dtype=np.uint8)
+    for p in range(plan.positions):
+        tally += x[:, p, None] == y[None, :, p]
+    out = tally >= plan.least
+    i, j = np.nonzero(out)
+    out[i, j] = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= plan.bits
+    return out
+
+
+def contract(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of edges (i, j) those, between labels, that join what label has apart; and the new label."""
+    low, high, li, lj = [], [], label[i], label[j]
+    while (open_ := li != lj).any():
+        lo, hi = np.minimum(li[open_], lj[open_]), np.maximum(li[open_], lj[open_])
+        hi, first = np.unique(hi, return_index=True)
+        lo = lo[first]
+        low.append(lo)
+        high.append(hi)
+        to = np.arange(len(label))
+        to[hi] = lo
+        while (to[to] != to).any():
+            to = to[to]
+        label, li, lj = to[label], to[li], to[lj]
+    return low, high, label
+
+
+def small_lists(x: np.ndarray, keys: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) of spanning forests of many short posting lists at once: rows of one key stand together."""
+    bytes_of, found_i, found_j = x.view(np.uint8).reshape(len(x), 8 * plan.lanes)[:, : plan.positions], [], []
+    for d in range(1, len(x)):
+        i = np.flatnonzero(keys[d:] == keys[:-d])
+        if not len(i):
+            break
+        i = i[np.bitwise_count(x[i] ^ x[i + d]).sum(axis=1, dtype=np.int64) <= plan.bits]
+        i = i[(bytes_of[i] == bytes_of[i + d]).sum(axis=1) >= plan.least]
+        found_i.append(i)
+        found_j.append(i + d)
+    none = np.zeros(0, np.int64)
+    low, high, _ = contract(np.concatenate([none, *found_i]), np.concatenate([none, *found_j]), np.arange(len(x)))
+    return np.concatenate([none, *low]), np.concatenate([none, *high])
+
+
+def forest(x: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) of a spanning forest of the links within x[m, lanes].
+
+    Large groups are walked breadth first, each reached row against the rows not reached yet, which takes about m
+    steps where one group holds most of the list; once a walk reaches few rows, all pairs of what is left are tallied."""
+    left, pairs_i, pairs_j = np.arange(len(x)), [], []
+    while len(left) > 256:
+        front, left, before = left[:1], left[1:], len(left)
+        while len(front) and len(left):
+            step = max(1, 1_000_000 // len(left))
+            some, front = front[:step], front[step:]
+            hit = near(x[some], x[left], plan)
+            on = hit.any(axis=0)
+            pairs_i.append(some[hit[:, on].argmax(axis=0)])
+            pairs_j.append(left[on])
+            front, left = np.concatenate((front, left[on])), left[~on]
+        if before - len(left) < before // 16:
+            break
+    label, step = np.arange(len(left)), max(1, 1_000_000 // max(len(left), 1))
+    rest = x[left]
+    for a in range(0, len(left), step):
+        i, j = np.nonzero(near(rest[a : a + step], rest[a + 1 :], plan))
+        i, j = i + a, j + a + 1
+        keep = j > i
+        low, high, label = contract(i[keep], j[keep], label)  # what is joined already needs no more edges
+        pairs_i += [left[v] for v in low]
+        pairs_j += [left[v] for v in high]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *pairs_i]), np.concatenate([none, *pairs_j])
+
+
+def posting_keys(plan: Plan) -> Column:
+    """The posting keys of a fingerprint: the number of the choice, then its bytes."""
+    byte = lambda p: F.shiftrightunsigned(F.col(f"f{p // 8}"), p % 8 * 8).bitwiseAND(F.lit(255))
+    key = lambda n, combo: reduce(lambda k, p: F.shiftleft(k, 8).bitwiseOR(byte(p)), combo, F.lit(n).cast("long"))
+    return F.array(*[key(n, combo) for n, combo in enumerate(plan.combos())])
+
+
+def links(spark: SparkSession, fps: DataFrame, plan: Plan, scratch: Scratch, list_limit: int = 4096) -> DataFrame:
+    """fps(f0, ..., distinct) -> edges(a0, ..., b0, ...) between fingerprints, which reach what all links reach.
     A posting list longer than list_limit is not handled by one task: its members are dealt into blocks and each
     pair of blocks is a task's group, so no list is dropped and none is gathered whole."""
-    plan = index_plan(bits, width)
-    masks = [sum(0xFF << 8 * p for p in c) for c in plan]
-    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(n).alias("combo"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for n, m in enumerate(signed)])
-    postings = fps.select("fp", F.explode(keys).alias("k")).select("k.combo", "k.v", "fp")
-    dealt = postings.repartition(default_parallelism(spark), "combo", "v").sortWithinPartitions("combo", "v")
+    cols, ends = names(plan.lanes), names(plan.lanes, "a") + names(plan.lanes, "b")
+    postings = fps.select(F.explode(posting_keys(plan)).alias("key"), *cols)
+    dealt = postings.repartition(default_parallelism(spark), "key").sortWithinPartitions("key")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, spilled = None, [], False
-        out: list[tuple] = []
+        key, members, size, spilled, out, held = None, [], 0, False, [], 0
+
+        def put(i, j, hot):
+            nonlocal held
+            out.append((i, j, np.full(len(i), hot, np.int64)))
+            held += len(i)
 
         def close():
-            nonlocal members, spilled
+            nonlocal members, size, spilled
             if members:
                 x = np.concatenate(members)
                 if spilled:
-                    out.append(over(x))
+                    put(x, x, key)
                 elif len(x) > 1:
-                    i, j = forest(x.view(np.uint64), bits)
+                    i, j = forest(x.view(np.uint64), plan)
                     if len(i):
-                        out.append((x[i], x[j], np.zeros(len(i), np.int32), np.zeros(len(i), np.int64)))
-            members, spilled = [], False
-
-        def over(x):
-            return (x, x, np.full(len(x), key[0] + 1, np.int32), np.full(len(x), key[1], np.int64))
+                        put(x[i], x[j], -1)
+            members, size, spilled = [], 0, False
 
         def flush():
-            a, b, c, d = (np.concatenate([o[n] for o in out]) for n in range(4))
+            nonlocal held
+            a, b, hot = (np.concatenate([o[n] for o in out]) for n in range(3))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), pa.array(d)], ["a", "b", "hot", "v"])
+            held = 0
+            arrays = [pa.array(np.ascontiguousarray(side[:, k])) for side in (a, b) for k in range(plan.lanes)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(hot)], [*ends, "hot"])
 
         for batch in batches:
-            combo, v, fp = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("combo", "v", "fp"))
-            if not len(fp):
+            if not batch.num_rows:
                 continue
-            new = np.flatnonzero((combo[1:] != combo[:-1]) | (v[1:] != v[:-1])) + 1
-            bounds = np.concatenate(([0], new, [len(fp)]))
-            lone = np.diff(bounds) == 1
-            for n, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                if lone[n] and 0 < n < len(lone) - 1:
-                    if members:
-                        close()
-                    continue
-                if (this := (int(combo[s]), int(v[s]))) != key:
+            keys = batch.column("key").to_numpy()
+            fp = np.stack([batch.column(c).to_numpy() for c in cols], axis=1)
+            bounds = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+            sizes = np.diff(bounds)
+            short = sizes <= SHORT
+            short[0] = short[-1] = False  # these lists may go on in another batch
+            if (rows := np.repeat(short & (sizes > 1), sizes)).any():
+                x = np.ascontiguousarray(fp[rows])
+                i, j = small_lists(x.view(np.uint64), keys[rows], plan)
+                put(x[i], x[j], -1)
+            for n in np.flatnonzero(~short).tolist():
+                s, e = bounds[n], bounds[n + 1]
+                if keys[s] != key:
                     close()
-                    key = this
+                    key = int(keys[s])
                 members.append(fp[s:e])
-                if sum(map(len, members)) > list_limit:
-                    out.append(over(np.concatenate(members)))
-                    members, spilled = [], True
-            if sum(len(o[0]) for o in out) > 20_000:
+                size += e - s
+                if size > list_limit:
+                    x = np.concatenate(members)
+                    put(x, x, key)
+                    members, size, spilled = [], 0, True
+            if held > 20_000:
                 yield flush()
         close()
         if out:
             yield flush()
 
-    found = scratch.table(dealt.mapInArrow(lists, "a long, b long, hot int, v long"), "lists")
-    near = found.where("hot = 0").select("a", "b")
-    hot = found.where("hot > 0").select("hot", "v", F.col("a").alias("fp"))
+    found = scratch.table(dealt.mapInArrow(lists, ", ".join(f"{c} long" for c in [*ends, "hot"])), "lists")
+    edges = found.where("hot < 0").select(*ends)
+    hot = found.where("hot >= 0").select("hot", *[F.col(a).alias(c) for a, c in zip(ends, cols)])
     if hot.limit(1).count():
-        sizes = hot.groupBy("hot", "v").agg(F.ceil(F.count("*") / list_limit).cast("int").alias("blocks"))
-        own = hot.join(sizes, ["hot", "v"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        sizes = hot.groupBy("hot").agg(F.ceil(F.count("*") / list_limit).cast("int").alias("blocks"))
+        own = hot.join(sizes, "hot").withColumn("own", F.pmod(F.xxhash64(*cols), F.col("blocks")).cast("int"))
         pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "hot", "v", "fp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+            "hot", *cols, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
         )
 
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("own")
-            x = pdf.fp.to_numpy().view(np.uint64)
-            lo, hi = pdf.lo.iloc[0], pdf.hi.iloc[0]
-            i, j = forest(x, bits, None if lo == hi else int((pdf.own == lo).sum()))
-            return pd.DataFrame({"a": x[i].view(np.int64), "b": x[j].view(np.int64)})
+            x = np.ascontiguousarray(pdf[cols].to_numpy())
+            i, j = forest(x.view(np.uint64), plan)
+            return pd.DataFrame(np.concatenate((x[i], x[j]), axis=1), columns=ends)
 
-        near = near.unionByName(pairs.groupBy("hot", "v", "lo", "hi").applyInPandas(block, "a long, b long"))
-    return near
+        edges = edges.unionByName(pairs.groupBy("hot", "lo", "hi").applyInPandas(block, ", ".join(f"{c} long" for c in ends)))
+    return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """One row for each input row: (id_col, fingerprint, component_id).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, plan: Plan | None = None) -> DataFrame:
+    """One row for each input row: (id_col, fingerprint, component_id). plan: how fingerprints link (by default those
+    of 64 bits within `bits`, by guaranteed matches).
 
     Null and empty texts have fingerprint zero and link like any other; texts with fewer than `words` words hash
     their whole word sequence; copies and repeated rows share a component; component_id is the smallest id reachable
     (null ids never win unless all are null); an empty table gives no row; other columns are ignored."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    fps = scratch.table(fingerprints(docs, id_col, text_col, words), "fps")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    edges = links(spark, classes.select("fp"), bits, scratch, width=3 if bits <= 5 else 2).distinct()
-    a = classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra"))
-    b = classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    found = components(edges.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
-    named = classes.join(found, classes.rep == found.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    spark, plan = docs.sparkSession, plan or Plan.guaranteed(bits)
+    scratch, cols = Scratch(spark, "simhash"), names(plan.lanes)
+    fps = scratch.table(fingerprints(docs, id_col, text_col, words, plan.lanes), "fps")
+    classes = scratch.table(fps.groupBy(*cols).agg(F.min("id").alias("rep")), "classes")
+    edges = scratch.table(links(spark, classes.select(*cols), plan, scratch).distinct(), "edges")
+    for end in "ab":
+        edges = edges.join(classes.select(*[F.col(c).alias(n) for c, n in zip(cols, names(plan.lanes, end))], F.col("rep").alias(f"r{end}")), names(plan.lanes, end))
+    found = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
+    named = classes.join(found, classes.rep == found.id, "left").select(*cols, F.coalesce("component", "rep").alias("component_id"))
+    text = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in reversed(cols)])
+    return fps.join(named, cols).select(F.col("id").alias(id_col), F.lower(text).alias("fingerprint"), "component_id")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_column
+from .common import Scratch, Shared, byte_column
 from .quality import sample, sigmoid_fit
 
 MAX_EXAMPLES = 6000
@@ -191,7 +191,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     place = {int(i): p for p, i in enumerate(index.ids)}
     some = [(v, place[r.id]) for r, v in zip(rows, vectors) if len(v[0])][:2000]
     index.calibrate([v for v, _ in some], np.array([p for _, p in some], np.int64))
-    shared = spark.sparkContext.broadcast(index)
+    shared = Shared(spark, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value

@@ -51,14 +51,22 @@ def test_small_batches_and_awkward_rows(spark, monkeypatch):
 
 def test_filter_reads_back_what_went_in():
     rng = np.random.default_rng(0)
-    buckets, bits, least = 4, 1 << 18, 2
+    buckets, bits = 4, 1 << 18
     hashes = rng.integers(0, 2**63, 4000, dtype=np.uint64)
-    levels = rng.integers(2, 9, 4000).astype(np.uint8)
+    levels = rng.integers(1, 9, 4000).astype(np.uint8)
     segments = []
     for b in range(buckets):
         on = hashes % np.uint64(buckets) == b
-        segments.append(lm.BloomCounts.segment((hashes[on] >> np.uint64(32)).astype(np.uint32), levels[on], bits, least))
-    bloom = lm.BloomCounts(segments, bits, least)
+        segments.append(lm.BloomCounts.segment((hashes[on] >> np.uint64(32)).astype(np.uint32), levels[on], bits))
+    bloom = lm.BloomCounts(segments, bits)
     back = bloom.levels(hashes, buckets)
     assert (back >= levels).all() and (back == levels).mean() > 0.99
     assert (bloom.levels(rng.integers(0, 2**63, 4000, dtype=np.uint64), buckets) == 0).mean() > 0.99
+
+
+def test_a_filter_in_parts_scores_as_one(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, many = ({r.doc_id: tuple(r)[1:] for r in lm.score(docs, max_bits=m).collect()} for m in (lm.MAX_BITS, 1 << 15))
+    assert one.keys() == many.keys()
+    assert all(one[k][:3] == many[k][:3] and one[k][3] == pytest.approx(many[k][3], rel=1e-9) for k in one)
+    assert sum(v[4] for v in one.values()) == pytest.approx(sum(v[4] for v in many.values()), rel=5e-3)

@@ -61,10 +61,11 @@ def test_every_radius_and_the_block_path(spark):
     base = rng.integers(0, 2**63, 6, dtype=np.uint64)
     near = [b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 3, dtype=np.uint64)) for b in base for _ in range(60)]
     fps = np.unique(np.concatenate([base, np.array(near, dtype=np.uint64), rng.integers(0, 2**63, 200, dtype=np.uint64)]))
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "f0 long")
     for bits, width, limit in ((4, 3, 4096), (4, 3, 16), (6, 2, 32), (2, 3, 7), (7, 1, 64)):
-        scratch = Scratch(spark, "t")
-        got = components(simhash.links(spark, df, bits, scratch, width, limit), scratch).collect()
+        scratch, plan = Scratch(spark, "t"), simhash.Plan(1, bits, 8, 8 - bits, width)
+        edges = simhash.links(spark, df, plan, scratch, limit).withColumnsRenamed({"a0": "a", "b0": "b"})
+        got = components(edges, scratch).collect()
         comp = {r[0]: r[1] for r in got}
         label = {int(x): int(x) for x in fps.view(np.int64)}
         changed = True
@@ -82,3 +83,37 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r[0]: r[1] for r in components(edges, Scratch(spark, "t")).collect()}
     assert Counter(got.values()) == {0: 301, 1000: 2}
+
+
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+
+
+def test_wide_fingerprints_find_similar_texts_and_leave_others(spark):
+    """Against exact Jaccard similarity of five-word shingles: recall of at least 0.9 above 0.8, nothing unrelated."""
+    rng, rows, pairs = np.random.default_rng(5), [], []
+    for n in range(250):
+        words = [f"w{v}" for v in rng.integers(0, 3000, int(rng.integers(60, 500)))]
+        copy = list(words)
+        for at in rng.choice(len(words), max(1, int(len(words) * rng.choice([0.002, 0.008, 0.015]))), replace=False):
+            copy[at] = "changed"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        pairs.append(len(a & b) / len(a | b))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, words=5, plan=simhash.WIDE).collect()}
+    close = [n for n, j in enumerate(pairs) if j >= 0.8]
+    assert len(close) > 100
+    assert sum(got[2 * n + 1] == 2 * n for n in close) >= 0.9 * len(close)
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
+def test_forest_of_one_large_group_and_strays():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, (1, 3), dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 63, (1500, 3), dtype=np.uint64)
+    x = np.concatenate((base ^ flips, rng.integers(0, 2**63, (700, 3), dtype=np.uint64)))
+    x = np.ascontiguousarray(x[rng.permutation(len(x))])
+    i, j = simhash.forest(x, simhash.WIDE)
+    assert len(i) == 1499 and simhash.near(x[i[:50]], x[j[:50]], simhash.WIDE).diagonal().all()
