@@ -6,8 +6,8 @@ one posting for each choice of k of so many positions: no pair that shares t byt
 about N / 256^k fingerprints instead of N / 256. Within a posting list the shared positional bytes of each pair are
 tallied, pairs below t are dropped, and the rest is verified by Hamming distance.
 
-Exact copies meet before the index (one row for each distinct fingerprint), and a posting list returns the edges of
-a spanning forest of its links, not all pairs; reachability is the same.
+Exact copies meet before the index (one row for each distinct fingerprint), and posting lists return what their links
+connect, as one edge from each fingerprint to the least it reaches, not all pairs; reachability is the same.
 
 With one lane (64 bits) and at most 7 differing bits, t = 8 - r is guaranteed. A word-shingle similarity of 0.8 is an
 angle of 0.15 pi, beyond what bytes can guarantee; `WIDE` takes three lanes for it: 192 bits estimate the angle, pairs
@@ -177,6 +177,17 @@ def forest(x: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *pairs_i]), np.concatenate([none, *pairs_j])
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What edges between fingerprints (rows of a and b) connect, as one edge from each fingerprint to the least it
+    reaches: different posting lists of a group then mostly return the same edges."""
+    both = np.ascontiguousarray(np.concatenate((a, b)))
+    node, where = np.unique(both.view(f"V{both.itemsize * both.shape[1]}").ravel(), return_inverse=True)
+    label = contract(where[: len(a)], where[len(a) :], np.arange(len(node)))[2]
+    on = np.flatnonzero(label != np.arange(len(node)))
+    rows = node.view(both.dtype).reshape(len(node), both.shape[1])
+    return rows[label[on]], rows[on]
+
+
 def posting_keys(plan: Plan) -> Column:
     """The posting keys of a fingerprint: the number of the choice, then its bytes."""
     byte = lambda p: F.shiftrightunsigned(F.col(f"f{p // 8}"), p % 8 * 8).bitwiseAND(F.lit(255))
@@ -217,6 +228,8 @@ def links(spark: SparkSession, fps: DataFrame, plan: Plan, scratch: Scratch, lis
             a, b, hot = (np.concatenate([o[n] for o in out]) for n in range(3))
             out.clear()
             held = 0
+            low, high = stars(a[hot < 0], b[hot < 0])
+            a, b, hot = np.concatenate((low, a[hot >= 0])), np.concatenate((high, b[hot >= 0])), np.concatenate((np.full(len(low), -1), hot[hot >= 0]))
             arrays = [pa.array(np.ascontiguousarray(side[:, k])) for side in (a, b) for k in range(plan.lanes)]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(hot)], [*ends, "hot"])
 
@@ -263,7 +276,7 @@ def links(spark: SparkSession, fps: DataFrame, plan: Plan, scratch: Scratch, lis
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.ascontiguousarray(pdf[cols].to_numpy())
             i, j = forest(x.view(np.uint64), plan)
-            return pd.DataFrame(np.concatenate((x[i], x[j]), axis=1), columns=ends)
+            return pd.DataFrame(np.concatenate(stars(x[i], x[j]), axis=1), columns=ends)
 
         edges = edges.unionByName(pairs.groupBy("hot", "lo", "hi").applyInPandas(block, ", ".join(f"{c} long" for c in ends)))
     return edges
