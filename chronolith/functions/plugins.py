@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.functions import pandas_udf
 
 from chronolith.functions import text as T
@@ -75,6 +76,10 @@ def combine(a: Column, b: Column, limit: int = 400) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.coalesce(F.nullif(whole, F.lit("")), cut))
 
 
+PARSED = S.StructType([
+    S.StructField("fields", S.MapType(S.StringType(), S.StringType())), S.StructField("tags", S.ArrayType(S.StringType())),
+    S.StructField("repeated", S.ArrayType(S.StringType())), S.StructField("error", S.StringType()),
+])
 KEY = re.compile(r"^([A-Za-z0-9_-]+):[ \t]*(.*)$")
 
 
@@ -116,8 +121,8 @@ def parse_block(block: str | None) -> tuple[dict[str, str], list[str], list[str]
     return fields, lists.get("tags", []), repeated, None
 
 
-@pandas_udf("fields map<string,string>, tags array<string>, repeated array<string>, error string")
+@pandas_udf(PARSED)
 def frontmatter_struct(block: pd.Series) -> pd.DataFrame:
     """The only parser that columns cannot express: an Arrow-batched function over frontmatter blocks."""
     rows = [parse_block(b) for b in block]
-    return pd.DataFrame({"fields": [list(r[0].items()) for r in rows], "tags": [r[1] for r in rows], "repeated": [r[2] for r in rows], "error": [r[3] for r in rows]})
+    return pd.DataFrame({"fields": [r[0] for r in rows], "tags": [r[1] for r in rows], "repeated": [r[2] for r in rows], "error": [r[3] for r in rows]})

@@ -1 +1,81 @@
-"""Queries."""
+"""Queries over evidence packets and grounded answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chronolith.functions import plugins
+from chronolith.operators import grounding, search
+
+from .registry import query
+from .workload import table, view
+
+CANDIDATES = """select event_id, case event_id % 5 when 0 then 'high' when 1 then 'Medium' when 2 then 'low' when 3 then 'not_found' else 'sure' end as confidence, case when event_id % 7 = 0 then null else concat('answer ', event_id) end as answer,
+  concat('s', event_id % 4) as a, concat('s', event_id % 6) as b, case when event_id % 2 = 0 then 'none' else 'was else' end as superseded_note, event_id % 9 = 0 as escalate from events"""
+
+
+def grounded(spark, sf):
+    c = spark.sql(CANDIDATES.replace("from events", "from {events}"), events=table(spark, sf, "events"))
+    known = lambda *v: F.array(*map(F.lit, v))
+    return grounding.ground(c.withColumns({"sources": F.array("a", "b"), "strong": known("s0", "s1"), "weak": known("s2")}))
+
+
+GROUND = f"""with c as ({CANDIDATES}), k as (select *, case when lower(confidence) in ('high', 'medium', 'low', 'not_found') then lower(confidence) else 'low' end as conf, a in ('s0', 's1', 's2') as ka, b in ('s0', 's1', 's2') as kb from c)
+, g as (select *, conf = 'not_found' or answer is null as abstains, not ka and not kb as rejects, conf = 'high' and not ((ka and a <> 's2') or (kb and b <> 's2')) as weak from k)
+, grounded as (select event_id, abstains or not rejects as grounded, case when abstains then 'abstained' when rejects then 'rejected' when weak then 'downgraded' when not (ka and kb) then 'filtered' else 'accepted' end as action,
+  case when abstains or rejects then 'not_found' when weak then 'medium' else conf end as confidence, case when not (abstains or rejects) then answer end as answer,
+  case when abstains or rejects then '' when ka and kb and a <> b then concat(a, ',', b) when ka then a else b end as sources,
+  case when not (abstains or rejects) and superseded_note <> 'none' then superseded_note end as superseded_note, case when abstains or rejects then true else escalate end as escalate from g) """
+
+
+@query("X16 J16 U7 D12 P21", GROUND + "select * from grounded")
+def answers_ground(spark, sf):
+    """Candidate answers, kept to what their evidence supports."""
+    return grounded(spark, sf).select("event_id", "grounded", "action", "confidence", "answer", F.array_join("sources", ",").alias("sources"), "superseded_note", "escalate")
+
+
+@query("A24", GROUND + "select x.action, count(g.event_id) as n from (values ('accepted'), ('filtered'), ('downgraded'), ('rejected'), ('abstained'), ('error')) x(action) left join grounded g on g.action = x.action group by 1")
+def answers_action_counts(spark, sf):
+    return grounding.action_counts(grounded(spark, sf))
+
+
+HITS = "select user_id % 20 as query_id, event_id, case event_type when 'click' then 'fact' when 'view' then 'entity' when 'purchase' then 'community' when 'signup' then 'episode' else 'semantic' end as kind, row_number() over (partition by user_id % 20, event_type order by value desc, event_id) as rank, concat('n', event_id % 50) as name, concat('text ', event_id) as text, concat('s', event_id % 6) as source_slug, event_id % 3 <> 0 as current, value / 200.0 as score from events"
+
+
+def hits(spark, sf):
+    return spark.sql(HITS.replace("from events", "from {events}"), events=table(spark, sf, "events"))
+
+
+@query("O7 X9 W6", f"with h as ({HITS}) select query_id, kind, event_id from h where rank <= case kind when 'fact' then 8 when 'entity' then 8 when 'community' then 3 when 'episode' then 2 else 3 end")
+def answers_capped_hits(spark, sf):
+    return search.capped(hits(spark, sf), 8).select("query_id", "kind", "event_id")
+
+
+@query("X9 D11 J14", f"with h as ({HITS}) select query_id, count(*) filter (kind = 'fact' and rank <= 8) as facts, count(*) filter (kind = 'entity' and rank <= 8) as entities, count(*) filter (kind = 'community' and rank <= 3) as communities, count(*) filter (kind = 'semantic' and rank <= 3) as semantic_notes, min(name) filter (kind = 'episode' and rank = 1) as excerpt from h group by 1")
+def answers_packet(spark, sf):
+    """One nested packet for each question; here its sizes."""
+    p = search.packet(hits(spark, sf), 8)
+    return p.select("query_id", *[F.size(c).cast("long").alias(c) for c in ("facts", "entities", "communities", "semantic_notes")], F.col("source_excerpt.slug").alias("excerpt"))
+
+
+@query("X15", f"""with h as ({HITS}), s as (select query_id, source_slug as slug, current as strong from h where kind = 'fact' and rank <= 8 union all select query_id, name, true from h where kind = 'episode' and rank = 1 union all select query_id, name, false from h where kind = 'semantic' and rank <= 3)
+select query_id, slug, bool_or(strong) as strong from s group by 1, 2""")
+def answers_strengths(spark, sf):
+    return grounding.strengths(search.packet(hits(spark, sf), 8))
+
+
+@query("X14 F2 X17", f"with h as ({HITS}), f as (select query_id, min(rank) as rank from h where kind = 'fact' and rank <= 8 and current group by 1) select q.query_id, case when f.rank is null then 'not_found' else 'medium' end as confidence, h.text as answer from (select distinct query_id from h) q left join f on f.query_id = q.query_id left join h on h.query_id = q.query_id and h.kind = 'fact' and h.rank = f.rank")
+def answers_extractive(spark, sf):
+    """The default distiller: the first current fact of each packet."""
+    return plugins.extractive_answer(search.packet(hits(spark, sf), 8)).select("query_id", "confidence", "answer")
+
+
+@query("F3")
+def answers_claims(spark, sf):
+    notes = view(spark, sf, "notes").select("slug", F.concat(F.lit("# t\n\n## Durable claims\n\n- one [[A]] fact\n- two [[B|b]]\n\n## Rest\n\n- no\n"), F.lit("")).alias("body"))
+    return plugins.extract_claims(notes)
+
+
+@query("F1 P8")
+def answers_embeddings(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", plugins.hashing_embedder()(F.col("text")).alias("vector"))

@@ -1 +1,276 @@
-"""Queries."""
+"""Queries over use, health, pages and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chronolith.operators import lint, pages, report, status, usage
+
+from .registry import query
+from .workload import cte, table, view
+
+TOOLS = "('wiki_search', 'wiki_get', 'graph_answer', 'graph_search')"
+FAILED = "(coalesce(confidence, '') = 'error' or coalesce(outcome, '') = 'error' or coalesce(error, '') <> '')"
+LOG = cte("query_log")
+
+
+def log(spark, sf):
+    return view(spark, sf, "query_log").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("A3 A9 T8f D10 P36", LOG + f"select case when tool in {TOOLS} then tool else 'other' end as tool, count(*) as calls, count(*) filter {FAILED.replace('(coal', '(where coal', 1)} as errors, count(*) filter (cached) as cache_hits from query_log where not test group by 1")
+def usage_by_tool(spark, sf):
+    return usage.by_tool(log(spark, sf))
+
+
+@query("A3", LOG + "select v.confidence, count(l.event_id) as n from (values ('high'), ('medium'), ('low'), ('not_found'), ('error')) v(confidence) left join (select * from query_log where not test) l on l.confidence = v.confidence group by 1")
+def usage_by_confidence(spark, sf):
+    return usage.by_confidence(log(spark, sf))
+
+
+@query("A10", LOG + """
+, a as (select *, confidence in ('high', 'medium', 'low') and answer_tokens > 0 as good from query_log where not test and tool = 'graph_answer')
+, m as (select count(*) as calls, count(*) filter (cached) as cache_hits, median(answer_tokens) filter (good) as median_answer, median(packet_tokens) filter (good) as median_packet, count(*) filter (confidence in ('not_found', 'error')) as lost from a)
+select calls, cache_hits, median_answer, median_packet, round_even(median_packet / median_answer, 1) as compression, round_even(lost / calls, 3) as not_found_rate from m""")
+def usage_answer_health(spark, sf):
+    return usage.answer_health(log(spark, sf))
+
+
+@query("A9", LOG + "select " + ", ".join(f"count(*) filter (tool = '{t}'{' and not test' if t.startswith('graph_') else ''}) as {t}_calls" for t in ("wiki_search", "wiki_get", "graph_search", "graph_answer", "graph_entity")) + " from query_log")
+def usage_split(spark, sf):
+    return usage.usage_split(log(spark, sf))
+
+
+GAPS = LOG + """
+, g as (select 0 as part, 'wiki' as src, ts, event_id, query as q, round_even(coalesce(score, 0), 3) as best_score from query_log where tool = 'wiki_search' and (n = 0 or score < 0.45)
+  union all select 1, 'graph', ts, event_id, query, null from query_log where tool = 'graph_search' and n = 0 and not test
+  union all select 2, 'answer', ts, event_id, query, null from query_log where tool = 'graph_answer' and confidence in ('not_found', 'error') and not test)
+, k as (select *, substr(trim(regexp_replace(lower(q), '\\s+', ' ', 'g')), 1, 60) as key from g)
+, gaps as (select src, key, q, best_score from (select *, row_number() over (partition by key order by part, ts, event_id) as rn from k where key <> '') where rn = 1) """
+
+
+@query("R5 A21 U9", GAPS + "select src, key, q, best_score from gaps")
+def usage_gaps(spark, sf):
+    """Questions that found nothing useful, each once."""
+    return usage.gaps(log(spark, sf))
+
+
+PRIOR = "select concat('last week: what is item ', range, ' and more') as text from range(1, 97, 3)"
+
+
+def prior(spark):
+    return spark.range(1, 97, 3).select(F.concat(F.lit("last week: what is item "), "id", F.lit(" and more")).alias("text"))
+
+
+@query("J15", GAPS + f", p as ({PRIOR}) select key from gaps where exists (select 1 from p where contains(lower(text), substr(trim(regexp_replace(lower(q), '\\s+', ' ', 'g')), 1, 40)))")
+def usage_recurring_gaps(spark, sf):
+    return usage.recurring(usage.gaps(log(spark, sf)), prior(spark)).select("key")
+
+
+@query("R6", GAPS + f""", p as ({PRIOR}), r as (select count(*) as recurring from gaps where exists (select 1 from p where contains(lower(text), substr(trim(regexp_replace(lower(q), '\\s+', ' ', 'g')), 1, 40))))
+, s as (select count(*) as graph_searches from query_log where tool = 'graph_search' and not test), z as (select count(*) as zero_hits from gaps where src = 'graph')
+select *, graph_searches >= 200 as learned_ranking, recurring >= 5 as gap_classifier, zero_hits >= 15 as episode_embeddings from s, z, r""")
+def usage_triggers(spark, sf):
+    g = usage.gaps(log(spark, sf))
+    return usage.triggers(log(spark, sf), g, usage.recurring(g, prior(spark)))
+
+
+@query("A11", LOG + "select query as name, count(*) as n from query_log where tool = 'wiki_get' group by 1 order by n desc, name limit 10")
+def usage_most_fetched(spark, sf):
+    return usage.most_fetched(log(spark, sf))
+
+
+OUTCOME = f"case when {FAILED} then 'error' when confidence = 'not_found' then 'not_found' when outcome = 'degraded' then 'degraded' else 'ok' end"
+
+
+@query("A17 P19 P20", LOG + f"""
+, t as (select unnest(['wiki_search', 'wiki_get', 'wiki_backlinks', 'wiki_note_drop', 'graph_answer', 'graph_search', 'graph_get_note', 'graph_entity', 'graph_current_facts', 'graph_changes', 'memory_status', 'other']) as tool)
+, o as (select unnest(['ok', 'error', 'not_found', 'degraded']) as outcome), e as (select case when tool in {TOOLS} then tool else 'other' end as tool, {OUTCOME} as outcome from query_log)
+select t.tool, o.outcome, (select count(*) from e where e.tool = t.tool and e.outcome = o.outcome) as n from t, o""")
+def usage_counters(spark, sf):
+    return usage.counters(log(spark, sf))
+
+
+@query("A18", LOG + "select tool, count(*) as calls, round(quantile_cont(duration_ms, 0.5), 6) as p50, round(quantile_cont(duration_ms, 0.95), 6) as p95 from query_log group by 1")
+def usage_durations(spark, sf):
+    return usage.durations(log(spark, sf), "tool").select("tool", "calls", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+@query("A18 D19", LOG + ", b as (select unnest([0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 1e300]) as le) select tool, case when le > 100 then '+Inf' else format('{}', cast(le as double)) end as le, count(*) filter (duration_ms / 1000 <= b.le) as n from query_log, b group by tool, b.le")
+def usage_histogram(spark, sf):
+    return usage.histogram(log(spark, sf), "tool")
+
+
+@query("W9 M3", LOG + f"""select event_id, count(*) over w as calls, cast(sum(case when {FAILED} then 1 else 0 end) over w as bigint) as bad from query_log window w as (partition by tool order by cast(floor(epoch(ts)) as bigint) range between 600 preceding and current row)""")
+def usage_rolling_rate(spark, sf):
+    return usage.rolling_rate(log(spark, sf)).select("event_id", "calls", "bad")
+
+
+@query("M2", LOG + "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as start, tool, outcome, count(*) as n from query_log group by 1, 2, 3")
+def usage_hourly(spark, sf):
+    return usage.windowed(log(spark, sf), "1 hour").withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
+
+
+@query("M4", LOG + """
+, s as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new from query_log)
+, g as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as part from s)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from g group by user_id, part""")
+def usage_sessions(spark, sf):
+    return usage.sessions(log(spark, sf)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+STATUS = "select c_custkey as k, c_custkey % 2 = 0 as wiki_ready, c_custkey % 3 = 0 as graph_ready, c_custkey % 5 <> 0 as git_ready, case when c_custkey % 11 = 0 then 'down' end as ingest_error, c_custkey % 4 as pending, c_custkey * 100 as lag_seconds, c_custkey % 6 as community_count, c_custkey * 9000 as community_age, c_custkey % 3 as blocked, c_custkey % 2 as review, c_custkey as inbox, 0 as deferred, false as degraded, c_custkey as pages_indexed, case when c_custkey % 7 > 0 then c_custkey end as index_age, 1 as partial from customer"
+
+
+def statuses(spark, sf):
+    return spark.sql(STATUS.replace("from customer", "from {customer}"), customer=table(spark, sf, "customer"))
+
+
+@query("T9 D13", f"""with s as ({STATUS}), r as (
+select 'fail' as severity, 'wiki_ready' as rule from s where not wiki_ready union all select 'fail', 'graph_ready' from s where not graph_ready union all select 'fail', 'git_ready' from s where not git_ready
+union all select 'fail', 'ingest_error' from s where ingest_error <> '' union all select 'fail', 'ingest_lag' from s where pending > 0 and lag_seconds > 7200 union all select 'fail', 'no_communities' from s where community_count = 0
+union all select 'fail', 'communities_stale' from s where community_count <> 0 and community_age > 691200 union all select 'warn', 'blocked' from s where blocked > 0 union all select 'warn', 'review' from s where review > 0)
+select severity, rule, count(*) as n from r group by 1, 2""")
+def status_alerts(spark, sf):
+    return status.alerts(statuses(spark, sf)).groupBy("severity", "rule").agg(F.count("*").alias("n"))
+
+
+@query("R8", f"""with s as ({STATUS}), v as (select unnest([
+{{'name': 'wiki_index_ready', 'value': cast(wiki_ready as int)::double}}, {{'name': 'wiki_index_age_seconds', 'value': coalesce(index_age::double, case when not wiki_ready then 'inf'::double else 0 end)}}, {{'name': 'blocked_notes', 'value': blocked::double}},
+{{'name': 'community_age_seconds', 'value': coalesce(community_age::double, case when graph_ready and community_count = 0 then 'inf'::double else 0 end)}}, {{'name': 'ingest_lag_seconds', 'value': lag_seconds::double}}]) as x from s)
+select x.name as name, count(*) as n, count(*) filter (isinf(x.value)) as endless, sum(case when isinf(x.value) then 0 else x.value end) as total from v group by 1""")
+def status_gauges(spark, sf):
+    some = status.gauges(statuses(spark, sf)).where(F.col("name").isin("wiki_index_ready", "wiki_index_age_seconds", "blocked_notes", "community_age_seconds", "ingest_lag_seconds"))
+    inf = F.col("value") == float("inf")
+    return some.groupBy("name").agg(F.count("*").alias("n"), F.count_if(inf).alias("endless"), F.sum(F.when(inf, 0.0).otherwise(F.col("value"))).alias("total"))
+
+
+RULES = (("hot", "value > 20", 7200, "warning"), ("odd", "event_id % 5 <> 0", 3600, "critical"))
+
+
+@query("T10 M3", """with s as (select epoch(ts) as t, value > 20 as hot, event_id % 5 <> 0 as odd from events), r as (select t, 'hot' as rule, 'warning' as severity, 7200 as hold, hot as on_ from s union all select t, 'odd', 'critical', 3600, odd from s)
+, h as (select *, max(case when not on_ then t end) over w as off, min(t) over w as first from r window w as (partition by rule order by t rows between unbounded preceding and current row))
+select cast(floor(t) as bigint) as "at", rule, severity from h where on_ and t - coalesce(off, first - 1) > hold""")
+def status_series_alerts(spark, sf):
+    samples = table(spark, sf, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "value", "event_id")
+    return status.series_alerts(samples, RULES).withColumn("at", F.floor("at"))
+
+
+@query("A27", "select event_type as job, 2000000 - max(event_id) as since_success, max(user_id) as active from events group by 1")
+def status_scheduler(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("job"), F.col("event_id").alias("last_success"), F.col("user_id").alias("active"), *[F.lit(0).alias(c) for c in ("suspended", "failed", "succeeded")])
+    return status.scheduler(e, F.lit(2_000_000)).select("job", "since_success", "active")
+
+
+FIELD = "nullif(trim(regexp_extract(content, '(?m)^{}:[ \\t]*(.*)$', 1)), '')"
+PAGES = cte("pages") + f", cat as (select name, path, {FIELD.format('type')} as type, {FIELD.format('category')} as category, {FIELD.format('status')} as status, {FIELD.format('created')} as created, doc_id, content from pages) "
+LINKS = PAGES + """, raw as (select name as src, trim(split_part(split_part(unnest(regexp_extract_all(regexp_replace(content, '`[^`\\n]+`', '', 'g'), '\\[\\[([^\\]\\n]+?)\\]\\]', 1)), '|', 1), '#', 1)) as dst from cat), found as (select distinct src, dst from raw where dst <> '') """
+
+
+def catalog(spark, sf):
+    return pages.catalog(view(spark, sf, "pages"))
+
+
+@query("S2 P1 D2 T11", PAGES + "select name, type, category, status from cat")
+def pages_catalog(spark, sf):
+    return catalog(spark, sf).select("name", "type", "category", "status")
+
+
+@query("J3 P2 D3", LINKS + "select src, dst from found where dst in (select name from cat)")
+def pages_links(spark, sf):
+    return pages.links(catalog(spark, sf))
+
+
+@query("X5", LINKS + "select 'doc-21' as name, coalesce(list_sort(list(distinct src)), []) as backlinks from found where dst = 'doc-21'")
+def pages_backlinks(spark, sf):
+    return pages.backlinks(catalog(spark, sf), "doc-21")
+
+
+@query("J4 Q10", LINKS + "select src, dst as target, case when n.low is null then 'broken' else 'case' end as problem, n.expected from found left join (select lower(name) as low, max(name) as expected from cat group by 1) n on n.low = lower(dst) where n.low is null or n.expected <> dst")
+def pages_link_problems(spark, sf):
+    return pages.link_problems(catalog(spark, sf))
+
+
+@query("T6 U3 U4 D4", """with p as (select name, h, left(h, 16) as legacy from (select concat('doc-', doc_id) as name, sha256(text) as h from documents where doc_id % 10 <> 9)), c as (select concat('doc-', doc_id) as name, case when doc_id % 4 = 0 then 'x' when doc_id % 4 = 1 then left(sha256(text), 16) else sha256(text) end as hash, case when doc_id % 4 = 1 then 'legacy-body-v0' else 'embedding-input-v1' end as f from documents where doc_id % 10 <> 8)
+select coalesce(p.name, c.name) as name, case when p.name is null then 'remove' when c.f = 'embedding-input-v1' and c.hash = p.h then 'reuse' when c.f = 'legacy-body-v0' and c.hash = p.legacy then 'migrate' else 'embed' end as action from p full join c on c.name = p.name""")
+def pages_reindex(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("name"), F.sha2("text", 256).alias("h"))
+    short = F.substring("h", 1, 16)
+    p = d.where("doc_id % 10 <> 9").select("name", F.col("h").alias("hash"), short.alias("legacy_hash"))
+    r = F.col("doc_id") % 4
+    c = d.where("doc_id % 10 <> 8").select("name", F.when(r == 0, "x").when(r == 1, short).otherwise(F.col("h")).alias("hash"), F.when(r == 1, "legacy-body-v0").otherwise("embedding-input-v1").alias("hash_format"))
+    return pages.reindex(p, c)
+
+
+def issues(spark, sf):
+    return lint.lint(catalog(spark, sf))
+
+
+@query("Q1 Q2 Q3 Q4 Q5 Q6 Q7 Q8 Q9 Q11 D16", PAGES + """select 'type' as rule, count(*) as n from cat where type not in ('entity', 'concept', 'source', 'synthesis', 'decision', 'log', 'index') having count(*) > 0
+union all select 'type_missing', count(*) from cat where type is null having count(*) > 0
+union all select 'created', count(*) from cat where created = 'someday' having count(*) > 0
+union all select 'h1', count(*) from cat where doc_id % 17 = 0 having count(*) > 0
+union all select 'tag_case', count(*) from cat where doc_id % 6 = 0 having count(*) > 0
+union all select 'tag_blank', count(*) from cat where doc_id % 6 = 0 having count(*) > 0
+union all select 'decision_status', count(*) from cat where type = 'decision' and status is null having count(*) > 0
+union all select 'status_unused', count(*) from cat where type in ('concept', 'synthesis', 'source', 'log', 'index') and status is not null having count(*) > 0""")
+def lint_rules(spark, sf):
+    """How often each rule about a single page is broken (those whose condition the view states)."""
+    some = ("type", "type_missing", "created", "h1", "tag_case", "tag_blank", "decision_status", "status_unused")
+    return issues(spark, sf).where(F.col("rule").isin(*some)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("A12 Q12 S5")
+def lint_summary(spark, sf):
+    return lint.summary(issues(spark, sf))
+
+
+@query("A13", PAGES + "select type, coalesce(category, 'Uncategorized') as category, count(*) as n from cat group by 1, 2")
+def report_by_type(spark, sf):
+    return report.by_type(catalog(spark, sf))
+
+
+@query("R1 O11 P18")
+def report_index(spark, sf):
+    dated = catalog(spark, sf).withColumn("created", F.regexp_extract("block", r"(?m)^created:[ \t]*(.*)$", 1))
+    return report.index_lines(dated, ("cat2", "cat0"))
+
+
+CHANGES = "select event_id as seq, case event_type when 'click' then 'A' when 'error' then 'D' else 'M' end as status, concat('wiki/p', user_id, '.md') as path from events"
+
+
+def changes(spark, sf):
+    return spark.sql(CHANGES.replace("from events", "from {events}"), events=table(spark, sf, "events"))
+
+
+@query("A15 S11 D18", f"with c as ({CHANGES}) select path, arg_min(status, seq) as first, arg_max(status, seq) as last from c group by 1")
+def report_path_changes(spark, sf):
+    return report.path_changes(changes(spark, sf))
+
+
+@query("A14 R3", f"""with c as ({CHANGES}), p as (select path, arg_min(status, seq) as first, arg_max(status, seq) as last from c group by 1), t as (select concat('wiki/p', c_custkey, '.md') as path, c_mktsegment as type from customer where c_custkey % 3 <> 0)
+, k as (select p.path, case when last = 'D' then 'deleted' when first = 'A' then 'added' else 'modified' end as kind, t.type from p left join t on t.path = p.path) select kind, case when kind <> 'deleted' then coalesce(type, '(unknown)') end as type, count(*) as n from k group by 1, 2""")
+def report_distill(spark, sf):
+    types = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("wiki/p"), "c_custkey", F.lit(".md")).alias("path"), F.col("c_mktsegment").alias("type"))
+    return report.distill(changes(spark, sf), types)
+
+
+ENTRIES = "select case when o_orderkey % 23 = 0 then '2001-99-99' else strftime(o_orderdate, '%Y-%m-%d') end as date, o_orderkey as seq from orders"
+
+
+def entries(spark, sf):
+    return table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 23 == 0, "2001-99-99").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.col("o_orderkey").alias("seq"))
+
+
+WEEK = "format('{:d}-W{:02d}', isoyear(d), week(d))"
+
+
+@query("R4 O13 D17 S12", f"""with e as ({ENTRIES}), x as (select *, try_cast(date as date) as d from e), t as (select *, case when d is null then 'quarantine' when d >= date '2001-08-01' - 14 then 'live' else {WEEK} end as target from x)
+select seq, target, row_number() over (partition by target order by date desc, seq) as ord from t""")
+def report_rotate(spark, sf):
+    return report.rotate(entries(spark, sf), F.lit("2001-08-01").cast("date")).select("seq", "target", "ord")
+
+
+@query("A16", f"with e as ({ENTRIES}), x as (select try_cast(date as date) as d from e) select {WEEK} as week, count(*) as n from x where d is not null group by 1")
+def report_per_week(spark, sf):
+    return report.per_week(entries(spark, sf))

@@ -1 +1,171 @@
-"""Queries."""
+"""Queries over what writes to the knowledge base: ingestion, queues, ingest logs and agent runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chronolith.functions import text as T
+from chronolith.operators import ingest, queues, status
+
+from .registry import query
+from .workload import cte, table, view
+
+NOW = "2001-09-01"
+TS = "strptime(substr({}, 1, 17), '%Y-%m-%d-%H%M%S')"
+
+ASSESSED = cte("notes", "episodes") + """
+, d as (select * from (select *, row_number() over (partition by slug order by created_at desc, uuid desc) as rn from episodes where complete) where rn = 1)
+, m as (select * from (select *, row_number() over (partition by slug order by created_at desc, uuid desc) as rn from episodes where complete is not true and mention_count > 0) where rn = 1)
+, a as (select distinct slug from episodes)
+, assessed as (select n.slug, case when a.slug is null then 'missing' when d.uuid is not null and (d.content_hash is null or d.content_hash = sha256(n.body)) then 'done' when d.uuid is not null then 'changed' when m.uuid is not null then 'done' else 'partial' end as disposition,
+  case when d.uuid is not null then case when d.content_hash is null and d.content = n.body then d.uuid end when m.content_hash is null and m.content = n.body then m.uuid end as upgrade_uuid
+  from notes n left join a on a.slug = n.slug left join d on d.slug = n.slug left join m on m.slug = n.slug) """
+
+
+def assessed(spark, sf):
+    notes = view(spark, sf, "notes").withColumn("ts", T.slug_timestamp(F.col("slug")))
+    return ingest.assess(notes, view(spark, sf, "episodes"))
+
+
+@query("T1 J10 W4 A23 D1 D5 D20 P3 P6", ASSESSED + "select slug, disposition, upgrade_uuid from assessed")
+def ingest_assess(spark, sf):
+    """What each note needs: nothing, a retry, a new reading or a first one."""
+    return assessed(spark, sf).select("slug", "disposition", "upgrade_uuid")
+
+
+@query("A4 A5 U1", ASSESSED + """select count(*) as notes, count(*) filter (disposition = 'done') as done, count(*) filter (disposition = 'partial') as partial, count(*) filter (disposition = 'changed') as changed,
+count(*) filter (disposition = 'missing') as missing, count(*) filter (disposition <> 'done') as pending, (select count(*) from episodes) as episodes, (select count(*) from episodes where complete) as completed, (select coalesce(max(completed_at), 'none') from episodes) as watermark from assessed""")
+def ingest_rollup(spark, sf):
+    return ingest.rollup(assessed(spark, sf), view(spark, sf, "episodes"))
+
+
+@query("W2 O8 T4", ASSESSED + f"select slug, disposition from assessed where disposition <> 'done' order by {TS.format('slug')}, slug limit 15")
+def ingest_batch(spark, sf):
+    """The next batch: the oldest 15 pending notes."""
+    return ingest.oldest(ingest.pending(assessed(spark, sf)), ingest.BATCH).select("slug", "disposition")
+
+
+@query("T2 S16", ASSESSED + f"""
+, chosen as (select * from assessed where upgrade_uuid is not null order by {TS.format('slug')}, slug limit 25)
+select e.uuid, case when c.slug is not null then true else e.complete end as complete, case when c.slug is not null then sha256(n.body) else e.content_hash end as content_hash, case when c.slug is not null then coalesce(e.completed_at, '2024-06-01') else e.completed_at end as completed_at
+from episodes e left join chosen c on c.upgrade_uuid = e.uuid left join notes n on n.slug = c.slug""")
+def ingest_upgrade(spark, sf):
+    done = ingest.upgrade_episodes(view(spark, sf, "episodes"), ingest.upgrades(assessed(spark, sf)).select("slug", "upgrade_uuid"), view(spark, sf, "notes"), F.lit("2024-06-01"))
+    return done.select("uuid", "complete", "content_hash", "completed_at")
+
+
+@query("S17 T3 G7", cte("episodes", "notes") + "select count(*) as episodes, count(distinct slug) as slugs from episodes where slug not in (select slug from notes where doc_id % 3 = 0)")
+def ingest_remove_episodes(spark, sf):
+    """Episodes of every third note go, with their mentions and the facts that only they carried."""
+    e = view(spark, sf, "episodes")
+    mentions = e.select(F.col("uuid").alias("episode_uuid"), F.lit("x").alias("entity_uuid"))
+    facts = e.select(F.concat(F.lit("f"), "uuid").alias("uuid"), F.array("uuid").alias("episodes"))
+    kept, _, _ = ingest.remove_episodes(e, mentions, facts, view(spark, sf, "notes").where("doc_id % 3 = 0"))
+    return kept.agg(F.count("*").alias("episodes"), F.countDistinct("slug").alias("slugs"))
+
+
+@query("J1", cte("episodes") + "select e.uuid, coalesce(m.n, 0) as mention_count from episodes e left join (select concat('e', l_orderkey, '-1') as uuid, count(*) as n from lineitem group by 1) m on m.uuid = e.uuid")
+def ingest_mention_counts(spark, sf):
+    mentions = table(spark, sf, "lineitem").select(F.concat(F.lit("e"), "l_orderkey", F.lit("-1")).alias("episode_uuid"))
+    return ingest.with_mentions(view(spark, sf, "episodes").drop("mention_count"), mentions).select("uuid", "mention_count")
+
+
+@query("W8 T4 M11", """with i as (select o_custkey, o_orderkey as seq, o_orderstatus <> 'F' as ok, sum(case when o_orderstatus <> 'F' then 1 else 0 end) over (partition by o_custkey order by o_orderkey) as island from orders)
+, s as (select *, case when ok then 0 else sum(case when ok then 0 else 1 end) over (partition by o_custkey, island order by seq) end as streak from i)
+select o_custkey, seq, cast(streak as bigint) as streak, coalesce(max(case when streak >= 3 then 1 else 0 end) over (partition by o_custkey order by seq rows between unbounded preceding and 1 preceding), 0) = 1 as stopped from s""")
+def ingest_breaker(spark, sf):
+    runs = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") != "F").alias("ok"))
+    return ingest.breaker(runs, "o_custkey").select("o_custkey", "seq", F.col("streak").cast("long").alias("streak"), "stopped")
+
+
+@query("J12 M8", "select concat('n', o_orderkey) as slug, min_by(folder, ord) as folder from orders join (select c_custkey as k, concat('2024-', c_custkey, '-n', c_custkey) as folder, c_custkey as ord from customer) on k = o_custkey and ends_with(folder, concat('-n', o_orderkey)) group by 1")
+def ingest_retries(spark, sf):
+    """Notes that an earlier folder with the same payload holds already."""
+    notes = table(spark, sf, "orders").select(F.concat(F.lit("n"), "o_orderkey").alias("slug"), F.col("o_custkey").alias("capture_hash"))
+    seen = table(spark, sf, "customer").select(F.concat(F.lit("2024-"), "c_custkey", F.lit("-n"), "c_custkey").alias("folder"), F.col("c_custkey").alias("capture_hash"), F.col("c_custkey").alias("ord"))
+    return ingest.retries(notes, seen)
+
+
+def now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def queue(spark, sf):
+    return view(spark, sf, "queue").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("A1 S6 D14", cte("queue") + f"select queue, count(*) as count, cast(greatest(0, epoch(timestamp '{NOW}') - epoch(min(ts))) as bigint) as oldest_age_seconds from queue group by 1")
+def queue_summary(spark, sf):
+    return status.queue_summary(queue(spark, sf), now()).withColumn("oldest_age_seconds", F.col("oldest_age_seconds").cast("long"))
+
+
+@query("A2 S7 U5", cte("queue") + "select slug, strftime(ts, '%Y-%m-%d') as day from queue where ts is not null order by ts desc, slug desc limit 1")
+def queue_newest(spark, sf):
+    q = queue(spark, sf)
+    return status.newest_note(q.where("queue = 'inbox'"), q.where("queue = 'deferred'"), q.where("queue = 'curated'")).select("slug", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
+@query("W12", cte("queue") + "select queue, slug, truncated from (select *, row_number() over (partition by queue order by ts nulls last, slug) as rn, count(*) over (partition by queue) > 20 as truncated from queue) where rn <= 20")
+def queue_listed(spark, sf):
+    return status.listed(queue(spark, sf), 20).select("queue", "slug", "truncated")
+
+
+INBOX = "concat('---', chr(10), 'captured: 2024-01-01', chr(10), case when doc_id % 3 = 0 then '' else concat('session: s', chr(10)) end, 'topic: t', chr(10), '---', chr(10), 'body')"
+PREPARED = """with pool as (select distinct folder from (select concat('f', doc_id) as folder from documents where doc_id % 3 <> 0 union all select concat('f', doc_id) from documents where doc_id % 7 = 0) where folder not in (select concat('f', doc_id) from documents where doc_id % 3 = 0))
+, prepared as (select folder, case when row_number() over (order by folder) <= 4 then 'live' else 'held' end as state from pool union all select concat('f', doc_id), 'blocked' from documents where doc_id % 3 = 0) """
+
+
+def prepared(spark, sf):
+    docs = table(spark, sf, "documents")
+    inbox = docs.select(F.concat(F.lit("f"), "doc_id").alias("folder"), F.expr(INBOX).alias("content"))
+    return queues.prepare(inbox, docs.where("doc_id % 7 = 0").select(F.concat(F.lit("f"), "doc_id").alias("folder")))
+
+
+@query("B1 W3 U2 P15", PREPARED + "select folder, state from prepared")
+def queue_prepare(spark, sf):
+    return prepared(spark, sf)
+
+
+@query("B1", PREPARED + "select concat('pool=', count(*) filter (state <> 'blocked'), ' live=', count(*) filter (state = 'live'), ' held=', count(*) filter (state = 'held'), ' blocked=', count(*) filter (state = 'blocked'), ' cap=4') as line from prepared")
+def queue_counts(spark, sf):
+    return queues.counts_line(prepared(spark, sf))
+
+
+@query("B2 D15 P22", """select concat('2024-01-01-000000-n', o_orderkey) as slug, case when o_orderkey % 5 = 4 then 'invalid-reason' when o_custkey is null or o_orderkey % 2 = 1 then 'blocked' when o_orderkey % 5 = 0 then 'already-blocked' else 'conflict' end as result from orders""")
+def queue_receipts(spark, sf):
+    reason = F.element_at(F.array(*map(F.lit, (*T.BLOCK_REASONS[:4], "because"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    slug = F.concat(F.lit("2024-01-01-000000-n"), "o_orderkey").alias("slug")
+    o = table(spark, sf, "orders")
+    return queues.receipts(o.select(slug, reason.alias("reason")), o.where("o_orderkey % 2 = 0").select(slug, F.lit(T.BLOCK_REASONS[0]).alias("reason")))
+
+
+@query("J18 W7 B3", cte("log_lines") + """
+, s as (select *, coalesce(last_value(case when starts_with(line, '## [') then regexp_matches(line, '^## \\[[^\\]]*\\] (auto-)?ingest \\|') end ignore nulls) over (partition by file order by line_no rows between unbounded preceding and current row), false) as on_ from log_lines)
+, w as (select distinct unnest(regexp_extract_all(line, '[A-Za-z0-9_-]+')) as slug from s where on_)
+select concat('note-', range) as slug from range(400) where concat('note-', range) in (select slug from w)""")
+def queue_already_ingested(spark, sf):
+    return queues.already_ingested(view(spark, sf, "log_lines"), spark.range(400).select(F.concat(F.lit("note-"), "id").alias("slug")))
+
+
+RUNS = "select user_id as session, event_id as seq, epoch(ts) as ts, case event_type when 'click' then 'tool_start' when 'view' then 'tool_end' when 'purchase' then 'turn_start' when 'signup' then 'auto_retry' else 'compaction' end as kind, event_id % 3 as call_id, event_id % 100 as tokens, value as cost, case when event_id % 17 = 0 then 'Boom' else '' end as error from events"
+
+
+def runs(spark, sf):
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), (F.col("event_id") % 3).alias("call_id"), (F.col("event_id") % 100).alias("tokens"), F.col("value").alias("cost"),
+        F.expr("case event_type when 'click' then 'tool_start' when 'view' then 'tool_end' when 'purchase' then 'turn_start' when 'signup' then 'auto_retry' else 'compaction' end").alias("kind"),
+        F.when(F.col("event_id") % 17 == 0, "Boom").otherwise("").alias("error"),
+    ).withColumn("ts", F.col("micros") / 1e6)
+
+
+@query("W10 S21 D22", f"with r as ({RUNS}), p as (select *, lead(kind) over w as nk, lead(ts) over w as nt from r where kind in ('tool_start', 'tool_end') window w as (partition by session, call_id order by seq)) select session, seq, call_id, case when nk = 'tool_end' then round(nt - ts) end as seconds from p where kind = 'tool_start'")
+def runs_tool_pairs(spark, sf):
+    r = runs(spark, sf)
+    pairs = queues.tool_runs(r).withColumnRenamed("started", "ts")
+    return pairs.join(r.where("kind = 'tool_start'").select("session", "call_id", "ts", "seq"), ["session", "call_id", "ts"]).select("session", "seq", "call_id", F.round("seconds").alias("seconds"))
+
+
+@query("A19", f"""with r as ({RUNS}) select session, sum(tokens) as tokens, round(sum(cost), 4) as cost, count(*) filter (kind = 'turn_start') as turns, count(*) filter (kind = 'tool_start') as tools, count(*) filter (kind = 'auto_retry') as retries,
+count(*) filter (kind = 'compaction') as compactions, count(*) filter (error <> '') as errors, arg_max(kind, seq) as last_kind from r group by 1""")
+def runs_totals(spark, sf):
+    return queues.run_totals(runs(spark, sf)).withColumn("cost", F.round("cost", 4))
