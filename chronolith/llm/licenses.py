@@ -97,8 +97,13 @@ class Scanner:
         for n, windows in self.candidates(text).items():
             notice, _, label = self.notices[n]
             for a, b in windows:
-                for m in self.patterns[n].finditer(text, a, b):
-                    out.add(Span(label, notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+                # the pattern gives the best match of a stretch, not the first: what stands before and behind it is left
+                stretches = [(a, b)]
+                while stretches:
+                    a, b = stretches.pop()
+                    if a < b and (m := self.patterns[n].search(text, a, b)):
+                        out.add(Span(label, notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        stretches += [(a, m.start() - 1), (m.end() + 1, b)]
         return sorted(out, key=lambda s: (s.start, s.end, s.notice))
 
     def exact(self, joined: bytes) -> list[tuple[int, str]]:

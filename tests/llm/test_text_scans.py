@@ -83,6 +83,44 @@ def test_seeds_miss_no_fuzzy_match():
     assert regex.__name__ == "regex"
 
 
+def test_notices_close_together_against_edit_distances():
+    """Of all stretches of whole words within the edits the best go first; each other that overlaps none is a span too."""
+
+    def edits_of(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def brute(text, notice, edits):
+        starts = [0, *[i + 1 for i, c in enumerate(text) if c == " "]]
+        ends = [*[i for i, c in enumerate(text) if c == " "], len(text)]
+        near = [(a, b) for a in starts for b in ends if abs(b - a - len(notice)) <= edits]
+        found = sorted((d, a, b) for a, b in near if (d := edits_of(text[a:b], notice)) <= edits)
+        out = []
+        for d, a, b in found:
+            if all(b <= c or e <= a for c, e, _ in out):
+                out.append((a, b, d))
+        return sorted(out)
+
+    texts = [
+        "mit licence mit license",
+        "mit license mit licence",
+        "mit licence mit licens mit license and mit licence",
+        "bsd licence mit licence apache licence bsd license mit license apache license bsd licens",
+        "all right reserved all rights reserved all rigths reserved all rights reservd",
+        "mozila public license mozilla public license mozilla public licence gnu generl public license gnu general public license",
+        "gnu general public licence gnu general public license gnu lesser general public licence gnu lesser general public license",
+    ]
+    scanner = licenses.Scanner()
+    for text in texts:
+        for notice, edits, _ in licenses.NOTICES:
+            got = [(s.start, s.end, s.edits) for s in scanner.spans(text) if s.notice == notice]
+            assert got == brute(text, notice, edits), (text, notice)
+
+
 def plain_tiles(a, b, least):
     """Greedy string tiling as it is defined: longest first, by comparing all places."""
     free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
