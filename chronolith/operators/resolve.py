@@ -23,18 +23,15 @@ def same_key(entities: DataFrame) -> DataFrame:
 def generic_names(entities: DataFrame) -> DataFrame:
     """(shorter, longer) of names where the longer one adds generic words only.
 
-    A longer name starts or ends with the shorter; as only listed words are added, all names it can equal are found by
-    cutting those words off its ends: each name explodes into its few cut forms, which meet the names by equality."""
+    A longer name starts or ends with the shorter and has at most LENGTH_DIFFERENCE characters more: each name explodes
+    into its prefixes and suffixes shorter by so many, which meet the names by equality, and the rule verifies."""
     names = entities.select(F.lower("name").alias("low"), "name").groupBy("low").agg(F.min("name").alias("name"))
-    word = "|".join(sorted(T.GENERIC_TOKENS))
-    forms = [F.col("low")]
-    cuts = []
-    for _ in range(3):
-        forms = [F.regexp_replace(f, p, "") for f in forms for p in (rf"[^a-z0-9]*({word})[^a-z0-9]*$", rf"^[^a-z0-9]*({word})[^a-z0-9]*")]
-        cuts += forms
-    # a word may also stand against the name without a break
-    rows = names.select(F.col("name").alias("longer"), "low", F.explode(F.array_distinct(F.array(*cuts))).alias("form"))
-    pairs = rows.where("form <> low and form <> ''").join(names.select(F.col("low").alias("form"), F.col("name").alias("shorter")), "form")
+    # lower case can be longer than the name
+    most = F.least(F.length("low") - 1, LENGTH_DIFFERENCE + F.greatest(F.length("low") - F.length("name"), F.lit(0)))
+    cuts = names.where(F.length("low") > 1).select("low", "name", F.explode(F.sequence(F.lit(1), most)).alias("cut"))
+    ends = F.array(F.substr("low", F.lit(1), F.length("low") - F.col("cut")), F.substr("low", F.col("cut") + 1))
+    rows = cuts.select(F.col("name").alias("longer"), F.explode(F.array_distinct(ends)).alias("form"))
+    pairs = rows.join(names.select(F.col("low").alias("form"), F.col("name").alias("shorter")), "form")
     near = F.length("longer") - F.length("shorter") <= LENGTH_DIFFERENCE
     return pairs.where(near & T.generic_remainder(F.col("shorter"), F.col("longer"))).select("shorter", "longer").distinct()
 

@@ -220,3 +220,10 @@ def test_hashing_embedder_is_unit_and_stable(spark):
     a, b, none = (r.v for r in df.collect())
     assert a == b and abs(sum(x * x for x in a) - 1) < 1e-6 and not any(none)
     assert abs(value(spark, search.dot(search.unit(F.array(F.lit(3.0), F.lit(4.0))), F.array(F.lit(0.6), F.lit(0.8)))) - 1) < 1e-9
+
+
+def test_generic_names_meet_names_that_end_in_other_characters(spark):
+    names = ["C++", "C++ service", "Acme Inc.", "Acme Inc. server", "Gateway (EU)", "the Gateway (EU)", "東京", "東京 cluster", "k3s", "k3s-cluster app", "k3s one", "x", "x service cluster"]
+    df = spark.createDataFrame([(str(n), name, "") for n, name in enumerate(names)], "uuid string, name string, summary string")
+    want = {("C++", "C++ service"), ("Acme Inc.", "Acme Inc. server"), ("Gateway (EU)", "the Gateway (EU)"), ("東京", "東京 cluster"), ("k3s", "k3s-cluster app")}
+    assert {(r.shorter, r.longer) for r in resolve.generic_names(df).collect()} == want
