@@ -23,125 +23,154 @@ from .common import byte_column
 UNIT = 64
 
 
-def wav(d: memoryview) -> int:
-    """Length of the RIFF/WAVE file at the start of d, 0 if there is none. One fmt chunk must come before data."""
-    if len(d) < 44 or d[:4] != b"RIFF" or d[8:12] != b"WAVE":
+Memo = dict
+
+
+def follow(step: Callable, state: tuple, memo: Memo) -> tuple[int, int]:
+    """(end, flags) of the structure that starts in a state: step gives the next state, or the end (0: broken), and a
+    flag. States lie further and further behind, and each is stepped through once for a whole file, so that many starts
+    that lead into the same structure cost its length once."""
+    path = []
+    while state not in memo:
+        after, flag = step(state)
+        path.append((state, flag))
+        if isinstance(after, int):
+            end, flags = after, 0
+            break
+        state = after
+    else:
+        end, flags = memo[state]
+    for s, flag in reversed(path):
+        flags |= flag
+        memo[s] = end, flags
+    return end, flags
+
+
+def wav(d: bytes, at: int, memo: Memo) -> int:
+    """Length of the RIFF/WAVE file at a place, 0 if there is none. A fmt chunk must come before data."""
+    if len(d) < at + 44 or d[at : at + 4] != b"RIFF" or d[at + 8 : at + 12] != b"WAVE":
         return 0
-    end, at, known = 8 + struct.unpack_from("<I", d, 4)[0], 12, False
-    if end > len(d):
-        return 0
-    while at + 8 <= end:
-        kind, size = bytes(d[at : at + 4]), struct.unpack_from("<I", d, at + 4)[0]
-        if at + 8 + size > end:
-            return 0
-        if kind == b"fmt ":
-            known = size >= 16
-        elif kind == b"data":
-            return end if known else 0
-        at += 8 + size + size % 2
-    return 0
-
-
-def wav_samples(d: memoryview) -> memoryview:
+
+    def step(state):
+        p = state[1]
+        if p + 8 > len(d):
+            return 0, 0
+        kind, size = d[p : p + 4], struct.unpack_from("<I", d, p + 4)[0]
+        if kind == b"data":
+            return p + 8 + size, 0
+        return ("chunk", p + 8 + size + size % 2), int(kind == b"fmt " and size >= 16)
+
+    end = at + 8 + struct.unpack_from("<I", d, at + 4)[0]
+    last, fmt = follow(step, ("chunk", at + 12), memo)
+    return end - at if fmt and last and last <= end <= len(d) else 0
+
+
+def wav_samples(d: bytes) -> memoryview:
     """The data chunk of a valid file."""
     at = 12
-    while bytes(d[at : at + 4]) != b"data":
+    while d[at : at + 4] != b"data":
         at += 8 + (n := struct.unpack_from("<I", d, at + 4)[0]) + n % 2
-    return d[at + 8 : at + 8 + struct.unpack_from("<I", d, at + 4)[0]]
-
-
-def png(d: memoryview) -> int:
-    at = 8
-    while at + 12 <= len(d):
-        size, kind = struct.unpack_from(">I", d, at)[0], bytes(d[at + 4 : at + 8])
-        end = at + 12 + size
-        if end > len(d) or at == 8 and (kind != b"IHDR" or size != 13):
-            return 0
-        if zlib.crc32(d[at + 4 : end - 4]) != struct.unpack_from(">I", d, end - 4)[0]:
-            return 0
-        if kind == b"IEND":
-            return end
-        at = end
-    return 0
-
-
-def gif(d: memoryview) -> int:
-    if len(d) < 14:
+    return memoryview(d)[at + 8 : at + 8 + struct.unpack_from("<I", d, at + 4)[0]]
+
+
+def png(d: bytes, at: int, memo: Memo) -> int:
+    if d[at + 8 : at + 16] != b"\0\0\0\x0dIHDR":
         return 0
-    at, images = 13 + (3 << (d[10] & 7) + 1 if d[10] & 0x80 else 0), 0
-    while at < len(d):
-        kind = d[at]
-        if kind == 0x3B:
-            return at + 1 if images else 0
-        if kind == 0x21:
-            at += 2
-        elif kind == 0x2C and at + 10 < len(d):
-            images += 1
-            at += 11 + (3 << (d[at + 9] & 7) + 1 if d[at + 9] & 0x80 else 0)
-        else:
-            return 0
-        while at < len(d) and d[at]:
-            at += d[at] + 1
-        at += 1
-    return 0
-
-
-def jpeg(d: memoryview) -> int:
-    at, scanned = 2, False
-    while at + 4 <= len(d):
-        if d[at] != 0xFF:
-            return 0
-        kind, size = d[at + 1], struct.unpack_from(">H", d, at + 2)[0]
-        if not 0xC0 <= kind <= 0xFE or kind in (0xD8, 0xD9) or size < 2:
-            return 0
-        at += 2 + size
-        if kind == 0xDA:
-            scanned = True
-            rest = bytes(d[at:])
-            step = 0
-            while (step := rest.find(b"\xff", step)) >= 0 and step + 1 < len(rest) and (rest[step + 1] == 0 or 0xD0 <= rest[step + 1] <= 0xD7):
-                step += 2
-            if step < 0 or step + 1 >= len(rest):
-                return 0
-            at += step
-            if rest[step + 1] == 0xD9:
-                return at + 2
-    return 0 if not scanned else 0
-
-
-def bmp(d: memoryview) -> int:
-    if len(d) < 54:
+
+    def step(state):
+        p = state[1]
+        if p + 12 > len(d):
+            return 0, 0
+        end = p + 12 + struct.unpack_from(">I", d, p)[0]
+        if end > len(d) or zlib.crc32(memoryview(d)[p + 4 : end - 4]) != struct.unpack_from(">I", d, end - 4)[0]:
+            return 0, 0
+        return (end if d[p + 4 : p + 8] == b"IEND" else ("chunk", end)), 0
+
+    end = follow(step, ("chunk", at + 8), memo)[0]
+    return end - at if end else 0
+
+
+def gif(d: bytes, at: int, memo: Memo) -> int:
+    if len(d) < at + 14:
         return 0
-    size, zero, start, header = struct.unpack_from("<IIII", d, 2)
-    planes, depth = struct.unpack_from("<HH", d, 26)
-    fits = 54 <= start <= size <= len(d) and not zero and header in (40, 108, 124) and planes == 1
+
+    def step(state):
+        kind, p = state
+        if p >= len(d):
+            return 0, 0
+        if kind == "parts":
+            return ("parts" if d[p] else "block", p + d[p] + 1), 0
+        if d[p] == 0x3B:
+            return p + 1, 0
+        if d[p] == 0x21:
+            return ("parts", p + 2), 0
+        if d[p] == 0x2C and p + 10 < len(d):
+            return ("parts", p + 11 + (3 << (d[p + 9] & 7) + 1 if d[p + 9] & 0x80 else 0)), 1
+        return 0, 0
+
+    end, image = follow(step, ("block", at + 13 + (3 << (d[at + 10] & 7) + 1 if d[at + 10] & 0x80 else 0)), memo)
+    return end - at if end and image else 0
+
+
+def jpeg(d: bytes, at: int, memo: Memo) -> int:
+    def step(state):
+        kind, p = state
+        if kind == "scan":
+            p = d.find(b"\xff", p)
+            if p < 0 or p + 1 >= len(d):
+                return 0, 0
+            if d[p + 1] == 0 or 0xD0 <= d[p + 1] <= 0xD7:
+                return ("scan", p + 2), 0
+            return (p + 2, 0) if d[p + 1] == 0xD9 else (("marker", p), 0)
+        if p + 4 > len(d) or d[p] != 0xFF:
+            return 0, 0
+        mark, size = d[p + 1], struct.unpack_from(">H", d, p + 2)[0]
+        if not 0xC0 <= mark <= 0xFE or mark in (0xD8, 0xD9) or size < 2:
+            return 0, 0
+        return ("scan" if mark == 0xDA else "marker", p + 2 + size), 0
+
+    end = follow(step, ("marker", at + 2), memo)[0]
+    return end - at if end else 0
+
+
+def bmp(d: bytes, at: int, memo: Memo) -> int:
+    if len(d) < at + 54:
+        return 0
+    size, zero, start, header = struct.unpack_from("<IIII", d, at + 2)
+    planes, depth = struct.unpack_from("<HH", d, at + 26)
+    fits = 54 <= start <= size <= len(d) - at and not zero and header in (40, 108, 124) and planes == 1
     return size if fits and depth in (1, 4, 8, 16, 24, 32) else 0
 
 
-def gzipped(d: memoryview) -> int:
-    if len(d) < 18 or d[3] & 0xE0:
+def gzipped(d: bytes, at: int, memo: Memo) -> int:
+    """A member inside a confirmed member is its data, and is not looked for."""
+    if len(d) < at + 18 or d[at + 3] & 0xE0 or at < memo.get("end", 0):
         return 0
-    unzip = zlib.decompressobj(31)
-    rest = bytes(d)
+    unzip, p = zlib.decompressobj(31), at
     try:
-        while rest and not unzip.eof:
-            unzip.decompress(rest, 1 << 20)
-            rest = unzip.unconsumed_tail or (unzip.unused_data if unzip.eof else b"")
-            if unzip.eof:
-                break
+        while p < len(d) and not unzip.eof:
+            part = d[p : p + (1 << 16)]
+            p += len(part)
+            while part and not unzip.eof:
+                unzip.decompress(part, 1 << 20)
+                part = unzip.unconsumed_tail
     except zlib.error:
         return 0
-    return len(d) - len(unzip.unused_data) if unzip.eof else 0
+    if not unzip.eof:
+        return 0
+    memo["end"] = p - len(unzip.unused_data)
+    return memo["end"] - at
 
 
-def pdf(d: memoryview) -> int:
-    whole = bytes(d)
-    end = whole.find(b"%%EOF")
-    return end + 5 if len(whole) > 8 and whole[5:6].isdigit() and 0 < whole.find(b"startxref") < end else 0
+def pdf(d: bytes, at: int, memo: Memo) -> int:
+    """Up to the last end mark before the next header: an updated file has several."""
+    stop = d.find(b"%PDF-", at + 5)
+    end = d.rfind(b"%%EOF", at, stop if stop >= 0 else len(d))
+    return end + 5 - at if d[at + 5 : at + 6].isdigit() and end > 0 and d.find(b"startxref", at, end) > 0 else 0
 
 
 #: Magic bytes, media type and validator of each format.
-FORMATS: list[tuple[bytes, str, Callable[[memoryview], int]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[bytes, int, Memo], int]]] = [
     (b"RIFF", "audio/wav", wav),
     (b"\x89PNG\r\n\x1a\n", "image/png", png),
     (b"GIF87a", "image/gif", gif),
@@ -164,15 +193,11 @@ def automaton() -> ahocorasick.Automaton:
 def sniff(data: bytes, find: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """Confirmed (type, offset, length), by offset. Formats inside another confirmed one are found as well, unless
     they are the same kind of file at the same offset."""
-    view, out = memoryview(data), []
+    memos, out = [{} for _ in FORMATS], []
     for last, (n, size) in find.iter(data.decode("latin-1")):
         _, kind, check = FORMATS[n]
         at = last - size + 1
-        try:
-            length = check(view[at:])
-        except struct.error:
-            length = 0
-        if length:
+        if length := check(data, at, memos[n]):
             out.append((kind, at, length))
     return sorted(out, key=lambda x: (x[1], -x[2], x[0]))
 
@@ -211,7 +236,8 @@ def inspect(media: DataFrame, id_col: str, media_col: str, declared_col: str, ke
     corrected, media_bytes, media_sha256, payload (of audio/wav: the samples; else null) as payload_bytes,
     payload_sha256, tail_crc32, feature, and carved array<struct<type, offset, length>>; then the columns in keep.
 
-    Null and empty media have no type and nothing carved; repeated rows give repeated results; other columns are
+    Null and empty media have no type and nothing carved; long media are read whole, in time that grows with them; of
+    several formats at one offset the longest comes first; repeated rows give repeated results; other columns are
     ignored; an empty table gives no row."""
     carved_type = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
     names = ["id", "declared_type", "media_type", "corrected", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "carved"]
@@ -224,7 +250,7 @@ def inspect(media: DataFrame, id_col: str, media_col: str, declared_col: str, ke
         row = [declared, kind, kind is not None and kind != declared, len(data), hashlib.sha256(data).hexdigest()]
         if kind != "audio/wav":
             return (*row, None, None, None, None, carved)
-        samples = wav_samples(memoryview(data))
+        samples = wav_samples(data)
         return (*row, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), feature(np.frombuffer(samples, np.uint8)) if len(samples) else "n=0", carved)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
