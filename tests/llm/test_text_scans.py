@@ -77,7 +77,7 @@ def test_seeds_miss_no_fuzzy_match():
     scanner = licenses.Scanner()
     base = "some words redistribution and use in source and binry forms wth or without modifcation are permited and all right reserved by nobody mozila public licence"
     for n, (notice, edits, _) in enumerate(licenses.NOTICES):
-        whole = [m.span() for m in scanner.patterns[n].finditer(base)]
+        whole = [(m.start() - 1, m.end() - 1) for m in scanner.patterns[n].finditer(f" {base} ")]
         near = [(s.start, s.end) for s in scanner.spans(base) if s.notice == notice]
         assert len(whole) == len(near) and all(abs(a - c) <= edits for (a, _), (c, _) in zip(whole, near)), notice
     assert regex.__name__ == "regex"
@@ -139,6 +139,74 @@ def plain_tiles(a, b, least):
         covered += n
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_tiles_equal_greedy_tiling(seed):
+    import random
+
+    rng = random.Random(seed)
+    kinds = rng.choice([2, 3, 8])
+    a, b = [rng.randrange(kinds) for _ in range(rng.randrange(1, 30))], [rng.randrange(kinds) for _ in range(rng.randrange(1, 40))]
+    least = rng.choice([1, 2, 3, 5])
+    assert sum(t[2] for t in decontam.tile(a, b, least)) == plain_tiles(a, b, least)
+
+
+def test_leak_query_equals_greedy_tiling_of_every_pair(spark, tmp_path):
+    """The whole query on a small fixture against tiling each document with each item, no seeds and no hashes."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(40)]
+    items = [(n, " ".join(rng.choice(words) for _ in range(rng.choice([3, 6, 14, 30])))) for n in range(12)] + [(12, None), (13, "")]
+    docs = []
+    for n in range(40):
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12)))]
+        for _ in range(rng.randrange(3)):
+            cut = items[rng.randrange(12)][1].split()
+            at = rng.randrange(len(cut))
+            parts += [" ".join(cut[at:]), rng.choice(["", "x y", "z"]), " ".join(cut[:at])]
+        docs.append((n, " ".join(parts) if n else None))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): (r.item_tokens, r.covered_tokens) for r in QUERIES["op1_benchmark_decontamination"](spark, str(tmp_path)).collect()}
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = decontam.tokens(item), decontam.tokens(text)
+            covered = plain_tiles(a, b, min(decontam.LEAST, len(a))) if a and b else 0
+            if covered and covered >= decontam.COVERAGE * len(a):
+                want[d, i] = (len(a), covered)
+    assert got == want and len(want) > 15
+
+
+def seconds(call):
+    import time
+
+    start = time.monotonic()
+    call()
+    return time.monotonic() - start
+
+
+def test_long_hostile_texts_take_linear_time():
+    """A megabyte of one token, magic or phrase."""
+    scanner, find = licenses.Scanner(), media.automaton()
+    for phrase in ("license ", "mit licens mit license ", "gnu general public license "):
+        text = (phrase * (1_000_000 // len(phrase))).strip()
+        assert seconds(lambda text=text: (scanner.spans(text), scanner.exact(text.encode()))) < 60
+    for magic in (b"%PDF-1 ", b"\x1f\x8b\x08\x00aaaaaa", b"\xff\xd8\xff\xda\x00\x02", b"GIF89a" + bytes(7) + b"\x21\x01", PNG[:16]):
+        assert seconds(lambda magic=magic: media.sniff(magic * (1_000_000 // len(magic)), find)) < 60
+    for words in (["x"], ["x", "y"]):
+        bench = decontam.Benchmark([(1, " ".join((words * 60)[:60]), 1)], decontam.LEAST)
+        text = " ".join(words * (250_000 // len(words)))
+        assert seconds(lambda bench=bench, text=text: bench.compare(text, 0.5)) < 60
+        assert bench.compare(text, 0.5)[0][2] == 60
+
+
+def test_updated_pdf_and_ties_of_formats():
+    updated = PDF + b"\n5 0 obj\nstartxref\n20\n%%EOF"
+    data = updated + b"tail" + PDF + JPEG
+    assert media.sniff(data, media.automaton()) == [("application/pdf", 0, len(updated)), ("application/pdf", len(updated) + 4, len(PDF)), ("image/jpeg", len(updated) + 4 + len(PDF), len(JPEG))]
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_running_karp_rabin_tiles(seed):
     import random
