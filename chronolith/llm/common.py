@@ -14,19 +14,22 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir or the context's checkpoint folder. Only a local
+    master, whose executors are this process, may do without: it gets a folder of its own."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        set_dir = sc.getCheckpointDir()
     return set_dir
 
 
 class Scratch:
-    """Tables written below the shared folder. A written table cuts lineage and outlives lost executors."""
+    """Tables written below the shared folder. A written table cuts lineage and outlives lost executors. What a returned
+    DataFrame still reads stays; everything else is dropped as soon as no later step reads it."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -38,13 +41,24 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that no later plan reads, and lets Spark clean shuffles nobody holds any more."""
-        if path := self.paths.pop(name, None):
-            jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    def delete(self, path: str) -> None:
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later plan reads."""
+        for name in names:
+            if path := self.paths.pop(name, None):
+                self.delete(path)
+
+    def clear(self) -> None:
+        """Deletes all of it, once results are on the driver or written elsewhere."""
+        self.delete(self.base)
+        self.paths.clear()
 
     def release(self) -> None:
+        """Shuffle files of plans that nobody holds any more are deleted by Spark's cleaner, which the JVM's collector
+        wakes up."""
         self.spark._jvm.System.gc()
 
 

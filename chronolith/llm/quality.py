@@ -2,7 +2,7 @@
 
 Each indicator is scaled by its class log-count ratio, a linear hinge-loss model is fitted by dual coordinate
 descent, and margins are mapped to probabilities by a sigmoid fitted on out-of-fold margins. The fit reads a bounded
-sample of labelled rows (max_examples, the first by a hash of the id); scoring covers every whole text.
+sample of labelled rows (max_examples, max_bytes, the first by a hash of the id); scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -17,34 +17,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, byte_column, pack, unpack
+from .common import Scratch, Shared, byte_column, pack, unpack
 
 BITS = 17
-MAX_EXAMPLES = 6000
+MAX_EXAMPLES, MAX_BYTES = 6000, 64_000_000
+CHUNK = 1 << 20
 
 
 class Grams:
-    """N-gram indicators of a text: its byte n-grams, blanks added at both ends and hashed, and whether it has word
-    n-grams of one word repeated (any word, for each n of REPEATS; the last numbers of the range are theirs)."""
+    """N-gram indicators of a text, hashed: its byte n-grams, blanks added at both ends; and the n-grams (n of RUNS) of
+    a second view, which writes for each word behind the first whether it equals the word before it. Indicators that
+    meet in one slot share it; none is overwritten."""
 
-    REPEATS = (2, 3, 5, 9)
+    RUNS = (2, 4, 8)
 
     def __init__(self, n: int = 3):
         self.n, self.flags = n, np.zeros(1 << BITS, dtype=bool)
 
-    def of(self, data: bytes) -> np.ndarray:
-        b = np.frombuffer(b" " + data + b" " * (self.n - 1), dtype=np.uint8).astype(np.uint32)
-        h = b[: len(b) - self.n + 1].copy()
-        for k in range(1, self.n):
+    @staticmethod
+    def hashes(symbols: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
+        """The slot of each n-gram of symbols."""
+        h = symbols[: len(symbols) - n + 1] + np.uint32(salt)
+        for k in range(1, n):
             h *= np.uint32(0x9E3779B1)
-            h ^= b[k : len(b) - self.n + 1 + k]
+            h ^= symbols[k : len(symbols) - n + 1 + k]
+        if salt:
+            h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
         h >>= np.uint32(32 - BITS)
-        self.flags[h] = True
+        return h
+
+    def of(self, data: bytes) -> np.ndarray:
+        symbols = np.frombuffer(b" " + data + b" " * (self.n - 1), dtype=np.uint8)
+        for at in range(0, len(symbols) - self.n + 1, CHUNK):  # long texts in pieces of bounded memory
+            self.flags[self.hashes(symbols[at : at + CHUNK + self.n - 1].astype(np.uint32), self.n)] = True
         words = data.split()
-        same = bytes(map(eq, words, words[1:]))
-        for k, times in enumerate(self.REPEATS):
-            self.flags[-1 - k] = b"\x01" * (times - 1) in same
+        same = np.frombuffer(bytes(map(eq, words, words[1:])), dtype=np.uint8).astype(np.uint32)
+        for n in self.RUNS:
+            if len(same) >= n:
+                self.flags[self.hashes(same, n, salt=0x10001 * n)] = True
         found = np.flatnonzero(self.flags)
         self.flags[found] = False
         return found
@@ -138,17 +149,26 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     return Model(*hinge(rows, y, log_count_ratio(rows, y)), slope, shift)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int) -> DataFrame:
-    """(id, text, y): at most max_examples labelled rows. A row without id, text row or label is no example; of
-    several labels of one id the largest counts."""
-    one = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    chosen = one.orderBy(F.xxhash64("id"), "id").limit(max_examples)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "id")  # max_examples bounds what is broadcast
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, scratch: Scratch, max_examples: int, max_bytes: int) -> DataFrame:
+    """(id, text, y), a written table: at most max_examples labelled rows, the first by a hash of the id, and of these
+    the first whose texts have at most max_bytes together. A row without id, text row or label is no example; of several
+    labels of one id the largest counts, of several texts the least."""
+    one = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
+    chosen = one.where("id is not null").orderBy(F.xxhash64("id"), "id").limit(max_examples)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # max_examples bounds what is broadcast
+    rows = scratch.table(found, "examples")
+    sizes = rows.select("id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("id"), "id").toArrow()  # max_examples rows
+    total = np.cumsum(sizes.column("size").to_numpy().astype(np.int64))
+    if not len(total) or total[-1] <= max_bytes:
+        return rows
+    kept = sizes.column("id").to_pylist()[: int(np.searchsorted(total, max_bytes, side="right"))]
+    return rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in kept], "id long")), "id")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_examples: int = MAX_EXAMPLES) -> Model:
-    """Fits on the bounded sample in one task, and brings the weights (2**17 numbers) to the driver."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_BYTES) -> Model:
+    """Fits on the bounded sample (max_examples rows of max_bytes of text) in one task, and brings the weights (2**17
+    numbers) to the driver."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Grams()
@@ -157,12 +177,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(x, pa.binary())], ["id", "y", "x"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
+        pdf = pdf.sort_values("id")
         m = fit([unpack(x, np.int32) for x in pdf.x], pdf.y.to_numpy())
         return pd.DataFrame({"w": [pack(m.weights)], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
 
-    rows = sample(docs, labels, id_col, text_col, label_col, max_examples).mapInArrow(grams, "id long, y int, x binary")
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = sample(docs, labels, id_col, text_col, label_col, scratch, max_examples, max_bytes).select("id", "y", "text").mapInArrow(grams, "id long, y int, x binary")
     got = rows.groupBy().applyInPandas(solve, "w binary, bias double, slope double, shift double").collect()
+    scratch.clear()
     if not got:
         return fit([], np.zeros(0))
     return Model(unpack(got[0].w, np.float64), got[0].bias, got[0].slope, got[0].shift)
