@@ -1,15 +1,20 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the byte 5-grams of the lower-cased text that the labelled sample shows to go with the label (chi-squared
-over a bounded, documented sample); their document frequencies come from all documents. The examples' vectors are
-kept in blocks; for each term and block the largest weight is known, so a query visits blocks by falling upper bound
-and stops once its k-th neighbour beats the next bound: the k nearest are exact. Votes are weighted by distance and
-mapped to probabilities by a sigmoid fitted on leave-one-out votes. A text without any term has similarity zero to
-all, and gets the smoothed share of toxic examples among such texts.
+Terms are words. A term weighs (1 + log tf) * idf * rf: idf = 1 + log((1 + n) / (1 + df)) counts all n documents, and the
+relevance frequency rf = log2(2 + a / max(1, c)) of Lan et al. (2009) counts the a and c examples of label 1 and 0 that
+have the term. No term of a text or an example is left out; one that no example has makes the text longer, with the idf of
+df 0 and an rf of 1.
+
+The index has a posting list for each term, cut in blocks of neighbouring examples with the largest weight of each block.
+A text adds up its terms' block maxima, scores the most promising blocks, and then all blocks whose bound reaches its k-th
+cosine so far: the k nearest are exact. Votes are weighted by distance and mapped to probabilities by a sigmoid fitted on
+the leave-one-out votes of all examples.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,192 +22,205 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Shared, byte_column
-from .quality import sample, sigmoid_fit
+from .common import Scratch, Shared, text_column
+from .quality import MAX_BYTES, MAX_EXAMPLES, sample, sigmoid_fit
 
-MAX_EXAMPLES = 6000
-MAX_TERMS = 1024
-LEAST_CHI2 = 12.0
-BLOCK = 64
-NEIGHBOURS = 15
+WORD = re.compile(r"\w+")
+BLOCK, FIRST = 64, 8
+NEIGHBOURS = 31
+PRIOR = 0.3  # votes at the base rate that every text has besides
 
 
-def codes(data: bytes) -> np.ndarray:
-    """The byte 5-grams of the lower-cased text, white space as a blank, as exact integers."""
-    lower = data.lower() if data.isascii() else data.decode("utf-8", "replace").lower().encode()
-    b = np.frombuffer(b" " + b" ".join(lower.split()) + b"    ", dtype=np.uint8).astype(np.uint64)
-    n = len(b) - 4
-    return b[:n] | b[1 : n + 1] << 8 | b[2 : n + 2] << 16 | b[3 : n + 3] << 24 | b[4 : n + 4] << 32
+def words(text: str) -> Counter:
+    return Counter(WORD.findall(text.lower()))
 
 
-class Terms:
-    """Finds vocabulary terms in texts: a small bitmap first, then the sorted vocabulary."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary, self.map = vocabulary, np.zeros(1 << 16, dtype=bool)
-        self.map[self.slot(vocabulary)] = True
-
-    @staticmethod
-    def slot(c: np.ndarray) -> np.ndarray:
-        return (c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-
-    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers ascending, their counts)"""
-        c = codes(data)
-        c = c[self.map[self.slot(c)]]
-        if not len(c) or not len(self.vocabulary):
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        at = np.minimum(np.searchsorted(self.vocabulary, c), len(self.vocabulary) - 1)
-        term, count = np.unique(at[self.vocabulary[at] == c], return_counts=True)
-        return term.astype(np.int32), count.astype(np.int32)
-
-
-def vocabulary(examples: DataFrame, max_terms: int = MAX_TERMS) -> np.ndarray:
-    """Sorted term codes whose presence goes with the label in examples(id, text, y)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = {0: [], 1: []}
-            for t, y in zip(byte_column(b, "text"), b.column("y").to_pylist()):
-                parts[int(y > 0)].append(np.unique(codes(t)))
-            for y, p in parts.items():
-                if p:
-                    c, n = np.unique(np.concatenate(p), return_counts=True)
-                    zero = np.zeros(len(c), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(n if y else zero), pa.array(zero if y else n)], ["code", "pos", "neg"])
-
-    total = examples.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
-    pos, neg = int(total.p), int(total.n - total.p)
-    if not pos or not neg:
-        return np.zeros(0, np.uint64)
-    sums = examples.mapInArrow(count, "code long, pos long, neg long").groupBy("code").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
-    chi2 = F.expr(f"{pos + neg} * pow(a * double({neg}) - b * double({pos}), 2) / (double({pos}) * {neg} * (a + b) * greatest({pos + neg} - a - b, 1))")
-    best = sums.where("a + b >= 3").withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "code").limit(max_terms)
-    return np.sort(np.array([r.code for r in best.select("code").collect()], dtype=np.int64).view(np.uint64))
-
-
-def term_counts(docs: DataFrame, id_col: str, text_col: str, terms: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, terms array<int>, counts array<int>) for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Terms(terms)
-        for b in batches:
-            found = [finder.of(t) for t in byte_column(b, "text")]
-            arrays = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(k) for k in keep), *arrays], ["id", *keep, "terms", "counts"])
-
-    extra = "".join(f", {k} int" for k in keep)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), *keep, F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id long{extra}, terms array<int>, counts array<int>")
+def expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[0], ..., start[0] + size[0] - 1, start[1], ..."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
 
 
 class Index:
-    """Block-max index of the examples' unit vectors."""
-
-    def __init__(self, ids: np.ndarray, y: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
-        self.idf = idf
-        unit = [self.weigh(t, c) for t, c in vectors]
-        some = [i for i, v in enumerate(vectors) if len(v[0])]
-        none = [i for i, v in enumerate(vectors) if not len(v[0])]
-        self.none = (float(sum(y[i] for i in none)) + 0.5) / (len(none) + 1) if none or some else 0.5
-        # examples with the same heaviest terms share blocks, which makes the bounds sharp
-        some.sort(key=lambda i: (tuple(vectors[i][0][np.argsort(-unit[i], kind="stable")[:3]].tolist()), ids[i]))
-        self.ids, self.y = ids[some], y[some]
-        self.blocks, bounds = [], []
-        for a in range(0, len(some), BLOCK):
-            part = some[a : a + BLOCK]
-            term = np.concatenate([vectors[i][0] for i in part])
-            weight = np.concatenate([unit[i] for i in part])
-            local = np.repeat(np.arange(len(part)), [len(vectors[i][0]) for i in part])
-            top = np.zeros(len(idf))
-            np.maximum.at(top, term, weight)
-            self.blocks.append((term, local, weight, a, len(part)))
-            bounds.append(top)
-        self.bounds = np.array(bounds).T.copy() if bounds else np.zeros((len(idf), 0))
+    """Posting lists of the examples' unit vectors by term, in blocks of BLOCK neighbouring examples.
+
+    vocabulary: the examples' distinct terms; rows: for each example its term numbers and counts; df: in how many of
+    the n documents each term is."""
+
+    def __init__(self, vocabulary: list[str], ids: np.ndarray, y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, n: int):
+        self.vocabulary = vocabulary
+        size = np.array([len(t) for t, _ in rows], dtype=np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)]).astype(np.int64)
+        count = np.concatenate([np.zeros(0), *(c for _, c in rows)])
+        own = np.repeat(np.arange(len(rows)), size)
+        a = np.bincount(term[y[own] > 0], minlength=len(vocabulary))
+        c = np.bincount(term[y[own] <= 0], minlength=len(vocabulary))
+        self.of_term = (1 + np.log((1 + n) / (1 + df))) * np.log2(2 + a / np.maximum(1, c))
+        self.of_other = 1 + np.log(1 + n)
+        weight = (1 + np.log(count)) * self.of_term[term]
+        norm = np.sqrt(np.bincount(own, weights=weight * weight, minlength=len(rows)))
+        weight /= norm[own]
+        # examples with the same most common terms (language, genre) are neighbours, which makes the bounds sharp
+        common = [tuple(t[np.argsort(-df[t], kind="stable")[:3]].tolist()) for t, _ in rows]
+        order = np.array(sorted(range(len(rows)), key=lambda i: (common[i], ids[i])), dtype=np.int64)
+        place = np.empty(len(rows), dtype=np.int64)
+        place[order] = np.arange(len(rows))
+        self.ids, self.y = ids[order], y[order].astype(np.float64)
+        at = np.lexsort((place[own], term))
+        self.example, self.weight = place[own][at], weight[at]
+        block = term[at] * (len(rows) // BLOCK + 1) + self.example // BLOCK
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(block), 1), bool), block[1:] != block[:-1])))
+        self.start = first
+        self.size = np.diff(np.append(first, len(block)))
+        self.block = self.example[first] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.blocks = len(rows) // BLOCK + 1
+        self.term_start = np.searchsorted(term[at][first], np.arange(len(vocabulary) + 1))
+        self.base = (self.y.sum() + 1) / (len(rows) + 2)
         self.slope, self.shift = 1.0, 0.0
 
-    def weigh(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(np.maximum(count, 1))) * self.idf[term]
-        return w / max(float(np.sqrt(w @ w)), 1e-12)
-
-    def nearest(self, term: np.ndarray, count: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, cosines) of the k nearest, nearest first, ties by position; only positive cosines count."""
-        if not len(term) or not self.blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        w = self.weigh(term, count)
-        q = np.zeros(len(self.idf))
-        q[term] = w
-        upper = w @ self.bounds[term]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-upper, kind="stable").tolist():
-            if upper[b] <= 0 or len(best) == k and best[-1] > upper[b] + 1e-12:
+    def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers, unit weights) of a text's known terms."""
+        get = self.number.get
+        at = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
+        w = 1 + np.log(np.fromiter(found.values(), np.float64, len(found)))
+        known = at >= 0
+        w *= np.where(known, self.of_term[at] if len(self.of_term) else 0.0, self.of_other)
+        w /= max(float(np.sqrt(w @ w)), 1e-12)
+        return at[known], w[known]
+
+    def prepare(self) -> Index:
+        """Call before use on a worker."""
+        self.number = {w: i for i, w in enumerate(self.vocabulary)}
+        return self
+
+    def nearest(self, found: Counter, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, cosines) of the k nearest, nearest first, ties by id; only positive cosines count."""
+        term, w = self.vector(found)
+        lists = self.term_start[term + 1] - self.term_start[term]
+        entry, w = expand(self.term_start[term], lists), np.repeat(w, lists)
+        block = self.block[entry]
+        bound = np.bincount(block, weights=w * self.most[entry], minlength=self.blocks)
+        at, cosine, done = np.zeros(0, np.int64), np.zeros(0), np.zeros(self.blocks, dtype=bool)
+        live = np.zeros(self.blocks, dtype=bool)
+        live[np.argpartition(-bound, FIRST)[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)] = True
+        while True:
+            live &= (bound > 0) & ~done
+            if not live.any():
                 break
-            t, local, weight, start, n = self.blocks[b]
-            s = np.bincount(local, weights=q[t] * weight, minlength=n)
-            on = np.flatnonzero(s > (best[-1] - 1e-12 if len(best) == k else 0))
-            at, s = on + start, s[on]
+            on = live[block]
+            size = self.size[entry[on]]
+            posting = expand(self.start[entry[on]], size)
+            score = np.bincount(self.example[posting], weights=self.weight[posting] * np.repeat(w[on], size), minlength=len(self.ids))
             if skip >= 0:
-                at, s = at[at != skip], s[at != skip]
-            if len(at):
-                best_at, best = np.concatenate((best_at, at)), np.concatenate((best, s))
-                order = np.lexsort((best_at, -np.round(best, 12)))[:k]
-                best_at, best = best_at[order], best[order]
-        return best_at, best
+                score[skip] = 0
+            new = np.flatnonzero(score)
+            at, cosine = np.concatenate((at, new)), np.concatenate((cosine, score[new]))
+            if len(at) > k:
+                best = np.argpartition(-cosine, k - 1)[:k]
+                best = np.flatnonzero(cosine >= cosine[best].min() - 1e-12)  # with all that tie with the last
+                at, cosine = at[best], cosine[best]
+            done |= live
+            live = bound >= (np.partition(cosine, -k)[-k] - 1e-9 if len(cosine) >= k else 0)
+        order = np.lexsort((self.ids[at], -np.round(cosine, 12)))[:k]
+        return at[order], cosine[order]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
-        """Log odds of the distance-weighted votes, with one vote shared by the base rates."""
+        """Log odds of the votes, each weighted by 1 / distance, and of PRIOR votes at the base rate."""
         w = 1 / (1.02 - np.minimum(cosine, 1.0))
-        yes = float(w @ self.y[at]) + 0.2
-        no = float(w @ (1 - self.y[at])) + 0.8
+        yes = float(w @ self.y[at]) + PRIOR * self.base
+        no = float(w @ (1 - self.y[at])) + PRIOR * (1 - self.base)
         return float(np.log(yes / no))
 
-    def calibrate(self, term_rows: list[tuple[np.ndarray, np.ndarray]], places: np.ndarray) -> None:
-        odds = np.array([self.vote(*self.nearest(t, c, skip=int(p))) for (t, c), p in zip(term_rows, places)])
-        y = self.y[places]
-        if len(y) and 0 < y.sum() < len(y):
-            self.slope, self.shift = sigmoid_fit(odds, y)
+    def score(self, odds: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -60, 60))))
+
+
+def numbered(examples: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(vocabulary, ids, labels, rows) of examples(id, text, y), which max_examples and max_bytes bound, by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [words(t) for t in text_column(b, "text")]
+            columns = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *columns], ["id", "y", "words", "counts"])
+
+    t = examples.select("id", "y", "text").mapInArrow(run, "id long, y int, words array<string>, counts array<int>").orderBy("id").toArrow().combine_chunks()
+    if not t.num_rows:
+        return [], np.zeros(0, np.int64), np.zeros(0), []
+    lists = t.column("words").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    ends = np.append(lists.offsets.to_numpy() - lists.offsets[0].as_py(), 0)[: t.num_rows + 1]
+    term, count = coded.indices.to_numpy(), t.column("counts").combine_chunks().flatten().to_numpy()
+    rows = [(term[a:b], count[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    return coded.dictionary.to_pylist(), t.column("id").to_numpy(), t.column("y").to_numpy().astype(np.float64), rows
+
+
+def document_frequencies(texts: DataFrame, vocabulary: list[str]) -> np.ndarray:
+    """In how many rows of texts(text) each term of the vocabulary is; the last number counts the rows. Tasks add up
+    their own rows, so what is shuffled grows with tasks and vocabulary, not with rows."""
+    shared = Shared(texts.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {w: i for i, w in enumerate(shared.value)}
+        total = np.zeros(len(number) + 1, dtype=np.int64)
+        for b in batches:
+            for t in text_column(b, "text"):
+                total[[number[w] for w in set(WORD.findall(t.lower())).intersection(number)]] += 1
+            total[-1] += b.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
+
+    t = texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    out[t.column("term").to_numpy()] = t.column("n").to_numpy()
+    return out
+
+
+def build_index(docs: DataFrame, examples: DataFrame, text_col: str = "text") -> Index:
+    """The index of examples(id, text, y) with document frequencies from all docs, calibrated on all examples."""
+    vocabulary, ids, y, rows = numbered(examples)
+    df = document_frequencies(docs.select(F.col(text_col).cast("string").alias("text")), vocabulary)
+    index = Index(vocabulary, ids, y, rows, df[:-1], int(df[-1]))
+    if not 0 < y.sum() < len(y):
+        return index
+    shared = Shared(docs.sparkSession, index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value.prepare()
+        place = {int(i): p for p, i in enumerate(ix.ids)}
+        for b in batches:
+            odds = [ix.vote(*ix.nearest(words(t), skip=place[i])) for i, t in zip(b.column("id").to_pylist(), text_column(b, "text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(odds, pa.float64()), b.column("y")], ["odds", "y"])
 
-    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        at, cosine = self.nearest(term, count)
-        if not len(at):
-            return self.none, at, cosine
-        z = self.slope * self.vote(at, cosine) + self.shift
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60)))), at, cosine
+    t = examples.select("id", "y", "text").mapInArrow(run, "odds double, y int").orderBy("odds", "y").toArrow()  # max_examples rows
+    index.slope, index.shift = sigmoid_fit(t.column("odds").to_numpy(), t.column("y").to_numpy())
+    return index
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row for each row of docs: id_col, score (0 to 1), evidence (the three nearest examples with cosine, label).
 
-    labels gives the examples (rows to learn from; the caller leaves out what is held out). Null and empty texts have
-    no term and get the share of toxic examples among texts without terms; without labels of both kinds every text
-    gets a smoothed base rate; repeated rows score alike; an empty table gives no row; other columns are ignored."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
-    examples = scratch.table(sample(docs, labels, id_col, text_col, label_col, max_examples).dropDuplicates(["id"]).withColumn("y", F.expr("int(y > 0)")), "examples")
-    terms = vocabulary(examples)
-    counts = scratch.table(term_counts(docs, id_col, text_col, terms), "counts")
-    n = counts.count()
-    idf = np.full(max(len(terms), 1), np.log(1.0 + n) + 1)
-    for r in counts.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most MAX_TERMS rows
-        idf[r.t] = np.log((1.0 + n) / (1.0 + r["count"])) + 1
-    rows = term_counts(examples, "id", "text", terms, keep=("y",)).orderBy("id").collect()  # at most max_examples short rows
-    vectors = [(np.array(r.terms, np.int32), np.array(r.counts, np.int32)) for r in rows]
-    index = Index(np.array([r.id for r in rows], np.int64), np.array([r.y for r in rows], np.float64), vectors, idf)
-    place = {int(i): p for p, i in enumerate(index.ids)}
-    some = [(v, place[r.id]) for r, v in zip(rows, vectors) if len(v[0])][:2000]
-    index.calibrate([v for v, _ in some], np.array([p for _, p in some], np.int64))
-    shared = Shared(spark, index)
+    labels gives the examples (rows to learn from; the caller leaves out what is held out), of which the index takes
+    max_examples of max_bytes together: these bound what is broadcast, not what is scored. Null and empty texts, and
+    those without a word of any example, have no neighbour and get the calibrated base rate; without labels of both
+    kinds every text gets its smoothed share of votes; equally near examples count by id; long texts are scored whole;
+    repeated rows score alike; an empty table gives no row; other columns are ignored."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    examples = sample(docs, labels, id_col, text_col, label_col, scratch, max_examples, max_bytes)
+    shared = Shared(docs.sparkSession, build_index(docs, examples, text_col))
+    scratch.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        ix = shared.value.prepare()
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for b in batches:
             scores, evidence = [], []
-            for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist()):
-                s, at, cosine = ix.score(np.array(t, np.int32), np.array(c, np.int32))
-                scores.append(s)
+            for t in text_column(b, "text"):
+                at, cosine = ix.nearest(words(t))
+                scores.append(ix.score(ix.vote(at, cosine)))
                 evidence.append([{"id": int(ix.ids[p]), "cosine": float(v), "label": int(ix.y[p])} for p, v in zip(at[:3], cosine[:3])])
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["id", "score", "evidence"])
 
-    schema = "id long, score double, evidence array<struct<id: long, cosine: double, label: int>>"
-    return counts.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, score double, evidence array<struct<id: long, cosine: double, label: int>>").withColumnRenamed("id", id_col)
