@@ -1,9 +1,14 @@
+import random
+import re
 import zlib
+from collections import Counter
+from math import exp, log, log2, sqrt
 
 import numpy as np
 import pytest
 
 from chronolith.llm import quality, toxicity
+from chronolith.llm.common import Scratch
 from chronolith.llm.queries import QUERIES
 
 from .awkward import empty, table
@@ -50,23 +55,71 @@ def test_awkward_rows_and_missing_labels(spark):
         assert quality.score(empty(spark), model).count() == toxicity.toxicity(empty(spark), labels).count() == 0
 
 
-def test_block_max_search_is_exact():
-    rng = np.random.default_rng(2)
-    idf = rng.uniform(1, 5, 50)
-    vectors = []
-    for _ in range(700):
-        t = np.sort(rng.choice(50, rng.integers(0, 9), replace=False)).astype(np.int32)
-        vectors.append((t, rng.integers(1, 5, len(t)).astype(np.int32)))
-    index = toxicity.Index(np.arange(700), rng.integers(0, 2, 700).astype(float), vectors, idf)
-    dense = np.zeros((700, 50))
-    for i, (t, c) in enumerate(vectors):
-        if len(t):
-            dense[i, t] = index.weigh(t, c)
-    for i in range(0, 700, 7):
-        at, cosine = index.nearest(*vectors[i])
-        true = dense[index.ids] @ dense[i]
-        want = np.sort(true[true > 1e-9])[::-1][: toxicity.NEIGHBOURS]
-        assert np.allclose(cosine, want) and np.allclose(true[at], cosine)
+def plain_toxicity(docs, labels):
+    """Scores and evidence by comparing every text with every example, term by term."""
+    found = {i: Counter(re.findall(r"\w+", (t or "").lower())) for i, t in docs}
+    df, n = Counter(w for c in found.values() for w in c), len(docs)
+    ids = sorted(i for i in labels if i in found)
+    known = {w for i in ids for w in found[i]}
+    pos, neg = (Counter(w for i in ids if labels[i] == y for w in found[i]) for y in (1, 0))
+
+    def unit(c):
+        w = {t: (1 + log(k)) * ((1 + log((1 + n) / (1 + df[t]))) * log2(2 + pos[t] / max(1, neg[t])) if t in known else 1 + log(1 + n)) for t, k in c.items()}
+        size = sqrt(sum(x * x for x in w.values())) or 1
+        return {t: x / size for t, x in w.items()}
+
+    vectors, base = {i: unit(found[i]) for i in found}, (sum(labels[i] for i in ids) + 1) / (len(ids) + 2)
+
+    def nearest(i, skip=None):
+        rows = [(-round(sum(x * vectors[e].get(t, 0) for t, x in vectors[i].items()), 12), e) for e in ids if e != skip]
+        return [(-c, e) for c, e in sorted(rows) if c < 0][: toxicity.NEIGHBOURS]
+
+    def odds(near):
+        w = [(1 / (1.02 - min(c, 1.0)), labels[e]) for c, e in near]
+        return log((sum(x * y for x, y in w) + toxicity.PRIOR * base) / (sum(x * (1 - y) for x, y in w) + toxicity.PRIOR * (1 - base)))
+
+    pairs = sorted((odds(nearest(i, skip=i)), labels[i]) for i in ids)
+    slope, shift = quality.sigmoid_fit(np.array([o for o, _ in pairs]), np.array([y for _, y in pairs]))
+    return {i: (1 / (1 + exp(-(slope * odds(near) + shift))), [e for _, e in near[:3]]) for i in found for near in [nearest(i)]}
+
+
+def test_toxicity_equals_comparing_everything(spark, tmp_path):
+    """The whole query against brute force: exact cosines over all terms, all examples in the calibration."""
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(60)]
+    docs = []
+    for i in range(260):
+        text = " ".join(rng.choices(words, k=rng.randrange(25)) + ["vile", "nasty"][: rng.randrange(3)] * (i % 5 == 0))
+        docs.append((i, text if i % 41 else None))
+    docs += [(260 + k, docs[k * 5][1]) for k in range(8)]
+    labels = {i: int(i % 5 == 0) for i in range(0, 268, 2)}
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels.items()], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = QUERIES["op3_toxicity_neighbours"](spark, str(tmp_path)).collect()
+    want = plain_toxicity(docs, {i: y for i, y in labels.items() if crc(i, 4) != 2})
+    assert len(rows) == len(want) == 268
+    for r in rows:
+        assert r.score == pytest.approx(want[r.doc_id][0], abs=1e-6)
+        assert [e.id for e in r.evidence] == want[r.doc_id][1]
+
+
+def test_no_repeat_indicator_hides_an_ngram():
+    g = quality.Grams()
+    for text in (b"a b c d", b"x x x x x x x x x x x x", b"", b"one"):
+        plain = np.unique(g.hashes(np.frombuffer(b" " + text + b"  ", np.uint8).astype(np.uint32), 3))
+        assert np.isin(plain, g.of(text)).all()
+    assert not np.array_equal(g.of(b"ab ab ab"), g.of(b"ab abab"))
+
+
+def test_examples_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 100 + str(i)) for i in range(40)] + [(3, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (4, None)], "doc_id long, quality int")
+    scratch = Scratch(spark, "test")
+    every = quality.sample(docs, labels, "doc_id", "text", "quality", scratch, 6000, 10**6).collect()
+    assert len(every) == 40 and {r.id: r.text for r in every}[3] == "a"
+    some = quality.sample(docs, labels, "doc_id", "text", "quality", scratch, 6000, 1000).collect()
+    assert sum(len(r.text) for r in some) <= 1000 and len(some) >= 8
+    assert quality.sample(docs, labels, "doc_id", "text", "quality", scratch, 5, 10**6).count() == 5
 
 
 def test_dual_coordinate_descent_separates():
