@@ -78,6 +78,13 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(rows: DataFrame, text_col: str, most: int) -> int:
+    """How many hash buckets the texts take if none is to gather more than about `most` bytes; at least one for each
+    shuffle partition."""
+    size = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(default_parallelism(rows.sparkSession), -(-size // most))
+
+
 def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string or binary column as bytes, null as empty."""
     col = batch.column(name)

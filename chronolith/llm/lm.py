@@ -1,17 +1,20 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Exact counts of all tokens, and quantised counts of all bigrams, are gathered from all training documents. The bigrams'
-levels 1 + floor(log2(count)) go into a Bloom filter (Talbot & Osborne 2007): each level up to the n-gram's own is a
-member, so a count is read back by probing level after level until one is missing. The filter is broadcast in parts of
-at most max_bits: a bigram belongs to one part by its hash, a text's score is the sum over the parts, and so a larger
-corpus takes more passes over the tokens while no bigram is left out and no broadcast grows.
-A token's probability after its predecessor is (c(prev, token) + strength * p(token)) / (c(prev) + strength), with
-p(token) the add-half estimate from the exact counts.
-
-Plan: one pass cuts documents into batches and writes, for each batch, token numbers, and by hash bucket its distinct
-tokens and bigrams with their counts. Buckets are summed by hash (one shuffle of distinct entries per batch, so that
-a word found in every text counts once per batch), and each batch gets its tokens' totals back. Everything after the
-first pass reads the written table, whose content no retry changes. Tokens are told apart by 64-bit hashes.
+The counts of all unigrams, bigrams and trigrams of all training documents go, as levels 1 + floor(log2(count)), into a
+Bloom filter (Talbot & Osborne 2007): each level up to the n-gram's own is a member, so a count is read back by probing
+level after level until one is missing. A token's probability is smoothed order by order,
+  p(w | u v) = (c(u v w) + s3 * p(w | v)) / (c(u v) + s3),  p(w | v) = (c(v w) + s2 * p(w)) / (c(v) + s2),
+where p(w) is the add-half estimate, all counts are what the filter gives, and the first token of a text has no trigram.
+
+A filter of at most max_bits is broadcast, as the method has it. A filter of a corpus grows with the corpus, and in parts it
+would take a pass over all texts for each: beyond max_bits the questions travel instead. Each part of the filter is built in
+the task that holds the n-grams of its bucket and probed there by the batches' distinct n-grams, so that work stays linear and
+nothing that grows is broadcast; the bits and so the scores are the same.
+
+Plan: one pass cuts documents into batches and writes token numbers and, by hash bucket, distinct tokens with their counts.
+Buckets are summed by hash (a word found in every text counts once per batch), and each batch gets its tokens' exact totals
+back, for the base score. A second pass over the written numbers gives the n-grams. Everything after the first pass reads
+written tables, whose content no retry changes. Tokens are told apart by 64-bit hashes, n-grams by hashes of 32-bit ones.
 """
 
 from __future__ import annotations
@@ -26,15 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Shared, byte_column, default_parallelism, pack, unpack
+from .common import Scratch, Shared, buckets_for, byte_column, pack, unpack
 
 BATCH_TOKENS = 800_000
+BUCKET_BYTES = 32_000_000
 END_HASH = xxhash.xxh64_intdigest(b"", 1)
-DOCS, TOKENS, BIGRAMS = 0, 1, 2
+DOCS, TOKENS = 0, 1
+COUNTS, LEVELS = 0, 1
 MAX_BITS = 1 << 29
 PROBES, BITS_PER_MEMBER = 5, 7.5
 NO_ID = np.iinfo(np.int64).min
-STRENGTH = 30.0
+STRENGTHS = (100.0, 3.0)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -53,18 +58,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bigram_hash(previous: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Of the upper halves of the tokens' hashes."""
-    return mix((previous.astype(np.uint64) << np.uint64(32)) | token.astype(np.uint64))
+def ngram_hashes(flow: np.ndarray, sizes: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the texts' token numbers `flow` and the upper halves of the tokens' hashes: hashes of the distinct unigrams (by
+    token number), of each place's bigram and trigram, and the places where texts start. A text's first token follows the
+    end of a text; its trigram is not used."""
+    u = upper.astype(np.uint64)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+    before = np.concatenate(([0], flow[:-1]))
+    before[starts] = 0
+    two = mix(u[before] << np.uint64(32) | u[flow])
+    three = mix(np.concatenate(([np.uint64(0)], two[:-1])) + u[flow] * np.uint64(0x9E3779B97F4A7C15))
+    return mix(~u), two, three, starts
+
+
+def distinct_ngrams(flow: np.ndarray, sizes: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all distinct n-grams of a batch, and the number of each place's unigram, bigram and trigram among
+    them). Unigrams come first, by token number; starts have the trigram -1."""
+    one, two, three, starts = ngram_hashes(flow, sizes, upper)
+    inner = np.ones(len(flow), dtype=bool)
+    inner[starts] = False
+    pairs, second = np.unique(two, return_inverse=True)
+    triples, at = np.unique(three[inner], return_inverse=True)
+    third = np.full(len(flow), -1)
+    third[inner] = at + len(one) + len(pairs)
+    return np.concatenate((one, pairs, triples)), flow, second + len(one), third
+
+
+def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts hashes by bucket and then by upper half, and where buckets begin in it."""
+    bucket = hashes % np.uint64(buckets)
+    order = np.argsort(bucket << np.uint64(32) | hashes >> np.uint64(32), kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 32-bit keys by their differences."""
+    return planes(np.diff(keys.astype(np.int64), prepend=0))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(blob)).astype(np.uint64)
 
 
 def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs(id, held, text) -> (kind, batch, bucket, a, b, c).
+    """docs(id, held, text) -> (kind, batch, bucket, a, b, c, d, e).
 
     DOCS: a = ids, b = token counts of the documents, c = token numbers and, after them, the order that sorts the
-    batch's distinct tokens by bucket and hash. TOKENS: a = hashes, b = counts in training texts. BIGRAMS: a = keys
-    within the bucket, b = counts."""
-    names = ["kind", "batch", "bucket", "a", "b", "c"]
+    batch's distinct tokens by bucket and hash, d = upper halves of these tokens' hashes, e = which documents are held
+    out. TOKENS: a = hashes, b = counts in training texts."""
+    names = ["kind", "batch", "bucket", "a", "b", "c", "d", "e"]
 
     def emit(batch: int, ids: list[int], held: list[bool], texts: list[list[bytes]]) -> list[tuple]:
         sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
@@ -84,21 +126,11 @@ def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
         counts = np.bincount(flow[learn], minlength=len(number))
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((hashes, bucket))
-        rows = [(DOCS, batch, -1, pack(np.array(ids, dtype=np.int64)), pack(sizes), planes(np.concatenate((flow, order))))]
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for n in range(buckets):
-            if (part := order[cuts[n] : cuts[n + 1]]).size:
-                rows.append((TOKENS, batch, n, pack(hashes[part]), planes(counts[part]), None))
-        upper = hashes >> np.uint64(32)
-        before = np.concatenate(([0], flow[:-1]))  # a text's first token follows the end of the one before
-        keys, times = np.unique(bigram_hash(upper[before[learn]], upper[flow[learn]]), return_counts=True)
-        bucket = (keys % np.uint64(buckets)).astype(np.int64)
-        short = (keys >> np.uint64(32)).astype(np.uint32)
-        order = np.argsort(bucket, kind="stable")
+        rows = [(DOCS, batch, -1, pack(np.array(ids, dtype=np.int64)), pack(sizes), planes(np.concatenate((flow, order))), pack((hashes >> np.uint64(32)).astype(np.uint32)), pack(np.array(held, dtype=np.uint8)))]
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for n in range(buckets):
             if (part := order[cuts[n] : cuts[n + 1]]).size:
-                rows.append((BIGRAMS, batch, n, pack(short[part]), planes(times[part]), None))
+                rows.append((TOKENS, batch, n, pack(hashes[part]), planes(counts[part]), None, None, None))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +141,7 @@ def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
             nonlocal seq, ids, held, texts, size
             cols = list(zip(*emit(seq, ids, held, texts)))
             seq, ids, held, texts, size = seq + 1, [], [], [], 0
-            types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         for b in batches:
@@ -124,7 +156,7 @@ def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
         if ids:
             yield close()
 
-    return docs.mapInArrow(run, "kind int, batch long, bucket int, a binary, b binary, c binary")
+    return docs.mapInArrow(run, "kind int, batch long, bucket int, a binary, b binary, c binary, d binary, e binary")
 
 
 def sum_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,27 +168,45 @@ def sum_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
     for batch, h in zip(pdf.batch, hashes):
         own = totals[where[at : at + len(h)]]
         at += len(h)
-        rows.append((int(batch), int(pdf.bucket.iloc[0]), pack(own), pack((h >> np.uint64(32)).astype(np.uint32)), 0, 0))
-    rows.append((None, int(pdf.bucket.iloc[0]), None, None, int(totals.sum()), int((totals > 0).sum())))
-    out = pd.DataFrame(rows, columns=["batch", "bucket", "counts", "upper", "n", "v"])
+        rows.append((int(batch), int(pdf.bucket.iloc[0]), pack(own), 0, 0))
+    rows.append((None, int(pdf.bucket.iloc[0]), None, int(totals.sum()), int((totals > 0).sum())))
+    out = pd.DataFrame(rows, columns=["batch", "bucket", "data", "n", "v"])
     return out.astype({"batch": "Int64"})
 
 
-def sum_bigrams(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of BIGRAMS -> its keys, their levels, and how many members (key, level) these make."""
-    keys, where = np.unique(np.concatenate([unpack(x, np.uint32) for x in pdf.a]), return_inverse=True)
-    totals = np.bincount(where, weights=np.concatenate([unplanes(x) for x in pdf.b]))
+def count_ngrams(texts: DataFrame, buckets: int) -> DataFrame:
+    """DOCS rows -> (bucket, batch, keys, counts): a batch's distinct n-grams and how often training texts have them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for batch, sizes, flow, upper, held in zip(pdf.batch, pdf.b, pdf.c, pdf.d, pdf.e):
+                sizes = unpack(sizes, np.int64)
+                flow = unplanes(flow)[: sizes.sum()]
+                hashes, *places = distinct_ngrams(flow, sizes, unpack(upper, np.uint32))
+                learn = np.repeat(unpack(held, np.uint8) == 0, sizes)
+                counts = sum(np.bincount(p[learn & (p >= 0)], minlength=len(hashes)) for p in places)
+                order, cuts = dealt(hashes, buckets)
+                keys, counts = (hashes >> np.uint64(32))[order], counts[order]
+                rows = [(n, batch, pack_keys(keys[a:b]), planes(counts[a:b])) for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+                yield pd.DataFrame(rows, columns=["bucket", "batch", "keys", "counts"])
+
+    return texts.select("batch", "b", "c", "d", "e").mapInPandas(run, "bucket int, batch long, keys binary, counts binary")
+
+
+def sum_ngrams(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket of n-grams -> the keys that training texts have, their levels, and how many members these make."""
+    keys, where = np.unique(np.concatenate([unpack_keys(x) for x in pdf["keys"]]), return_inverse=True)
+    totals = np.bincount(where, weights=np.concatenate([unplanes(x) for x in pdf["counts"]]))
+    keys, totals = keys[totals > 0], totals[totals > 0]
     level = (1 + np.floor(np.log2(totals))).astype(np.uint8)
-    return pd.DataFrame({"bucket": [int(pdf.bucket.iloc[0])], "keys": [pack(keys)], "levels": [pack(level)], "members": [int(level.sum(dtype=np.int64))]})
+    return pd.DataFrame({"bucket": [int(pdf.bucket.iloc[0])], "keys": [pack_keys(keys)], "levels": [pack(level)], "members": [int(level.sum(dtype=np.int64))]})
 
 
 class BloomCounts:
-    """Log-frequency Bloom filter, or the part of one that holds slots first, first + 1, ... A slot is a segment of
-    `bits` bits for one of `parts` parts of a bucket; PROBES bits stand for each (key, level)."""
+    """Log-frequency Bloom filter: a segment of `bits` bits for each bucket; PROBES bits stand for each (key, level)."""
 
-    def __init__(self, segments: list[np.ndarray], bits: int, parts: int = 1, first: int = 0):
-        self.bits, self.parts, self.first, self.count = bits, parts, first, len(segments)
-        self.data = np.concatenate(segments) if segments else np.zeros(0, np.uint8)
+    def __init__(self, segments: list[np.ndarray], bits: int):
+        self.bits, self.data = bits, np.concatenate(segments) if segments else np.zeros(0, np.uint8)
 
     @staticmethod
     def seeds(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,29 +216,22 @@ class BloomCounts:
 
     @classmethod
     def segment(cls, keys: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
-        """A slot's bits."""
-        out = np.zeros(bits // 8, dtype=np.uint8)
+        """A bucket's bits."""
+        on = np.zeros(bits, dtype=bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             start, stride = cls.seeds(keys[levels >= level], level)
             for k in range(PROBES):
-                p = ((start + np.uint64(k) * stride) % np.uint64(bits)).astype(np.int64)
-                np.bitwise_or.at(out, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        return out
-
-    def here(self, hashes: np.ndarray, buckets: int) -> np.ndarray:
-        """Which bigram hashes belong to the slots of this part."""
-        slot = self.slots(hashes, buckets)
-        return (slot >= self.first) & (slot < self.first + self.count)
-
-    def slots(self, hashes: np.ndarray, buckets: int) -> np.ndarray:
-        return ((hashes % np.uint64(buckets)) * np.uint64(self.parts) + (hashes >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int64)
+                on[((start + np.uint64(k) * stride) % np.uint64(bits)).astype(np.int64)] = True
+        return np.packbits(on, bitorder="little")
 
     def levels(self, hashes: np.ndarray, buckets: int) -> np.ndarray:
-        """The level read back for each bigram hash of this part, 0 if none is stored: probes go on level by level
-        while a level's bits are all set."""
-        out = np.zeros(len(hashes), dtype=np.int64)
-        base = (self.slots(hashes, buckets) - self.first) * self.bits
-        keys, left, level = hashes >> np.uint64(32), np.arange(len(hashes)), 1
+        """The level read back for each n-gram hash, 0 if none is stored: probes go on level by level while a level's
+        bits are all set."""
+        return self.probe(hashes >> np.uint64(32), (hashes % np.uint64(buckets)).astype(np.int64) * self.bits)
+
+    def probe(self, keys: np.ndarray, base: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), dtype=np.uint8)
+        left, level = np.arange(len(keys)), 1
         while len(left) and level < 64:
             start, stride = self.seeds(keys[left], level)
             for k in range(PROBES):
@@ -205,89 +248,93 @@ def level_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str | None = None, strength: float = STRENGTH, max_bits: int = MAX_BITS) -> DataFrame:
+def log_probabilities(count: np.ndarray, places: list[np.ndarray], before: np.ndarray, starts: np.ndarray, floor: float, strengths: tuple[float, float]) -> np.ndarray:
+    """log10 p of each token, by the counts of a batch's distinct n-grams and the number of each place's n-gram among
+    them; before: the number of the unigram before each place."""
+    one, two, three = places
+    context, second, third = count[before], count[two], np.where(three >= 0, count[three], 0.0)
+    p = (count[one] + 0.5) / floor
+    p = (np.minimum(second, context) + strengths[0] * p) / (context + strengths[0])
+    context = np.concatenate(([0.0], second[:-1]))
+    smooth = (np.minimum(third, context) + strengths[1] * p) / (context + strengths[1])
+    smooth[starts] = p[starts]
+    return np.log10(smooth)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str | None = None, strengths: tuple[float, float] = STRENGTHS, max_bits: int = MAX_BITS, bits_per_member: float = BITS_PER_MEMBER) -> DataFrame:
     """One row for each row of docs: id_col, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
-    Rows whose held_col is true are scored but not learned from. Null and empty texts are the end token alone;
-    repeated rows count and score as often as they stand there; with no training row at all, counts are zero and the
-    base probability is that of an empty corpus (N = V = 0); an empty table gives no row; other columns are ignored."""
-    spark = docs.sparkSession
-    buckets, scratch = default_parallelism(spark), Scratch(spark, "lm")
+    Rows whose held_col is true are scored but not learned from. Null and empty texts are the end token alone; long
+    texts are scored whole; repeated rows count and score as often as they stand there; with no training row at all,
+    counts are zero and the base probability is that of an empty corpus (N = V = 0); an empty table gives no row; other
+    columns are ignored."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     held = F.coalesce(F.col(held_col).cast("boolean"), F.lit(False)) if held_col else F.lit(False)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
+    buckets = buckets_for(rows, "text", BUCKET_BYTES)
     work = scratch.table(first_pass(rows, buckets), "work", partition_by="kind")
     entries = work.where(F.col("kind") == TOKENS).select("batch", "bucket", "a", "b")
-    totals = scratch.table(entries.groupBy("bucket").applyInPandas(sum_tokens, "batch long, bucket int, counts binary, upper binary, n long, v long"), "totals")
+    totals = scratch.table(entries.groupBy("bucket").applyInPandas(sum_tokens, "batch long, bucket int, data binary, n long, v long"), "totals")
     n, v = totals.where("batch is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    scratch.delete(f"{scratch.paths['work']}/kind={TOKENS}")
     scratch.release()
-    pairs = work.where(F.col("kind") == BIGRAMS).select("bucket", "a", "b")
-    kept = scratch.table(pairs.groupBy("bucket").applyInPandas(sum_bigrams, "bucket int, keys binary, levels binary, members long"), "bigrams")
-    scratch.release()
+    texts = work.where(F.col("kind") == DOCS).select("batch", "a", "b", "c", "d", "e")
+    ngrams = scratch.table(count_ngrams(texts, buckets), "ngrams")
+    kept = scratch.table(ngrams.groupBy("bucket").applyInPandas(sum_ngrams, "bucket int, keys binary, levels binary, members long"), "kept")
     most = kept.agg(F.coalesce(F.max("members"), F.lit(0))).first()[0]
-    parts = max(1, -(-int(most * BITS_PER_MEMBER) // max_bits))
-    bits = max(64, int(most * BITS_PER_MEMBER / parts) // 8 * 8 + 8)
-    at_once = max(1, max_bits // bits)
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for bucket, keys, levels in zip(pdf["bucket"], pdf["keys"], pdf["levels"]):
-                keys, levels = unpack(keys, np.uint32), unpack(levels, np.uint8)
-                part = keys % np.uint32(parts)
-                rows = [(bucket * parts + k, BloomCounts.segment(keys[part == k], levels[part == k], bits).tobytes()) for k in range(parts)]
-                yield pd.DataFrame(rows, columns=["slot", "data"])
-
+    bits = max(64, int(most * bits_per_member) // 8 * 8 + 8)
+    answers, shared = totals.where("batch is not null").select("batch", F.lit(COUNTS).alias("kind"), "bucket", "data"), None
+    if bits * buckets <= max_bits:
+
+        def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                bits_of = [BloomCounts.segment(unpack_keys(k), unpack(x, np.uint8), bits).tobytes() for k, x in zip(pdf["keys"], pdf["levels"])]
+                yield pd.DataFrame({"bucket": pdf["bucket"], "data": bits_of})
+
+        segments = [np.zeros(bits // 8, np.uint8) for _ in range(buckets)]
+        for r in kept.select("bucket", "keys", "levels").mapInPandas(build, "bucket int, data binary").toLocalIterator():
+            segments[r.bucket] = np.frombuffer(r.data, np.uint8)
+        shared = Shared(spark, BloomCounts(segments, bits))  # at most max_bits
+    else:
+
+        def ask(questions: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+            segments = [BloomCounts.segment(unpack_keys(k), unpack(x, np.uint8), bits) for k, x in zip(counts["keys"], counts["levels"])]
+            bloom = BloomCounts(segments or [np.zeros(bits // 8, np.uint8)], bits)
+            found = [pack(bloom.probe(keys, np.zeros(len(keys), np.int64))) for keys in map(unpack_keys, questions["keys"])]
+            return pd.DataFrame({"batch": questions["batch"], "kind": LEVELS, "bucket": questions["bucket"], "data": found})
+
+        asked = ngrams.select("bucket", "batch", "keys").groupBy("bucket").cogroup(kept.groupBy("bucket"))
+        answers = answers.unionByName(scratch.table(asked.applyInPandas(ask, "batch long, kind int, bucket int, data binary"), "levels"))
+    scratch.release()
     floor, whole = float(n) + 0.5 * (float(v) + 1), int(n)
-    texts = work.where(F.col("kind") == DOCS).select("batch", "a", "b", "c")
-    back = totals.where("batch is not null").select("batch", "bucket", "counts", "upper")
-    slots, scored = buckets * parts, None
-    filters = kept.select("bucket", "keys", "levels").mapInPandas(build, "slot long, data binary")
-    if slots > at_once:
-        filters = scratch.table(filters, "filters")
-
-    def part_of_score(first: int) -> DataFrame:
-        """With the filter's slots from `first` on: the log probabilities of the bigrams that belong there, by
-        document; the other columns with the first part only."""
-        segments = [np.zeros(bits // 8, np.uint8) for _ in range(min(at_once, slots - first))]
-        for r in filters.where(F.col("slot").between(first, first + len(segments) - 1)).toLocalIterator():
-            segments[r.slot - first] = np.frombuffer(r.data, np.uint8)
-        shared = Shared(spark, BloomCounts(segments, bits, parts, first))  # at most max_bits
-
-        def per_batch(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-            bloom, out = shared.value, []
-            found = found.sort_values("bucket")
-            counts = np.concatenate([unpack(x, np.int64) for x in found.counts])
-            upper = np.concatenate([unpack(x, np.uint32) for x in found.upper])
-            for batch, ids, sizes, flow in zip(texts.batch, texts.a, texts.b, texts.c):
-                ids, sizes, flow = unpack(ids, np.int64), unpack(sizes, np.int64), unplanes(flow)
-                flow, order = flow[: sizes.sum()], flow[sizes.sum() :]
-                c, u = np.empty(len(order), np.int64), np.empty(len(order), np.uint64)
-                c[order], u[order] = counts, upper
-                prior = (c + 0.5) / floor
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                pair, where = np.unique(np.concatenate(([0], flow[:-1])) * len(c) + flow, return_inverse=True)
-                before, token = np.divmod(pair, len(c))
-                hashes, p = bigram_hash(u[before], u[token]), np.zeros(len(pair))
-                own = np.flatnonzero(bloom.here(hashes, buckets))
-                before, token = before[own], token[own]
-                twice = np.minimum(level_count(bloom.levels(hashes[own], buckets)), np.minimum(c[before], c[token]))
-                p[own] = np.log10((twice + strength * prior[token]) / (c[before] + strength))
-                out.append(pd.DataFrame({
-                    "batch": batch, "place": np.arange(len(ids)), "id": ids, "n_tokens": sizes, "score": np.add.reduceat(p[where], starts),
-                    "n_known": 0 if first else np.add.reduceat((c[flow] > 0).astype(np.int64), starts), "train_tokens": whole,
-                    "base_score": 0.0 if first else np.add.reduceat(np.log10(prior)[flow], starts),
-                }))
-            return pd.concat(out)
-
-        schema = "batch long, place long, id long, n_tokens long, score double, n_known long, train_tokens long, base_score double"
-        return texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInPandas(per_batch, schema)
-
-    for first in range(0, slots, at_once):  # one part unless the corpus outgrows max_bits
-        part = part_of_score(first)
-        if slots > at_once:
-            part = scratch.table(part, f"part{first}")
-        scored = part if scored is None else scored.unionByName(part)
-    if slots > at_once:
-        same, added = ("id", "n_tokens", "train_tokens"), ("score", "n_known", "base_score")
-        scored = scored.groupBy("batch", "place").agg(*[F.first(c).alias(c) for c in same], *[F.sum(c).alias(c) for c in added])
+
+    def per_batch(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out, found = [], found.sort_values(["kind", "bucket"])
+        exact = [unpack(x, np.int64) for x in found.data[found.kind == COUNTS]]
+        for ids, sizes, flow, upper in zip(texts.a, texts.b, texts.c, texts.d):
+            ids, sizes, flow = unpack(ids, np.int64), unpack(sizes, np.int64), unplanes(flow)
+            flow, order = flow[: sizes.sum()], flow[sizes.sum() :]
+            c = np.empty(len(order), np.int64)
+            c[order] = np.concatenate(exact)
+            hashes, *places = distinct_ngrams(flow, sizes, unpack(upper, np.uint32))
+            if shared:
+                level = shared.value.levels(hashes, buckets)
+            else:
+                level = np.empty(len(hashes), np.uint8)
+                level[dealt(hashes, buckets)[0]] = np.concatenate([unpack(x, np.uint8) for x in found.data[found.kind == LEVELS]])
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            before = np.concatenate(([0], flow[:-1]))
+            before[starts] = 0
+            p = log_probabilities(level_count(level), places, before, starts, floor, strengths)
+            base = np.log10((c + 0.5) / floor)
+            out.append(pd.DataFrame({
+                "id": ids, "n_tokens": sizes, "n_known": np.add.reduceat((c[flow] > 0).astype(np.int64), starts), "train_tokens": whole,
+                "base_score": np.add.reduceat(base[flow], starts), "score": np.add.reduceat(p, starts),
+            }))
+        return pd.concat(out)
+
+    schema = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = scratch.table(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(per_batch, schema), "scored")
+    scratch.drop("work", "totals", "ngrams", "kept", "levels")
     own_id = F.when(F.col("id") != F.lit(NO_ID).cast("long"), F.col("id")).alias(id_col)
     return scored.select(own_id, "n_tokens", "n_known", "train_tokens", "base_score", "score")
