@@ -97,6 +97,21 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x if x is not None else "" for x in batch.column(name).to_pylist()]
 
 
+def expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[0], ..., start[0] + size[0] - 1, start[1], ..."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
+def having(rows: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi", most: int = 500_000) -> DataFrame:
+    """The rows whose id (null: an id like others) is among ids(id_col), or with left_anti those whose id is not. Few ids,
+    as counted in their written table, are broadcast, and the rows' texts stay where they are."""
+    own = ids.select(F.col(id_col).alias("had"))
+    if own.count() <= most:
+        own = F.broadcast(own)
+    return rows.join(own, F.col(id_col).eqNullSafe(F.col("had")), how)
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array as a compressed blob; the reader states the type."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
@@ -114,27 +129,33 @@ def crc_of_id(column="doc_id"):
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a long, b long): one row (id, component) for each id in an edge,
     component being the smallest id reachable. Alternates large-star and small-star steps (Kiveris et al. 2014):
-    only minima are gathered by key, never neighbour lists, and each round is a written table.
+    only minima are gathered by key, never neighbour lists, and each round is a written table. What a hub, which has a
+    share of all edges, tells its neighbours is broadcast: there are few hubs, by the number of edges.
     Loops and repeated edges are harmless; an empty input gives no row; rows with a null end are ignored."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cur = scratch.table(e, "cc")
-    state = None
+    cur, state = scratch.table(e, "cc"), None
+    parts = default_parallelism(scratch.spark)
     for _ in range(max_rounds):
-        last = scratch.paths["cc"]
+        degrees = cur.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        total, most, check = degrees.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("h"), F.lit(0))).first()
+        if not total or (total, check) == state:
+            break
+        state, last = (total, check), scratch.paths["cc"]
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        limit = max(1000, total // (2 * parts))
+        tell = lambda r, how: r.join(low if how is None else how, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = both.where("v > u")
+        if most > limit:  # at most 2 * parts hubs
+            hubs = F.broadcast(degrees.where(F.col("n") > limit).select(F.col("v").alias("u")))
+            large = tell(up.join(hubs, "u", "left_anti"), None).unionByName(tell(up, F.broadcast(low.join(hubs, "u"))))
+        else:
+            large = tell(up, None)
         large = large.where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
-        cur = scratch.table(step, "cc")
-        scratch.paths["old"] = last
-        scratch.drop("old")
-        row = cur.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if row == state:
-            break
-        state = row
+        cur = scratch.table(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        scratch.delete(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(

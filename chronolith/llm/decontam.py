@@ -152,8 +152,9 @@ class Benchmark:
                     out[n].append((p, size))
         return out
 
-    def compare(self, text: str, coverage: float) -> list[tuple]:
-        """(item, item tokens, covered tokens, tiles) for each item that the text covers enough."""
+    def compare(self, text: str, coverage: float, one: bool = False) -> list[tuple]:
+        """(item, item tokens, covered tokens, tiles) for each item that the text covers enough; with `one` for the first
+        such item only."""
         get, words = self.number.get, tokens(text)
         doc = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         out = []
@@ -176,6 +177,8 @@ class Benchmark:
             covered = sum(t[2] for t in tiles)
             if covered >= coverage * len(ids) and covered:
                 out += [(item, len(ids), covered, [(origin[j], i, size) for i, j, size in tiles])] * self.copies[n]
+                if one:
+                    break
         return out
 
 
@@ -194,6 +197,16 @@ def blocks(items: DataFrame, most: int) -> Iterator[DataFrame]:
         yield items.where(part == number)
 
 
+def distinct_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.groupBy("item", "text").agg(F.count("*").alias("copies"))
+
+
+def share(block: DataFrame, least: int) -> Shared:
+    """A block, which blocks() has bounded, for all workers."""
+    return Shared(block.sparkSession, Benchmark([(r.item, r.text, r.copies) for r in block.collect()], least))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each row of docs and test item that it covers by at least `coverage` of the item's tokens: id_col,
     item_col, item_tokens, covered_tokens, coverage, tiles array<struct<doc_start, item_start, length>> in tokens.
@@ -204,16 +217,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     fewer than `least` tokens matches where all its tokens stand together; long texts are compared whole, ties go to the
     leftmost place in the item, then in the text; repeated rows give repeated results; an empty table on either side
     gives no row; other columns are ignored."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")).groupBy("item", "text").agg(F.count("*").alias("copies"))
+    items = distinct_items(benchmark, item_col, item_text_col)
     schema = "id long, item long, item_tokens int, covered_tokens int, coverage double, tiles array<struct<doc_start: int, item_start: int, length: int>>"
     kind = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
     names = ["id", "item", "item_tokens", "covered_tokens", "coverage", "tiles"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), kind]
     rows, out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), None
     for block in blocks(items, broadcast_bytes):
-        own = block.collect()  # at most broadcast_bytes, or one item
-        shared = Shared(spark, Benchmark([(r.item, r.text, r.copies) for r in own], least))
+        shared = share(block, least)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = shared.value
@@ -229,3 +240,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that cover no test item by `coverage`: the filter that goes with
+    contaminated(). Rows are judged one by one, whatever their ids are, and nothing is shuffled."""
+    for block in blocks(distinct_items(benchmark, item_col, item_text_col), broadcast_bytes):
+        shared = share(block, least)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bench = shared.value
+            for b in batches:
+                yield b.filter(pa.array([not bench.compare(t, coverage, one=True) for t in text_column(b, text_col)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

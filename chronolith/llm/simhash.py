@@ -9,10 +9,8 @@ tallied, pairs below t are dropped, and the rest is verified by Hamming distance
 Exact copies meet before the index (one row for each distinct fingerprint), and posting lists return what their links
 connect, as one edge from each fingerprint to the least it reaches, not all pairs; reachability is the same.
 
-With one lane (64 bits) and at most 7 differing bits, t = 8 - r is guaranteed. A word-shingle similarity of 0.8 is an
-angle of 0.15 pi, beyond what bytes can guarantee; `WIDE` takes three lanes for it: 192 bits estimate the angle, pairs
-within 32 bits link, and t = 2 of the first 16 bytes, which a pair at the threshold shares with probability 0.95 and a
-pair at 0.9 with 0.998.
+With at most 7 differing bits of 64, t = 8 - r is guaranteed. A word-shingle similarity of 0.8 is an angle of 0.15 pi, beyond
+what bytes can guarantee: see jaccard.py, which finds such pairs by other postings, and links and verifies them.
 """
 
 from __future__ import annotations
@@ -37,8 +35,8 @@ CHUNK, SHORT = 1 << 16, 32
 
 @dataclass(frozen=True)
 class Plan:
-    """lanes of 64 bits; links within `bits`; `least` positional bytes shared among the first `positions`; postings
-    for each choice of `width` of them."""
+    """lanes of 64 bits; links within `bits`; `least` positional bytes shared among the first `positions` (0: postings
+    come from elsewhere, and only the bits count); postings for each choice of `width` of them."""
 
     lanes: int
     bits: int
@@ -56,15 +54,26 @@ class Plan:
         return list(combinations(range(self.positions - self.least + self.width), self.width))
 
 
-WIDE = Plan(lanes=3, bits=32, positions=16, least=2, width=2)
+def bits_of(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """`lanes` unsigned 64-bit integers: a bit is 1 if it is set in over half the hashes. The first lane counts the
+    hashes themselves, the others what is derived from them."""
+    on = np.zeros((lanes, 64), dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        h = hashes[at : at + CHUNK]
+        for lane in range(lanes):
+            if lane:
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h ^= h >> np.uint64(31)
+            on[lane] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(on * 2 > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprint(data: bytes, words: int, lanes: int = 1) -> np.ndarray:
-    """The fingerprint of one text as `lanes` unsigned 64-bit integers (0 for a text without words). The first lane's
-    hashes are XXH64, the others' are derived from these."""
+def fingerprint(data: bytes, words: int) -> int:
+    """The fingerprint of one text (0 for a text without words)."""
     tokens = data.lower().split()
     if not tokens:
-        return np.zeros(lanes, dtype=np.uint64)
+        return 0
     joined = b" ".join(tokens)
     if len(tokens) <= words:
         starts, ends = [0], [len(joined)]
@@ -72,37 +81,30 @@ def fingerprint(data: bytes, words: int, lanes: int = 1) -> np.ndarray:
         stop = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
         starts = np.concatenate(([0], stop[:-1] + 1))[: len(tokens) - words + 1].tolist()
         ends = stop[words - 1 :].tolist()
-    digest, on = xxhash.xxh64_intdigest, np.zeros((lanes, 64), dtype=np.int64)
-    for at in range(0, len(starts), CHUNK):
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])), np.uint64)
-        for lane in range(lanes):
-            if lane:
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                h ^= h >> np.uint64(31)
-            on[lane] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(on * 2 > len(starts), axis=1, bitorder="little").view("<u8").ravel()
+    digest = xxhash.xxh64_intdigest
+    return int(bits_of(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))[0])
 
 
 def names(lanes: int, prefix: str = "f") -> list[str]:
     return [f"{prefix}{n}" for n in range(lanes)]
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int = 1) -> DataFrame:
-    """(id, f0 long, f1 long, ...) for each row; null and empty texts get 0."""
-    cols = names(lanes)
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, f0 long) for each row; null and empty texts get 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x, words, lanes) for x in byte_column(b, "text")], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(lanes))], ["id", *cols])
+            fps = np.array([fingerprint(x, words) for x in byte_column(b, "text")], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(fps)], ["id", "f0"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in cols))
+    return rows.mapInArrow(run, "id long, f0 long")
 
 
 def near(a: np.ndarray, b: np.ndarray, plan: Plan) -> np.ndarray:
     """near[i, j]: row i of a and row j of b share enough positional bytes and are within the bits."""
+    if not plan.least:
+        return sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.int16) for k in range(plan.lanes)) <= plan.bits
     x, y = (v.view(np.uint8).reshape(len(v), 8 * plan.lanes) for v in (a, b))
     tally = np.zeros((len(a), len(b)), dtype=np.uint8)
     for p in range(plan.positions):
@@ -195,12 +197,11 @@ def posting_keys(plan: Plan) -> Column:
     return F.array(*[key(n, combo) for n, combo in enumerate(plan.combos())])
 
 
-def links(spark: SparkSession, fps: DataFrame, plan: Plan, scratch: Scratch, list_limit: int = 4096) -> DataFrame:
-    """fps(f0, ..., distinct) -> edges(a0, ..., b0, ...) between fingerprints, which reach what all links reach.
-    A posting list longer than list_limit is not handled by one task: its members are dealt into blocks and each
-    pair of blocks is a task's group, so no list is dropped and none is gathered whole."""
+def links(spark: SparkSession, postings: DataFrame, plan: Plan, scratch: Scratch, list_limit: int = 4096) -> DataFrame:
+    """postings(key, f0, ...) -> edges(a0, ..., b0, ...) between fingerprints, which reach what all links within the
+    posting lists reach. A posting list longer than list_limit is not handled by one task: its members are dealt into
+    blocks and each pair of blocks is a task's group, so no list is dropped and none is gathered whole."""
     cols, ends = names(plan.lanes), names(plan.lanes, "a") + names(plan.lanes, "b")
-    postings = fps.select(F.explode(posting_keys(plan)).alias("key"), *cols)
     dealt = postings.repartition(default_parallelism(spark), "key").sortWithinPartitions("key")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,21 +283,24 @@ def links(spark: SparkSession, fps: DataFrame, plan: Plan, scratch: Scratch, lis
     return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, plan: Plan | None = None) -> DataFrame:
-    """One row for each input row: (id_col, fingerprint, component_id). plan: how fingerprints link (by default those
-    of 64 bits within `bits`, by guaranteed matches).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
+    """One row for each input row: (id_col, fingerprint, component_id). Fingerprints within `bits` link.
 
     Null and empty texts have fingerprint zero and link like any other; texts with fewer than `words` words hash
-    their whole word sequence; copies and repeated rows share a component; component_id is the smallest id reachable
-    (null ids never win unless all are null); an empty table gives no row; other columns are ignored."""
-    spark, plan = docs.sparkSession, plan or Plan.guaranteed(bits)
-    scratch, cols = Scratch(spark, "simhash"), names(plan.lanes)
-    fps = scratch.table(fingerprints(docs, id_col, text_col, words, plan.lanes), "fps")
-    classes = scratch.table(fps.groupBy(*cols).agg(F.min("id").alias("rep")), "classes")
-    edges = scratch.table(links(spark, classes.select(*cols), plan, scratch).distinct(), "edges")
-    for end in "ab":
-        edges = edges.join(classes.select(*[F.col(c).alias(n) for c, n in zip(cols, names(plan.lanes, end))], F.col("rep").alias(f"r{end}")), names(plan.lanes, end))
-    found = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
-    named = classes.join(found, classes.rep == found.id, "left").select(*cols, F.coalesce("component", "rep").alias("component_id"))
-    text = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in reversed(cols)])
-    return fps.join(named, cols).select(F.col("id").alias(id_col), F.lower(text).alias("fingerprint"), "component_id")
+    their whole word sequence; long texts count whole; copies and repeated rows share a component; component_id is the
+    smallest id reachable (null ids never win unless all are null); an empty table gives no row; other columns are
+    ignored."""
+    spark, plan = docs.sparkSession, Plan.guaranteed(bits)
+    scratch = Scratch(spark, "simhash")
+    fps = scratch.table(fingerprints(docs, id_col, text_col, words), "fps")
+    classes = scratch.table(fps.groupBy("f0").agg(F.min("id").alias("rep")), "classes")
+    postings = classes.select(F.explode(posting_keys(plan)).alias("key"), "f0")
+    edges = links(spark, postings, plan, scratch).distinct()
+    found = components(edges.select(F.col("a0").alias("a"), F.col("b0").alias("b")), scratch)
+    comp = classes.join(found, classes.f0 == found.id, "left").select("f0", "rep", F.coalesce("component", "f0").alias("label"))
+    least = comp.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = comp.join(least, "label").select("f0", "component_id")
+    out = fps.join(named, "f0").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    out = scratch.table(out, "result")
+    scratch.drop("fps", "classes", "lists", "cc")
+    return out

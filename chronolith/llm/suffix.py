@@ -4,12 +4,14 @@ Two equal windows of `length` bytes hold the same minimal 16-byte gram at the sa
 dealt out by that gram, the anchor, without losing a match: windows whose anchor stands in one document only are
 unique. What is left are short strings around shared anchors. A shard of them is ordered as Bauer, Cox and Rosone
 build a collection's Burrows-Wheeler transform: column by column from the right, each round inserts one symbol of
-every string, sorts the new suffixes stably by that symbol on top of the last round's order, and updates the common
-prefixes of neighbours by range minima over the last round's. In round t >= length, neighbours that share `length`
-symbols are equal windows, and every window of a class with a smaller document id is marked.
-
-The rounds' columns are arrays of one bounded shard, not files: between the passes the collection lies in written
-tables in the shared folder. Texts are stored once in a table bucketed by batch, so no later pass shuffles them.
+every string where the last round's transform says, and updates the common prefixes of neighbours by range minima over
+the last round's. In round t >= length, neighbours that share `length` symbols are equal windows, and every window of a
+class with a smaller document id is marked.
+
+Where it departs from the method as published: of the transform and the common prefixes it keeps the part of the current
+round's suffixes, as equal windows are suffixes of one round; and that part lies in arrays of a shard, not in files which
+each round reads and writes. The files are between the passes: texts, strings around anchors and marks are written tables
+in the shared folder. Batches and shards are as many as the bytes of the texts ask for, so that their size does not grow.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, default_parallelism, pack, unpack
+from .common import Scratch, buckets_for, pack, unpack
 
 LENGTH, GRAM = 50, 16
+BATCH_BYTES = 16_000_000
 HOT = 20_000
 CHUNK = 1 << 22
 NO_ID = np.iinfo(np.int64).max
@@ -109,6 +112,18 @@ def shared_anchors(hot: int):
     return run
 
 
+def around(data: list[bytes], text: np.ndarray, start: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """Rows of `width` bytes of the texts from start on, zero outside begin..end."""
+    offset = np.cumsum([width, *map(len, data)])[:-1]
+    whole = np.frombuffer(b"".join([bytes(width), *data, bytes(width)]), np.uint8)
+    m = np.lib.stride_tricks.sliding_window_view(whole, width)[offset[text] + start]
+    column = np.arange(width)
+    for at in range(0, len(m), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        m[part] *= (column >= (begin - start)[part, None]) & (column < (end - start)[part, None])
+    return m
+
+
 def cut_strings(length: int, shards: int):
     """Pass 2, a batch's texts and shared anchors -> its strings by shard (kind 1), and the spans that the batch alone
     shows to be repeated (kind 0).
@@ -132,11 +147,7 @@ def cut_strings(length: int, shards: int):
         slot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         on = keys[slot] == h
         h, p, a, b, text, hot = h[on], p[on], a[on], b[on], text[on], hot[slot[on]]
-        m = np.zeros((len(h), width), dtype=np.uint8)
-        for n, (t, at, lo, hi) in enumerate(zip(text.tolist(), p.tolist(), a.tolist(), b.tolist())):
-            piece = data[t][lo : hi + length]
-            start = lo - (at - (width - length))
-            m[n, start : start + len(piece)] = np.frombuffer(piece, np.uint8)
+        m = around(data, text, p - (width - length), a, b + length, width)
         ahead, behind, ids = (p - a).astype(np.uint8), (p - b).astype(np.uint8), ids[text]
         if hot.any():
             parts = [(m[hot == 0], ahead[hot == 0], behind[hot == 0], ids[hot == 0], p[hot == 0], h[hot == 0])]
@@ -179,17 +190,17 @@ def cut_strings(length: int, shards: int):
 def repeated_windows(m: np.ndarray, ids: np.ndarray, ahead: np.ndarray, behind: np.ndarray, length: int) -> np.ndarray:
     """marks[string, d]: the string's window that starts d before its anchor has an equal one of a smaller id."""
     n, width = m.shape
-    order, common = np.arange(n), np.zeros(n, dtype=np.uint8)  # round 0: empty suffixes
+    order, common = np.arange(n), np.zeros(n, dtype=np.uint8)  # round 0: empty suffixes, in order; common prefixes with the one before
     marks = np.zeros((n, width - length + 1), dtype=bool)
     for t in range(1, width + 1):
-        symbol = m[:, width - t]
+        transform = m[order, width - t]  # the symbol before each suffix, in their order
         levels = [common]
         while 2 << len(levels) - 1 <= n:
             last, step = levels[-1], 1 << len(levels) - 1
             levels.append(np.minimum(last[:-step], last[step:]))
-        step = np.argsort(symbol[order], kind="stable")  # the old place of each new one: insertion by symbol
-        order = order[step]
-        same = symbol[order[1:]] == symbol[order[:-1]]
+        step = np.argsort(transform, kind="stable")  # where each new suffix comes from: insertion by symbol, then by place
+        order, symbol = order[step], transform[step]
+        same = symbol[1:] == symbol[:-1]
         lo, hi = step[:-1][same] + 1, step[1:][same]
         level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
         found = np.zeros(len(lo), dtype=np.uint8)
@@ -273,21 +284,24 @@ def cut_out(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, hot: int = HOT, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """One row for each row of docs: id_col, text_key (xxhash64 of the text), n_bytes, starts and lengths (array<long>,
     the maximal removed runs of the text's UTF-8 bytes), kept_sha256 (of the remaining bytes), and kept (these as
-    text, without what is left of characters cut in two; null unless with_text).
+    text, without what is left of characters cut in two; null unless with_text); and own, a struct of the columns of
+    docs in keep, if there are any.
 
     A byte goes if a `length`-byte string over it also starts in a document with a smaller id; matches never cross
     documents and are judged on the input. Null and empty texts keep nothing and lose nothing; texts shorter than
     `length` stay whole; of equal texts the smallest id's stands for all, and those of larger ids go entirely; rows
     that repeat an id are one document to each other (none removes the other's bytes by equal ids); a null id is larger
-    than all others; an empty table gives no row; other columns are ignored. 18 <= length <= 128."""
+    than all others; long texts are compared whole; an empty table gives no row; other columns are ignored.
+    18 <= length <= 128."""
     if not GRAM + 2 <= length <= 128:
         raise ValueError("length must be 18..128")
-    spark = docs.sparkSession
-    scratch, parts = Scratch(spark, "suffix"), default_parallelism(spark)
-    raw = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix")
+    own = [F.struct(*keep).alias("own")] if keep else []
+    raw = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *own)
+    parts = buckets_for(raw, "text", BATCH_BYTES)
     # partial aggregation collapses a hot group of copies before the shuffle; the result lies as it is dealt out
     first = raw.groupBy("text").agg(F.min("id").alias("id")).where(F.length("text") >= length)
     first = first.select(F.pmod(F.hash("text"), F.lit(parts)).alias("batch"), "id", F.xxhash64("text").alias("key"), "text")
@@ -308,10 +322,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.drop("strings")
     scratch.release()
     schema = "id long, key long, starts array<long>, lengths array<long>, kept_sha256 string, kept string"
-    left = texts.groupBy("batch").cogroup(marked.groupBy("batch")).applyInPandas(cut_out(length, with_text), schema)
+    left = scratch.table(texts.groupBy("batch").cogroup(marked.groupBy("batch")).applyInPandas(cut_out(length, with_text), schema), "left")
+    spark.sql(f"drop table {name}")
+    scratch.delete(f"{scratch.base}/texts")
+    scratch.drop("marked")
     # the rest are short texts, which stay, and larger copies, which go
     small = F.length("text") < length
-    rows = raw.select("id", F.xxhash64("text").alias("key"), F.length("text").cast("long").alias("n_bytes"), F.when(small, F.col("text")).alias("short"))
+    rows = raw.select("id", F.xxhash64("text").alias("key"), F.length("text").cast("long").alias("n_bytes"), F.when(small, F.col("text")).alias("short"), *(["own"] if keep else []))
     rest = F.coalesce("short", F.lit(b""))
     gone = F.col("short").isNull()
     none = F.array().cast("array<long>")
@@ -321,5 +338,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce("starts", F.when(gone, F.array(F.lit(0).cast("long"))).otherwise(none)).alias("starts"),
         F.coalesce("lengths", F.when(gone, F.array("n_bytes")).otherwise(none)).alias("lengths"),
         F.coalesce("kept_sha256", F.sha2(rest, 256)).alias("kept_sha256"),
-        (F.coalesce("kept", rest.cast("string")) if with_text else F.lit(None).cast("string")).alias("kept"),
+        (F.coalesce("kept", rest.cast("string")) if with_text else F.lit(None).cast("string")).alias("kept"), *(["own"] if keep else []),
     )

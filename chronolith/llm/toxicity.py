@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Shared, text_column
+from .common import Scratch, Shared, expand, text_column
 from .quality import MAX_BYTES, MAX_EXAMPLES, sample, sigmoid_fit
 
 WORD = re.compile(r"\w+")
@@ -35,12 +35,6 @@ def words(text: str) -> Counter:
     return Counter(WORD.findall(text.lower()))
 
 
-def expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers start[0], ..., start[0] + size[0] - 1, start[1], ..."""
-    ends = np.cumsum(size)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
-
-
 class Index:
     """Posting lists of the examples' unit vectors by term, in blocks of BLOCK neighbouring examples.
 
