@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolith.functions import plugins
+
 ROUNDS, MEMBERS = 50, 200
 
 
@@ -16,6 +20,16 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counted.unionByName(alone.select("src", F.lit(None).cast(counted.schema["dst"].dataType).alias("dst"), F.lit(0).cast("long").alias("weight")))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds number, from 0 in the given order, without gathering the rows in one task: each range partition numbers its
+    own and adds how many rows stand before it."""
+    dealt = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy("part").count()
+    before = sizes.withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count")).select("part", "before")  # a row a partition
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("own", own).join(F.broadcast(before), "part").withColumn("number", F.col("own") + F.col("before")).drop("part", "own", "before")
+
+
 def label_propagation(adjacent: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, label): labels start as the nodes' ordinals; in each round every node takes the label with the largest
     (weight sum, label) among its neighbours if that sum is above 1, else the larger of it and its own; isolated nodes
@@ -24,7 +38,7 @@ def label_propagation(adjacent: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Each round is one aggregation by (node, label); checkpoints cut the lineage every few rounds, and the change test
     is part of the checkpointed round."""
     nodes = adjacent.select(F.col("src").alias("node")).distinct()
-    ids = nodes.withColumn("label", F.row_number().over(Window.orderBy("node")).cast("long") - 1).checkpoint()
+    ids = numbered(nodes, "node").withColumnRenamed("number", "label").checkpoint()
     weights = adjacent.where("dst is not null").select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight").checkpoint()
     labels = ids
     for _ in range(rounds):
@@ -54,13 +68,14 @@ def summaries(members: DataFrame, cap: int = MEMBERS) -> DataFrame:
     return size.join(text, "community").select("community", "members", F.substring("summary", 1, 60).alias("name"), "summary")
 
 
-def tree_reduce(members: DataFrame, limit: int = 400) -> DataFrame:
-    """members(community, ord, summary) -> (community, summary): pairs of the first and second half are combined until
-    one is left; the default combiner joins and cuts at `limit`. Bounded by the sample that comes before."""
+def tree_reduce(members: DataFrame, limit: int = 400, combiner: Callable[[Column, Column], Column] = plugins.combine) -> DataFrame:
+    """members(community, ord, summary) -> (community, summary): summaries of the first half are combined with those of the
+    second, an odd last one is kept for the next level, until one is left, which is cut at a sentence within `limit`.
+    Bounded by the sample that comes before (at most MEMBERS of a community)."""
     ordered = members.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "summary"))), lambda s: s.summary).alias("level"))
-    for _ in range(8):  # 2**8 > MEMBERS
-        half = F.ceil(F.size("level") / 2).cast("int")
-        left, right = F.slice("level", F.lit(1), half), F.slice("level", half + 1, F.size("level") - half)
-        join = F.zip_with(left, right, lambda a, b: F.when(b.isNull(), a).otherwise(F.substring(F.concat_ws(" ", a, b), 1, limit)))
-        ordered = ordered.withColumn("level", F.when(F.size("level") > 1, join).otherwise(F.col("level")))
-    return ordered.select("community", F.element_at("level", 1).alias("summary"))
+    for _ in range(MEMBERS.bit_length()):
+        half = F.floor(F.size("level") / 2).cast("int")
+        pairs = F.zip_with(F.slice("level", F.lit(1), half), F.slice("level", half + 1, half), lambda a, b: combiner(a, b))
+        rest = F.slice("level", half * 2 + 1, F.size("level") - half * 2)
+        ordered = ordered.withColumn("level", F.when(F.size("level") > 1, F.concat(pairs, rest)).otherwise(F.col("level")))
+    return ordered.select("community", plugins.combine(F.element_at("level", 1), F.lit(None).cast("string"), limit).alias("summary"))

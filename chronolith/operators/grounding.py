@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.functions import text as T
+
 ACTIONS = ("accepted", "filtered", "downgraded", "rejected", "abstained", "error")
 MOST_SOURCES = 5
+CACHE_SECONDS, CACHE_MAX = 3600, 500
 
 
 def strengths(packet: DataFrame) -> DataFrame:
@@ -64,3 +67,23 @@ def action_counts(grounded: DataFrame) -> DataFrame:
     all_ = grounded.sparkSession.createDataFrame([(a,) for a in ACTIONS], "action string")
     seen = grounded.groupBy(F.when(F.col("action").isin(*ACTIONS), F.col("action")).otherwise("error").alias("action")).count()
     return F.broadcast(all_).join(seen, "action", "left").select("action", F.coalesce("count", F.lit(0)).alias("n"))
+
+
+def cached(questions: DataFrame, cache: DataFrame, watermark: str | None, now: Column) -> DataFrame:
+    """questions(question, …) against cache(question_key, watermark, expires_at, answer, confidence, sources) -> adds hit
+    and the cached answer. Keys are normalised questions; entries of another watermark or past their time do not count, and
+    without a watermark nothing is looked up."""
+    usable = cache.where((F.col("watermark") == F.lit(watermark)) & (F.col("expires_at") > now)).select("question_key", "answer", "confidence", "sources", F.lit(True).alias("found"))
+    keyed = questions.withColumn("question_key", T.normalized_question(F.col("question")))
+    return keyed.join(usable, "question_key", "left").withColumn("hit", F.coalesce("found", F.lit(False))).drop("found")
+
+
+def remember(cache: DataFrame, grounded: DataFrame, watermark: str | None, now: Column, most: int = CACHE_MAX, seconds: int = CACHE_SECONDS) -> DataFrame:
+    """The cache with the answers of grounded(question, answer, confidence, sources, grounded): only grounded ones that
+    say something are kept. A changed watermark empties it, a question's new answer replaces its old one, and of more than
+    `most` entries those that expire first go."""
+    keep = F.col("grounded") & (F.coalesce("answer", F.lit("")) != "") & F.col("confidence").isin("high", "medium", "low") & F.lit(watermark is not None)
+    new = grounded.where(keep).select(T.normalized_question(F.col("question")).alias("question_key"), F.lit(watermark).cast("string").alias("watermark"), (now + F.lit(seconds)).alias("expires_at"), "answer", "confidence", "sources")
+    rows = cache.where(F.col("watermark") == F.lit(watermark)).unionByName(new)
+    last = rows.groupBy("question_key").agg(F.max_by(F.struct(*rows.columns), F.struct("expires_at", "answer")).alias("r")).select("r.*")
+    return last.orderBy(F.desc("expires_at"), "question_key").limit(most)

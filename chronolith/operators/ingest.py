@@ -96,3 +96,15 @@ def retries(notes: DataFrame, seen: DataFrame) -> DataFrame:
     folder), the first by ord."""
     hit = notes.join(seen, "capture_hash").where(F.col("folder").endswith(F.concat(F.lit("-"), F.col("slug"))))
     return hit.groupBy("slug", "capture_hash").agg(F.min_by("folder", "ord").alias("folder")).select("slug", "folder")
+
+
+def unseen(notes: DataFrame, written: DataFrame) -> DataFrame:
+    """notes(slug, body, …) that are not among written(slug, content_hash), each once, with their content_hash."""
+    hashed = notes.withColumn("content_hash", F.sha2("body", 256)).dropDuplicates(["slug", "content_hash"])
+    return hashed.join(written.select("slug", "content_hash"), ["slug", "content_hash"], "left_anti")
+
+
+def note(episodes: DataFrame, slug: str) -> DataFrame:
+    """(slug, content, valid_at) of a note's newest episode that has content; no row if there is none."""
+    found = episodes.where((F.col("slug") == slug) & F.col("content").isNotNull())
+    return found.orderBy(F.desc("created_at"), F.desc("uuid")).limit(1).select("slug", "content", F.col("created_at").alias("valid_at"))

@@ -29,6 +29,11 @@ def tag_list(block: Column) -> Column:
     return F.when(flow.isNotNull(), clean(F.split(flow, ","))).when(F.size(dashes) > 0, clean(dashes))
 
 
+def source_list(block: Column) -> Column:
+    """The text of the frontmatter's sources: a list in brackets, or the `- ` lines below."""
+    return F.regexp_extract(block, r"(?m)^sources:[ \t]*(\[.*\][ \t]*$|\n(?:[ \t]*- .*\n?)+)", 1)
+
+
 def own_rules() -> list[tuple[str, str, Column, Column]]:
     """(severity, rule, condition, msg) over path, name, block, body, type, status, lines."""
     kind, status, name, block = F.col("type"), F.col("status"), F.col("name"), F.col("block")
@@ -55,7 +60,8 @@ def own_rules() -> list[tuple[str, str, Column, Column]]:
 
 def lint(pages: DataFrame) -> DataFrame:
     """pages(path, name, content, block, body, type, status, links) -> (severity, file, rule, msg). A page without
-    frontmatter has that one issue only."""
+    frontmatter has that one issue only. Texts are read once: what the page shows by itself and its links go to a slim
+    written table, which the link rules join."""
     rows = pages.withColumn("lines", lines(F.col("content")))
     issue = lambda s, r, msg: F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"), msg.alias("msg"))
     own = [F.when(F.coalesce(on, F.lit(False)), issue(s, r, msg)) for s, r, on, msg in own_rules()]
@@ -66,9 +72,11 @@ def lint(pages: DataFrame) -> DataFrame:
     )
     none = F.array(issue("error", "frontmatter", F.lit("no frontmatter")))
     found = F.when(F.col("block").isNull(), none).otherwise(F.concat(F.filter(F.array(*own), lambda x: x.isNotNull()), tag_rules))
-    single = rows.select(F.col("path").alias("file"), F.inline(found)).select("severity", "file", "rule", "msg")
-    linking = pages.where(F.col("block").isNotNull() & ~P.is_source_note(F.col("path"))).select("name")
-    named = P.link_problems(pages).join(linking, F.col("src") == F.col("name"), "left_semi").join(pages.select(F.col("name").alias("src"), F.col("path").alias("file")), "src")
+    linking = F.col("block").isNotNull() & ~P.is_source_note(F.col("path"))
+    all_links = F.array_union("links", T.wikilinks(F.coalesce(source_list(F.col("block")), F.lit(""))))
+    slim = rows.select("path", "name", found.alias("found"), F.when(linking, all_links).otherwise(F.array().cast("array<string>")).alias("links")).checkpoint()
+    single = slim.select(F.col("path").alias("file"), F.inline("found")).select("severity", "file", "rule", "msg")
+    named = P.link_problems(slim).join(slim.select(F.col("name").alias("src"), F.col("path").alias("file")), "src")
     broken = F.col("problem") == "broken"
     msg = F.when(broken, F.concat(F.lit("broken wikilink: "), F.col("target"))).otherwise(F.concat(F.lit("case mismatch: "), F.col("target"), F.lit(" should be "), F.col("expected")))
     linked = named.select(F.when(broken, "error").otherwise("warning").alias("severity"), "file", F.when(broken, "link").otherwise("link_case").alias("rule"), msg.alias("msg"))

@@ -30,7 +30,7 @@ def receipts(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """requests(slug, reason) against existing(slug, reason) -> (slug, result): blocked, already-blocked, conflict with
     another reason, or invalid slug or reason."""
     rows = requests.join(existing.select("slug", F.col("reason").alias("had")), "slug", "left")
-    result = F.when(~F.col("slug").rlike(r"^\d{4}-\d{2}-\d{2}-\d{6}-[a-z0-9-]+$"), "invalid-slug").when(~F.col("reason").isin(*T.BLOCK_REASONS), "invalid-reason")
+    result = F.when(~F.coalesce(F.col("slug").rlike(T.BLOCKED_SLUG), F.lit(False)), "invalid-slug").when(~F.coalesce(F.col("reason").isin(*T.BLOCK_REASONS), F.lit(False)), "invalid-reason")
     return rows.select("slug", result.when(F.col("had").isNull(), "blocked").when(F.col("had") == F.col("reason"), "already-blocked").otherwise("conflict").alias("result"))
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.functions import plugins
 from chronolith.functions import text as T
 
-LENGTH_DIFFERENCE = 12
+#: Characters that generic words may add, merges in one run.
+LENGTH_DIFFERENCE, MAX_MERGES = 12, 40
 
 
 def same_key(entities: DataFrame) -> DataFrame:
@@ -36,21 +38,48 @@ def generic_names(entities: DataFrame) -> DataFrame:
     return pairs.where(near & T.generic_remainder(F.col("shorter"), F.col("longer"))).select("shorter", "longer").distinct()
 
 
-def merge_groups(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """pairs(canonical, duplicate) -> (id, root): chains resolved to the smallest id reachable. Each round takes the
-    least label of all neighbours and of their labels; rounds are checkpointed, and it stops when nothing changes."""
+def candidates(entities: DataFrame, same: Callable[[Column, Column], Column] = plugins.same_entity) -> DataFrame:
+    """entities(uuid, name, summary) -> pairs (canonical, duplicate) of both tiers: equal keys, and names that add generic
+    words, which the judge `same` confirms. Entities of one name in any case stand for each other in the second tier, so
+    each name brings one pair."""
+    keyed = same_key(entities)
+    one = entities.groupBy(F.lower("name").alias("low")).agg(F.min("uuid").alias("uuid"))
+    again = entities.select(F.lower("name").alias("low"), "uuid").join(one.withColumnRenamed("uuid", "canonical"), "low").where("uuid <> canonical")
+    near = generic_names(entities).where(same(F.col("shorter"), F.col("longer")))
+    near = near.join(one.select(F.col("low").alias("s"), F.col("uuid").alias("canonical")), F.lower("shorter") == F.col("s")).join(one.select(F.col("low").alias("l"), F.col("uuid").alias("duplicate")), F.lower("longer") == F.col("l"))
+    return keyed.unionByName(again.select("canonical", F.col("uuid").alias("duplicate"))).unionByName(near.select("canonical", "duplicate")).distinct()
+
+
+def confirmed(entities: DataFrame, same: Callable[[Column, Column], Column] = plugins.same_entity, limit: int = MAX_MERGES) -> DataFrame:
+    """The merges of one run: of the first 3 * limit candidates of the second tier by names, those that the judge confirms,
+    `limit` at most. A run that is cut off goes on in the next."""
+    first = generic_names(entities).orderBy("shorter", "longer").limit(3 * limit)
+    return first.where(same(F.col("shorter"), F.col("longer"))).orderBy("shorter", "longer").limit(limit)
+
+
+def merge_groups(pairs: DataFrame, entities: DataFrame | None = None, rounds: int = 30) -> DataFrame:
+    """pairs(canonical, duplicate) -> (id, root): all that pairs connect gets one root, by entities(uuid, summary) the one
+    with the longest summary, then the smallest uuid (without entities the smallest id). Each round takes the least label
+    of all neighbours and of their labels; rounds are checkpointed, and it stops when nothing changes."""
     both = pairs.select(F.col("canonical").alias("a"), F.col("duplicate").alias("b"))
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id").checkpoint()
     for _ in range(rounds):
         low = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
         hop = labels.join(low, "id").select("id", F.least("root", "low").alias("root"))
-        new = hop.join(hop.select(F.col("id").alias("root"), F.col("root").alias("far")), "root", "left").select("id", F.least("root", F.coalesce("far", "root")).alias("root")).checkpoint()
-        moved = new.join(labels.withColumnRenamed("root", "old"), "id").where("root <> old").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
-    raise RuntimeError("merge groups did not settle")
+        far = hop.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        moved = hop.join(far, "root", "left").select("id", F.least("root", F.coalesce("far", "root")).alias("root"))
+        new = moved.join(labels.withColumnRenamed("root", "old"), "id").select("id", "root", (F.col("root") != F.col("old")).alias("moved")).checkpoint()
+        labels = new.select("id", "root")
+        if not new.where("moved").limit(1).count():
+            break
+    else:
+        raise RuntimeError("merge groups did not settle")
+    if entities is None:
+        return labels
+    known = labels.join(entities.select(F.col("uuid").alias("id"), F.length(F.coalesce("summary", F.lit(""))).alias("size")), "id", "left")
+    best = known.groupBy("root").agg(F.min(F.struct(-F.coalesce("size", F.lit(0)), "id")).alias("best"))
+    return labels.join(best, "root").select("id", F.col("best.id").alias("root"))
 
 
 def repoint(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -67,16 +96,3 @@ def repoint(edges: DataFrame, groups: DataFrame) -> DataFrame:
 def repoint_mentions(mentions: DataFrame, groups: DataFrame) -> DataFrame:
     moved = mentions.join(groups.select(F.col("id").alias("entity_uuid"), "root"), "entity_uuid", "left")
     return moved.select("episode_uuid", F.coalesce("root", "entity_uuid").alias("entity_uuid")).distinct()
-
-
-def confirmed(pairs: DataFrame, limit: int) -> DataFrame:
-    """The first pairs by both names: a stated cap on merges in one run."""
-    return pairs.orderBy(*pairs.columns).limit(limit)
-
-
-def chain(steps: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, steps)
-
-
-def ranked(df: DataFrame, *order: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -27,11 +27,32 @@ def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """vectors(id, vector), queries(query_id, query) -> the k nearest of each query by inner product. The stated query
-    set is broadcast against all rows; callers send it in blocks of bounded size."""
-    pairs = vectors.join(F.broadcast(queries), F.lit(True))
-    return top_k(pairs.select("query_id", "id", F.round(dot(F.col("vector"), F.col("query")), digits).alias("score")), k, "id")
+def few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """Broadcast if there are at most `most` rows, as counted; else joined as it comes."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 10_000) -> DataFrame:
+    """vectors(id, vector), queries(query_id, query) -> the k nearest of each query by inner product: the stated query
+    set against all rows. It costs rows times queries; queries are broadcast in blocks of about `block`, each of which
+    is one pass over the rows that keeps k a query and task before the shuffle."""
+    parts, out = max(1, -(-queries.count() // block)), None
+    for part in range(parts):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        pairs = vectors.join(F.broadcast(some), F.lit(True))
+        near = top_k(pairs.select("query_id", "id", F.round(dot(F.col("vector"), F.col("query")), digits).alias("score")), k, "id")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def search(pages: DataFrame, vectors: DataFrame, query: str, embedded: list[float] | None, k: int) -> DataFrame:
+    """The k best pages(name, description, tags, body) for a query -> (name, score, search_mode): by inner product with
+    vectors(name, vector) where the query could be embedded, else (None: the embedder failed) by words, as degraded."""
+    if embedded is None:
+        return lexical_search(pages, query, k).select("name", "score", F.lit("lexical-degraded").alias("search_mode"))
+    asked = F.array(*[F.lit(float(x)) for x in embedded])
+    near = vectors.select("name", F.round(dot(F.col("vector"), asked), 6).alias("score")).orderBy(F.desc("score"), "name").limit(k)
+    return near.join(pages.select("name"), "name", "left_semi").select("name", "score", F.lit("semantic").alias("search_mode"))
 
 
 def query_tokens(q: Column) -> Column:
@@ -58,24 +79,20 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), F.lit(1))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> (term, id, tf, dl), one row for each distinct term of a document."""
-    words = docs.select("id", terms(F.col("text")).alias("words"))
-    return words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
-
-
 def bm25(docs: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """docs(id, text), queries(query_id, query) -> the k best of each query (Robertson & Zaragoza 2009). Only the
-    queries' terms are counted: the term list, broadcast, prunes the explode before the shuffle."""
+    """docs(id, text), queries(query_id, query) -> the k best of each query (Robertson & Zaragoza 2009). One pass over the
+    texts counts the asked terms of each document, and, as a term of its own, the document with its length; this slim
+    table is written once, and gives the statistics as well as the scores."""
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    words = docs.select("id", terms(F.col("text")).alias("words"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    tf = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(F.broadcast(df), "term").join(F.broadcast(stats), F.lit(True))
+    all_, own = few(asked.select("term").unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()), terms(F.col("text"))
+    words = docs.select("id", own.alias("words")).select("id", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
+    tf = words.join(all_, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).checkpoint()
+    stats = tf.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = tf.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    weighed = tf.join(few(df), "term").join(F.broadcast(stats), F.lit(True))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighed.withColumn("part", part).join(F.broadcast(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), digits).alias("score"))
+    scored = weighed.withColumn("part", part).join(few(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), digits).alias("score"))
     return top_k(scored, k, "id")
 
 
@@ -90,7 +107,7 @@ def fuse(*ranked: DataFrame, k: int, k0: int = RRF_K, digits: int = 9) -> DataFr
 def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """BM25 over docs(id, text) fused with vectors(id, vector) for queries(query_id, query, vector)."""
     words = bm25(docs, queries.select("query_id", "query"), k)
-    near = vector_search(vectors, queries.select("query_id", F.col("vector").alias("query")), k)
+    near = vector_search(vectors, queries.where("vector is not null").select("query_id", F.col("vector").alias("query")), k)
     return fuse(words, near, k=k)
 
 

@@ -24,10 +24,12 @@ def newest_note(*queues: DataFrame) -> DataFrame:
 
 
 def listed(queue: DataFrame, limit: int) -> DataFrame:
-    """The first `limit` entries of each queue, oldest first, unknown times last; and whether there are more."""
-    w = Window.partitionBy("queue")
-    ranked = queue.withColumn("rn", F.row_number().over(w.orderBy(F.col("ts").asc_nulls_last(), "slug"))).withColumn("truncated", F.count("*").over(w) > limit)
-    return ranked.where(F.col("rn") <= limit)
+    """The first `limit` entries of each queue, oldest first, unknown times last; and whether there are more. The rank alone
+    is windowed, so that each task keeps `limit` rows of a queue before the shuffle."""
+    order = Window.partitionBy("queue").orderBy(F.col("ts").asc_nulls_last(), "slug")
+    first = queue.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit)
+    sizes = queue.groupBy("queue").agg((F.count("*") > limit).alias("truncated"))
+    return first.join(sizes, first["queue"].eqNullSafe(sizes["queue"])).drop(sizes["queue"])
 
 
 def snapshot(components: DataFrame, index: DataFrame, queues: DataFrame, ingest: DataFrame, communities: DataFrame, usage: DataFrame) -> DataFrame:
@@ -79,28 +81,56 @@ def gauges(status: DataFrame) -> DataFrame:
 
 
 def exposition(metrics: DataFrame) -> DataFrame:
-    """metrics(name, value) -> one text in the Prometheus exposition format, by name."""
+    """metrics(name, kind, labels map, value) -> one text in the Prometheus exposition format: for each name its type, then
+    its samples by their labels. Names and labels are few, so the text is one row."""
     value = F.when(F.col("value") == float("inf"), "+Inf").otherwise(F.col("value").cast("string"))
-    return metrics.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "name", value))), "\n").alias("text"))
-
-
-def health(notes: DataFrame, episodes: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
-    """notes(slug, ts, queue), episodes(slug, complete, mention_count), pages(name) -> (rule, ok): the write path (a note
-    within 48 h), ingestion (of notes 2 to 48 h old, the first 25 are in the graph), curation (nothing in the inbox over
-    24 h, nothing pending over 7 d, at most 200 deferred) and indexing (the newest curated note over 6 h old is a page)."""
-    hours = (F.unix_seconds(now) - F.unix_seconds("ts")) / 3600
-    aged = notes.withColumn("hours", hours)
+    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e.key, F.lit('="'), e.value, F.lit('"')))
+    labels = F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
+    samples = metrics.groupBy("name").agg(F.first("kind").alias("kind"), F.array_join(F.array_sort(F.collect_list(F.concat("name", labels, F.lit(" "), value))), "\n").alias("lines"))
+    block = F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind", F.lit("\n"), "lines")
+    return samples.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", block.alias("block")))), lambda x: x.block), "\n").alias("text"))
+
+
+#: Hours and counts of the health checks.
+FRESH_HOURS, GRACE_HOURS, INDEX_HOURS, INBOX_HOURS, STALL_DAYS, LAG_DAYS, DEFERRED_MAX, CHECKED = 48, 2, 6, 24, 3, 7, 200, 25
+
+
+def health(notes: DataFrame, episodes: DataFrame, pages: DataFrame, probes: DataFrame, now: Column, curated_at: Column) -> DataFrame:
+    """notes(slug, ts, queue), episodes(slug, complete, mention_count), pages(name), probes(facts, entities, confidence,
+    answer, none_confidence, none_answer, none_escalate, results: one row) and the time of the last change to the curated
+    notes -> (check, rule, severity, ok):
+    A a note is at most 48 h old; B the newest 25 notes aged 2 to 48 h are complete or mentioned; C nothing waits in the
+    inbox over 24 h, notes that arrived within 3 d are curated (the curated notes changed within 3 d), nothing pending is
+    over 7 d old, at most 200 are deferred; D a known question finds facts or entities, an answer of some confidence and
+    pages, and nonsense is not found and escalated; E the newest curated note over 6 h old is a page. A check without
+    anything to check is ok, but for A."""
+    aged = notes.where("ts is not null").withColumn("hours", (F.unix_seconds(now) - F.unix_seconds("ts")) / 3600)
+    waiting = F.col("queue").isin("inbox", "deferred")
+    stalled = (F.unix_seconds(now) - F.unix_seconds(curated_at)) / 86400 > STALL_DAYS
     row = aged.agg(
-        (F.min("hours") <= 48).alias("write_path"), (F.count_if((F.col("queue") == "inbox") & (F.col("hours") > 24)) == 0).alias("inbox_age"),
-        (F.count_if(F.col("queue").isin("inbox", "deferred") & (F.col("hours") > 168)) == 0).alias("pending_age"), (F.count_if(F.col("queue") == "deferred") <= 200).alias("deferred_count"),
+        F.coalesce(F.min("hours") <= FRESH_HOURS, F.lit(False)).alias("write_path"), (F.count_if((F.col("queue") == "inbox") & (F.col("hours") > INBOX_HOURS)) == 0).alias("inbox_age"),
+        (~((F.count_if(waiting & (F.col("hours") <= STALL_DAYS * 24)) > 0) & F.coalesce(F.bool_or(stalled), F.lit(False)))).alias("stalled"),
+        (F.count_if(waiting & (F.col("hours") > LAG_DAYS * 24)) == 0).alias("pending_age"), (F.count_if(F.col("queue") == "deferred") <= DEFERRED_MAX).alias("deferred_count"),
     )
-    due = aged.where("hours between 2 and 48").orderBy("ts", "slug").limit(25)
+    due = aged.where(F.col("hours").between(GRACE_HOURS, FRESH_HOURS)).orderBy(F.desc("ts"), "slug").limit(CHECKED)
     done = episodes.where(F.col("complete").eqNullSafe(True) | (F.col("mention_count") > 0)).select("slug")
     lost = due.join(done, "slug", "left_anti").agg((F.count("*") == 0).alias("ingestion"))
-    newest = aged.where("queue = 'curated' and hours > 6").agg(F.max_by("slug", F.struct("ts", "slug")).alias("name"))
+    newest = aged.where((F.col("queue") == "curated") & (F.col("hours") >= INDEX_HOURS)).agg(F.max_by("slug", F.struct("ts", "slug")).alias("name"))
     indexed = newest.join(pages.select("name").withColumn("there", F.lit(True)), "name", "left").select((F.col("name").isNull() | F.col("there").isNotNull()).alias("indexing"))
-    wide = row.crossJoin(lost).crossJoin(indexed)
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("rule"), F.coalesce(F.col(c), F.lit(False)).alias("ok")) for c in wide.columns])))
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    exposed = probes.select(
+        (F.col("facts") + F.col("entities") > 0).alias("search"), (F.col("confidence").isin("high", "medium") & said("answer")).alias("answer"),
+        ((F.col("none_confidence") == "not_found") & ~said("none_answer") & F.col("none_escalate")).alias("nonsense"), (F.col("results") > 0).alias("pages"),
+    )
+    wide = row.crossJoin(lost).crossJoin(exposed).crossJoin(indexed)
+    checks = {"write_path": "A", "ingestion": "B", "inbox_age": "C", "stalled": "C", "pending_age": "C", "deferred_count": "C", "search": "D", "answer": "D", "nonsense": "D", "pages": "D", "indexing": "E"}
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.lit(r).alias("rule"), F.lit("warn" if r == "deferred_count" else "fail").alias("severity"), F.coalesce(F.col(r), F.lit(False)).alias("ok")) for r, k in checks.items()])))
+
+
+def communities(nodes: DataFrame, now: Column) -> DataFrame:
+    """nodes(created_at, …) of communities -> one row: count, newest, age_seconds (null if there is none)."""
+    row = nodes.agg(F.count("*").alias("count"), F.max("created_at").alias("newest"))
+    return row.withColumn("age_seconds", F.greatest(F.lit(0), F.unix_seconds(now) - F.unix_seconds("newest")))
 
 
 #: Rule, condition over a sample's columns, hold in seconds, severity.
@@ -119,18 +149,21 @@ SERIES_RULES = (
 )
 
 
-def series_alerts(samples: DataFrame, rules_: tuple = SERIES_RULES) -> DataFrame:
+def series_alerts(samples: DataFrame, rules_: tuple = SERIES_RULES, width: int = 86_400) -> DataFrame:
     """samples(at seconds, …) -> (at, rule, severity) where a rule's condition held at every sample of the hold before,
-    and samples reach back that far. One window by rule over the exploded conditions."""
+    and samples reach back that far. Within pieces of `width` seconds the last sample that was off is windowed; what
+    stands before a piece is carried from a table with one row for each rule and piece, so that no task gets the whole
+    history of a rule."""
     flat = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), F.lit(h).alias("hold"), F.coalesce(F.expr(c), F.lit(False)).alias("on")) for r, c, h, s in rules_])
-    rows = samples.select("at", F.inline(flat))
-    w = Window.partitionBy("rule").orderBy("at")
-    since = F.max(F.when(~F.col("on"), F.col("at"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    start = F.min("at").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    held = rows.withColumn("next_on", F.min(F.when(F.col("on"), F.col("at"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    held = held.withColumn("last_off", since).withColumn("first", start)
-    prior = F.coalesce(F.col("last_off"), F.col("first") - 1)
-    return held.where(F.col("on") & (F.col("at") - prior > F.col("hold"))).select("at", "rule", "severity")
+    rows = samples.select("at", F.floor(F.col("at") / width).alias("piece"), F.inline(flat))
+    off = F.when(~F.col("on"), F.col("at"))
+    pieces = rows.groupBy("rule", "piece").agg(F.max(off).alias("off"), F.min("at").alias("start"))
+    earlier = Window.partitionBy("rule").orderBy("piece")
+    carried = pieces.select("rule", "piece", F.max("off").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("start").over(earlier).alias("first"))
+    own = F.max(off).over(Window.partitionBy("rule", "piece").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    held = rows.withColumn("own", own).where("on").join(carried, ["rule", "piece"])
+    prior = F.coalesce(F.greatest("own", "before"), F.col("first") - 1)
+    return held.where(F.col("at") - prior > F.col("hold")).select("at", "rule", "severity")
 
 
 def scheduler(jobs: DataFrame, now: Column) -> DataFrame:

@@ -71,12 +71,14 @@ def gaps(events: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(first.alias("f")).select("f.src", "key", "f.q", "f.best_score")
 
 
-def recurring(gap_rows: DataFrame, prior: DataFrame) -> DataFrame:
-    """Gaps whose first 40 code points stand in a prior report's text. prior(text) is a handful of reports; they are
-    cut into all 40-code-point pieces only where shorter keys leave no other way, so the join is by containment with
-    the reports broadcast."""
+def recurring(gap_rows: DataFrame, prior: DataFrame, most: int = 64_000_000) -> DataFrame:
+    """Gaps whose first 40 code points stand in a prior report's text. prior(text) is a stated set of reports: they are
+    broadcast if they have at most `most` bytes, and each gap is looked for in each."""
     key = F.substring(T.squeeze(F.lower("q")), 1, 40)
-    return gap_rows.join(F.broadcast(prior.select(F.lower("text").alias("prior_text"))), F.contains(F.col("prior_text"), key), "left_semi")
+    reports = prior.select(F.lower("text").alias("prior_text"))
+    if (reports.agg(F.sum(F.octet_length("prior_text"))).first()[0] or 0) <= most:
+        reports = F.broadcast(reports)
+    return gap_rows.join(reports, F.contains(F.col("prior_text"), key), "left_semi")
 
 
 def triggers(events: DataFrame, gap_rows: DataFrame, recurring_rows: DataFrame) -> DataFrame:
@@ -114,9 +116,12 @@ def histogram(events: DataFrame, *key: str, bounds: tuple = BOUNDS) -> DataFrame
 
 
 def rolling_rate(events: DataFrame, seconds: int = 600, least: int = 20, threshold: float = 0.05) -> DataFrame:
-    """Adds calls, bad and alert over the last `seconds` up to each event, by tool: a range frame."""
-    w = Window.partitionBy("tool").orderBy(F.unix_seconds("ts")).rangeBetween(-seconds, 0)
-    rows = events.withColumn("calls", F.count("*").over(w)).withColumn("bad", F.sum(failed().cast("int")).over(w))
+    """Adds calls, bad and alert over the last `seconds` up to each event, by tool: a range frame within pieces of that
+    length, each with the piece before it, so that a tool's whole history is not one group."""
+    piece = F.floor(F.unix_seconds("ts") / seconds)
+    rows = events.withColumn("failed", failed().cast("int")).withColumn("piece", F.explode(F.array(piece, piece + 1))).withColumn("own", F.col("piece") == piece)
+    w = Window.partitionBy("tool", "piece").orderBy(F.unix_seconds("ts")).rangeBetween(-seconds, 0)
+    rows = rows.withColumn("calls", F.count("*").over(w)).withColumn("bad", F.sum("failed").over(w)).where("own").drop("failed", "piece", "own")
     return rows.withColumn("alert", (F.col("calls") >= least) & (F.col("bad") / F.greatest("calls", F.lit(0.001)) > threshold))
 
 

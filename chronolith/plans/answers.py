@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronolith.functions import plugins
+from chronolith.functions import text as T
 from chronolith.operators import grounding, search
 
 from .registry import query
@@ -28,7 +29,7 @@ GROUND = f"""with c as ({CANDIDATES}), k as (select *, case when lower(confidenc
   case when not (abstains or rejects) and superseded_note <> 'none' then superseded_note end as superseded_note, case when abstains or rejects then true else escalate end as escalate from g) """
 
 
-@query("X16 J16 U7 D12 P21", GROUND + "select * from grounded")
+@query("X16 J16 U7 D12", GROUND + "select * from grounded")
 def answers_ground(spark, sf):
     """Candidate answers, kept to what their evidence supports."""
     return grounded(spark, sf).select("event_id", "grounded", "action", "confidence", "answer", F.array_join("sources", ",").alias("sources"), "superseded_note", "escalate")
@@ -64,16 +65,46 @@ def answers_strengths(spark, sf):
     return grounding.strengths(search.packet(hits(spark, sf), 8))
 
 
-@query("X14 F2 X17", f"with h as ({HITS}), f as (select query_id, min(rank) as rank from h where kind = 'fact' and rank <= 8 and current group by 1) select q.query_id, case when f.rank is null then 'not_found' else 'medium' end as confidence, h.text as answer from (select distinct query_id from h) q left join f on f.query_id = q.query_id left join h on h.query_id = q.query_id and h.kind = 'fact' and h.rank = f.rank")
+@query("X14 F2", f"with h as ({HITS}), f as (select query_id, min(rank) as rank from h where kind = 'fact' and rank <= 8 and current group by 1) select q.query_id, case when f.rank is null then 'not_found' else 'medium' end as confidence, h.text as answer from (select distinct query_id from h) q left join f on f.query_id = q.query_id left join h on h.query_id = q.query_id and h.kind = 'fact' and h.rank = f.rank")
 def answers_extractive(spark, sf):
     """The default distiller: the first current fact of each packet."""
     return plugins.extractive_answer(search.packet(hits(spark, sf), 8)).select("query_id", "confidence", "answer")
 
 
-@query("F3")
+@query("F3", """with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null)
+, said as (select doc_id, pos, trim(line) as fact from lines where trim(line) <> '') select doc_id, cast(row_number() over (partition by doc_id order by pos) - 1 as bigint) as ord, concat(fact, ' [[doc-', doc_id, '|it]]') as fact, concat('doc-', doc_id) as entity from said""")
 def answers_claims(spark, sf):
-    notes = view(spark, sf, "notes").select("slug", F.concat(F.lit("# t\n\n## Durable claims\n\n- one [[A]] fact\n- two [[B|b]]\n\n## Rest\n\n- no\n"), F.lit("")).alias("body"))
-    return plugins.extract_claims(notes)
+    """Each line of a text as a durable claim about the document, extracted from the note that holds them."""
+    claims = F.array_join(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("- "), F.trim(x), F.lit(" [[doc-"), F.col("doc_id").cast("string"), F.lit("|it]]"))), "\n")
+    notes = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("slug"), F.concat(F.lit("# t\n\n## Durable claims\n\n"), claims, F.lit("\n\n## Rest\n\n- no\n")).alias("body"))
+    found = plugins.extract_claims(notes)
+    return found.select(F.col("slug").alias("doc_id"), F.col("ord").cast("long").alias("ord"), "fact", F.element_at("entities", -1).alias("entity"))
+
+
+REPLY = "case event_id % 5 when 0 then concat('```json', chr(10), '{\"answer\": ', event_id, '}', chr(10), '```') when 1 then concat('I think {\"answer\": ', event_id, '} is it') when 2 then concat('{\"answer\": {\"answer\": {\"answer\": ', event_id, '}}}') when 3 then concat('no { json', event_id) else concat('[{\"answer\": ', event_id, '}]') end"
+
+
+@query("P21 P35", "select event_id, case when event_id % 5 = 3 then null else event_id end as answer from events")
+def answers_parsed(spark, sf):
+    """What models reply, fenced, in the middle of prose, wrapped or broken, as the number it holds."""
+    found = T.unwrapped(T.json_object(F.expr(REPLY)))
+    return table(spark, sf, "events").select("event_id", F.get_json_object(found, "$.answer").cast("long").alias("answer"))
+
+
+CACHED = GROUND + """
+, kept as (select concat('what is item ', event_id % 97) as question_key, answer, confidence from grounded where grounded and coalesce(answer, '') <> '' and confidence in ('high', 'medium', 'low'))
+, cache as (select question_key, max(answer) as answer, arg_max(confidence, answer) as confidence from kept group by 1)
+, asked as (select event_id, concat('what is item ', event_id % 120) as question_key from events where event_id % 3 = 0)"""
+
+
+@query("X17", CACHED + " select a.event_id, c.answer is not null as hit, c.answer, c.confidence from asked a left join cache c using (question_key)")
+def answers_cache(spark, sf):
+    """Questions against the cache that the grounded answers of the same state of the graph have filled."""
+    g = grounded(spark, sf).withColumn("question", F.concat(F.lit("What  is item "), F.col("event_id") % 97, F.lit(" ?")))
+    none = spark.createDataFrame([], "question_key string, watermark string, expires_at long, answer string, confidence string, sources array<string>")
+    cache = grounding.remember(none, g, "2024-03-19", F.lit(1000).cast("long"))
+    asked = table(spark, sf, "events").where("event_id % 3 = 0").select("event_id", F.concat(F.lit(" what is ITEM "), F.col("event_id") % 120, F.lit("?!")).alias("question"))
+    return grounding.cached(asked, cache, "2024-03-19", F.lit(2000).cast("long")).select("event_id", "hit", "answer", "confidence")
 
 
 @query("F1 P8")

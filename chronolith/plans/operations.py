@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronolith.functions import text as T
 from chronolith.operators import lint, pages, report, status, usage
 
 from .registry import query
@@ -135,25 +136,106 @@ def status_alerts(spark, sf):
     return status.alerts(statuses(spark, sf)).groupBy("severity", "rule").agg(F.count("*").alias("n"))
 
 
-@query("R8", f"""with s as ({STATUS}), v as (select unnest([
-{{'name': 'wiki_index_ready', 'value': cast(wiki_ready as int)::double}}, {{'name': 'wiki_index_age_seconds', 'value': coalesce(index_age::double, case when not wiki_ready then 'inf'::double else 0 end)}}, {{'name': 'blocked_notes', 'value': blocked::double}},
-{{'name': 'community_age_seconds', 'value': coalesce(community_age::double, case when graph_ready and community_count = 0 then 'inf'::double else 0 end)}}, {{'name': 'ingest_lag_seconds', 'value': lag_seconds::double}}]) as x from s)
-select x.name as name, count(*) as n, count(*) filter (isinf(x.value)) as endless, sum(case when isinf(x.value) then 0 else x.value end) as total from v group by 1""")
+GAUGES = f"""with s as ({STATUS}), v as (select k, unnest([
+{{'name': 'wiki_index_ready', 'value': cast(wiki_ready as int)::double}}, {{'name': 'wiki_index_degraded', 'value': cast(degraded as int)::double}}, {{'name': 'wiki_pages_indexed', 'value': pages_indexed::double}},
+{{'name': 'wiki_index_age_seconds', 'value': coalesce(index_age::double, case when not wiki_ready then 'inf'::double else 0 end)}}, {{'name': 'graph_ready', 'value': cast(graph_ready as int)::double}},
+{{'name': 'inbox_notes', 'value': inbox::double}}, {{'name': 'deferred_notes', 'value': deferred::double}}, {{'name': 'blocked_notes', 'value': blocked::double}}, {{'name': 'review_queue_open', 'value': review::double}},
+{{'name': 'ingest_pending_notes', 'value': pending::double}}, {{'name': 'ingest_partial_notes', 'value': partial::double}}, {{'name': 'ingest_lag_seconds', 'value': lag_seconds::double}},
+{{'name': 'community_age_seconds', 'value': coalesce(community_age::double, case when graph_ready and community_count = 0 then 'inf'::double else 0 end)}}]) as x from s) """
+
+
+@query("R8", GAUGES + "select x.name as name, x.value as value from v")
 def status_gauges(spark, sf):
-    some = status.gauges(statuses(spark, sf)).where(F.col("name").isin("wiki_index_ready", "wiki_index_age_seconds", "blocked_notes", "community_age_seconds", "ingest_lag_seconds"))
-    inf = F.col("value") == float("inf")
-    return some.groupBy("name").agg(F.count("*").alias("n"), F.count_if(inf).alias("endless"), F.sum(F.when(inf, 0.0).otherwise(F.col("value"))).alias("total"))
+    """All gauges of every status."""
+    return status.gauges(statuses(spark, sf))
+
+
+COUNTED = f"select case when tool in {TOOLS} then tool else 'other' end as tool, {{outcome}} as outcome, count(*) as n from query_log group by 1, 2"
+
 
+@query("S19", LOG + f", c as ({COUNTED.format(outcome='(case when ' + FAILED + " then 'error' when confidence = 'not_found' then 'not_found' when outcome = 'degraded' then 'degraded' else 'ok' end)")}), " + GAUGES.removeprefix("with ") + """
+, m as (select concat('memory_', x.name) as name, 'gauge' as kind, concat('memory_', x.name, ' ', case when isinf(x.value) then '+Inf' else cast(x.value as varchar) end) as line from v where k = 3
+  union all select 'memory_tool_calls_total', 'counter', concat('memory_tool_calls_total{outcome="', outcome, '",tool="', tool, '"} ', cast(n::double as varchar)) from c)
+, b as (select name, concat('# TYPE ', name, ' ', any_value(kind), chr(10), string_agg(line, chr(10) order by line)) as block from m group by name)
+select string_agg(block, chr(10) order by name) as text from b""")
+def status_exposition(spark, sf):
+    """One status and the use counters as an exposition text."""
+    none = F.create_map().cast("map<string,string>")
+    g = status.gauges(statuses(spark, sf).where("k = 3")).select(F.concat(F.lit("memory_"), "name").alias("name"), F.lit("gauge").alias("kind"), none.alias("labels"), "value")
+    c = usage.counters(log(spark, sf)).where("n > 0").select(F.lit("memory_tool_calls_total").alias("name"), F.lit("counter").alias("kind"), F.create_map(F.lit("tool"), "tool", F.lit("outcome"), "outcome").alias("labels"), F.col("n").cast("double").alias("value"))
+    return status.exposition(g.unionByName(c))
 
-RULES = (("hot", "value > 20", 7200, "warning"), ("odd", "event_id % 5 <> 0", 3600, "critical"))
 
+SAMPLES = """select {time} as "at", case when event_id % 3000 < 900 then 0 else 1 end as up, case when event_id % 2500 < 800 then 0 else 1 end as index_ready, case when event_id % 2000 < 900 then 1 else 0 end as index_degraded, event_id % 1500 as index_age, case when event_id % 4000 < 900 then 0 else 1 end as graph_ready,
+  event_id % 5 as pending, event_id % 9000 as lag, case when event_id % 9000 < 8000 then 1 else 0 end as blocked, event_id % 120 as inbox, 40 as deferred, 30 as review, 20 + event_id % 9 as calls_10m, case when event_id % 1000 < 600 then 4 else 0 end as bad_10m,
+  case when event_id % 700 < 300 then 1 else 0 end as drop_failures_10m, case when event_id % 6000 < 3000 then 700000 else 100 end as community_age from events"""
+HOLDS = ", ".join(f"('{r}', {h}, '{s}')" for r, _, h, s in status.SERIES_RULES)
 
-@query("T10 M3", """with s as (select epoch(ts) as t, value > 20 as hot, event_id % 5 <> 0 as odd from events), r as (select t, 'hot' as rule, 'warning' as severity, 7200 as hold, hot as on_ from s union all select t, 'odd', 'critical', 3600, odd from s)
-, h as (select *, max(case when not on_ then t end) over w as off, min(t) over w as first from r window w as (partition by rule order by t rows between unbounded preceding and current row))
+
+@query("T10 M3", f"""with s as ({SAMPLES.format(time='epoch(ts)')}), r as ({" union all ".join(f'select "at" as t, {chr(39)}{r}{chr(39)} as rule, coalesce({c}, false) as on_ from s' for r, c, _, _ in status.SERIES_RULES)})
+, h as (select r.*, v.hold, v.severity, max(case when not on_ then t end) over w as off, min(t) over w as first from r join (values {HOLDS}) v(rule, hold, severity) on v.rule = r.rule window w as (partition by r.rule order by t rows between unbounded preceding and current row))
 select cast(floor(t) as bigint) as "at", rule, severity from h where on_ and t - coalesce(off, first - 1) > hold""")
 def status_series_alerts(spark, sf):
-    samples = table(spark, sf, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "value", "event_id")
-    return status.series_alerts(samples, RULES).withColumn("at", F.floor("at"))
+    """The eleven rules over samples of all that they read."""
+    e = table(spark, sf, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    samples = spark.sql(SAMPLES.format(time="micros").replace('"at"', "at").replace("from events", "from {events}"), events=e)
+    return status.series_alerts(samples).withColumn("at", F.floor("at"))
+
+
+HEALTH_NOW = "2001-08-02 06:00:00"
+
+
+@query("T8a T8b T8c T8d T8e J11", cte("queue") + f""", a as (select queue, slug, ts, epoch(timestamp '{HEALTH_NOW}' - ts) / 3600.0 as hours from queue where ts is not null)
+, due as (select slug from a where hours between 2 and 48 order by ts desc, slug limit 25), done as (select concat('note-', o_orderkey) as slug from orders where o_orderkey % 3 > 0)
+, newest as (select arg_max(slug, (ts, slug)) as slug from a where queue = 'curated' and hours >= 6)
+, w as (select coalesce(min(hours) <= 48, false) as write_path, count(*) filter (queue = 'inbox' and hours > 24) = 0 as inbox_age, not (count(*) filter (queue in ('inbox', 'deferred') and hours <= 72) > 0 and true) as stalled,
+  count(*) filter (queue in ('inbox', 'deferred') and hours > 168) = 0 as pending_age, count(*) filter (queue = 'deferred') <= 200 as deferred_count from a)
+select x.* from w, (select count(*) = 0 as ingestion from due where slug not in (select slug from done)) i, (select slug is null or slug in (select concat('note-', o_orderkey) from orders where o_orderkey % 2 = 0) as indexing from newest) n,
+lateral (select unnest([{{'check': 'A', 'rule': 'write_path', 'severity': 'fail', 'ok': write_path}}, {{'check': 'B', 'rule': 'ingestion', 'severity': 'fail', 'ok': ingestion}}, {{'check': 'C', 'rule': 'inbox_age', 'severity': 'fail', 'ok': inbox_age}},
+  {{'check': 'C', 'rule': 'stalled', 'severity': 'fail', 'ok': stalled}}, {{'check': 'C', 'rule': 'pending_age', 'severity': 'fail', 'ok': pending_age}}, {{'check': 'C', 'rule': 'deferred_count', 'severity': 'warn', 'ok': deferred_count}},
+  {{'check': 'D', 'rule': 'search', 'severity': 'fail', 'ok': true}}, {{'check': 'D', 'rule': 'answer', 'severity': 'fail', 'ok': true}}, {{'check': 'D', 'rule': 'nonsense', 'severity': 'fail', 'ok': false}}, {{'check': 'D', 'rule': 'pages', 'severity': 'fail', 'ok': true}},
+  {{'check': 'E', 'rule': 'indexing', 'severity': 'fail', 'ok': indexing}}], recursive := true)) x""")
+def status_health(spark, sf):
+    """All health checks over the queues; the probe's nonsense question was not escalated, and curation stands still."""
+    notes = view(spark, sf, "queue").withColumn("ts", F.col("ts").cast("timestamp"))
+    names = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("note-"), "o_orderkey").alias("slug"))
+    episodes = names.where("o_orderkey % 3 > 0").select("slug", (F.col("o_orderkey") % 3 == 1).alias("complete"), (F.col("o_orderkey") % 3 - 1).alias("mention_count"))
+    probes = spark.range(1).select(F.lit(3).alias("facts"), F.lit(0).alias("entities"), F.lit("medium").alias("confidence"), F.lit("a").alias("answer"), F.lit("not_found").alias("none_confidence"), F.lit(None).cast("string").alias("none_answer"), F.lit(False).alias("none_escalate"), F.lit(3).alias("results"))
+    now = F.lit(HEALTH_NOW).cast("timestamp")
+    return status.health(notes, episodes, names.where("o_orderkey % 2 = 0").select(F.col("slug").alias("name")), probes, now, now - F.expr("interval 4 days"))
+
+
+@query("A6", "select count(*) as count, strftime(max(o_orderdate), '%Y-%m-%d') as newest, cast(epoch(timestamp '2001-08-02 06:00:00') - epoch(max(o_orderdate)) as bigint) as age_seconds from orders")
+def status_communities(spark, sf):
+    nodes = table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    return status.communities(nodes, F.lit(HEALTH_NOW).cast("timestamp")).select("count", F.date_format("newest", "yyyy-MM-dd").alias("newest"), F.col("age_seconds").cast("long").alias("age_seconds"))
+
+
+@query("R7", cte("queue", "query_log") + f""", q as (select queue, count(*) as n, cast(greatest(0, epoch(timestamp '{HEALTH_NOW}') - epoch(min(ts))) as bigint) as age from queue group by 1)
+select false as ok, 'git=false,graph=true,wiki=true' as components, (select string_agg(concat(queue, '=', n, '/', age), ',' order by queue) from q) as queues, (select count(*) from documents) as pages_indexed,
+(select count(*) from nation) as communities, count(*) as calls, count(*) filter (cached) as cache_hits from query_log where not test""")
+def status_snapshot(spark, sf):
+    """The whole status as one nested row; here its sections as text and numbers."""
+    now = F.lit(HEALTH_NOW).cast("timestamp")
+    parts = spark.createDataFrame([("wiki", True), ("graph", True), ("git", False)], "component string, ready boolean")
+    queues = status.queue_summary(view(spark, sf, "queue").withColumn("ts", F.col("ts").cast("timestamp")), now)
+    index = table(spark, sf, "documents").agg(F.count("*").alias("pages_indexed"))
+    ingest = spark.range(1).select(F.lit(0).alias("pending"))
+    groups = table(spark, sf, "nation").select(F.lit("2001-08-01").cast("timestamp").alias("created_at"))
+    used = usage.real(log(spark, sf)).agg(F.count("*").alias("total"), F.count_if("cached").alias("cache_hits"))
+    s = status.snapshot(parts, index, queues, ingest, status.communities(groups, now), used)
+    shown = lambda c, f: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e.key, F.lit("="), f(e.value))), ",")
+    return s.select(
+        "ok", shown("components", lambda v: v.cast("string")).alias("components"), shown("queues", lambda v: F.concat(v["count"].cast("string"), F.lit("/"), v["oldest_age_seconds"].cast("long").cast("string"))).alias("queues"),
+        F.col("index.pages_indexed").alias("pages_indexed"), F.col("communities.count").alias("communities"), F.col("usage_24h.total").alias("calls"), F.col("usage_24h.cache_hits").alias("cache_hits"),
+    )
+
+
+@query("T11", "select c_custkey as k, c_custkey % 3 > 0 as ready, c_custkey % 3 > 0 and (c_custkey % 5 = 0 or c_custkey % 7 = 0) as degraded, case when c_custkey % 3 > 0 and (c_custkey % 5 = 0 or c_custkey % 7 = 0) then 'degraded' when c_custkey % 3 > 0 then 'ready' when c_custkey % 5 = 0 then 'error' else 'initializing' end as state from customer")
+def pages_readiness(spark, sf):
+    k = F.col("k")
+    state = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).select("k", (k % 3).alias("usable"), F.when(k % 7 == 0, 2).otherwise(0).alias("omitted"), F.when(k % 5 == 0, "broken").alias("error"))
+    return pages.readiness(state).select("k", "ready", "degraded", "state")
 
 
 @query("A27", "select event_type as job, 2000000 - max(event_id) as since_success, max(user_id) as active from events group by 1")
@@ -162,16 +244,18 @@ def status_scheduler(spark, sf):
     return status.scheduler(e, F.lit(2_000_000)).select("job", "since_success", "active")
 
 
-FIELD = "nullif(trim(regexp_extract(content, '(?m)^{}:[ \\t]*(.*)$', 1)), '')"
-PAGES = cte("pages") + f", cat as (select name, path, {FIELD.format('type')} as type, {FIELD.format('category')} as category, {FIELD.format('status')} as status, {FIELD.format('created')} as created, doc_id, content from pages) "
-LINKS = PAGES + """, raw as (select name as src, trim(split_part(split_part(unnest(regexp_extract_all(regexp_replace(content, '`[^`\\n]+`', '', 'g'), '\\[\\[([^\\]\\n]+?)\\]\\]', 1)), '|', 1), '#', 1)) as dst from cat), found as (select distinct src, dst from raw where dst <> '') """
+FIELD = "nullif(regexp_replace(trim(regexp_extract(block, '(?m)^{}:[ \\t]*(.*)$', 1)), '^([''\"])(.*)[''\"]$', '\\2'), '')"
+FRONT = "(?s)^---\\n(.*?)\\n---\\n?"
+PAGES = cte("pages") + f", blocks as (select *, case when regexp_matches(content, '{FRONT}') then regexp_extract(content, '{FRONT}', 1) end as block, regexp_replace(content, '{FRONT}', '') as body from pages), cat as (select name, path, block, body, content, {FIELD.format('type')} as type, {FIELD.format('category')} as category, {FIELD.format('status')} as status, {FIELD.format('created')} as created from blocks) "
+INSIDE = "list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace({}, '`[^`\\n]+`', '', 'g'), '\\[\\[([^\\]\\n]+?)\\]\\]', 1), lambda x: trim(split_part(split_part(x, '|', 1), '#', 1))), lambda x: x <> ''))"
+LINKS = PAGES + f""", found as (select name as src, unnest({INSIDE.format('body')}) as dst from cat) """
 
 
 def catalog(spark, sf):
     return pages.catalog(view(spark, sf, "pages"))
 
 
-@query("S2 P1 D2 T11", PAGES + "select name, type, category, status from cat")
+@query("S2 P1 D2 S3 S4", PAGES + "select name, type, category, status from cat")
 def pages_catalog(spark, sf):
     return catalog(spark, sf).select("name", "type", "category", "status")
 
@@ -206,33 +290,61 @@ def issues(spark, sf):
     return lint.lint(catalog(spark, sf))
 
 
-@query("Q1 Q2 Q3 Q4 Q5 Q6 Q7 Q8 Q9 Q11 D16", PAGES + """select 'type' as rule, count(*) as n from cat where type not in ('entity', 'concept', 'source', 'synthesis', 'decision', 'log', 'index') having count(*) > 0
-union all select 'type_missing', count(*) from cat where type is null having count(*) > 0
-union all select 'created', count(*) from cat where created = 'someday' having count(*) > 0
-union all select 'h1', count(*) from cat where doc_id % 17 = 0 having count(*) > 0
-union all select 'tag_case', count(*) from cat where doc_id % 6 = 0 having count(*) > 0
-union all select 'tag_blank', count(*) from cat where doc_id % 6 = 0 having count(*) > 0
-union all select 'decision_status', count(*) from cat where type = 'decision' and status is null having count(*) > 0
-union all select 'status_unused', count(*) from cat where type in ('concept', 'synthesis', 'source', 'log', 'index') and status is not null having count(*) > 0""")
+NOTE_PATH = "regexp_matches(path, '(^|/)sources/notes/')"
+ISSUES = PAGES + f"""
+, p as (select *, trim(regexp_extract(body, '(?m)^# (.+?)$', 1)) as h1, {FIELD.format('updated')} as updated, {FIELD.format('superseded-by')} as successor, {FIELD.format('length-exempt')} as exempt, regexp_extract(path, 'sources/notes/(.*)$', 1) as rest,
+  length(content) - length(replace(content, chr(10), '')) as n, {NOTE_PATH} as note, string_split(regexp_extract(block, '(?m)^tags:[ \\t]*\\[(.*)\\][ \\t]*$', 1), ',') as tags, regexp_extract(block, '(?m)^sources:[ \\t]*(\\[.*\\])[ \\t]*$', 1) as listed from cat)
+, e as (select *, list_transform(tags, lambda t: trim(t)) as tag from p)
+, alone as (select path as file, unnest(list_concat([
+    case when block is not null and h1 <> '' and h1 <> name and name not in ('index', 'log', 'MEMORY') and not (regexp_matches(path, '(^|/)log/') and regexp_matches(name, '^\\d{{4}}-(W\\d{{2}}|\\d{{2}})$')) then 'error/h1' end,
+    case when block is null then 'error/frontmatter' end, case when block is not null and type is null then 'warning/type_missing' end, case when type not in ('entity', 'concept', 'source', 'synthesis', 'decision', 'log', 'index') then 'warning/type' end,
+    case when (type = 'entity' and status not in ('live', 'degraded', 'dormant', 'retired', 'broken', 'candidate', 'not-installed', 'legacy')) or (type = 'decision' and status not in ('undecided', 'decided', 'superseded')) then 'warning/status' end,
+    case when type in ('concept', 'synthesis', 'source', 'log', 'index') and status is not null then 'info/status_unused' end, case when not regexp_full_match(created, '\\d{{4}}-\\d{{2}}-\\d{{2}}') then 'warning/created' end,
+    case when not regexp_full_match(updated, '\\d{{4}}-\\d{{2}}-\\d{{2}}') then 'warning/updated' end, case when regexp_matches(block, '(?m)^sources:[ \\t]*[^\\s\\[]') then 'warning/sources' end, case when type = 'decision' and status is null then 'warning/decision_status' end,
+    case when type = 'decision' and status = 'superseded' and successor is null then 'warning/superseded_by' end, case when block is not null and note and not (regexp_full_match(rest, '\\d{{4}}/\\d{{2}}/\\d{{2}}/[^/]+/[^/]+') and starts_with(split_part(rest, '/', 4), concat(replace(left(rest, 10), '/', '-'), '-'))) then 'error/nesting' end,
+    case when exempt is null and ((type = 'concept' and n > 150) or (type = 'entity' and n > 250)) then 'info/length' end],
+    case when block is null then [] else list_concat(list_transform(list_filter(tag, lambda t: t <> lower(t)), lambda t: 'warning/tag_case'), list_transform(list_filter(tag, lambda t: contains(t, ' ')), lambda t: 'warning/tag_blank')) end)) as issue from e)
+, pairs as (select name, path, unnest(list_distinct(list_concat({INSIDE.format('body')}, {INSIDE.format("coalesce(listed, '')")}))) as dst from e where block is not null and not note)
+, linked as (select path as file, case when n.low is null then 'error/link' else 'warning/link_case' end as issue from pairs left join (select lower(name) as low, max(name) as expected from cat group by 1) n on n.low = lower(dst) where n.low is null or n.expected <> dst)
+, issues as (select * from alone where issue is not null union all select * from linked) """
+
+
+@query("Q1 Q2 Q3 Q4 Q5 Q6 Q7 Q8 Q9 Q10 Q11 D16 S5", ISSUES + "select file, split_part(issue, '/', 1) as severity, split_part(issue, '/', 2) as rule, count(*) as n from issues group by all")
 def lint_rules(spark, sf):
-    """How often each rule about a single page is broken (those whose condition the view states)."""
-    some = ("type", "type_missing", "created", "h1", "tag_case", "tag_blank", "decision_status", "status_unused")
-    return issues(spark, sf).where(F.col("rule").isin(*some)).groupBy("rule").agg(F.count("*").alias("n"))
+    """How often each page breaks each rule."""
+    return issues(spark, sf).groupBy("file", "severity", "rule").agg(F.count("*").alias("n"))
 
 
-@query("A12 Q12 S5")
+@query("A12 Q12", ISSUES + "select count(*) filter (starts_with(issue, 'error')) as errors, count(*) filter (starts_with(issue, 'warning')) as warnings, count(*) filter (starts_with(issue, 'info')) as infos, 1 as exit_code from issues")
 def lint_summary(spark, sf):
     return lint.summary(issues(spark, sf))
 
 
+@query("X4", LINKS + "select 'doc-21' as name, (select type from cat where name = 'doc-21') as type, (select list_sort(list(dst)) from found where src = 'doc-21') as wikilinks_out, coalesce((select list_sort(list(distinct src)) from found where dst = 'doc-21'), []) as wikilinks_in")
+def pages_get(spark, sf):
+    return pages.page(catalog(spark, sf), "doc-21").select("name", "type", "wikilinks_out", "wikilinks_in")
+
+
 @query("A13", PAGES + "select type, coalesce(category, 'Uncategorized') as category, count(*) as n from cat group by 1, 2")
 def report_by_type(spark, sf):
     return report.by_type(catalog(spark, sf))
 
 
-@query("R1 O11 P18")
+INDEX = PAGES + """
+, raw as (select *, regexp_extract(regexp_replace(body, '^# [^\\n]+\\n', ''), '(?s)^\\s*(.*?)(?:\\n\\n|$)', 1) as para0 from cat)
+, once as (select *, regexp_replace(para0, 'SHOWN', '\\1\\2\\3\\4', 'g') as para1 from raw), shown as (select *, trim(regexp_replace(regexp_replace(para1, 'SHOWN', '\\1\\2\\3\\4', 'g'), '\\s+', ' ', 'g')) as para from once)
+, d as (select *, case when length(para) <= 220 then para when regexp_matches(left(para, 220), '(?s)^.{101,}\\. ') then regexp_extract(left(para, 220), '(?s)^(.{101,}\\.) ', 1) else concat(rtrim(left(para, 220)), '…') end as description from shown)
+, line as (select *, concat('- [[', name, ']]', case when type = 'decision' then concat(' **[', coalesce(status, '?'), ']**') else '' end, case when trim(coalesce(description, '')) <> '' then concat(' — ', trim(description)) else '' end) as line from d)
+, months as (select regexp_extract(coalesce(created, name), '^(\\d{4}-\\d{2})', 1) as month, count(*) as n from cat where type = 'source' group by 1)
+, rows_ as (select 1 as section, case when coalesce(category, '') = '' then 10000 when category = 'cat2' then 1 when category = 'cat0' then 2 else 5000 end as slot, coalesce(category, 'Uncategorized') as category, lower(name) as key, line from line where type = 'entity'
+  union all select case type when 'concept' then 2 when 'synthesis' then 3 else 4 end, 0, null, lower(name), line from line where type in ('concept', 'synthesis', 'decision')
+  union all select 5, -row_number() over (order by m), null, '', concat('- **', m, '** — ', n, ' sources') from (select case when month = '' then 'undated' else month end as m, n from months))
+select section, category, row_number() over (partition by section order by slot, coalesce(category, ''), key, line) as ord, line from rows_""".replace("SHOWN", T.SHOWN)
+
+
+@query("R1 O11 P18 P29", INDEX)
 def report_index(spark, sf):
-    dated = catalog(spark, sf).withColumn("created", F.regexp_extract("block", r"(?m)^created:[ \t]*(.*)$", 1))
+    dated = catalog(spark, sf).withColumn("created", T.frontmatter_field(F.col("block"), "created"))
     return report.index_lines(dated, ("cat2", "cat0"))
 
 

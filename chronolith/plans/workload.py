@@ -27,12 +27,14 @@ select event_id, user_id, ts, case event_type when 'click' then 'wiki_search' wh
 from {events}""",
     "pages": """
 select doc_id, concat('doc-', doc_id) as name,
-  concat('---', chr(10), case when doc_id % 13 = 0 then '' else concat('type: ', case doc_id % 7 when 0 then 'entity' when 1 then 'concept' when 2 then 'source' when 3 then 'synthesis' when 4 then 'decision' when 5 then 'log' else 'memo' end, chr(10)) end,
-    case when doc_id % 3 = 0 then concat('category: cat', doc_id % 4, chr(10)) else '' end, case when doc_id % 4 = 0 then concat('status: ', case doc_id % 3 when 0 then 'live' when 1 then 'decided' else 'odd' end, chr(10)) else '' end,
-    'created: ', case when doc_id % 19 = 0 then 'someday' else concat('2024-0', 1 + doc_id % 9, '-1', doc_id % 10) end, chr(10), 'tags: [', source, case when doc_id % 6 = 0 then ', Big Tag' else '' end, ']', chr(10),
-    '---', chr(10), '# doc-', case when doc_id % 17 = 0 then 'x' else '' end, doc_id, chr(10), chr(10), text, chr(10), chr(10), 'See [[doc-', doc_id * 7 % 150, '|alias]] and [[', case when doc_id % 2 = 0 then 'Doc-' else 'doc-' end, doc_id * 3 % 150, '#part]]',
+  concat(case when doc_id % 29 = 0 then '' else concat('---', chr(10), case when doc_id % 13 = 0 then '' else concat('type: ', case doc_id % 7 when 0 then 'entity' when 1 then 'concept' when 2 then 'source' when 3 then 'synthesis' when 4 then 'decision' when 5 then 'log' else 'memo' end, chr(10)) end,
+    case when doc_id % 3 = 0 then concat('category: cat', doc_id % 4, chr(10)) else '' end, case when doc_id % 4 = 0 then concat('status: ', case doc_id % 3 when 0 then 'live' when 1 then 'superseded' else 'odd' end, chr(10)) else '' end,
+    'created: ', case when doc_id % 19 = 0 then 'someday' else concat('2024-0', 1 + doc_id % 9, '-1', doc_id % 10) end, chr(10), case when doc_id % 31 = 0 then concat('updated: 24-1-1', chr(10)) else '' end, case when doc_id % 8 = 0 then concat('superseded-by: doc-', doc_id, chr(10)) else '' end,
+    case doc_id % 6 when 1 then concat('sources: ["[[doc-', doc_id % 100, ']]", "[[gone ', doc_id % 3, ']]"]', chr(10)) when 2 then concat('sources: doc-1', chr(10)) else '' end, case when doc_id % 5 = 0 then concat('length-exempt: yes', chr(10)) else '' end,
+    'tags: [', source, case when doc_id % 6 = 0 then ', Big Tag' else '' end, ']', chr(10), '---', chr(10)) end, '# doc-', case when doc_id % 17 = 0 then 'x' else '' end, doc_id, chr(10), chr(10), text, chr(10), chr(10),
+    case when doc_id % 10 in (1, 7) then repeat(concat('- a line', chr(10)), 260) else '' end, 'See [[doc-', doc_id * 7 % 150, '|alias]] and [[', case when doc_id % 2 = 0 then 'Doc-' else 'doc-' end, doc_id * 3 % 150, '#part]]',
     case when doc_id % 5 = 0 then concat(' or [[nowhere ', doc_id % 10, ']]') else '' end, ' but not `[[code]]`.', chr(10)) as content,
-  case when doc_id % 7 = 2 then concat('wiki/sources/notes/2024/0', 1 + doc_id % 9, '/1', doc_id % 10, '/doc-', doc_id, '/doc-', doc_id, '.md') else concat('wiki/doc-', doc_id, '.md') end as path
+  case when doc_id % 7 = 2 then concat('wiki/sources/notes/2024/0', 1 + doc_id % 9, '/1', doc_id % 10, '/doc-', doc_id, '/doc-', doc_id, '.md') when doc_id % 37 = 0 then concat('wiki/log/2024-W', 10 + doc_id % 40, '/doc-', doc_id, '.md') else concat('wiki/doc-', doc_id, '.md') end as path
 from {documents}""",
     "notes": """
 select doc_id, concat('2024-01-', lpad(cast(1 + doc_id % 28 as varchar(4)), 2, '0'), '-', lpad(cast(doc_id % 24 as varchar(4)), 2, '0'), '3000-doc-', doc_id) as slug, text as body from {documents}""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import text as T
 from chronolith.operators import ingest, queues, status
+from chronolith.sources import files
 
 from .registry import query
 from .workload import cte, table, view
@@ -70,7 +71,7 @@ def ingest_mention_counts(spark, sf):
     return ingest.with_mentions(view(spark, sf, "episodes").drop("mention_count"), mentions).select("uuid", "mention_count")
 
 
-@query("W8 T4 M11", """with i as (select o_custkey, o_orderkey as seq, o_orderstatus <> 'F' as ok, sum(case when o_orderstatus <> 'F' then 1 else 0 end) over (partition by o_custkey order by o_orderkey) as island from orders)
+@query("W8 T4", """with i as (select o_custkey, o_orderkey as seq, o_orderstatus <> 'F' as ok, sum(case when o_orderstatus <> 'F' then 1 else 0 end) over (partition by o_custkey order by o_orderkey) as island from orders)
 , s as (select *, case when ok then 0 else sum(case when ok then 0 else 1 end) over (partition by o_custkey, island order by seq) end as streak from i)
 select o_custkey, seq, cast(streak as bigint) as streak, coalesce(max(case when streak >= 3 then 1 else 0 end) over (partition by o_custkey order by seq rows between unbounded preceding and 1 preceding), 0) = 1 as stopped from s""")
 def ingest_breaker(spark, sf):
@@ -131,10 +132,14 @@ def queue_counts(spark, sf):
     return queues.counts_line(prepared(spark, sf))
 
 
-@query("B2 D15 P22", """select concat('2024-01-01-000000-n', o_orderkey) as slug, case when o_orderkey % 5 = 4 then 'invalid-reason' when o_custkey is null or o_orderkey % 2 = 1 then 'blocked' when o_orderkey % 5 = 0 then 'already-blocked' else 'conflict' end as result from orders""")
+REASONS = "['already-ingested', 'corrupt-input', 'unparseable-input', 'malformed-note', 'needs-operator-review', 'because']"
+
+
+@query("B2 D15 P22", f"""select slug, case when not regexp_full_match(slug, '[A-Za-z0-9][A-Za-z0-9._-]{{0,199}}') then 'invalid-slug' when reason = 'because' then 'invalid-reason' when o_orderkey % 2 = 1 then 'blocked' when reason = 'already-ingested' then 'already-blocked' else 'conflict' end as result
+from (select o_orderkey, case when o_orderkey % 17 = 0 then '../' else '' end || concat('Note_', o_orderkey, '.x') as slug, {REASONS}[o_orderkey % 6 + 1] as reason from orders)""")
 def queue_receipts(spark, sf):
-    reason = F.element_at(F.array(*map(F.lit, (*T.BLOCK_REASONS[:4], "because"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    slug = F.concat(F.lit("2024-01-01-000000-n"), "o_orderkey").alias("slug")
+    reason = F.element_at(F.array(*map(F.lit, (*T.BLOCK_REASONS, "because"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    slug = F.concat(F.when(F.col("o_orderkey") % 17 == 0, "../").otherwise(""), F.lit("Note_"), "o_orderkey", F.lit(".x")).alias("slug")
     o = table(spark, sf, "orders")
     return queues.receipts(o.select(slug, reason.alias("reason")), o.where("o_orderkey % 2 = 0").select(slug, F.lit(T.BLOCK_REASONS[0]).alias("reason")))
 
@@ -169,3 +174,35 @@ def runs_tool_pairs(spark, sf):
 count(*) filter (kind = 'compaction') as compactions, count(*) filter (error <> '') as errors, arg_max(kind, seq) as last_kind from r group by 1""")
 def runs_totals(spark, sf):
     return queues.run_totals(runs(spark, sf)).withColumn("cost", F.round("cost", 4))
+
+
+@query("M1 M7", cte("notes", "episodes") + ", w as (select slug, content_hash from episodes), n as (select distinct slug, sha256(body) as content_hash from notes) select n.slug, n.content_hash from n where not exists (select 1 from w where w.slug = n.slug and w.content_hash = n.content_hash)")
+def ingest_unseen(spark, sf):
+    """What a batch of notes adds to what was written before: the batch form of the streamed ingestion."""
+    return ingest.unseen(view(spark, sf, "notes"), view(spark, sf, "episodes")).select("slug", "content_hash")
+
+
+@query("X13", cte("episodes") + "select slug, content, created_at as valid_at from episodes where slug = '2024-01-03-023000-doc-2' and content is not null order by created_at desc, uuid desc limit 1")
+def ingest_note(spark, sf):
+    """A note by its slug, as its newest episode has it."""
+    return ingest.note(view(spark, sf, "episodes"), "2024-01-03-023000-doc-2")
+
+
+DROPS = """with docs as (select doc_id, text, case when doc_id % 7 = 0 then concat('Bad ', doc_id) else concat('doc-', doc_id) end as slug, case when doc_id % 11 = 0 then '  ' else text end as note_md from documents)
+, asked as (select doc_id, 0 as again, slug, note_md from docs union all select doc_id, 1, slug, note_md from docs where doc_id % 3 = 0 union all select doc_id, 2, slug, concat(note_md, '!') from docs where doc_id % 4 = 0)
+, bad as (select *, case when not regexp_full_match(slug, '[a-z0-9][a-z0-9-]{0,63}') then 'slug' when coalesce(regexp_replace(note_md, '\\s+', '', 'g'), '') = '' then 'empty note' when strlen(note_md) > 262144 then 'note too large' end as error from asked)
+, known as (select *, case when error is null and again < 2 and doc_id % 5 = 0 then concat('2023-01-01-000000-doc-', doc_id) end as old, concat('2024-01-0', again + 1, '-030405-', slug) as new from bad)
+select slug, coalesce(old, case when again = 1 and error is null then replace(new, '01-02-', '01-01-') end, new) as folder, error is null as ok, error is null and (old is not null or again = 1) as already_exists, error from known"""
+
+
+@query("S15 J12 M8 P9 P13", DROPS)
+def ingest_drops(spark, sf):
+    """Dropped notes: refused, known from before under the same slug, repeated, or new (also where a foreign slug has the
+    same text)."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Bad "), "doc_id")).otherwise(F.concat(F.lit("doc-"), "doc_id")).alias("slug"), F.when(F.col("doc_id") % 11 == 0, "  ").otherwise(F.col("text")).alias("note_md"))
+    none = [F.lit(None).cast("map<string,string>").alias(c) for c in ("texts", "binaries")]
+    at = lambda n: F.lit(f"2024-01-0{n + 1} 03:04:05").cast("timestamp").alias("at")
+    asked = d.select("slug", "note_md", *none, at(0)).unionByName(d.where("doc_id % 3 = 0").select("slug", "note_md", *none, at(1))).unionByName(d.where("doc_id % 4 = 0").select("slug", F.concat("note_md", F.lit("!")).alias("note_md"), *none, at(2)))
+    held = T.payload_hash(F.col("note_md"), F.lit(None).cast("map<string,string>"), F.lit(None).cast("map<string,binary>")).alias("capture_hash")
+    seen = d.where("doc_id % 5 = 0").select(F.concat(F.lit("2023-01-01-000000-doc-"), "doc_id").alias("folder"), held).unionByName(d.where("doc_id % 5 = 1").select(F.concat(F.lit("2023-01-01-000000-other-"), "doc_id").alias("folder"), held))
+    return files.decide_drops(asked, seen).select("slug", "folder", F.col("error").isNull().alias("ok"), "already_exists", "error")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -52,13 +54,31 @@ def read_query_log(spark: SparkSession, path: str, now: float, days: int, most:
     """The last `most` events of the window, oldest first; malformed lines are skipped, a missing ts counts as 0, days
     are clamped. The most recent are a top-k, so nothing is sorted whole."""
     days = T.clamp(days, 0, MAX_DAYS)
-    rows = spark.read.schema(QUERY_EVENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
+    rows = spark.read.schema(QUERY_EVENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("recursiveFileLookup", True).json(path)
     rows = rows.where("broken is null").drop("broken").withColumn("ts", F.coalesce("ts", F.lit(0.0)))
     return rows.where(F.col("ts") >= now - days * 86400).orderBy(F.desc("ts")).limit(most).orderBy("ts")
 
 
-def append_query_log(events: DataFrame, path: str) -> None:
-    events.write.mode("append").json(path)
+def append_query_log(events: DataFrame, path: str, keep_days: int | None = None) -> None:
+    """Appends events below path, in a folder for each day of their ts. With keep_days the log is bounded: days that lie
+    so far behind its newest are dropped, as a rotation drops its oldest files."""
+    day = F.date_format(F.timestamp_seconds(F.coalesce("ts", F.lit(0.0))), "yyyy-MM-dd")
+    events.withColumn("day", day).write.mode("append").partitionBy("day").json(path)
+    if keep_days is None:
+        return
+    jvm, conf = events.sparkSession._jvm, events.sparkSession._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    days = sorted(name[4:] for name in (f.getPath().getName() for f in fs.listStatus(root)) if name.startswith("day="))
+    oldest = date.fromisoformat(days[-1]) - timedelta(days=keep_days - 1)
+    for name in days:
+        if date.fromisoformat(name) < oldest:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/day={name}"), True)
+
+
+def read_group(spark: SparkSession, path: str, group_id: str) -> DataFrame:
+    """Rows of one group of a node or edge table; where the table is partitioned by group, only its folder is read."""
+    return spark.read.parquet(path).where(F.col("group_id") == group_id)
 
 
 def read_embeddings(spark: SparkSession, path: str, model: str, dim: int) -> DataFrame:
@@ -100,15 +120,36 @@ def agent_events(lines: DataFrame) -> DataFrame:
     return lines.select(F.from_json("value", AGENT_EVENT).alias("e")).where("e.kind is not null").select("e.*")
 
 
-def drop_notes(requests: DataFrame, seen: DataFrame, notes: str) -> DataFrame:
-    """requests(slug, note_md, texts, binaries, at) -> (slug, folder, ok, already_exists, error): validates, drops
-    repeats of a payload under the same slug, and appends the rest in one write job, partitioned by day."""
-    checked = requests.withColumn("error", T.note_error(F.col("slug"), F.col("note_md"), F.col("texts"), F.col("binaries")))
+def decide_drops(requests: DataFrame, seen: DataFrame) -> DataFrame:
+    """requests(slug, note_md, texts, binaries, at) against seen(folder, capture_hash) -> one row for each request, with
+    binaries decoded and capture_hash, folder, already_exists, error.
+
+    A payload that an earlier folder, or an earlier request of the same slug, holds already exists there; under another
+    slug it is a new note. A new note whose folder exists, with another payload, is an error."""
     decoded = F.transform_values("binaries", lambda k, v: F.try_to_binary(v, F.lit("base64")))
-    checked = checked.withColumn("capture_hash", F.when(F.col("error").isNull(), T.payload_hash(F.col("note_md"), F.col("texts"), decoded)))
-    known = seen.select("capture_hash", F.col("folder").alias("old"))
-    hit = checked.join(known, "capture_hash", "left").where(F.col("old").isNull() | F.col("old").endswith(F.concat(F.lit("-"), F.col("slug"))))
-    out = hit.select("slug", "note_md", "capture_hash", "error", F.coalesce("old", F.concat(F.date_format("at", "yyyy-MM-dd-HHmmss"), F.lit("-"), F.col("slug"))).alias("folder"), F.col("old").isNotNull().alias("already_exists"), F.to_date("at").alias("day"))
-    out = out.dropDuplicates(["slug", "capture_hash"])
-    out.where("error is null and not already_exists").select("folder", "slug", "note_md", "capture_hash", "day").write.mode("append").partitionBy("day").parquet(notes)
-    return out.select("slug", "folder", F.col("error").isNull().alias("ok"), "already_exists", "error")
+    rows = requests.withColumn("error", T.note_error(F.col("slug"), F.col("note_md"), F.col("texts"), F.col("binaries"))).withColumn("binaries", decoded)
+    rows = rows.withColumn("capture_hash", F.when(F.col("error").isNull(), T.payload_hash(F.col("note_md"), F.col("texts"), F.col("binaries"))))
+    known = seen.select("capture_hash", F.col("folder").alias("known"))
+    match = rows.where("error is null").select("slug", "capture_hash").distinct().join(known, "capture_hash").where(F.col("known").endswith(F.concat(F.lit("-"), F.col("slug"))))
+    rows = rows.join(match.groupBy("slug", "capture_hash").agg(F.min("known").alias("old")), ["slug", "capture_hash"], "left")
+    same = Window.partitionBy("slug", "capture_hash").orderBy("at")
+    new = F.concat(F.date_format(F.first("at").over(same), "yyyy-MM-dd-HHmmss"), F.lit("-"), F.col("slug"))
+    valid = rows.where("error is null").withColumns({"folder": F.coalesce("old", new), "repeat": F.row_number().over(same) > 1})
+    taken = seen.select(F.col("folder")).distinct().withColumn("taken", F.lit(True))
+    valid = valid.join(taken, "folder", "left").withColumn("first_hash", F.min(F.when(F.col("old").isNull(), F.col("capture_hash"))).over(Window.partitionBy("folder")))
+    clash = F.col("old").isNull() & (F.col("taken").isNotNull() | (F.col("first_hash") != F.col("capture_hash")))
+    valid = valid.withColumn("error", F.when(clash, "folder exists"))
+    columns = ["slug", "note_md", "texts", "binaries", "at", "capture_hash"]
+    out = valid.select(*columns, "folder", ((F.col("old").isNotNull() | F.col("repeat")) & ~clash).alias("already_exists"), "error")
+    refused = rows.where("error is not null").select(*columns, F.concat(F.date_format("at", "yyyy-MM-dd-HHmmss"), F.lit("-"), F.col("slug")).alias("folder"), F.lit(False).alias("already_exists"), "error")
+    return out.unionByName(refused)
+
+
+def drop_notes(requests: DataFrame, seen: DataFrame, notes: str) -> DataFrame:
+    """Decides on requests as decide_drops does, appends the new notes with their text and binary attachments in one write
+    job, partitioned by day, and returns (slug, folder, ok, already_exists, error) for each request. The decisions are
+    checkpointed before the write, so that what is returned does not depend on what was written."""
+    decided = decide_drops(requests, seen).checkpoint()
+    new = decided.where("error is null and not already_exists").withColumn("day", F.to_date("at"))
+    new.select("folder", "slug", "note_md", "texts", "binaries", "capture_hash", "day").write.mode("append").partitionBy("day").parquet(notes)
+    return decided.select("slug", "folder", F.col("error").isNull().alias("ok"), "already_exists", "error")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronolith.operators import facts as facts_ops
+from chronolith.operators import ingest as ingest_ops
 from chronolith.operators import usage
 
 BATCH_FILES = 15
@@ -20,26 +21,34 @@ def note_stream(spark: SparkSession, path: str, schema: str, files: int = BATCH_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def written_before(spark: SparkSession, target: str, number: int, schema: str) -> DataFrame:
+    """What other batches than this one wrote below target."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch long").parquet(target).where(F.col("batch") != number).drop("batch")
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Takes all notes that are there in batches, each written once: a batch's folder is named by its number, so that a
-    batch run again after a crash overwrites its own output and nothing is counted twice."""
+    """Takes all notes that are there in batches, each note and content once: what an earlier batch wrote is left out, and
+    a batch's folder is named by its number, so that a batch run again after a crash overwrites its own output."""
 
     def one(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(["slug", "body"]).withColumn("content_hash", F.sha2("body", 256))
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        before = written_before(batch.sparkSession, target, number, "slug string, content_hash string")
+        ingest_ops.unseen(batch, before).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(one).start()
 
 
-def late_facts(stream: DataFrame, events: str, facts: str, checkpoint: str) -> StreamingQuery:
+def late_facts(stream: DataFrame, events: str, facts: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Facts that arrive late change their neighbours' intervals, so each batch recomputes whole subjects by event time:
-    only the subjects in the batch are read back (events and facts are partitioned by a hash bucket of the subject)."""
-    buckets = 16
+    events and facts are partitioned by a hash bucket of the subject, and only the buckets of the batch's subjects are read
+    and written again. Keep `buckets` in proportion to the history; it must not change."""
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         keyed = batch.withColumn("bucket", F.pmod(F.xxhash64("subject"), F.lit(buckets)).cast("int"))
-        keyed.write.mode("overwrite").parquet(f"{events}/batch={number}")
+        keyed.write.mode("overwrite").partitionBy("bucket").parquet(f"{events}/batch={number}")
         touched = [r.bucket for r in keyed.select("bucket").distinct().collect()]  # at most `buckets` numbers
         rows = spark.read.parquet(events).where(F.col("bucket").isin(touched)).drop("batch").dropDuplicates(["uuid"])
         closed = facts_ops.close_intervals(rows, "subject")
@@ -58,34 +67,35 @@ def once(stream: DataFrame, late: str) -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["capture_hash", "slug"])
 
 
-def pair_runs(stream: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
+def pair_runs(stream: DataFrame, timeout_seconds: int = 3600, late_seconds: int = 600) -> DataFrame:
     """events(session, call_id, ts double, kind) -> (session, call_id, started, ended): starts wait in state for their
-    end, and are given up (ended null) after the timeout."""
+    end. One is given up (ended null) once events are timeout_seconds and late_seconds further by their own time; events
+    more than late_seconds behind the newest of earlier batches are dropped. As nothing waits for the clock, a run over
+    what is available ends."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (started,) = state.get
-            state.remove()
-            yield pd.DataFrame({"session": [key[0]], "call_id": [key[1]], "started": [started], "ended": [None]})
-            return
         started, out = (state.get[0] if state.exists else None), []
-        for f in frames:
-            for kind, ts in f.sort_values("ts")[["kind", "ts"]].itertuples(index=False):
+        if state.hasTimedOut:
+            out, started = [(*key, started, None)], None
+        else:
+            events = pd.concat(list(frames)).sort_values(["ts", "kind"], ascending=[True, False])  # a start before an end
+            for kind, ts in events[["kind", "ts"]].itertuples(index=False):
                 if kind == "tool_start":
                     started = ts
-                elif kind == "tool_end" and started is not None:
-                    out.append((key[0], key[1], started, ts))
+                elif started is not None:
+                    out.append((*key, started, ts))
                     started = None
         if started is None:
             if state.exists:
                 state.remove()
         else:
             state.update((started,))
-            state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["session", "call_id", "started", "ended"])
+            state.setTimeoutTimestamp(max(int((started + timeout_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["session", "call_id", "started", "ended"]).astype({"started": "float64", "ended": "float64"})
 
-    keyed = stream.where(F.col("kind").isin("tool_start", "tool_end")).groupBy("session", "call_id")
-    return keyed.applyInPandasWithState(step, "session string, call_id string, started double, ended double", "started double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.where(F.col("kind").isin("tool_start", "tool_end")).withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", f"{late_seconds} seconds")
+    keyed = timed.groupBy("session", "call_id")
+    return keyed.applyInPandasWithState(step, "session string, call_id string, started double, ended double", "started double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def backoff_seconds(failures: int, cap: int = 20) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import plugins
 from chronolith.functions import text as T
-from chronolith.operators import community, grounding, ingest, pages, report, resolve, search
+from chronolith.operators import community, grounding, ingest, pages, report, resolve, search, status
 from chronolith.sources import files
 from chronolith.streaming import notes
 
@@ -47,7 +47,24 @@ def text_cases():
         (T.transient_error(F.lit(429), F.lit(""), F.lit("")), True),
         (T.transient_error(F.lit(404), F.lit(""), F.lit("timeout")), False),
         (T.period_label(F.lit(7)), "weekly"),
-        (T.bounded(F.lit("token=abc x"), 100), "token=[redacted] x"),
+        (T.bounded(F.lit("key abc\r x"), ("abc", ""), 100), "key <redacted> x"),
+        (T.bounded(F.lit("x" * 120), (), 100), "x" * 100 + "\n... <truncated 20 chars>"),
+        (T.transient_error(F.lit(None).cast("int"), F.lit("ValueError"), F.lit("Quota exceeded")), True),
+        (T.transient_error(F.lit(None).cast("int"), F.lit("ValueError"), F.lit("bad connection pool")), False),
+        (T.transient_error(F.lit(None).cast("int"), F.lit("APIConnectionError"), F.lit(None).cast("string")), True),
+        (T.wikilinks(F.lit("[[Page\\|alias]] [[#top]] [[a b #h]] `x [[no]] y` ``` [[no]] ``` [[ c | d ]]")), ["Page", "a b", "c"]),
+        (T.first_paragraph(F.lit("---\na: 1\n---\n# T\n\n\n**[[L]]** and `code` *it*\nmore\n\nnext")), "L and code it more"),
+        (T.first_paragraph(F.lit("w" * 110 + ". " + "x" * 150)), "w" * 110 + "."),
+        (T.first_paragraph(F.lit("w. " + "x" * 250)), "w. " + "x" * 217 + "…"),
+        (T.tag_slugs(F.array(F.lit("Big Tag"), F.lit("--"), F.lit("a"))), ["source-note", "big-tag", "a"]),
+        (T.safe_error(F.lit("ValueError"), F.lit(3)), "ValueError 3"),
+        (T.age_seconds(F.lit("2024-01-01 00:01:00").cast("timestamp"), T.iso_timestamp(F.lit("2024-01-01T00:00:00Z"))), 60.0),
+        (T.age_seconds(F.lit("2024-01-01 00:01:00").cast("timestamp"), T.iso_timestamp(F.lit("2024-01-01T02:00:00+01:00"))), 0.0),
+        (T.iso_timestamp(F.lit("soon")).isNull(), True),
+        (T.fresh(F.lit(2000), F.lit(200), F.lit(True)), True), (T.fresh(F.lit(2001), F.lit(200), F.lit(True)), False), (T.fresh(F.lit(2000), F.lit(200), F.lit(False)), False),
+        (T.may_compact(F.lit(9000), F.lit(0), F.lit(True), F.lit(8900), F.lit(False)), True),
+        (T.may_compact(F.lit(9000), F.lit(0), F.lit(True), F.lit(8000), F.lit(False)), False),
+        (T.may_compact(F.lit(9000), F.lit(None).cast("int"), F.lit(None).cast("boolean"), F.lit(None).cast("int"), F.lit(True)), True),
         (T.month_key(F.lit(None).cast("string"), F.lit("2024-05-01-x"), F.lit("n")), "2024-05"),
         (T.embedding_input(F.lit("n"), F.lit(""), F.lit("body"), 6), "n\n\nbod"),
     ]
@@ -136,6 +153,32 @@ def test_merge_groups_of_a_chain(spark):
     pairs = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("x", "y")], "canonical string, duplicate string")
     got = {r.id: r.root for r in resolve.merge_groups(pairs).collect()}
     assert set(got.values()) == {"n000", "x"} and len(got) == 43
+    entities = spark.createDataFrame([("n007", "a", "the longest summary"), ("n008", "b", "short"), ("y", "c", None), ("x", "d", "")], "uuid string, name string, summary string")
+    got = {r.id: r.root for r in resolve.merge_groups(pairs, entities).collect()}
+    assert set(got.values()) == {"n007", "x"} and got["n000"] == "n007"
+
+
+def test_both_tiers_of_entities_meet_in_one_group(spark):
+    rows = [("1", "k3s", "s"), ("2", "K3S", "long summary"), ("3", "k3s cluster", ""), ("4", "the k3s", None), ("5", "other", ""), ("6", "k-3-s", "x"), ("7", "東京", ""), ("8", "東京", "")]
+    e = spark.createDataFrame(rows, "uuid string, name string, summary string")
+    got = {r.id: r.root for r in resolve.merge_groups(resolve.candidates(e), e).collect()}
+    assert got == {"1": "2", "2": "2", "3": "2", "4": "2", "6": "2", "7": "7", "8": "7"}
+    assert resolve.merge_groups(resolve.candidates(e, lambda a, b: F.lit(False)), e).where("id = '3'").count() == 0
+    run = [(r.shorter, r.longer) for r in resolve.confirmed(e, limit=1).collect()]
+    assert len(run) == 1 and run[0][0].lower() == "k3s"
+
+
+def test_tree_of_summaries_keeps_an_odd_last_one(spark):
+    rows = [(1, n, f"s{n}.") for n in range(5)] + [(2, 0, "alone")]
+    m = spark.createDataFrame(rows, "community long, ord long, summary string")
+    got = {r.community: r.summary for r in community.tree_reduce(m, 400).collect()}
+    assert got == {1: "s0. s2. s1. s3. s4.", 2: "alone"}
+    assert {r.community: r.summary for r in community.tree_reduce(m, 9).collect()}[1] == "s0. s2."
+
+
+def test_numbers_without_one_window(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
+    assert [(r.x, r.number) for r in community.numbered(rows, "x").orderBy("x").collect()] == [(n, n) for n in range(1000)]
 
 
 def test_index_reads_in_order(spark):
@@ -181,40 +224,150 @@ def test_embedding_cache_and_log_entries(spark):
     assert [(r.status, r.path) for r in files.change_log(changed).orderBy("seq").collect()] == [("R", "new.md"), ("A", "x.md")]
 
 
+def finish(query):
+    """Runs a stream over what is available; it must end by itself."""
+    try:
+        assert query.awaitTermination(120)
+    finally:
+        query.stop()
+
+
 def test_streamed_ingest_and_late_facts(spark):
     source, target = folder(), folder()
-    rows = spark.createDataFrame([("s1", "a"), ("s1", "a"), ("s2", "b")], "slug string, body string")
-    rows.repartition(3).write.mode("append").parquet(source)
-    for _ in range(2):
-        notes.ingest(notes.note_stream(spark, source, "slug string, body string", 1), f"{target}/out", f"{target}/cp").awaitTermination(120)
-    assert spark.read.parquet(f"{target}/out").select("slug").distinct().count() == 2
+    rows = spark.createDataFrame([("s1", "a"), ("s1", "a"), ("s2", "b"), ("s1", "a")], "slug string, body string")
+    for n in range(2):  # copies in one batch, in two batches of a run, and in two runs
+        rows.repartition(3).write.mode("append").parquet(source)
+        if n:
+            spark.createDataFrame([("s1", "changed")], rows.schema).write.mode("append").parquet(source)
+        finish(notes.ingest(notes.note_stream(spark, source, "slug string, body string", 1), f"{target}/out", f"{target}/cp"))
+    assert sorted((r.slug, r.body) for r in spark.read.parquet(f"{target}/out").collect()) == [("s1", "a"), ("s1", "changed"), ("s2", "b")]
     facts, schema = folder(), "uuid long, subject long, valid_at timestamp"
     for uuid, day in ((1, 1), (2, 9), (3, 5)):
-        spark.createDataFrame([(uuid, 7, datetime(2024, 1, day))], schema).coalesce(1).write.mode("append").parquet(f"{facts}/in")
-        stream = notes.note_stream(spark, f"{facts}/in", schema)
-        notes.late_facts(stream, f"{facts}/events", f"{facts}/facts", f"{facts}/cp").awaitTermination(120)
+        spark.createDataFrame([(uuid, 7, datetime(2024, 1, day)), (uuid + 10, 8 + uuid, datetime(2024, 2, day))], schema).coalesce(1).write.mode("append").parquet(f"{facts}/in")
+        finish(notes.late_facts(notes.note_stream(spark, f"{facts}/in", schema), f"{facts}/events", f"{facts}/facts", f"{facts}/cp"))
     got = {r.uuid: r.invalid_at and r.invalid_at.day for r in spark.read.parquet(f"{facts}/facts").collect()}
-    assert got == {1: 5, 3: 9, 2: None}
+    assert got == {1: 5, 3: 9, 2: None, 11: None, 12: None, 13: None}
+    assert os.path.isdir(f"{facts}/events/batch=0") and all(d.startswith(("bucket=", "_", ".")) for d in os.listdir(f"{facts}/events/batch=0"))
 
 
 def test_streamed_pairs(spark):
     source, schema = folder(), "session string, call_id string, ts double, kind string"
-    spark.createDataFrame([("s", "c", 1.0, "tool_start"), ("s", "c", 3.0, "tool_end"), ("s", "d", 2.0, "tool_start")], schema).coalesce(1).write.mode("append").parquet(source)
-    q = notes.pair_runs(spark.readStream.schema(schema).parquet(source)).writeStream.format("memory").queryName("pairs").outputMode("append").option("checkpointLocation", folder()).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert [tuple(r) for r in spark.table("pairs").collect()] == [("s", "c", 1.0, 3.0)]
+
+    def more(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    more(("s", "c", 1.0, "tool_start"), ("s", "c", 3.0, "tool_end"), ("s", "d", 2.0, "tool_start"), ("s", "e", 9.0, "tool_end"), ("s", "c", 4.0, "tool_start"))
+    checkpoint, out = folder(), folder() + "/pairs"
+    for late in ((("s", "c", 5.0, "tool_end"),), (("t", "x", 5000.0, "turn_start"), ("t", "y", 5000.0, "tool_start")), (("t", "z", 5001.0, "tool_start"),)):
+        pairs = notes.pair_runs(notes.note_stream(spark, source, schema), timeout_seconds=3600)
+        finish(pairs.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start())
+        more(*late)
+    finish(notes.pair_runs(notes.note_stream(spark, source, schema)).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start())
+    got = sorted((r.session, r.call_id, r.started, r.ended) for r in spark.read.parquet(out).collect())
+    assert got == [("s", "c", 1.0, 3.0), ("s", "c", 4.0, 5.0), ("s", "d", 2.0, None)]
+
+
+def test_streamed_counts_and_drops(spark):
+    source, schema = folder(), "ts timestamp, tool string, outcome string, capture_hash string, slug string"
+    rows = [(datetime(2024, 1, 1, 0, m), "wiki_get", "ok", f"h{m % 2}", "s") for m in range(8)] + [(datetime(2024, 1, 1, 5), "wiki_get", "ok", "h9", "s")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema(schema).parquet(source)
+    for name, df, mode in (("counts", notes.windowed_counts(stream(), "1 minute", "5 minutes"), "append"), ("drops", notes.once(stream(), "1 hour"), "append")):
+        finish(df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder()).trigger(availableNow=True).start())
+    assert sorted(r.n for r in spark.table("counts").collect()) == [3, 5]
+    assert sorted(r.capture_hash for r in spark.table("drops").collect()) == ["h0", "h1", "h9"]
+    assert [notes.backoff_seconds(n) for n in (0, 3, 9)] == [1, 8, 20]
+
+
+REQUEST = "slug string, note_md string, texts map<string,string>, binaries map<string,string>, at timestamp"
 
 
 def test_drop_notes_once(spark):
     at = datetime(2024, 1, 2, 3, 4, 5)
-    req = spark.createDataFrame([("a", "text", None, None, at), ("a", "text", None, None, at), ("B", "text", None, None, at)], "slug string, note_md string, texts map<string,string>, binaries map<string,string>, at timestamp")
+    req = spark.createDataFrame([("a", "text", None, None, at), ("a", "text", None, None, at), ("B", "text", None, None, at), ("B", "other", None, None, at)], REQUEST)
     seen = spark.createDataFrame([], "capture_hash string, folder string")
     out = folder() + "/notes"
-    got = sorted((r.slug, r.ok, r.folder) for r in files.drop_notes(req, seen, out).collect())
-    assert got == [("B", False, "2024-01-02-030405-B"), ("a", True, "2024-01-02-030405-a")]
+    got = sorted((r.slug, r.ok, r.already_exists, r.folder) for r in files.drop_notes(req, seen, out).collect())
+    assert got == [("B", False, False, "2024-01-02-030405-B"), ("B", False, False, "2024-01-02-030405-B"), ("a", True, False, "2024-01-02-030405-a"), ("a", True, True, "2024-01-02-030405-a")]
     assert spark.read.parquet(out).count() == 1
 
 
+def test_dropped_attachments_and_foreign_slugs(spark):
+    """Attachments are read back; a payload under another slug is kept; the same table can be written and read."""
+    out = folder() + "/notes"
+    day = lambda n: datetime(2024, 1, n, 3, 4, 5)
+    first = spark.createDataFrame([("a", "text", {"x.txt": "hi"}, {"y.bin": "AAEC"}, day(2))], REQUEST)
+    files.drop_notes(first, spark.createDataFrame([], "capture_hash string, folder string"), out).collect()
+    stored = spark.read.parquet(out).first()
+    assert (stored.texts, {k: bytes(v) for k, v in stored.binaries.items()}) == ({"x.txt": "hi"}, {"y.bin": b"\0\1\2"})
+    again = spark.createDataFrame([("a", "text", {"x.txt": "hi"}, {"y.bin": "AAEC"}, day(3)), ("b", "text", {"x.txt": "hi"}, {"y.bin": "AAEC"}, day(3)), ("a", "text", {"x.txt": "ho"}, {"y.bin": "AAEC"}, day(2))], REQUEST)
+    got = sorted((r.slug, r.folder, r.ok, r.already_exists, r.error) for r in files.drop_notes(again, spark.read.parquet(out), out).collect())
+    assert got == [
+        ("a", "2024-01-02-030405-a", False, False, "folder exists"), ("a", "2024-01-02-030405-a", True, True, None), ("b", "2024-01-03-030405-b", True, False, None),
+    ]
+    assert sorted(r.folder for r in spark.read.parquet(out).collect()) == ["2024-01-02-030405-a", "2024-01-03-030405-b"]
+
+
+def test_source_note_text(spark):
+    note = "---\ntopic: t\nextra: e \"q\"\n---\n\nbody\n"
+    df = spark.createDataFrame([("2024-01-02-030405-a", note)], "folder string, note string").withColumn("p", plugins.frontmatter_struct(T.frontmatter(F.col("note"))))
+    text = df.select(T.source_note_text(F.col("folder"), F.col("p.fields"), F.col("p.tags"), F.col("note"), F.lit("h")).alias("t"))
+    got = text.first().t
+    assert got.startswith("---\ntype: source\ntags: [source-note]\ncreated: \"2024-01-02\"") and "\n# 2024-01-02-030405-a\n\nbody" in got
+    assert 'extra: "e \\"q\\""' in got and 'captured: "2024-01-02T03:04:05Z"' in got and "capture-hash: h" in got
+    assert text.select(T.required_error(F.col("t")).alias("e")).first().e is None
+
+
+def test_log_days_and_groups(spark):
+    path = folder() + "/log"
+    rows = spark.createDataFrame([(86400.0 * n, f"q{n}") for n in range(5)], "ts double, query string")
+    files.append_query_log(rows, path, keep_days=2)
+    assert sorted(r.query for r in files.read_query_log(spark, path, 86400.0 * 5, 30).collect()) == ["q3", "q4"]
+    nodes = folder() + "/nodes"
+    spark.createDataFrame([("a", "g1"), ("b", "g2")], "uuid string, group_id string").write.partitionBy("group_id").parquet(nodes)
+    assert [r.uuid for r in files.read_group(spark, nodes, "g2").collect()] == ["b"]
+    queue = spark.createDataFrame([("q/2024-01-02-000000-a/NOTE.md", datetime(2024, 5, 1)), ("q/README.md", datetime(2024, 5, 1)), ("q/b.md", datetime(2024, 5, 2))], "path string, modified timestamp")
+    assert sorted((r.slug, r.ts.day) for r in files.queue_entries(queue, "inbox").collect()) == [("2024-01-02-000000-a", 2), ("b", 2)]
+    lines = spark.createDataFrame([('{"session": "s", "kind": "tool_start", "ts": 1.5}',), ("broken",)], "value string")
+    assert [(r.session, r.kind, r.ts) for r in files.agent_events(lines).collect()] == [("s", "tool_start", 1.5)]
+
+
+def test_listed_rates_and_alerts_in_pieces(spark):
+    """What windows over a whole history would give, from pieces of it."""
+    rows = [(float(t), t % 97 < 60) for t in range(0, 5000, 7)]
+    samples = spark.createDataFrame(rows, "at double, on_ boolean")
+    rules = (("r", "on_", 50, "critical"),)
+    want, off = [], rows[0][0] - 1
+    for t, on in rows:
+        off = off if on else t
+        if on and t - off > 50:
+            want.append(t)
+    for width in (100, 10**9):
+        assert [r.at for r in status.series_alerts(samples, rules, width).orderBy("at").collect()] == want
+    queue = spark.createDataFrame([("a", f"s{n}", datetime(2024, 1, 1 + n)) for n in range(5)] + [(None, "x", None), ("b", "y", None)], "queue string, slug string, ts timestamp")
+    assert sorted((r.queue or "", r.slug, r.truncated) for r in status.listed(queue, 2).collect()) == [("", "x", False), ("a", "s0", True), ("a", "s1", True), ("b", "y", False)]
+
+
+def test_embedder_of_an_outside_model(spark):
+    embed = plugins.batch_embedder(lambda texts: [[len(t), 0.0] for t in texts])
+    got = [r.v for r in spark.createDataFrame([("abc",), (None,)], "t string").select(embed("t").alias("v")).collect()]
+    assert got == [[1.0, 0.0], [0.0, 0.0]]
+
+
+def test_answer_cache_by_watermark(spark):
+    schema = "question string, answer string, confidence string, sources array<string>, grounded boolean"
+    none = spark.createDataFrame([], "question_key string, watermark string, expires_at long, answer string, confidence string, sources array<string>")
+    answers = spark.createDataFrame([("What IS it?", "a", "high", ["s"], True), ("other", None, "not_found", [], True), ("bad", "x", "high", ["s"], False)], schema)
+    cache = grounding.remember(none, answers, "w1", F.lit(0).cast("long"))
+    assert [r.question_key for r in cache.collect()] == ["what is it"]
+    asked = spark.createDataFrame([("what  is it ?!",)], "question string")
+    hit = lambda w, now: grounding.cached(asked, cache, w, F.lit(now).cast("long")).first().hit
+    assert [hit("w1", 10), hit("w1", 3600), hit("w2", 10), hit(None, 10)] == [True, False, False, False]
+    assert grounding.remember(cache, answers.limit(0), "w2", F.lit(5).cast("long")).count() == 0
+    many = spark.createDataFrame([(f"q{n}", "a", "low", [], True) for n in range(9)], schema)
+    assert grounding.remember(cache, many, "w1", F.lit(5).cast("long"), most=4).where("question_key = 'what is it'").count() == 0
+
+
 def test_hashing_embedder_is_unit_and_stable(spark):
     df = spark.createDataFrame([("a b c",), ("a b c",), ("",)], "t string").select(plugins.hashing_embedder()(F.col("t")).alias("v"))
     a, b, none = (r.v for r in df.collect())
