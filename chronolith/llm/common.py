@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_ROWS = 2_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir or the context's checkpoint folder. Only a local
     master, whose executors are this process, may do without: it gets a folder of its own."""
@@ -27,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Lets Arrow batches hold `rows` rows at most: texts are long, and the default of 10,000 of them takes hundreds of MB
+    in a task and in its Python worker. A session that asks for fewer keeps its setting."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 class Scratch:
     """Tables written below the shared folder. A written table cuts lineage and outlives lost executors. What a returned
     DataFrame still reads stays; everything else is dropped as soon as no later step reads it."""
@@ -34,6 +44,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
+        bound_batches(spark)
 
     def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:6]}"
@@ -67,6 +78,7 @@ class Shared:
     package on their path. Callers bound its size."""
 
     def __init__(self, spark: SparkSession, value):
+        bound_batches(spark)
         self.blob = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
     @property

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, licenses, lm, media, quality
-from .common import crc_of_id
+from .common import bound_batches, crc_of_id
 from .decontam import contaminated
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -55,6 +55,7 @@ def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text is stored as 8-bit PCM under a wrong declared type, and read back from where sniffing finds it."""
+    bound_batches(spark)
     docs = table(spark, sf_dir, "documents")
     stored = docs.select("doc_id", media.as_wav(media.padded(F.col("text"))).alias("media"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.lit("image/png").alias("declared"))
     found = media.inspect(stored, "doc_id", "media", "declared", keep=("n_bytes",))
@@ -64,6 +65,7 @@ def op6_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
