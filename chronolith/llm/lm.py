@@ -6,10 +6,11 @@ level after level until one is missing. A token's probability is smoothed order
   p(w | u v) = (c(u v w) + s3 * p(w | v)) / (c(u v) + s3),  p(w | v) = (c(v w) + s2 * p(w)) / (c(v) + s2),
 where p(w) is the add-half estimate, all counts are what the filter gives, and the first token of a text has no trigram.
 
-A filter of at most max_bits is broadcast, as the method has it. A filter of a corpus grows with the corpus, and in parts it
-would take a pass over all texts for each: beyond max_bits the questions travel instead. Each part of the filter is built in
-the task that holds the n-grams of its bucket and probed there by the batches' distinct n-grams, so that work stays linear and
-nothing that grows is broadcast; the bits and so the scores are the same.
+A filter that is sure to have at most max_bits (there are no more members than n-grams in the training texts) is broadcast,
+as the method has it. A filter of a corpus grows with the corpus, and in parts it would take a pass over all texts for each:
+beyond max_bits the questions travel instead. Each part of the filter is built in the task that holds the n-grams of its
+bucket and probed there by the batches' distinct n-grams, so that work stays linear and nothing that grows is broadcast;
+the bits and so the scores are the same.
 
 Plan: one pass cuts documents into batches and writes token numbers and, by hash bucket, distinct tokens with their counts.
 Buckets are summed by hash (a word found in every text counts once per batch), and each batch gets its tokens' exact totals
@@ -193,20 +194,13 @@ def count_ngrams(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.select("batch", "b", "c", "d", "e").mapInPandas(run, "bucket int, batch long, keys binary, counts binary")
 
 
-def sum_ngrams(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of n-grams -> the keys that training texts have, their levels, and how many members these make."""
-    keys, where = np.unique(np.concatenate([unpack_keys(x) for x in pdf["keys"]]), return_inverse=True)
-    totals = np.bincount(where, weights=np.concatenate([unplanes(x) for x in pdf["counts"]]))
-    keys, totals = keys[totals > 0], totals[totals > 0]
-    level = (1 + np.floor(np.log2(totals))).astype(np.uint8)
-    return pd.DataFrame({"bucket": [int(pdf.bucket.iloc[0])], "keys": [pack_keys(keys)], "levels": [pack(level)], "members": [int(level.sum(dtype=np.int64))]})
-
-
 class BloomCounts:
-    """Log-frequency Bloom filter: a segment of `bits` bits for each bucket; PROBES bits stand for each (key, level)."""
+    """Log-frequency Bloom filter: a segment of bits for each bucket; PROBES bits stand for each (key, level)."""
 
-    def __init__(self, segments: list[np.ndarray], bits: int):
-        self.bits, self.data = bits, np.concatenate(segments) if segments else np.zeros(0, np.uint8)
+    def __init__(self, segments: list[np.ndarray]):
+        self.bits = np.array([8 * len(x) for x in segments], dtype=np.uint64)
+        self.start = np.concatenate(([0], np.cumsum(self.bits)[:-1])).astype(np.int64) if segments else np.zeros(0, np.int64)
+        self.data = np.concatenate(segments) if segments else np.zeros(0, np.uint8)
 
     @staticmethod
     def seeds(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +210,7 @@ class BloomCounts:
 
     @classmethod
     def segment(cls, keys: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
-        """A bucket's bits."""
+        """A bucket's bits, a multiple of 8."""
         on = np.zeros(bits, dtype=bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             start, stride = cls.seeds(keys[levels >= level], level)
@@ -225,17 +219,17 @@ class BloomCounts:
         return np.packbits(on, bitorder="little")
 
     def levels(self, hashes: np.ndarray, buckets: int) -> np.ndarray:
-        """The level read back for each n-gram hash, 0 if none is stored: probes go on level by level while a level's
-        bits are all set."""
-        return self.probe(hashes >> np.uint64(32), (hashes % np.uint64(buckets)).astype(np.int64) * self.bits)
+        """The level read back for each n-gram hash, 0 if none is stored."""
+        return self.probe(hashes >> np.uint64(32), (hashes % np.uint64(buckets)).astype(np.int64))
 
-    def probe(self, keys: np.ndarray, base: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), dtype=np.uint8)
+    def probe(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Probes go on level by level while a level's bits are all set."""
+        out, base, size = np.zeros(len(keys), dtype=np.uint8), self.start[bucket], self.bits[bucket]
         left, level = np.arange(len(keys)), 1
         while len(left) and level < 64:
             start, stride = self.seeds(keys[left], level)
             for k in range(PROBES):
-                at = base[left] + ((start + np.uint64(k) * stride) % np.uint64(self.bits)).astype(np.int64)
+                at = base[left] + ((start + np.uint64(k) * stride) % size[left]).astype(np.int64)
                 on = (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0
                 left, start, stride = left[on], start[on], stride[on]
             out[left] = level
@@ -243,6 +237,16 @@ class BloomCounts:
         return out
 
 
+def filter_part(pdf: pd.DataFrame, bits_per_member: float) -> BloomCounts:
+    """One bucket of n-grams -> its part of the filter, with the levels of all that training texts have."""
+    keys, where = np.unique(np.concatenate([unpack_keys(x) for x in pdf["keys"]]), return_inverse=True)
+    totals = np.bincount(where, weights=np.concatenate([unplanes(x) for x in pdf["counts"]]))
+    keys, totals = keys[totals > 0], totals[totals > 0]
+    level = (1 + np.floor(np.log2(totals))).astype(np.uint8)
+    bits = max(64, int(level.sum(dtype=np.int64) * bits_per_member) // 8 * 8 + 8)
+    return BloomCounts([BloomCounts.segment(keys, level, bits)])
+
+
 def level_count(level: np.ndarray) -> np.ndarray:
     """The middle of the counts that a level stands for; 0 for level 0."""
     return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
@@ -279,32 +283,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     scratch.delete(f"{scratch.paths['work']}/kind={TOKENS}")
     scratch.release()
     texts = work.where(F.col("kind") == DOCS).select("batch", "a", "b", "c", "d", "e")
-    ngrams = scratch.table(count_ngrams(texts, buckets), "ngrams")
-    kept = scratch.table(ngrams.groupBy("bucket").applyInPandas(sum_ngrams, "bucket int, keys binary, levels binary, members long"), "kept")
-    most = kept.agg(F.coalesce(F.max("members"), F.lit(0))).first()[0]
-    bits = max(64, int(most * bits_per_member) // 8 * 8 + 8)
+    ngrams = count_ngrams(texts, buckets)
     answers, shared = totals.where("batch is not null").select("batch", F.lit(COUNTS).alias("kind"), "bucket", "data"), None
-    if bits * buckets <= max_bits:
+    if 3 * int(n) * bits_per_member + 128 * buckets <= max_bits:
 
-        def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                bits_of = [BloomCounts.segment(unpack_keys(k), unpack(x, np.uint8), bits).tobytes() for k, x in zip(pdf["keys"], pdf["levels"])]
-                yield pd.DataFrame({"bucket": pdf["bucket"], "data": bits_of})
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"bucket": pdf["bucket"][:1], "data": [filter_part(pdf, bits_per_member).data.tobytes()]})
 
-        segments = [np.zeros(bits // 8, np.uint8) for _ in range(buckets)]
-        for r in kept.select("bucket", "keys", "levels").mapInPandas(build, "bucket int, data binary").toLocalIterator():
+        segments = [np.zeros(8, np.uint8) for _ in range(buckets)]
+        for r in ngrams.groupBy("bucket").applyInPandas(build, "bucket int, data binary").toLocalIterator():
             segments[r.bucket] = np.frombuffer(r.data, np.uint8)
-        shared = Shared(spark, BloomCounts(segments, bits))  # at most max_bits
+        shared = Shared(spark, BloomCounts(segments))  # at most max_bits
     else:
 
-        def ask(questions: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-            segments = [BloomCounts.segment(unpack_keys(k), unpack(x, np.uint8), bits) for k, x in zip(counts["keys"], counts["levels"])]
-            bloom = BloomCounts(segments or [np.zeros(bits // 8, np.uint8)], bits)
-            found = [pack(bloom.probe(keys, np.zeros(len(keys), np.int64))) for keys in map(unpack_keys, questions["keys"])]
-            return pd.DataFrame({"batch": questions["batch"], "kind": LEVELS, "bucket": questions["bucket"], "data": found})
+        def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+            part = filter_part(pdf, bits_per_member)
+            found = [pack(part.probe(keys, np.zeros(len(keys), np.int64))) for keys in map(unpack_keys, pdf["keys"])]
+            return pd.DataFrame({"batch": pdf["batch"], "kind": LEVELS, "bucket": pdf["bucket"], "data": found})
 
-        asked = ngrams.select("bucket", "batch", "keys").groupBy("bucket").cogroup(kept.groupBy("bucket"))
-        answers = answers.unionByName(scratch.table(asked.applyInPandas(ask, "batch long, kind int, bucket int, data binary"), "levels"))
+        asked = ngrams.groupBy("bucket").applyInPandas(ask, "batch long, kind int, bucket int, data binary")
+        answers = answers.unionByName(scratch.table(asked, "levels"))
     scratch.release()
     floor, whole = float(n) + 0.5 * (float(v) + 1), int(n)
 
@@ -335,6 +333,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     schema = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = scratch.table(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(per_batch, schema), "scored")
-    scratch.drop("work", "totals", "ngrams", "kept", "levels")
+    scratch.drop("work", "totals", "levels")
     own_id = F.when(F.col("id") != F.lit(NO_ID).cast("long"), F.col("id")).alias(id_col)
     return scored.select(own_id, "n_tokens", "n_known", "train_tokens", "base_score", "score")

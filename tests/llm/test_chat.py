@@ -1,9 +1,11 @@
 import hashlib
 from collections import defaultdict
 
+import duckdb
+
 from chronolith.llm import chat
 from chronolith.llm.common import Scratch
-from chronolith.llm.queries import QUERIES
+from chronolith.llm.queries import ORACLE_SQL, QUERIES
 
 
 def sha(s):
@@ -30,6 +32,15 @@ def test_query_matches_plain_code(spark, sf):
     assert got == want
 
 
+def test_query_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    want = con.execute(ORACLE_SQL["op10_chat_reply_trees"])
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, want.fetchall())) == sorted(tuple(r[n] for n in names) for r in QUERIES["op10_chat_reply_trees"](spark, sf).collect())
+
+
 def test_plan_has_no_python(spark, sf):
     plan = QUERIES["op10_chat_reply_trees"](spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -58,7 +58,7 @@ def test_filter_reads_back_what_went_in():
     for b in range(buckets):
         on = hashes % np.uint64(buckets) == b
         segments.append(lm.BloomCounts.segment((hashes[on] >> np.uint64(32)).astype(np.uint32), levels[on], bits))
-    bloom = lm.BloomCounts(segments, bits)
+    bloom = lm.BloomCounts(segments)
     back = bloom.levels(hashes, buckets)
     assert (back >= levels).all() and (back == levels).mean() > 0.99
     assert (bloom.levels(rng.integers(0, 2**63, 4000, dtype=np.uint64), buckets) == 0).mean() > 0.99
@@ -68,5 +68,40 @@ def test_a_filter_in_parts_scores_as_one(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     one, many = ({r.doc_id: tuple(r)[1:] for r in lm.score(docs, max_bits=m).collect()} for m in (lm.MAX_BITS, 1 << 15))
     assert one.keys() == many.keys()
-    assert all(one[k][:3] == many[k][:3] and one[k][3] == pytest.approx(many[k][3], rel=1e-9) for k in one)
-    assert sum(v[4] for v in one.values()) == pytest.approx(sum(v[4] for v in many.values()), rel=5e-3)
+    assert all(one[k][:3] == many[k][:3] and one[k][3:] == pytest.approx(many[k][3:], rel=1e-9) for k in one)
+
+
+@pytest.mark.parametrize("max_bits", [lm.MAX_BITS, 0])  # broadcast, and probed where it is built
+def test_score_is_the_smoothed_model(spark, sf, monkeypatch, max_bits):
+    """Against plain counts of n-grams, as levels; a filter so wide that it gives no false count."""
+    monkeypatch.setattr(lm, "BATCH_TOKENS", 30_000)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()][:150] + [(1000, None), (1001, "a"), (1001, "a")]
+    held = lambda i: i % 5 == 1
+    df = spark.createDataFrame([(i, t, held(i)) for i, t in rows], "doc_id long, text string, held boolean")
+    got = sorted((r.doc_id, r.score) for r in lm.score(df, held_col="held", max_bits=max_bits, bits_per_member=60).collect())
+    counts = Counter()
+    for i, t in rows:
+        w = [None, *words(t)]
+        if not held(i):
+            counts.update((x,) for x in w[1:])
+            counts.update(zip(w, w[1:]))
+            counts.update(zip(w, w[1:], w[2:]))
+    level = {g: 1.5 * 2.0 ** (n.bit_length() - 1) - 0.5 for g, n in counts.items()}
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    c = lambda *g: level.get(g, 0.0)
+    s2, s3 = lm.STRENGTHS
+
+    def log_p(t):
+        w, out = [None, *words(t)], 0.0
+        for k in range(1, len(w)):
+            p = (c(w[k]) + 0.5) / (n + 0.5 * (v + 1))
+            p = (min(c(w[k - 1], w[k]), c(w[k - 1])) + s2 * p) / (c(w[k - 1]) + s2)
+            if k > 1:
+                context = c(w[k - 2], w[k - 1])
+                p = (min(c(w[k - 2], w[k - 1], w[k]), context) + s3 * p) / (context + s3)
+            out += log10(p)
+        return out
+
+    want = sorted((i, log_p(t)) for i, t in rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-6)
