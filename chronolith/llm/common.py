@@ -85,6 +85,10 @@ class Shared:
     def value(self):
         return cloudpickle.loads(self.blob.value)
 
+    def destroy(self) -> None:
+        """Frees all copies; no later plan may read it."""
+        self.blob.destroy()
+
 
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

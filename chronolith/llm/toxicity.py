@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,27 +32,38 @@ NEIGHBOURS = 31
 PRIOR = 0.3  # votes at the base rate that every text has besides
 
 
-def words(text: str) -> Counter:
-    return Counter(WORD.findall(text.lower()))
+def words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of a text's distinct words, which are told apart by 64 bits."""
+    found = Counter(WORD.findall(text.lower()))
+    digest, n = xxhash.xxh64_intdigest, len(found)
+    return np.fromiter((digest(w.encode()) for w in found), np.uint64, n), np.fromiter(found.values(), np.int64, n)
+
+
+def places(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The number of each hash among the ascending terms, -1 if it is none."""
+    if not len(terms):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+    return np.where(terms[at] == hashes, at, -1)
 
 
 class Index:
     """Posting lists of the examples' unit vectors by term, in blocks of BLOCK neighbouring examples.
 
-    vocabulary: the examples' distinct terms; rows: for each example its term numbers and counts; df: in how many of
-    the n documents each term is."""
+    terms: hashes of the examples' distinct terms, ascending; rows: for each example its term numbers and counts; df: in
+    how many of the n documents each term is. Numbers are kept narrow, as the index is broadcast."""
 
-    def __init__(self, vocabulary: list[str], ids: np.ndarray, y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, n: int):
-        self.vocabulary = vocabulary
+    def __init__(self, terms: np.ndarray, ids: np.ndarray, y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, n: int):
+        self.terms = terms
         size = np.array([len(t) for t, _ in rows], dtype=np.int64)
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)]).astype(np.int64)
         count = np.concatenate([np.zeros(0), *(c for _, c in rows)])
         own = np.repeat(np.arange(len(rows)), size)
-        a = np.bincount(term[y[own] > 0], minlength=len(vocabulary))
-        c = np.bincount(term[y[own] <= 0], minlength=len(vocabulary))
-        self.of_term = (1 + np.log((1 + n) / (1 + df))) * np.log2(2 + a / np.maximum(1, c))
-        self.of_other = 1 + np.log(1 + n)
-        weight = (1 + np.log(count)) * self.of_term[term]
+        a = np.bincount(term[y[own] > 0], minlength=len(terms))
+        c = np.bincount(term[y[own] <= 0], minlength=len(terms))
+        of_term = (1 + np.log((1 + n) / (1 + df))) * np.log2(2 + a / np.maximum(1, c))
+        self.of_term, self.of_other = of_term.astype(np.float32), 1 + np.log(1 + n)
+        weight = (1 + np.log(count)) * of_term[term]
         norm = np.sqrt(np.bincount(own, weights=weight * weight, minlength=len(rows)))
         weight /= norm[own]
         # examples with the same most common terms (language, genre) are neighbours, which makes the bounds sharp
@@ -61,37 +73,32 @@ class Index:
         place[order] = np.arange(len(rows))
         self.ids, self.y = ids[order], y[order].astype(np.float64)
         at = np.lexsort((place[own], term))
-        self.example, self.weight = place[own][at], weight[at]
-        block = term[at] * (len(rows) // BLOCK + 1) + self.example // BLOCK
+        narrow = np.min_scalar_type(max(len(rows), 1))
+        self.example, self.weight = place[own][at].astype(narrow), weight[at].astype(np.float32)
+        block = term[at] * (len(rows) // BLOCK + 1) + place[own][at] // BLOCK
         first = np.flatnonzero(np.concatenate((np.ones(min(len(block), 1), bool), block[1:] != block[:-1])))
-        self.start = first
-        self.size = np.diff(np.append(first, len(block)))
-        self.block = self.example[first] // BLOCK
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.start = np.append(first, len(block)).astype(np.int32)
+        self.block = (self.example[first] // BLOCK).astype(narrow)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         self.blocks = len(rows) // BLOCK + 1
-        self.term_start = np.searchsorted(term[at][first], np.arange(len(vocabulary) + 1))
+        self.term_start = np.searchsorted(term[at][first], np.arange(len(terms) + 1)).astype(np.int32)
         self.base = (self.y.sum() + 1) / (len(rows) + 2)
-        self.slope, self.shift = 1.0, 0.0
 
-    def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers, unit weights) of a text's known terms."""
-        get = self.number.get
-        at = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
-        w = 1 + np.log(np.fromiter(found.values(), np.float64, len(found)))
+        hashes, counts = found
+        at = places(self.terms, hashes)
         known = at >= 0
-        w *= np.where(known, self.of_term[at] if len(self.of_term) else 0.0, self.of_other)
+        w = 1 + np.log(counts)
+        w[known] *= self.of_term[at[known]]
+        w[~known] *= self.of_other
         w /= max(float(np.sqrt(w @ w)), 1e-12)
         return at[known], w[known]
 
-    def prepare(self) -> Index:
-        """Call before use on a worker."""
-        self.number = {w: i for i, w in enumerate(self.vocabulary)}
-        return self
-
-    def nearest(self, found: Counter, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, found: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(positions, cosines) of the k nearest, nearest first, ties by id; only positive cosines count."""
         term, w = self.vector(found)
-        lists = self.term_start[term + 1] - self.term_start[term]
+        lists = (self.term_start[term + 1] - self.term_start[term]).astype(np.int64)
         entry, w = expand(self.term_start[term], lists), np.repeat(w, lists)
         block = self.block[entry]
         bound = np.bincount(block, weights=w * self.most[entry], minlength=self.blocks)
@@ -103,7 +110,7 @@ class Index:
             if not live.any():
                 break
             on = live[block]
-            size = self.size[entry[on]]
+            size = (self.start[entry[on] + 1] - self.start[entry[on]]).astype(np.int64)
             posting = expand(self.start[entry[on]], size)
             score = np.bincount(self.example[posting], weights=self.weight[posting] * np.repeat(w[on], size), minlength=len(self.ids))
             if skip >= 0:
@@ -112,11 +119,11 @@ class Index:
             at, cosine = np.concatenate((at, new)), np.concatenate((cosine, score[new]))
             if len(at) > k:
                 best = np.argpartition(-cosine, k - 1)[:k]
-                best = np.flatnonzero(cosine >= cosine[best].min() - 1e-12)  # with all that tie with the last
+                best = np.flatnonzero(cosine >= cosine[best].min() - 1e-7)  # with all that tie with the last
                 at, cosine = at[best], cosine[best]
             done |= live
-            live = bound >= (np.partition(cosine, -k)[-k] - 1e-9 if len(cosine) >= k else 0)
-        order = np.lexsort((self.ids[at], -np.round(cosine, 12)))[:k]
+            live = bound >= (np.partition(cosine, -k)[-k] - 1e-7 if len(cosine) >= k else 0)
+        order = np.lexsort((self.ids[at], -np.round(cosine, 6)))[:k]
         return at[order], cosine[order]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -126,70 +133,60 @@ class Index:
         no = float(w @ (1 - self.y[at])) + PRIOR * (1 - self.base)
         return float(np.log(yes / no))
 
-    def score(self, odds: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -60, 60))))
-
 
-def numbered(examples: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(vocabulary, ids, labels, rows) of examples(id, text, y), which max_examples and max_bytes bound, by id."""
+def numbered(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(terms, ids, labels, rows) of examples(id, text, y), which max_examples and max_bytes bound, by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [words(t) for t in text_column(b, "text")]
-            columns = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *columns], ["id", "y", "words", "counts"])
+            columns = [pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *columns], ["id", "y", "hashes", "counts"])
 
-    t = examples.select("id", "y", "text").mapInArrow(run, "id long, y int, words array<string>, counts array<int>").orderBy("id").toArrow().combine_chunks()
-    if not t.num_rows:
-        return [], np.zeros(0, np.int64), np.zeros(0), []
-    lists = t.column("words").combine_chunks()
-    coded = lists.flatten().dictionary_encode()
-    ends = np.append(lists.offsets.to_numpy() - lists.offsets[0].as_py(), 0)[: t.num_rows + 1]
-    term, count = coded.indices.to_numpy(), t.column("counts").combine_chunks().flatten().to_numpy()
-    rows = [(term[a:b], count[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-    return coded.dictionary.to_pylist(), t.column("id").to_numpy(), t.column("y").to_numpy().astype(np.float64), rows
+    t = examples.select("id", "y", "text").mapInArrow(run, "id long, y int, hashes binary, counts binary").orderBy("id").toArrow()
+    hashes = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+    counts = [np.frombuffer(x, np.int32) for x in t.column("counts").to_pylist()]
+    terms, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
+    rows = list(zip(np.split(term, np.cumsum([len(h) for h in hashes])[:-1]), counts)) if hashes else []
+    return terms, t.column("id").to_numpy(), t.column("y").to_numpy().astype(np.float64), rows
 
 
-def document_frequencies(texts: DataFrame, vocabulary: list[str]) -> np.ndarray:
-    """In how many rows of texts(text) each term of the vocabulary is; the last number counts the rows. Tasks add up
-    their own rows, so what is shuffled grows with tasks and vocabulary, not with rows."""
-    shared = Shared(texts.sparkSession, vocabulary)
+def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many rows of texts(text) each term is, and how many rows there are. Tasks add up their own rows, so what is
+    shuffled grows with tasks and terms, not with rows."""
+    shared = Shared(texts.sparkSession, terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(shared.value)}
-        total = np.zeros(len(number) + 1, dtype=np.int64)
+        known = shared.value
+        total = np.zeros(len(known) + 1, dtype=np.int64)
         for b in batches:
             for t in text_column(b, "text"):
-                total[[number[w] for w in set(WORD.findall(t.lower())).intersection(number)]] += 1
+                at = places(known, words(t)[0])
+                total[at[at >= 0]] += 1
             total[-1] += b.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
     t = texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term
-    out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    shared.destroy()
+    out = np.zeros(len(terms) + 1, dtype=np.int64)
     out[t.column("term").to_numpy()] = t.column("n").to_numpy()
-    return out
+    return out[:-1], int(out[-1])
 
 
-def build_index(docs: DataFrame, examples: DataFrame, text_col: str = "text") -> Index:
-    """The index of examples(id, text, y) with document frequencies from all docs, calibrated on all examples."""
-    vocabulary, ids, y, rows = numbered(examples)
-    df = document_frequencies(docs.select(F.col(text_col).cast("string").alias("text")), vocabulary)
-    index = Index(vocabulary, ids, y, rows, df[:-1], int(df[-1]))
-    if not 0 < y.sum() < len(y):
-        return index
-    shared = Shared(docs.sparkSession, index)
+def calibrate(shared: Shared, examples: DataFrame) -> tuple[float, float]:
+    """(slope, shift) of the sigmoid that maps votes to probabilities, by all examples' votes without their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value.prepare()
+        ix = shared.value
         place = {int(i): p for p, i in enumerate(ix.ids)}
         for b in batches:
             odds = [ix.vote(*ix.nearest(words(t), skip=place[i])) for i, t in zip(b.column("id").to_pylist(), text_column(b, "text"))]
             yield pa.RecordBatch.from_arrays([pa.array(odds, pa.float64()), b.column("y")], ["odds", "y"])
 
     t = examples.select("id", "y", "text").mapInArrow(run, "odds double, y int").orderBy("odds", "y").toArrow()  # max_examples rows
-    index.slope, index.shift = sigmoid_fit(t.column("odds").to_numpy(), t.column("y").to_numpy())
-    return index
+    y = t.column("y").to_numpy()
+    return sigmoid_fit(t.column("odds").to_numpy(), y) if 0 < y.sum() < len(y) else (1.0, 0.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -200,19 +197,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     those without a word of any example, have no neighbour and get the calibrated base rate; without labels of both
     kinds every text gets its smoothed share of votes; equally near examples count by id; long texts are scored whole;
     repeated rows score alike; an empty table gives no row; other columns are ignored."""
-    scratch = Scratch(docs.sparkSession, "toxicity")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
     examples = sample(docs, labels, id_col, text_col, label_col, scratch, max_examples, max_bytes)
-    shared = Shared(docs.sparkSession, build_index(docs, examples, text_col))
+    terms, ids, y, rows = numbered(examples)
+    df, n = document_frequencies(docs.select(F.col(text_col).cast("string").alias("text")), terms)
+    shared = Shared(spark, Index(terms, ids, y, rows, df, n))
+    slope, shift = calibrate(shared, examples)
     scratch.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value.prepare()
+        ix = shared.value
         kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for b in batches:
             scores, evidence = [], []
             for t in text_column(b, "text"):
                 at, cosine = ix.nearest(words(t))
-                scores.append(ix.score(ix.vote(at, cosine)))
+                scores.append(float(1 / (1 + np.exp(-np.clip(slope * ix.vote(at, cosine) + shift, -60, 60)))))
                 evidence.append([{"id": int(ix.ids[p]), "cosine": float(v), "label": int(ix.y[p])} for p, v in zip(at[:3], cosine[:3])])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["id", "score", "evidence"])
 

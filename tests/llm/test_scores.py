@@ -71,7 +71,7 @@ def plain_toxicity(docs, labels):
     vectors, base = {i: unit(found[i]) for i in found}, (sum(labels[i] for i in ids) + 1) / (len(ids) + 2)
 
     def nearest(i, skip=None):
-        rows = [(-round(sum(x * vectors[e].get(t, 0) for t, x in vectors[i].items()), 12), e) for e in ids if e != skip]
+        rows = [(-round(sum(x * vectors[e].get(t, 0) for t, x in vectors[i].items()), 6), e) for e in ids if e != skip]
         return [(-c, e) for c, e in sorted(rows) if c < 0][: toxicity.NEIGHBOURS]
 
     def odds(near):
