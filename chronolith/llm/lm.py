@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, Shared, buckets_for, byte_column, pack, unpack
 
 BATCH_TOKENS = 800_000
-BUCKET_BYTES = 32_000_000
+BUCKET_BYTES = 8_000_000
 END_HASH = xxhash.xxh64_intdigest(b"", 1)
 DOCS, TOKENS = 0, 1
 COUNTS, LEVELS = 0, 1
