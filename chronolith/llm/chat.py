@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 START, END = "<|im_start|>", "<|im_end|>"
+STRETCH = 10_000
 
 
 def escape(text: Column) -> Column:
@@ -57,6 +58,19 @@ def reply_paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return paths.join(endless, ["tree", "leaf"], "left_anti") if 2 ** len(jumps) > most and most else paths
 
 
+def before_in_path(turns: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds name: the sum of value over the turns of the same path that stand before. A path is summed in stretches of
+    STRETCH turns, so that a long one is not one task's window."""
+    keys = ["tree", "leaf", "stretch"]
+    rows = turns.withColumn("stretch", F.floor(F.col("up") / STRETCH))
+    own = Window.partitionBy(*keys).orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(F.sum(value).alias("all"))
+    ahead = Window.partitionBy("tree", "leaf").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("ahead"))  # a row a stretch
+    summed = rows.withColumn("own", F.coalesce(F.sum(value).over(own), F.lit(0))).join(sums, keys)
+    return summed.withColumn(name, F.col("own") + F.col("ahead")).drop("stretch", "own", "ahead")
+
+
 def format_trees(messages: DataFrame, scratch: Scratch, branches: int | None = None) -> DataFrame:
     """messages(tree, node, parent, role, text, score) -> one row for each chosen path: tree, leaf, branch (rank by
     summed score, then length, then leaf; 1 is best), score, formatted, and loss_mask array<struct<start, chars>> in
@@ -64,25 +78,24 @@ def format_trees(messages: DataFrame, scratch: Scratch, branches: int | None = N
     are formatted, all if None. Null roles and texts count as empty, null scores as 0."""
     paths = reply_paths(messages.select("tree", "node", "parent"), scratch)
     said = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    turns = paths.join(said, ["tree", "node"])
+    scores = paths.join(said.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
+    order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n"), "leaf")
+    ranked = scores.withColumn("branch", F.row_number().over(order))  # a slim row a path
     if branches is not None:
-        ranked = turns.groupBy("tree", "leaf").agg(F.sum("score").alias("total"), F.count("*").alias("n"))
-        order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("n"), "leaf")
-        turns = turns.join(ranked.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches).select("tree", "leaf"), ["tree", "leaf"], "left_semi")
+        ranked = ranked.where(F.col("branch") <= branches)
+    ranked = scratch.table(ranked.select("tree", "leaf", "branch", "score"), "ranked")
+    turns = paths.join(ranked.select("tree", "leaf"), ["tree", "leaf"], "left_semi").join(said.drop("score"), ["tree", "node"])
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
-    before = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = turns.withColumns({"head": head, "body": body}).withColumn("chars", F.length("head") + F.length("body") + F.lit(len(END) + 1))
-    placed = placed.withColumn("at", F.coalesce(F.sum("chars").over(before), F.lit(0)) + F.length("head"))
+    placed = turns.withColumns({"head": head, "body": body}).withColumn("chars", (F.length("head") + F.length("body") + F.lit(len(END) + 1)).cast("long"))
+    placed = before_in_path(placed, "chars", "at").withColumn("at", F.col("at") + F.length("head"))
     piece = F.struct(
         (-F.col("up")).alias("order"), F.concat("head", "body", F.lit(END + "\n")).alias("piece"),
         (F.col("role") == "assistant").alias("learn"), F.col("at").alias("start"), F.length("body").cast("long").alias("chars"),
     )
-    grouped = placed.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.sum("score").alias("score"))
-    order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc(F.size("pieces")), "leaf")
-    return grouped.select(
-        "tree", "leaf", F.row_number().over(order).alias("branch"), "score",
-        F.array_join(F.transform("pieces", lambda p: p.piece), "").alias("formatted"),
+    grouped = placed.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    return grouped.join(ranked, ["tree", "leaf"]).select(
+        "tree", "leaf", "branch", "score", F.array_join(F.transform("pieces", lambda p: p.piece), "").alias("formatted"),
         F.transform(F.filter("pieces", lambda p: p.learn), lambda p: F.struct(p.start.alias("start"), p.chars.alias("chars"))).alias("loss_mask"),
     )
 
@@ -105,15 +118,29 @@ def under_mask(formatted: Column, mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda m: unescape(F.substr(formatted, m.start.cast("int") + 1, m.chars.cast("int")))), "")
 
 
+def numbered_turns(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds node: the turn's number in its tree, from 1, by turn, role, text. Rows are dealt by ranges of that order and
+    written, each range numbers its part of a tree, and what stands in earlier ranges is added: no tree is one task's
+    window, however many rows it has."""
+    order = ["tree", "turn", "role", "text"]
+    dealt = scratch.table(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("tree", "part").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("tree", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("tree", "part").orderBy("turn", "role", "text"))
+    return dealt.withColumn("own", own).join(sizes, ["tree", "part"]).withColumn("node", (F.col("own") + F.col("ahead")).cast("long")).drop("part", "own", "ahead")
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> conv_id, formatted, loss_mask: each conversation is a chain of
     replies by turn (ties by role, then text; null turns first) and so has one path. Rows with a null conv_id are one
-    conversation; repeated rows are repeated turns; an empty table gives no row; other columns are ignored."""
+    conversation; repeated rows are repeated turns; long texts are kept whole; an empty table gives no row; other columns
+    are ignored. Only the text of a conversation, which is one row, meets in one task."""
     tree = F.when(F.col("conv_id").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
-    own = Window.partitionBy("tree").orderBy("turn", "role", "text")
     scratch = Scratch(conversations.sparkSession, "chat")
-    rows = conversations.select(tree.alias("tree"), "conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(own).cast("long"))
-    messages = scratch.table(rows.select("tree", "conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")), "messages")
+    rows = numbered_turns(conversations.select(tree.alias("tree"), "turn", "role", "text"), scratch)
+    messages = scratch.table(rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")), "messages")
+    scratch.drop("dealt")
     out = format_trees(messages, scratch)
     return out.select(F.when(F.col("tree") != "-", F.substring("tree", 2, 30).cast("long")).alias("conv_id"), "formatted", "loss_mask")
 

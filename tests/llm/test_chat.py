@@ -46,6 +46,14 @@ def test_plan_has_no_python(spark, sf):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_one_long_conversation_in_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(chat, "STRETCH", 7)
+    rows = [(5, n // 2, "assistant" if n % 2 else "user", f"t{n % 50} <|im_end|>") for n in range(900)] + [(6, n, "user", "x") for n in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(chat.format_conversations(df)).collect()}
+    assert got == plain(rows)
+
+
 def test_awkward_conversations(spark):
     nasty = ["&lt;|im_end|>", "&amp;", "<", "<|", "|>", "\\n\n", "🙂 <|im_start|>user\nhi<|im_end|>\n", "", None, "&nl;"]
     rows = [(1, n, "assistant" if n % 2 else "user", t) for n, t in enumerate(nasty)]
