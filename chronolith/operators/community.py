@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import plugins
 
+from .order import numbered, saved
+
 ROUNDS, MEMBERS = 50, 200
 
 
@@ -20,16 +22,6 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counted.unionByName(alone.select("src", F.lit(None).cast(counted.schema["dst"].dataType).alias("dst"), F.lit(0).cast("long").alias("weight")))
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds number, from 0 in the given order, without gathering the rows in one task: each range partition numbers its
-    own and adds how many rows stand before it."""
-    dealt = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).checkpoint()
-    sizes = dealt.groupBy("part").count()
-    before = sizes.withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count")).select("part", "before")  # a row a partition
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return dealt.withColumn("own", own).join(F.broadcast(before), "part").withColumn("number", F.col("own") + F.col("before")).drop("part", "own", "before")
-
-
 def label_propagation(adjacent: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, label): labels start as the nodes' ordinals; in each round every node takes the label with the largest
     (weight sum, label) among its neighbours if that sum is above 1, else the larger of it and its own; isolated nodes
@@ -38,14 +30,14 @@ def label_propagation(adjacent: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Each round is one aggregation by (node, label); checkpoints cut the lineage every few rounds, and the change test
     is part of the checkpointed round."""
     nodes = adjacent.select(F.col("src").alias("node")).distinct()
-    ids = numbered(nodes, "node").withColumnRenamed("number", "label").checkpoint()
-    weights = adjacent.where("dst is not null").select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight").checkpoint()
+    ids = saved(numbered(nodes, "node").withColumnRenamed("number", "label"))
+    weights = saved(adjacent.where("dst is not null").select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight"))
     labels = ids
     for _ in range(rounds):
         near = weights.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("rank"))
         best = near.groupBy("node").agg(F.max(F.struct("rank", "label")).alias("best"))
         pick = F.when(F.col("best").isNull(), F.col("label")).when(F.col("best.rank") > 1, F.col("best.label")).otherwise(F.greatest("best.label", "label"))
-        new = labels.join(best, "node", "left").select("node", pick.alias("label"), (pick != F.col("label")).alias("moved")).checkpoint()
+        new = saved(labels.join(best, "node", "left").select("node", pick.alias("label"), (pick != F.col("label")).alias("moved")))
         moved = new.where("moved").limit(1).count()
         labels = new.select("node", "label")
         if not moved:

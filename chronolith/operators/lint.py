@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import text as T
 
 from . import pages as P
+from .order import saved
 
 #: What the rules allow.
 TYPES = ("entity", "concept", "source", "synthesis", "decision", "log", "index")
@@ -74,7 +75,7 @@ def lint(pages: DataFrame) -> DataFrame:
     found = F.when(F.col("block").isNull(), none).otherwise(F.concat(F.filter(F.array(*own), lambda x: x.isNotNull()), tag_rules))
     linking = F.col("block").isNotNull() & ~P.is_source_note(F.col("path"))
     all_links = F.array_union("links", T.wikilinks(F.coalesce(source_list(F.col("block")), F.lit(""))))
-    slim = rows.select("path", "name", found.alias("found"), F.when(linking, all_links).otherwise(F.array().cast("array<string>")).alias("links")).checkpoint()
+    slim = saved(rows.select("path", "name", found.alias("found"), F.when(linking, all_links).otherwise(F.array().cast("array<string>")).alias("links")))
     single = slim.select(F.col("path").alias("file"), F.inline("found")).select("severity", "file", "rule", "msg")
     named = P.link_problems(slim).join(slim.select(F.col("name").alias("src"), F.col("path").alias("file")), "src")
     broken = F.col("problem") == "broken"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import text as T
 
 from . import pages as P
+from .order import numbered
 
 
 def entry(prefix: Column) -> Column:
@@ -26,8 +27,10 @@ def index_lines(pages: DataFrame, categories: tuple[str, ...] = ()) -> DataFrame
     rows = part("entity", 1).unionByName(part("concept", 2)).unionByName(part("synthesis", 3))
     rows = rows.unionByName(part("decision", 4, F.concat(link, F.lit(" **["), F.coalesce("status", F.lit("?")), F.lit("]**"))))
     months = by_month(pages).select(F.lit(5).alias("section"), (-F.row_number().over(Window.orderBy("month"))).cast("long").alias("slot"), F.lit(None).cast("string").alias("category"), F.lit("").alias("key"), F.format_string("- **%s** — %d sources", "month", "n").alias("line"))
-    w = Window.partitionBy("section").orderBy("slot", F.coalesce("category", F.lit("")), "key", "line")
-    return rows.unionByName(months).select("section", "category", F.row_number().over(w).alias("ord"), "line")
+    lines = rows.unionByName(months).withColumn("named", F.coalesce("category", F.lit("")))
+    placed = numbered(lines, "section", "slot", "named", "key", "line")
+    first = placed.groupBy("section").agg(F.min("number").alias("first"))  # five rows
+    return placed.join(F.broadcast(first), "section").select("section", "category", (F.col("number") - F.col("first") + 1).alias("ord"), "line")
 
 
 def by_month(pages: DataFrame) -> DataFrame:

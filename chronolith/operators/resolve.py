@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from chronolith.functions import plugins
 from chronolith.functions import text as T
 
+from .order import saved
+
 #: Characters that generic words may add, merges in one run.
 LENGTH_DIFFERENCE, MAX_MERGES = 12, 40
 
@@ -62,14 +64,14 @@ def merge_groups(pairs: DataFrame, entities: DataFrame | None = None, rounds: in
     with the longest summary, then the smallest uuid (without entities the smallest id). Each round takes the least label
     of all neighbours and of their labels; rounds are checkpointed, and it stops when nothing changes."""
     both = pairs.select(F.col("canonical").alias("a"), F.col("duplicate").alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id").checkpoint()
+    both = saved(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id"))
     for _ in range(rounds):
         low = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
         hop = labels.join(low, "id").select("id", F.least("root", "low").alias("root"))
         far = hop.select(F.col("id").alias("root"), F.col("root").alias("far"))
         moved = hop.join(far, "root", "left").select("id", F.least("root", F.coalesce("far", "root")).alias("root"))
-        new = moved.join(labels.withColumnRenamed("root", "old"), "id").select("id", "root", (F.col("root") != F.col("old")).alias("moved")).checkpoint()
+        new = saved(moved.join(labels.withColumnRenamed("root", "old"), "id").select("id", "root", (F.col("root") != F.col("old")).alias("moved")))
         labels = new.select("id", "root")
         if not new.where("moved").limit(1).count():
             break

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import saved
+
 RRF_K = 60
 K1, B = 1.2, 0.75
 CAPS = {"fact": 12, "entity": 8, "community": 3, "episode": 2, "semantic": 3}
@@ -86,7 +88,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFr
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     all_, own = few(asked.select("term").unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()), terms(F.col("text"))
     words = docs.select("id", own.alias("words")).select("id", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
-    tf = words.join(all_, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).checkpoint()
+    tf = saved(words.join(all_, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
     stats = tf.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     weighed = tf.join(few(df), "term").join(F.broadcast(stats), F.lit(True))

@@ -10,6 +10,7 @@ from pyspark.sql import types as S
 
 from chronolith.functions import text as T
 from chronolith.operators import pages as P
+from chronolith.operators.order import saved
 
 QUERY_EVENT = S.StructType([
     S.StructField("ts", S.DoubleType()), S.StructField("source", S.StringType()), S.StructField("tool", S.StringType()), S.StructField("metric_tool", S.StringType()),
@@ -149,7 +150,7 @@ def drop_notes(requests: DataFrame, seen: DataFrame, notes: str) -> DataFrame:
     """Decides on requests as decide_drops does, appends the new notes with their text and binary attachments in one write
     job, partitioned by day, and returns (slug, folder, ok, already_exists, error) for each request. The decisions are
     checkpointed before the write, so that what is returned does not depend on what was written."""
-    decided = decide_drops(requests, seen).checkpoint()
+    decided = saved(decide_drops(requests, seen))
     new = decided.where("error is null and not already_exists").withColumn("day", F.to_date("at"))
     new.select("folder", "slug", "note_md", "texts", "binaries", "capture_hash", "day").write.mode("append").partitionBy("day").parquet(notes)
     return decided.select("slug", "folder", F.col("error").isNull().alias("ok"), "already_exists", "error")
