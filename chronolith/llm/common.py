@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import cloudpickle
@@ -128,6 +131,40 @@ def having(rows: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi",
     return rows.join(own, F.col(id_col).eqNullSafe(F.col("had")), how)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers are used again and again, and what the largest group of one stage
+    took would otherwise count in all later ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def tidy(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A function of one group that gives memory back behind it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return f(pdf)
+        finally:
+            give_back()
+
+    return run
+
+
+def tidy_pair(f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """A function of two cogrouped groups that gives memory back behind it."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return f(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array as a compressed blob; the reader states the type."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())

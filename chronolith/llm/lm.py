@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Shared, buckets_for, byte_column, pack, unpack
+from .common import Scratch, Shared, buckets_for, byte_column, pack, tidy, tidy_pair, unpack
 
 BATCH_TOKENS = 800_000
 BUCKET_BYTES = 8_000_000
@@ -278,7 +278,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     buckets = buckets_for(rows, "text", BUCKET_BYTES)
     work = scratch.table(first_pass(rows, buckets), "work", partition_by="kind")
     entries = work.where(F.col("kind") == TOKENS).select("batch", "bucket", "a", "b")
-    totals = scratch.table(entries.groupBy("bucket").applyInPandas(sum_tokens, "batch long, bucket int, data binary, n long, v long"), "totals")
+    totals = scratch.table(entries.groupBy("bucket").applyInPandas(tidy(sum_tokens), "batch long, bucket int, data binary, n long, v long"), "totals")
     n, v = totals.where("batch is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     scratch.delete(f"{scratch.paths['work']}/kind={TOKENS}")
     scratch.release()
@@ -291,7 +291,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             return pd.DataFrame({"bucket": pdf["bucket"][:1], "data": [filter_part(pdf, bits_per_member).data.tobytes()]})
 
         segments = [np.zeros(8, np.uint8) for _ in range(buckets)]
-        for r in ngrams.groupBy("bucket").applyInPandas(build, "bucket int, data binary").toLocalIterator():
+        for r in ngrams.groupBy("bucket").applyInPandas(tidy(build), "bucket int, data binary").toLocalIterator():
             segments[r.bucket] = np.frombuffer(r.data, np.uint8)
         shared = Shared(spark, BloomCounts(segments))  # at most max_bits
     else:
@@ -301,7 +301,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             found = [pack(part.probe(keys, np.zeros(len(keys), np.int64))) for keys in map(unpack_keys, pdf["keys"])]
             return pd.DataFrame({"batch": pdf["batch"], "kind": LEVELS, "bucket": pdf["bucket"], "data": found})
 
-        asked = ngrams.groupBy("bucket").applyInPandas(ask, "batch long, kind int, bucket int, data binary")
+        asked = ngrams.groupBy("bucket").applyInPandas(tidy(ask), "batch long, kind int, bucket int, data binary")
         answers = answers.unionByName(scratch.table(asked, "levels"))
     scratch.release()
     floor, whole = float(n) + 0.5 * (float(v) + 1), int(n)
@@ -332,7 +332,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         return pd.concat(out)
 
     schema = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = scratch.table(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(per_batch, schema), "scored")
+    scored = scratch.table(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(tidy_pair(per_batch), schema), "scored")
     scratch.drop("work", "totals", "levels")
     own_id = F.when(F.col("id") != F.lit(NO_ID).cast("long"), F.col("id")).alias(id_col)
     return scored.select(own_id, "n_tokens", "n_known", "train_tokens", "base_score", "score")

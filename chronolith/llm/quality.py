@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Shared, byte_column, pack, unpack
+from .common import Scratch, Shared, byte_column, pack, tidy, unpack
 
 BITS = 17
 MAX_EXAMPLES, MAX_BYTES = 6000, 64_000_000
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     scratch = Scratch(docs.sparkSession, "quality")
     rows = sample(docs, labels, id_col, text_col, label_col, scratch, max_examples, max_bytes).select("id", "y", "text").mapInArrow(grams, "id long, y int, x binary")
-    got = rows.groupBy().applyInPandas(solve, "w binary, bias double, slope double, shift double").collect()
+    got = rows.groupBy().applyInPandas(tidy(solve), "w binary, bias double, slope double, shift double").collect()
     scratch.clear()
     if not got:
         return fit([], np.zeros(0))

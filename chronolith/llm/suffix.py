@@ -25,12 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, buckets_for, pack, unpack
+from .common import Scratch, buckets_for, pack, tidy, tidy_pair, unpack
 
 LENGTH, GRAM = 50, 16
 BATCH_BYTES = 16_000_000
 HOT = 20_000
-CHUNK = 1 << 22
+CHUNK = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -309,20 +309,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first.write.bucketBy(parts, "batch").option("path", f"{scratch.base}/texts").format("parquet").saveAsTable(name)
     scratch.release()
     texts = spark.table(name)
-    index = texts.groupBy("batch").applyInPandas(index_batch(length, parts), "bucket int, batch int, keys binary, counts binary")
-    shared = scratch.table(index.groupBy("bucket").applyInPandas(shared_anchors(hot), "batch int, keys binary, hot binary"), "shared")
+    index = texts.groupBy("batch").applyInPandas(tidy(index_batch(length, parts)), "bucket int, batch int, keys binary, counts binary")
+    shared = scratch.table(index.groupBy("bucket").applyInPandas(tidy(shared_anchors(hot)), "batch int, keys binary, hot binary"), "shared")
     scratch.release()
     schema = "kind int, batch int, shard int, m binary, ids binary, ahead binary, behind binary, string binary, place binary"
-    strings = scratch.table(texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(cut_strings(length, parts), schema), "strings", partition_by="kind")
+    strings = scratch.table(texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(tidy_pair(cut_strings(length, parts)), schema), "strings", partition_by="kind")
     scratch.drop("shared")
     scratch.release()
-    ordered = strings.where("kind = 1").groupBy("shard").applyInPandas(order_shard(length), "batch int, ids binary, begin binary, end binary")
+    ordered = strings.where("kind = 1").groupBy("shard").applyInPandas(tidy(order_shard(length)), "batch int, ids binary, begin binary, end binary")
     local = strings.where("kind = 0").select("batch", "ids", F.col("ahead").alias("begin"), F.col("behind").alias("end"))
     marked = scratch.table(ordered.unionByName(local), "marked")
     scratch.drop("strings")
     scratch.release()
     schema = "id long, key long, starts array<long>, lengths array<long>, kept_sha256 string, kept string"
-    left = scratch.table(texts.groupBy("batch").cogroup(marked.groupBy("batch")).applyInPandas(cut_out(length, with_text), schema), "left")
+    left = scratch.table(texts.groupBy("batch").cogroup(marked.groupBy("batch")).applyInPandas(tidy_pair(cut_out(length, with_text)), schema), "left")
     spark.sql(f"drop table {name}")
     scratch.delete(f"{scratch.base}/texts")
     scratch.drop("marked")
