@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
