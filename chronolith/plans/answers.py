@@ -9,7 +9,7 @@ from chronolith.functions import text as T
 from chronolith.operators import grounding, search
 
 from .registry import query
-from .workload import table, view
+from .workload import table
 
 CANDIDATES = """select event_id, case event_id % 5 when 0 then 'high' when 1 then 'Medium' when 2 then 'low' when 3 then 'not_found' else 'sure' end as confidence, case when event_id % 7 = 0 then null else concat('answer ', event_id) end as answer,
   concat('s', event_id % 4) as a, concat('s', event_id % 6) as b, case when event_id % 2 = 0 then 'none' else 'was else' end as superseded_note, event_id % 9 = 0 as escalate from events"""
