@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, lm, media, quality
+from . import bpe, chat, licenses, lm, media, quality
 from .common import bound_batches, crc_of_id
 from .decontam import contaminated
 from .packing import pack_documents
@@ -112,3 +112,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(5, 1))
     scored = lm.score(docs, held_col="held_out")
     return scored.select("doc_id", held_out(5, 1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op13_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
