@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, lm, media, quality
+from . import bpe, chat, divergence, licenses, lm, media, quality
 from .common import bound_batches, crc_of_id
 from .decontam import contaminated
 from .packing import pack_documents
@@ -117,3 +117,26 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+#: Every term of a language against every source, without the sparse form that the operator has.
+ORACLE_SQL["op11_source_divergence"] = r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text, row_number() over () as r from documents)
+, t as (select lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d)
+, kept as (select lang, term from t group by 1, 2 having count(distinct r) >= 3)
+, c as (select lang, source, term, count(*) as n from t semi join kept using (lang, term) group by 1, 2, 3)
+, g as (select distinct lang, source from d)
+, grid as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n from g join kept k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term)
+, p as (select *, 1 + (cast(1000000000 as hugeint) * (n + 1)) // (sum(n) over (partition by lang, source) + count(*) over (partition by lang, source)) as p from grid)
+, whole as (select lang, term, sum(n) as n from grid group by 1, 2)
+, q as (select *, 1 + (cast(1000000000 as hugeint) * (n + 1)) // (sum(n) over (partition by lang) + count(*) over (partition by lang)) as q from whole)
+, f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3)
+, pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source)
+, terms as (select p.lang, p.source, 'term' as part, p.term as item, cast(((p - q) * (p - q)) // q as bigint) as value from p join q using (lang, term) where p.n > 0 and p > q)
+, ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 200"""
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
