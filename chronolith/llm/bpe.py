@@ -1,9 +1,10 @@
 """Byte-level BPE: encoding by a global shuffle of distinct words, decoding by a join with the token-byte table.
 
-A task cuts its documents into blocks of bounded size. A document's pre-tokens become positions in its block's list of
-distinct words, so that what is exploded, one row for each word of a block, is already aggregated: however frequent a word
-is, it has at most one row a block. The distinct words of all blocks are encoded once each, their ids are joined back on the
-word, and a block's ids meet its documents again, where they are put together by position.
+A task cuts its documents into blocks of bounded size and their texts into pre-tokens. At each position a document keeps
+the number that its word has in the block, so that a word, however frequent, leaves a block at most once: what is shuffled is
+aggregated before. By their hash the distinct words of all blocks meet in shards, where each is encoded once; the ids join
+their block again by its words' numbers, and are put together by position. The words that a block sends to one shard travel
+as one row, and blocks are written in buckets, so that positions are never shuffled.
 
 Decoding joins each id with the token-byte table. The table has one row for each entry of the vocabulary, which is its size
 bound, so it is broadcast and the join needs no shuffle.
@@ -12,23 +13,27 @@ bound, so it is broadcast and the join needs no shuffle.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, Shared, default_parallelism, expand, give_back, pack, text_column, unpack
+from .common import Scratch, Shared, buckets_for, default_parallelism, expand, give_back, pack, text_column, unpack
 
 #: Bytes of text after which a block ends; a longer document is a block by itself.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 32 << 20
+#: Bytes of text for each shard of words; its distinct words are a fraction of them.
+SHARD_BYTES = 64 << 20
+MOST_BUCKETS = 10_000
 NARROW = 1 << 16
 
 
@@ -89,94 +94,133 @@ class Splitter:
         return self.spelt.findall(text)
 
 
-def into_blocks(docs: DataFrame, text_col: str, keep: list[str], shared: Shared, block_bytes: int) -> DataFrame:
-    """(block, own, sequence, words): of each document what is kept of it and its words as numbers, 2 or 4 bytes each,
-    compressed; the last document of a block also carries the block's distinct words."""
+def joined_words(words: list[str]) -> tuple[bytes, bytes]:
+    """Words as one compressed frame, and the sizes of their UTF-8 forms."""
+    raw = [w.encode() for w in words]
+    return pack(np.frombuffer(b"".join(raw), dtype=np.uint8)), pack(np.array([len(w) for w in raw], dtype="<u4"))
+
+
+def cut_words(frame: bytes, sizes: bytes) -> list[bytes]:
+    """The UTF-8 forms of joined words."""
+    data, ends = unpack(frame, np.uint8).tobytes(), np.cumsum(unpack(sizes, "<u4")).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+class Block:
+    """Words of some documents by number, in order of their first use."""
+
+    def __init__(self, block: int):
+        self.block, self.known, self.size = block, {}, 0
+
+    def sequence(self, text: str, words: list[str]) -> bytes:
+        """The words' numbers, compressed, behind how many bytes each takes."""
+        self.size += len(text.encode())
+        numbers = [self.known.setdefault(w, len(self.known)) for w in words]
+        width = b"2" if len(self.known) <= NARROW else b"4"
+        return width + pack(np.array(numbers, dtype=f"<u{width.decode()}")) if words else b""
+
+    def by_shard(self, shards: int) -> list[tuple[int, int, bytes, bytes, bytes]]:
+        """(block, shard, the words' numbers, the words, their sizes): the distinct words, dealt by their hash."""
+        words = np.array(sorted(self.known), dtype=object)
+        shard = np.fromiter((xxhash.xxh64_intdigest(w) % shards for w in words), np.int64, len(words))
+        out, order = [], np.argsort(shard, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+            numbers = np.fromiter((self.known[w] for w in words[some]), "<u4", len(some))
+            out.append((self.block, int(shard[some[0]]), pack(numbers), *joined_words(words[some])))
+        return out
+
+
+def into_blocks(docs: DataFrame, text_col: str, keep: list[str], shared: Shared, block_bytes: int, shards: int) -> DataFrame:
+    """Rows of two kinds: of each document (block, own, sequence), own being what is kept of it; and of each block's words
+    that go to a shard (block, shard, numbers, words, sizes)."""
     rows = docs.select(F.struct(*keep).alias("own"), F.col(text_col).cast("string").alias("text"))
+    own = T.StructField("own", rows.schema["own"].dataType)  # null in rows of words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = shared.value[0].ready()
-        part, made = TaskContext.get().partitionId(), 0
-        known: dict[str, int] = {}
-        size = 0
+        block, kind = Block(TaskContext.get().partitionId() << 32), None
+        names = ["block", "own", "sequence", "shard", "numbers", "words", "sizes"]
 
-        def out(own, sequences, last):
+        def documents(number, owns, sequences):
             n = len(sequences)
-            words = pa.array([None] * (n - 1) + [list(known) if last else None], pa.list_(pa.string()))
-            blocks = pa.array(np.full(n, (part << 32) + made), pa.int64())
-            return pa.RecordBatch.from_arrays([blocks, own, pa.array(sequences, pa.binary()), words], names=["block", "own", "sequence", "words"])
+            none = [pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, number), pa.int64()), owns, pa.array(sequences, pa.binary()), *none], names)
+
+        def words(done):
+            found = done.by_shard(shards)
+            for at in range(0, len(found), 1000):
+                cols = list(zip(*found[at : at + 1000]))
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                number, *rest = [pa.array(c, t) for c, t in zip(cols, types)]
+                yield pa.RecordBatch.from_arrays([number, pa.nulls(len(number), kind), pa.nulls(len(number), pa.binary()), *rest], names)
 
-        held = None  # the last document so far: it may have to carry the words
         for b in batches:
-            since, sequences = 0, []
-            for n, text in enumerate(text_column(b, "text")):
-                words = [known.setdefault(w, len(known)) for w in splitter.split(text)]
-                width = b"2" if len(known) <= NARROW else b"4"
-                sequences.append(width + pack(np.array(words, dtype=f"<u{width.decode()}")) if words else b"")
-                size += len(text.encode())
-                if size >= block_bytes:
-                    if held is not None:
-                        yield out(*held, False)
-                        held = None
-                    yield out(b.column("own").slice(since, n + 1 - since), sequences, True)
-                    known, size, made, since, sequences = {}, 0, made + 1, n + 1, []
+            owns, kind, since, sequences = b.column("own"), b.column("own").type, 0, []
+            for n, text in enumerate(text_column(b, "text"), 1):
+                sequences.append(block.sequence(text, splitter.split(text)))
+                if block.size >= block_bytes:
+                    yield documents(block.block, owns.slice(since, n - since), sequences)
+                    yield from words(block)
+                    block, since, sequences = Block(block.block + 1), n, []
             if sequences:
-                if held is not None:
-                    yield out(*held, False)
-                held = (b.column("own").slice(since, len(sequences)), sequences)
-        if held is not None:
-            yield out(*held, True)
+                yield documents(block.block, owns.slice(since, len(sequences)), sequences)
+        yield from words(block)
         give_back()
 
-    own = rows.schema["own"]
-    return rows.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), own, T.StructField("sequence", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))]))
-
+    rest = [("shard", T.LongType()), ("numbers", T.BinaryType()), ("words", T.BinaryType()), ("sizes", T.BinaryType())]
+    return rows.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), own, T.StructField("sequence", T.BinaryType()), *(T.StructField(*f) for f in rest)]))
 
-def encode_words(words: DataFrame, shared: Shared) -> DataFrame:
-    """(word, ids): the ids of each word of words(word)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encode_shard(shared: Shared) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
         splitter, ranks = shared.value
         encoding = tiktoken.Encoding("ranks", pat_str=splitter.pattern, mergeable_ranks=ranks, special_tokens={})
-        for b in batches:
-            ids = [encoding.encode_ordinary(w) for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.mapInArrow(run, "word string, ids array<int>")
-
+        number_of: dict[bytes, int] = {}
+        used = []
+        for frame, sizes in zip(rows.column("words").to_pylist(), rows.column("sizes").to_pylist()):
+            used.append(np.array([number_of.setdefault(w, len(number_of)) for w in cut_words(frame, sizes)], dtype=np.int64))
+        ids = [encoding.encode_ordinary(w.decode()) for w in number_of]  # each distinct word once
+        size = np.array(list(map(len, ids)), dtype=np.int64)
+        start, values = np.cumsum(size) - size, np.fromiter((i for w in ids for i in w), "<u4", int(size.sum()))
+        found = [(pack(size[u].astype("<u4")), pack(values[expand(start[u], size[u])])) for u in used]
+        give_back()
+        return pa.table({"block": rows.column("of"), "numbers": rows.column("numbers"), "sizes": pa.array([a for a, _ in found], pa.binary()), "ids": pa.array([b for _, b in found], pa.binary())})
 
-def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A list column as its values, the starts and the sizes of its lists."""
-    lists = column.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes, sizes
+    return run
 
 
-def put_together(docs: pa.Table, words: pa.Table) -> pa.Table:
+def put_together(docs: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of a block with their ids, by the positions of their words."""
-    order = np.argsort(words.column("at").to_numpy())
-    if len(order):
-        values, starts, sizes = flat(words.column("ids").take(pa.array(order)))
-    ids = []
+    columns = (found.column(c).to_pylist() for c in ("numbers", "sizes", "ids"))
+    number, size, values = (np.concatenate([np.empty(0, "<u4"), *(unpack(x, "<u4") for x in c)]) for c in columns)
+    sizes, starts = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    sizes[number], starts[number] = size, np.cumsum(size, dtype=np.int64) - size
+    ids, values = [], values.astype(np.int32)
     for blob in docs.column("sequence").to_pylist():
-        if not blob:
-            ids.append(np.empty(0, dtype=np.int32))
-            continue
-        seq = unpack(blob[1:], f"<u{blob[:1].decode()}")
-        ids.append(values[expand(starts[seq], sizes[seq])].astype(np.int32))
-    counts = np.array([0, *map(len, ids)], dtype=np.int64)
-    column = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
+        sequence = unpack(blob[1:], f"<u{blob[:1].decode()}") if blob else np.empty(0, np.int64)
+        ids.append(values[expand(starts[sequence], sizes[sequence])] if blob else values[:0])
+    ends = np.cumsum([0, *map(len, ids)])
+    column = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([values[:0], *ids]), pa.int32())).cast(pa.list_(pa.int32()))
+    give_back()
     return pa.table({"own": docs.column("own"), "ids": column})
 
 
+def bucketed(rows: DataFrame, column: str, path: str, buckets: int) -> DataFrame:
+    """The rows, written in buckets by a column, so that grouping by it needs no shuffle. The catalog keeps no trace."""
+    spark, name = rows.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files are not the catalog's
+    return table
+
+
 def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, ranks_path: str | None = None, pattern: str | None = None, ids_col: str = "ids", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, as far as `keep` names their columns (None: all but the text), with the ids of their whole text.
 
     A null text is an empty one and has no ids. Repeated rows are encoded as rows; nothing depends on ids or on order, so
     there are no ties. A very long text is a block by itself and has to fit in a task, as its row does. An empty table gives
-    no rows. Columns of any name may be kept but `ids_col`. Nothing but the blocks, which are written in the shared folder,
-    is stored; the result reads them, and they may be deleted with it."""
+    no rows. Columns of any name may be kept but `ids_col`. The blocks are written in the shared folder, and the result reads
+    them there: the folder's owner deletes them when it is no longer read."""
     spark, keep = docs.sparkSession, [c for c in docs.columns if c != text_col] if keep is None else keep
     if ids_col in keep:
         raise ValueError(f"{ids_col} is a column of the documents: name another for the ids")
@@ -184,15 +228,14 @@ def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
         docs, keep = docs.withColumn("no_column", F.lit(None).cast("int")), ["no_column"]
     scratch = Scratch(spark, "bpe")
     shared = Shared(spark, (Splitter(pattern or default_pattern()), read_ranks(ranks_path or default_ranks())))
-    blocks = scratch.table(into_blocks(docs, text_col, keep, shared, block_bytes), "blocks")
+    made = into_blocks(docs, text_col, keep, shared, block_bytes, buckets_for(docs, text_col, SHARD_BYTES))
+    blocks = bucketed(made, "block", f"{scratch.base}/blocks", min(MOST_BUCKETS, default_parallelism(spark)))
+    shards = blocks.where("shard is not null").select("shard", F.col("block").alias("of"), "numbers", "words", "sizes")
+    found = shards.groupBy("shard").applyInArrow(encode_shard(shared), "block long, numbers binary, sizes binary, ids binary")
     own = blocks.schema["own"]
-    exploded = spark.read.schema(blocks.schema).parquet(scratch.paths["blocks"]).where("words is not null").select("block", F.posexplode("words").alias("at", "word"))
-    ids = encode_words(exploded.select("word").distinct(), shared)
-    found = exploded.join(ids, "word").select("block", "at", "ids")
-    made = blocks.select("block", "own", "sequence").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        put_together, T.StructType([own, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    )
-    return made.select(*([] if keep == ["no_column"] else ["own.*"]), F.col("ids").alias(ids_col))
+    rows = blocks.where("shard is null").select("block", "own", "sequence")
+    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(put_together, T.StructType([own, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return out.select(*([] if keep == ["no_column"] else ["own.*"]), F.col("ids").alias(ids_col))
 
 
 def token_bytes(spark: SparkSession, ranks_path: str | None = None) -> tuple[np.ndarray, pa.Array]:

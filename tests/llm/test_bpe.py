@@ -73,6 +73,14 @@ def test_decoding_cut_unknown_and_missing_ids(spark, encoding):
     assert bpe.decode(spark.createDataFrame([], "ids array<int>")).count() == 0
 
 
-def test_each_distinct_word_is_encoded_once_and_the_plan_spreads_words(spark, sf, encoding):
-    plan = bpe.encode(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("MapInArrow") == 1 and "Aggregate [word" in plan and "CartesianProduct" not in plan
+def test_positions_are_not_shuffled_and_shards_hold_each_word_once(spark, sf):
+    df = bpe.encode(spark.read.parquet(f"{sf}/documents.parquet"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "CartesianProduct" not in plan and "Join" not in plan
+
+
+def test_few_words_in_many_shards(spark, encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "SHARD_BYTES", 10)
+    rows = [(n, f"a word {n % 7} and  more\n") for n in range(60)]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block_bytes=100).collect()
+    assert sorted((r.doc_id, r.ids) for r in got) == [(n, encoding.encode_ordinary(t)) for n, t in rows]
