@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, licenses, lm, media, quality
+from . import bpe, chat, divergence, licenses, lm, media, negatives, quality
 from .common import bound_batches, crc_of_id
 from .decontam import contaminated
 from .packing import pack_documents
@@ -140,3 +140,23 @@ select * from ranked where part = 'pair' or rank <= 200"""
 @query
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+#: Every anchor against every row.
+ORACLE_SQL["op12_hard_negatives"] = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding as e, row_number() over () as uid from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+, w as (select uid, vec_id, label, list_transform(e, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from v)
+, s as (select a.uid, a.vec_id as anchor_id, a.label, b.uid as other, b.vec_id, b.label as its, list_sum(list_transform(range(1, 1 + least(len(a.e), len(b.e))), lambda i: a.e[i] * b.e[i])) as score
+  from w a join w b on a.uid <> b.uid where a.vec_id % 100 = 0)
+, p as (select * from s where label = its qualify row_number() over (partition by uid order by score desc, vec_id, other) <= 5)
+, n as (select p.uid, p.anchor_id, p.other, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.uid, p.other order by s.score desc, s.vec_id, s.other) as rank
+  from p join s on s.uid = p.uid and s.its <> s.label and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, cast(positive_score as bigint) as positive_score, cast(negative_score as bigint) as negative_score from n where rank <= 5"""
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), negatives.whole_components(F.col("embedding")).alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return negatives.hard_negatives(vectors)
