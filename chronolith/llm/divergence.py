@@ -2,8 +2,8 @@
 
 Terms are counted by (language, source); each term's counts then form one wide vector, whose slots are the sources of its
 language by number. Slots of sources without the term are left out of the vector, as they hold the same share for all terms
-(`floor`), and vectors that are equal are counted, not repeated. Higher-order functions turn a vector into what its terms add
-to each pair of sources; sums by pair are combined on the map side.
+(`floor`), and vectors that are equal are counted, not repeated. Higher-order functions turn a vector into its pairs of sources,
+generated code reckons what its terms add to each, and sums by pair are combined on the map side.
 
 For a pair (s, t) the sum over all kept terms is taken as
     terms of s against t's floor + s's floor against terms of t + (all - of s - of t) * floor against floor
@@ -13,27 +13,23 @@ so that a term costs the square of the sources that have it, not of all sources.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, byte_column, give_back
 
-#: What a term is made of: ASCII letters and everything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What a term is made of, in UTF-8: ASCII letters and everything beyond ASCII.
+TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms that a task counts before it hands them on.
+TERMS_AHEAD = 300_000
 SCALE = 1_000_000_000
 #: Groups (language, source) up to which their table, a number or two for each, is broadcast; they are counted.
 FEW_GROUPS = 200_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def term_counts(text: Column) -> Column:
-    """An array of (term, n): each distinct term of a text and how often it occurs."""
-    found = F.sort_array(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    firsts = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
-    runs = lambda t, at: F.transform(at, lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).cast("long").alias("n")))
-    # arrays of one array bind the sorted terms, and where each begins, to a name
-    counted = F.transform(F.array(found), lambda t: F.transform(F.array(firsts(t)), lambda at: runs(t, at))[0])[0]
-    return F.when(F.size(found) > 0, counted)
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -48,9 +44,33 @@ def excess(p: Column, q: Column) -> Column:
 
 
 def counted_terms(rows: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) of rows(lang, source, text): occurrences, and rows that have the term."""
-    each = rows.select("lang", "source", F.explode(term_counts(F.col("text"))).alias("t"))
-    return each.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.sum("t.n").alias("n"), F.count("*").alias("docs"))
+    """(lang, source, term, n, docs) of rows(lang, source, text): occurrences, and rows that have the term. Tasks count ahead,
+    by group, and hand on what they have whenever it comes to many terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term = re.compile(TERM)
+        told: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def counts():
+            for (lang, source), (n, docs) in told.items():
+                size = len(n)
+                cols = [pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()), pa.array(n, pa.binary()), pa.array(n.values(), pa.int64()), pa.array(map(docs.get, n), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "docs"])
+            told.clear()
+
+        for b in batches:
+            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), byte_column(b, "text")):
+                found = term.findall(text.lower())  # bytes: only A-Z change
+                n, docs = told.setdefault((lang, source), (Counter(), Counter()))
+                n.update(found)
+                docs.update(set(found))
+            if sum(len(n) for n, _ in told.values()) > TERMS_AHEAD:
+                yield from counts()
+        yield from counts()
+        give_back()
+
+    each = rows.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, term binary, n long, docs long")
+    return each.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def small(df: DataFrame, count: int) -> DataFrame:
@@ -90,10 +110,13 @@ def pair_sums(vectors: DataFrame, groups: DataFrame, langs: DataFrame, n_groups:
     valued = equal_vectors.join(small(sides, n_groups), "lang").select(
         "lang", "count", F.transform("slots", lambda s: F.struct(s["place"].alias("place"), share(s["n"], F.get("sides", s["place"])["total"], F.col("kept")).alias("p"), floor(s["place"]).alias("floor"))).alias("slots")
     )
+    # of the sources behind each one in its vector; both directions of a pair are reckoned in one row
     one = valued.select("lang", "count", "slots", F.explode("slots").alias("a"))
-    adds = lambda a, b: excess(a["p"], b["p"]) - excess(a["p"], b["floor"]) - excess(a["floor"], b["p"]) + excess(a["floor"], b["floor"])
-    a = F.col("a")
-    both = one.select("lang", F.explode(F.transform(F.filter("slots", lambda b: b["place"] != a["place"]), lambda b: pair(a["place"], b["place"], F.col("count") * adds(a, b)))).alias("e"))
+    behind = F.filter("slots", lambda b: b["place"] > F.col("a.place"))
+    two = one.select("lang", "count", "a", F.explode(behind).alias("b"))
+    adds = lambda a, b: F.col("count") * (excess(F.col(f"{a}.p"), F.col(f"{b}.p")) - excess(F.col(f"{a}.p"), F.col(f"{b}.floor")) - excess(F.col(f"{a}.floor"), F.col(f"{b}.p")) + excess(F.col(f"{a}.floor"), F.col(f"{b}.floor")))
+    summed = two.groupBy("lang", F.col("a.place").alias("place"), F.col("b.place").alias("other")).agg(F.sum(adds("a", "b")).alias("there"), F.sum(adds("b", "a")).alias("back"))
+    both = summed.select("lang", F.explode(F.array(pair(F.col("place"), F.col("other"), F.col("there")), pair(F.col("other"), F.col("place"), F.col("back")))).alias("e"))
     every = base.unionByName(alone).unionByName(both)
     return every.groupBy("lang", "e.place", "e.other").agg(F.sum("e.value").alias("value"))
 
@@ -106,7 +129,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     Null texts, languages and sources are empty ones; an empty text has no terms, but its group counts as one. Rows are rows:
     a repeated one counts again, and a term stands in a document as often as the row is repeated. A language whose terms all
     stand in fewer than `least_docs` rows keeps none, and its pairs have the value 0. Columns other than the three named are
-    not read, an empty table gives no rows, and a very long text is sorted in its own row. Sums fit a long up to a thousand
+    not read, an empty table gives no rows, and a very long text is counted in its own row. Sums fit a long up to a thousand
     million kept terms."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "divergence")

@@ -82,3 +82,11 @@ def test_counts_beyond_a_double(spark):
 def test_pairs_are_made_in_the_jvm_and_summed_before_the_shuffle(spark, sf):
     plan = QUERIES["op11_source_divergence"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "partial_sum(" in plan and "WindowGroupLimit" in plan
+
+
+def test_counts_handed_on_in_parts(spark, monkeypatch, sf):
+    want = as_rows(QUERIES["op11_source_divergence"](spark, sf))
+    monkeypatch.setattr(divergence, "TERMS_AHEAD", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    assert as_rows(QUERIES["op11_source_divergence"](spark, sf)) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
