@@ -6,13 +6,15 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -122,13 +124,16 @@ def expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
 
 
-def having(rows: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi", most: int = 500_000) -> DataFrame:
-    """The rows whose id (null: an id like others) is among ids(id_col), or with left_anti those whose id is not. Few ids,
-    as counted in their written table, are broadcast, and the rows' texts stay where they are."""
-    own = ids.select(F.col(id_col).alias("had"))
+def having(rows: DataFrame, ids: DataFrame, keys: dict[str, Column], how: str = "left_semi", most: int = 500_000) -> DataFrame:
+    """The rows for which `keys` (a column of ids: its value in rows; null is a value like others) stand among ids, or with
+    left_anti those for which they don't. Few ids, as counted in their written table, are broadcast, and the rows' texts stay
+    where they are. Rows may have columns of any names."""
+    taken = {c.lower() for c in rows.columns}
+    names = {k: next(n for i in count() if (n := f"had_{k}_{i}") not in taken) for k in keys}
+    own = ids.select(*[F.col(k).alias(n) for k, n in names.items()])
     if own.count() <= most:
         own = F.broadcast(own)
-    return rows.join(own, F.col(id_col).eqNullSafe(F.col("had")), how)
+    return rows.join(own, reduce(lambda a, b: a & b, [value.eqNullSafe(F.col(names[k])) for k, value in keys.items()]), how)
 
 
 def give_back() -> None:
