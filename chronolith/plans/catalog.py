@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, knowledge, operations, writing
+from . import answers, knowledge, metrics, operations, writing
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
-MODULES = (knowledge, writing, operations, answers)
+MODULES = (knowledge, writing, operations, answers, metrics)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
