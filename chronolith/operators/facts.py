@@ -26,10 +26,34 @@ def as_of(facts: DataFrame, at: Column) -> DataFrame:
 
 
 def as_of_join(points: DataFrame, facts: DataFrame, key: str, at: str) -> DataFrame:
-    """Each point with the facts of its key that hold at its time: equi-join on the key, then the interval."""
+    """Each point with all facts of its key that hold at its time, which may overlap: equi-join on the key, then the interval.
+    It meets all points of a key with all its facts; where a key's facts don't overlap, as those of `close_intervals`,
+    `as_of_merge` gives the same in one pass."""
     return points.join(facts, key).where((F.col("valid_at") <= F.col(at)) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > F.col(at))))
 
 
+def as_of_merge(points: DataFrame, facts: DataFrame, key: str, at: str, days: int = 90) -> DataFrame:
+    """Each point with the fact of its key that holds at its time, for keys whose facts don't overlap: points and facts are
+    laid in one line by key and time, and the last fact that began is carried forward. A key's line is cut every `days` days,
+    so that a hot key is no single group; the fact that stands before a piece is carried to it from a table with one row for
+    each key and piece. Of facts that begin together the last by uuid counts, as the others are empty. Points and facts
+    without key or time match nothing; a point that no fact holds for has no row; other columns need different names."""
+    own = [c for c in facts.columns if c != key]
+    if clash := set(own) & set(points.columns):
+        raise ValueError(f"points and facts both have {sorted(clash)}")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    told = facts.where(F.col(key).isNotNull() & F.col("valid_at").isNotNull()).select(F.col(key).alias("k"), micros("valid_at").alias("t"), F.struct(micros("valid_at").alias("begun"), "uuid", micros("invalid_at").alias("ended"), F.struct(*own).alias("own")).alias("fact"))
+    asked = points.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("k"), micros(at).alias("t"), F.struct(*points.columns).alias("point"))
+    line = told.unionByName(asked, allowMissingColumns=True).withColumn("piece", F.floor(F.col("t") / (days * 86_400_000_000)))
+    pieces = line.groupBy("k", "piece").agg(F.max_by("fact", F.when(F.col("fact").isNotNull(), F.struct("t", "fact.uuid"))).alias("last"))
+    carried = pieces.select("k", "piece", F.last("last", ignorenulls=True).over(Window.partitionBy("k").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    # a fact stands before the points of its own time
+    passed = Window.partitionBy("k", "piece").orderBy("t", F.col("point").isNotNull(), "fact.uuid").rowsBetween(Window.unboundedPreceding, 0)
+    met = line.withColumn("inside", F.last("fact", ignorenulls=True).over(passed)).where("point is not null").join(carried, ["k", "piece"])
+    held = met.withColumn("f", F.coalesce("inside", "before")).where(F.col("f").isNotNull() & (F.col("f.ended").isNull() | (F.col("f.ended") > F.col("t"))))
+    return held.select(F.col("k").alias(key), *[F.col("point")[c].alias(c) for c in points.columns if c != key], *[F.col("f.own")[c].alias(c) for c in own])
+
+
 def trailing(df: DataFrame, column: str, now: Column, days: int) -> DataFrame:
     """Rows of the last `days` days; the lower bound is in, and there is no upper one."""
     return df.where(F.col(column) >= now - F.make_dt_interval(F.lit(days)))
