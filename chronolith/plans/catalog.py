@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, indexes, knowledge, metrics, operations, writing
+from . import answers, asking, indexes, knowledge, metrics, operations, writing
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
-MODULES = (knowledge, writing, operations, answers, metrics, indexes)
+MODULES = (knowledge, writing, operations, answers, metrics, indexes, asking)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
