@@ -26,7 +26,7 @@ from .common import Scratch, byte_column, give_back
 #: What a term is made of, in UTF-8: ASCII letters and everything beyond ASCII.
 TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Terms that a task counts before it hands them on.
-TERMS_AHEAD = 300_000
+TERMS_AHEAD = 60_000
 SCALE = 1_000_000_000
 #: Groups (language, source) up to which their table, a number or two for each, is broadcast; they are counted.
 FEW_GROUPS = 200_000
@@ -48,7 +48,7 @@ def counted_terms(rows: DataFrame) -> DataFrame:
     by group, and hand on what they have whenever it comes to many terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term = re.compile(TERM)
+        term, held = re.compile(TERM), 0
         told: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def counts():
@@ -62,10 +62,13 @@ def counted_terms(rows: DataFrame) -> DataFrame:
             for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), byte_column(b, "text")):
                 found = term.findall(text.lower())  # bytes: only A-Z change
                 n, docs = told.setdefault((lang, source), (Counter(), Counter()))
+                known = len(n)
                 n.update(found)
                 docs.update(set(found))
-            if sum(len(n) for n, _ in told.values()) > TERMS_AHEAD:
-                yield from counts()
+                held += len(n) - known
+                if held > TERMS_AHEAD:
+                    yield from counts()
+                    held = 0
         yield from counts()
         give_back()
 
