@@ -7,7 +7,8 @@ df 0 and an rf of 1.
 
 The index has a posting list for each term, cut in blocks of neighbouring examples with the largest weight of each block.
 A text adds up its terms' block maxima, scores the most promising blocks, and then all blocks whose bound reaches its k-th
-cosine so far: the k nearest are exact. The lists of frequent terms, which most examples are in, are kept as vectors. Votes are weighted by distance and mapped to probabilities by a sigmoid fitted on
+cosine so far: the k nearest are exact. The lists of frequent terms, which many
+examples are in, are kept as vectors, as far as these fit in DENSE_BYTES. Votes are weighted by distance and mapped to probabilities by a sigmoid fitted on
 the leave-one-out votes of all examples.
 """
 
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterable, Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,9 @@ from .quality import MAX_BYTES, MAX_EXAMPLES, sample, sigmoid_fit
 
 WORD = re.compile(r"\w+")
 BLOCK, FIRST = 128, 8
-FREQUENT = 12  # terms that more than one in so many examples have
+FREQUENT = 24  # terms that more than one in so many examples have
+DENSE_BYTES = 32 << 20  # of their vectors, those of the most frequent first
+TOGETHER = 64  # texts whose frequent terms are multiplied together
 NEIGHBOURS = 31
 PRIOR = 0.3  # votes at the base rate that every text has besides
 
@@ -80,6 +84,7 @@ class Index:
         self.base, self.blocks = (self.y.sum() + 1) / (len(rows) + 2), len(rows) // BLOCK + 1
         # lists of frequent terms are whole vectors, with their blocks' maxima
         frequent = np.flatnonzero((a + c) * FREQUENT > len(rows))
+        frequent = np.sort(frequent[np.argsort(-(a + c)[frequent], kind="stable")[: DENSE_BYTES // (4 * self.blocks * BLOCK)]])
         self.dense_row = np.full(len(terms), -1, dtype=np.int32)
         self.dense_row[frequent] = np.arange(len(frequent))
         self.dense = np.zeros((len(frequent), self.blocks * BLOCK), dtype=np.float32)
@@ -102,16 +107,28 @@ class Index:
         w = (1 + np.log(count)) * self.of_term[term]
         return w / max(float(np.sqrt(w @ w + rest * self.of_other**2)), 1e-12)
 
-    def nearest(self, term: np.ndarray, count: np.ndarray, rest: float, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, cosines) of the k nearest, nearest first, ties by id; only positive cosines count."""
-        w = self.vector(term, count, rest)
-        row = self.dense_row[term]
-        frequent, weights = row[row >= 0], w[row >= 0].astype(np.float32)
-        whole = (weights @ self.dense[frequent]).astype(np.float64)
+    def all_nearest(self, texts: Iterable[tuple[np.ndarray, np.ndarray, float]], skip: Iterable[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`nearest` of each (term, count, rest), skip being the example that each leaves out. What frequent terms add is one
+        product of matrices for some texts together."""
+        texts, skip = iter(texts), iter(skip) if skip is not None else repeat(-1)
+        while some := list(islice(texts, TOGETHER)):
+            vectors = [self.vector(*t) for t in some]
+            weights = np.zeros((len(some), len(self.dense)), dtype=np.float32)
+            for n, (t, w) in enumerate(zip(some, vectors)):
+                row = self.dense_row[t[0]]
+                weights[n, row[row >= 0]] = w[row >= 0]
+            for t, w, whole, most in zip(some, vectors, weights @ self.dense, weights @ self.dense_most):
+                yield self.nearest(t[0], w, whole, most, skip=next(skip))
+
+    def nearest(self, term: np.ndarray, w: np.ndarray, whole: np.ndarray, most: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, cosines) of the k nearest to a text of known terms with the weights w, to which frequent ones add `whole`
+        by example and at most `most` by block; nearest first, ties by id; only positive cosines count."""
+        rare = self.dense_row[term] < 0
+        term, w = term[rare], w[rare]
         lists = (self.term_start[term + 1] - self.term_start[term]).astype(np.int64)
         entry, w = expand(self.term_start[term], lists), np.repeat(w, lists)
         block = self.block[entry]
-        bound = np.bincount(block, weights=w * self.most[entry], minlength=self.blocks) + weights @ self.dense_most[frequent]
+        bound = np.bincount(block, weights=w * self.most[entry], minlength=self.blocks) + most
         at, cosine, done = np.zeros(0, np.int64), np.zeros(0), np.zeros(self.blocks, dtype=bool)
         live = np.zeros(self.blocks, dtype=bool)
         live[np.argpartition(-bound, FIRST)[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)] = True
@@ -247,7 +264,7 @@ def calibrate(shared: Shared, examples: DataFrame) -> tuple[float, float]:
         ix = shared.value
         place = {int(i): p for p, i in enumerate(ix.ids)}
         for b in batches:
-            odds = [ix.vote(*ix.nearest(*found, skip=place[i])) for i, found in zip(b.column("id").to_pylist(), unpacked(b))]
+            odds = [ix.vote(*near) for near in ix.all_nearest(unpacked(b), [place[i] for i in b.column("id").to_pylist()])]
             yield pa.RecordBatch.from_arrays([pa.array(odds, pa.float64()), b.column("y")], ["odds", "y"])
 
     t = examples.select("id", "y", "term", "count", "rest").mapInArrow(run, "odds double, y int").toArrow()  # max_examples rows
@@ -287,8 +304,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for b in batches:
             scores, evidence = [], []
-            for words_ in unpacked(b):
-                at, cosine = ix.nearest(*words_)
+            for at, cosine in ix.all_nearest(unpacked(b)):
                 scores.append(float(1 / (1 + np.exp(-np.clip(slope * ix.vote(at, cosine) + shift, -60, 60)))))
                 evidence.append([{"id": int(ix.ids[p]), "cosine": float(v), "label": int(ix.y[p])} for p, v in zip(at[:3], cosine[:3])])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["id", "score", "evidence"])
