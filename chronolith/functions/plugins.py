@@ -126,3 +126,101 @@ def frontmatter_struct(block: pd.Series) -> pd.DataFrame:
     """The only parser that columns cannot express: an Arrow-batched function over frontmatter blocks."""
     rows = [parse_block(b) for b in block]
     return pd.DataFrame({"fields": [r[0] for r in rows], "tags": [r[1] for r in rows], "repeated": [r[2] for r in rows], "error": [r[3] for r in rows]})
+
+
+KINDS = S.StructType([
+    S.StructField("error", S.StringType()), S.StructField("kinds", S.MapType(S.StringType(), S.StringType())),
+    *(S.StructField(c, S.ArrayType(S.StructType([S.StructField("text", S.StringType()), S.StructField("kind", S.StringType())]))) for c in ("tags", "sources")),
+])
+#: What an unquoted scalar is, by the first pattern that it matches whole; anything else is a string.
+SCALARS = (
+    ("NoneType", r"|~|null|Null|NULL"), ("bool", r"(?i:true|false|yes|no|on|off)"), ("int", r"[-+]?(0|[1-9][0-9_]*|0[0-7_]+|0x[0-9a-fA-F_]+)"), ("float", r"[-+]?([0-9][0-9_]*\.[0-9_]*|\.[0-9]+)([eE][-+][0-9]+)?|[-+]?\.(inf|Inf|INF)|\.(nan|NaN|NAN)"),
+    ("date", r"\d{4}-\d\d-\d\d"), ("datetime", r"\d{4}-\d\d?-\d\d?([Tt]|[ \t]+)\d\d?:\d\d:\d\d(\.\d*)?([ \t]*(Z|[-+]\d\d?(:?\d\d)?))?"),
+)
+
+
+def scalar_kind(text: str) -> str:
+    if text[:1] in "'\"" and len(text) > 1:
+        return "str"
+    if text.startswith(("[", "{")):
+        return "list" if text[0] == "[" else "dict"
+    return next((kind for kind, pattern in SCALARS if re.fullmatch(pattern, text)), "str")
+
+
+def flow_items(inside: str) -> list[str] | None:
+    """The items between the brackets of a flow list; None if a quote or a bracket in it stays open."""
+    items, item, depth, quote = [], "", 0, ""
+    for c in inside:
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"" and not item.strip():
+            quote = c
+        elif c in "[{":
+            depth += 1
+        elif c in "]}":
+            depth -= 1
+        if c == "," and not depth and not quote:
+            items.append(item.strip())
+            item = ""
+        else:
+            item += c
+        if depth < 0:
+            return None
+    return None if depth or quote else [*items, item.strip()] if item.strip() else items
+
+
+def typed_block(block: str | None) -> tuple[str | None, dict[str, str], dict[str, list[tuple[str, str]]]]:
+    """(error, kinds, lists) of a frontmatter block: the kind of each key's value, and the items of its lists with theirs.
+    Lists may be in brackets, over several lines, or of lines that begin with a dash; deeper mappings count as one value."""
+    kinds: dict[str, str] = {}
+    lists: dict[str, list[tuple[str, str]]] = {}
+    rows, key, n = (block or "").split("\n"), None, 0
+    bare = lambda v: v[1:-1] if v[:1] in "'\"" and len(v) > 1 else v
+    while n < len(rows):
+        line, n = re.sub(r"(^|\s)#.*", "", rows[n]) if "'" not in rows[n] and '"' not in rows[n] else rows[n], n + 1
+        text = line.strip()
+        if not text or text.startswith("#"):
+            continue
+        if line[0] == "\t":
+            return "a tab indents", {}, {}
+        if (text == "-" or text.startswith("- ")) and key:
+            if kinds[key] not in ("NoneType", "list"):
+                return f"a list item below {key}", {}, {}
+            item = text[1:].strip()
+            kinds[key] = "list"
+            lists.setdefault(key, []).append((bare(item), "dict" if scalar_kind(item) == "str" and item[:1] not in "'\"" and re.search(r":( |$)", item) else scalar_kind(item)))
+            continue
+        if line[0] == " ":
+            if not key:
+                return f"not a mapping line: {text[:60]}", {}, {}
+            kinds[key] = "dict" if kinds[key] == "NoneType" and re.match(r"[^\s:]+:( |$)", text) else "str" if kinds[key] == "NoneType" else kinds[key]
+            continue
+        m = KEY.match(line)
+        if not m:
+            return f"not a mapping line: {text[:60]}", {}, {}
+        key, value = m[1], m[2].strip()
+        lists.pop(key, None)  # the last of equal keys counts
+        if value[:1] == "[":
+            whole = lambda v: flow_items(v[1:-1]) if v[-1] == "]" and len(v) > 1 else None
+            while n < len(rows) and whole(value) is None:
+                value, n = f"{value} {rows[n].strip()}", n + 1
+            items = whole(value)
+            if items is None:
+                return f"open list in {key}", {}, {}
+            lists[key] = [(bare(v), scalar_kind(v)) for v in items]
+        elif value[:1] in "'\"" and value and (len(value) < 2 or value[-1] != value[0]):
+            return f"open quote in {key}", {}, {}
+        elif value[:1] not in "'\"{" and re.search(r":( |$)", value):
+            return f"unquoted colon in {key}", {}, {}
+        elif value[:1] in "@`%&*!" and value:
+            return f"{key} begins with {value[0]}", {}, {}
+        kinds[key] = scalar_kind(value) if value[:1] not in "|>" or not value else "str"
+    return None, kinds, lists
+
+
+@pandas_udf(KINDS)
+def frontmatter_kinds(block: pd.Series) -> pd.DataFrame:
+    """What the lint rules need of a frontmatter block beyond its text: whether it parses, and what its values are."""
+    rows = [typed_block(b) for b in block]
+    items = lambda r, key: [{"text": t, "kind": k} for t, k in r[2][key]] if key in r[2] else None
+    return pd.DataFrame({"error": [r[0] for r in rows], "kinds": [r[1] for r in rows], "tags": [items(r, "tags") for r in rows], "sources": [items(r, "sources") for r in rows]})

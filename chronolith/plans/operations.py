@@ -315,6 +315,20 @@ def lint_rules(spark, sf):
     return issues(spark, sf).groupBy("file", "severity", "rule").agg(F.count("*").alias("n"))
 
 
+#: Frontmatter that parses and frontmatter that does not, lists and what only looks like one.
+FRONTS = """select concat('wiki/doc-', doc_id, '.md') as path, concat('---', chr(10), 'type: concept', chr(10), case doc_id % 6 when 0 then 'tags: [a, b]' when 1 then 'tags: [open' when 2 then 'tags: one' when 3 then concat('tags: [1, ab, No]', chr(10), 'sources: [[[x]], "y"]') when 4 then concat('sources: one', chr(10), 'created: 20240101') else concat('a: b: c', chr(10), 'tags: Big') end,
+  chr(10), '---', chr(10), '# doc-', doc_id, chr(10), chr(10), substr(text, 1, 100), chr(10)) as content from {documents}"""
+
+
+@query("Q1 Q5 Q6 Q7 F7", """select concat('wiki/doc-', doc_id, '.md') as file, x.severity as severity, x.rule as rule, count(*) as n from documents, lateral (select unnest(case doc_id % 6 when 0 then [] when 1 then [{'severity': 'error', 'rule': 'frontmatter_parse'}] when 2 then [{'severity': 'warning', 'rule': 'tags'}]
+  when 3 then [{'severity': 'warning', 'rule': 'tag_string'}, {'severity': 'warning', 'rule': 'tag_string'}, {'severity': 'warning', 'rule': 'source_string'}, {'severity': 'error', 'rule': 'link'}] when 4 then [{'severity': 'warning', 'rule': 'sources'}, {'severity': 'warning', 'rule': 'created'}] else [{'severity': 'error', 'rule': 'frontmatter_parse'}] end) as x) where text is not null group by 1, 2, 3""")
+def lint_frontmatter(spark, sf):
+    """The rules that need frontmatter parsed, by page."""
+    pages_ = pages.catalog(spark.sql(FRONTS, documents=table(spark, sf, "documents").where("text is not null").withColumn("text", F.translate("text", "[]#", ""))))
+    found = lint.lint(pages_).groupBy("file", "severity", "rule").agg(F.count("*").alias("n"))
+    return found
+
+
 @query("A12 Q12", ISSUES + "select count(*) filter (starts_with(issue, 'error')) as errors, count(*) filter (starts_with(issue, 'warning')) as warnings, count(*) filter (starts_with(issue, 'info')) as infos, 1 as exit_code from issues")
 def lint_summary(spark, sf):
     return lint.summary(issues(spark, sf))
