@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import zlib
@@ -35,13 +36,51 @@ def test_held_out_accuracy(spark, labels, name, label, mod, left_out, threshold,
     assert np.mean([p == y for p, y in held]) >= least
 
 
-def test_held_out_labels_are_not_read(spark):
-    docs = spark.createDataFrame([(i, f"text {i} " + ("bad " if i % 2 else "good ") * 9) for i in range(60)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").where("doc_id % 3 <> 1")
-    flipped = labels.unionByName(spark.createDataFrame([(i, 1 - i % 2) for i in range(60) if i % 3 == 1], "doc_id long, quality int").limit(0))
-    a = quality.score(docs, quality.train(docs, labels)).orderBy("doc_id").collect()
-    assert a == quality.score(docs, quality.train(docs, flipped)).orderBy("doc_id").collect()
-    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in a)
+@pytest.mark.parametrize(("name", "label", "mod", "left_out"), [("op8_quality_nbsvm", "quality", 3, 1), ("op3_toxicity_neighbours", "toxic", 4, 2)])
+def test_held_out_labels_are_not_read(spark, sf, tmp_path, name, label, mod, left_out):
+    """The whole query, with the labels of all rows held out turned round, and with those of the others."""
+    before = {r.doc_id: r.score for r in QUERIES[name](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    os.symlink(f"{sf}/documents.parquet", tmp_path / "documents.parquet")
+    for turned in (True, False):
+        flipped = [r.asDict() | ({label: 1 - r[label]} if r[label] is not None and (crc(r.doc_id, mod) == left_out) == turned else {}) for r in rows]
+        spark.createDataFrame(flipped, spark.read.parquet(f"{sf}/labels.parquet").schema).write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+        after = {r.doc_id: r.score for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert (after == before) == turned
+
+
+def plain_quality(texts, y, epochs=20):
+    """Naive Bayes support vectors with a dense matrix: all indicators of every text, and a plain dual solver."""
+    grams = quality.Grams()
+    found = [grams.of(t.encode()) for t in texts]
+    columns = np.unique(np.concatenate(found))
+    x = np.array([np.isin(columns, f) for f in found], dtype=float)
+    outside = (1 << quality.BITS) - len(columns)
+    p, q = 1 + x[y == 1].sum(axis=0), 1 + x[y == 0].sum(axis=0)
+    r = np.log((p / (p.sum() + outside)) / (q / (q.sum() + outside)))
+    z, s, alpha = np.column_stack((x * r, np.ones(len(x)))), np.where(y == 1, 1.0, -1.0), np.zeros(len(x))
+    rng = np.random.default_rng(0)
+    for _ in range(epochs):
+        most = 0.0
+        for i in rng.permutation(len(x)):
+            w = (alpha * s) @ z
+            new = min(max(alpha[i] - (s[i] * (z[i] @ w) - 1) / (z[i] @ z[i]), 0.0), 1.0)
+            most, alpha[i] = max(most, abs(new - alpha[i])), new
+        if most < 1e-3:
+            break
+    w = (alpha * s) @ z
+    mean = np.abs(w[:-1]).sum() / (1 << quality.BITS)
+    return x @ ((0.75 * mean + 0.25 * w[:-1]) * r) + 0.25 * w[-1]
+
+
+def test_quality_margins_equal_a_dense_solver():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["good", "fine", "words", "here", "now"] if n % 2 else ["bad", "spam", "words", "here", "buy"]) for _ in range(rng.randrange(3, 12))) for n in range(50)]
+    y, grams = np.array([n % 2 if n % 9 else 1 - n % 2 for n in range(50)]), quality.Grams()
+    rows = [grams.of(t.encode()) for t in texts]
+    weights, bias = quality.hinge(rows, y, quality.log_count_ratio(rows, y))
+    got = np.array([weights[r].sum() + bias for r in rows])
+    assert np.allclose(got, plain_quality(texts, y), atol=1e-6) and got.std() > 0.1
 
 
 def test_awkward_rows_and_missing_labels(spark):
