@@ -45,6 +45,42 @@ def label_propagation(adjacent: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return labels
 
 
+def propagate_active(adjacent: DataFrame, rounds: int = ROUNDS, start: DataFrame | None = None) -> DataFrame:
+    """The same labels as `label_propagation`, round by round, from sums that are kept: a node that moves takes its weight
+    from its neighbours' sums for its old label and adds it to those for its new one, and only these neighbours, and nodes
+    that moved themselves, choose again. What a round shuffles is what moved, not the graph. `start(node, label)` are labels
+    to begin with, as those of the last run where edges were added; nodes that it lacks get numbers above all its labels."""
+    nodes = adjacent.select(F.col("src").alias("node")).distinct()
+    if start is None:
+        labels = saved(numbered(nodes, "node").withColumnRenamed("number", "label"))
+    else:
+        above = (start.agg(F.max("label")).first()[0] if start.limit(1).count() else -1) + 1
+        fresh = numbered(nodes.join(start.select("node"), "node", "left_anti"), "node").select("node", (F.col("number") + above).alias("label"))
+        labels = saved(nodes.join(start.select("node", "label"), "node").unionByName(fresh))
+    weights = saved(adjacent.where("dst is not null").select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight"))
+    sums = saved(weights.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("rank")))
+    touched, corrections = None, None
+    for n in range(rounds):
+        if n % 8 == 7:
+            corrections = saved(corrections.groupBy("node", "label").agg(F.sum("rank").alias("rank")))
+        known = sums if corrections is None else sums.unionByName(corrections)
+        if touched is not None:
+            known = known.join(touched, "node", "left_semi")
+        near = known.groupBy("node", "label").agg(F.sum("rank").alias("rank")).where("rank > 0")
+        best = near.groupBy("node").agg(F.max(F.struct("rank", "label")).alias("best"))
+        asked = labels if touched is None else labels.join(touched, "node", "left_semi")
+        pick = F.when(F.col("best").isNull(), F.col("label")).when(F.col("best.rank") > 1, F.col("best.label")).otherwise(F.greatest("best.label", "label"))
+        moved = saved(asked.join(best, "node", "left").select("node", F.col("label").alias("old"), pick.alias("new")).where("new <> old"))
+        if not moved.limit(1).count():
+            break
+        labels = saved(labels.join(moved.select("node", "new"), "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        told = weights.join(moved.withColumnRenamed("node", "other"), "other").select("node", F.inline(F.array(F.struct(F.col("old").alias("label"), (-F.col("weight")).alias("rank")), F.struct(F.col("new").alias("label"), F.col("weight").alias("rank")))))
+        told = saved(told.groupBy("node", "label").agg(F.sum("rank").alias("rank")))
+        corrections = told if corrections is None else corrections.unionByName(told)
+        touched = saved(told.select("node").unionByName(moved.select("node")).distinct())
+    return labels
+
+
 def sample_members(members: DataFrame, cap: int = MEMBERS) -> DataFrame:
     """At most `cap` members(community, node) of each community, by a seeded hash: a sampling operator."""
     w = Window.partitionBy("community").orderBy(F.xxhash64(F.col("node"), F.lit(42)), "node")

@@ -81,6 +81,20 @@ def recurring(gap_rows: DataFrame, prior: DataFrame, most: int = 64_000_000) ->
     return gap_rows.join(reports, F.contains(F.col("prior_text"), key), "left_semi")
 
 
+def recurring_by_seeds(gap_rows: DataFrame, prior: DataFrame, seed: int = 8) -> DataFrame:
+    """The same rows as `recurring` for reports of any number and size, as an equi-join: the first `seed` code points of a
+    gap's key, all of a shorter one, meet the windows of the reports that begin with them, and a window's text verifies the
+    key. A report's equal windows count once before they are shuffled. An empty key stands in every report."""
+    key = F.substring(T.squeeze(F.lower("q")), 1, 40)
+    keyed = gap_rows.withColumn("gap_key", key).withColumn("seed", F.substring("gap_key", 1, seed))
+    text = F.lower("text")
+    windows = prior.where("text is not null").select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(40)))).alias("window")).distinct()
+    lengths = [r[0] for r in keyed.select(F.length("seed")).distinct().collect()]  # at most `seed` + 1 numbers
+    starts = windows.select("window", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("window", 1, n).alias("seed")) for n in lengths] or [F.struct(F.lit(0).alias("n"), F.lit("").alias("seed"))])).alias("s"))
+    met = starts.where(F.length("s.seed") == F.col("s.n")).select(F.col("s.seed").alias("seed"), "window")
+    return keyed.join(met, (keyed.seed == met.seed) & F.startswith("window", "gap_key"), "left_semi").drop("gap_key", "seed")
+
+
 def triggers(events: DataFrame, gap_rows: DataFrame, recurring_rows: DataFrame) -> DataFrame:
     """One row: which builds the week's use warrants."""
     searches = real(events).where(F.col("tool") == "graph_search").agg(F.count("*").alias("graph_searches"))

@@ -210,6 +210,12 @@ def graph_label_propagation(spark, sf):
     return community.label_propagation(community.adjacency(table(spark, sf, "nation").select(F.col("n_nationkey").alias("node")), trade(spark, sf)))
 
 
+@query("G2", TRADE + rounds_sql(7))
+def graph_active_propagation(spark, sf):
+    """Seven rounds over what moved only."""
+    return community.propagate_active(community.adjacency(table(spark, sf, "nation").select(F.col("n_nationkey").alias("node")), trade(spark, sf)), 7)
+
+
 @query("G3", """with m as (select c_nationkey as community, c_custkey as node, c_name as summary, row_number() over (partition by c_nationkey order by c_custkey) as rn from customer)
 select community, count(*) as members, substr(string_agg(summary, '; ' order by node) filter (rn <= 5), 1, 60) as name, string_agg(summary, '; ' order by node) filter (rn <= 5) as summary from m group by 1""")
 def graph_community_summaries(spark, sf):

@@ -68,6 +68,12 @@ def usage_recurring_gaps(spark, sf):
     return usage.recurring(usage.gaps(log(spark, sf)), prior(spark)).select("key")
 
 
+@query("J15", GAPS + f", p as ({PRIOR}) select key from gaps where exists (select 1 from p where contains(lower(text), substr(trim(regexp_replace(lower(q), '\\s+', ' ', 'g')), 1, 40)))")
+def usage_recurring_by_seeds(spark, sf):
+    """The same by an equi-join on the beginnings of windows."""
+    return usage.recurring_by_seeds(usage.gaps(log(spark, sf)), prior(spark)).select("key")
+
+
 @query("R6", GAPS + f""", p as ({PRIOR}), r as (select count(*) as recurring from gaps where exists (select 1 from p where contains(lower(text), substr(trim(regexp_replace(lower(q), '\\s+', ' ', 'g')), 1, 40))))
 , s as (select count(*) as graph_searches from query_log where tool = 'graph_search' and not test), z as (select count(*) as zero_hits from gaps where src = 'graph')
 select *, graph_searches >= 200 as learned_ranking, recurring >= 5 as gap_classifier, zero_hits >= 15 as episode_embeddings from s, z, r""")

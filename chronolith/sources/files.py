@@ -51,13 +51,28 @@ def queue_entries(files: DataFrame, queue: str) -> DataFrame:
     return rows.groupBy("slug").agg(F.max("modified").alias("modified")).select(F.lit(queue).alias("queue"), "slug", F.coalesce(T.slug_timestamp(F.col("slug")), "modified").alias("ts"))
 
 
+def log_paths(spark: SparkSession, path: str, since: float) -> list[str]:
+    """What of a log may hold events from `since` on: its day folders from the day before on, as sessions may differ in their
+    time zones, and whatever else lies there, as rotated files do. Other days' folders are not opened or even listed."""
+    day = spark.range(1).select(F.date_format(F.timestamp_seconds(F.lit(since)), "yyyy-MM-dd")).first()[0]
+    first = str(date.fromisoformat(day) - timedelta(days=1)) if day > "0001-01-01" else day
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
+        return [path]
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    return [f"{path.rstrip('/')}/{n}" for n in names if not n.startswith(("_", ".")) and (not n.startswith("day=") or n[4:] >= first)]
+
+
 def read_query_log(spark: SparkSession, path: str, now: float, days: int, most: int = MAX_EVENTS) -> DataFrame:
     """The last `most` events of the window, oldest first; malformed lines are skipped, a missing ts counts as 0, days
-    are clamped. The most recent are a top-k, so nothing is sorted whole."""
-    days = T.clamp(days, 0, MAX_DAYS)
-    rows = spark.read.schema(QUERY_EVENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("recursiveFileLookup", True).json(path)
+    are clamped. Only the window's day folders are read. The most recent are a top-k, so nothing is sorted whole."""
+    since = now - T.clamp(days, 0, MAX_DAYS) * 86400
+    if not (found := log_paths(spark, path, since)):
+        return spark.createDataFrame([], S.StructType([f for f in QUERY_EVENT if f.name != "broken"]))
+    rows = spark.read.schema(QUERY_EVENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("recursiveFileLookup", True).json(found)
     rows = rows.where("broken is null").drop("broken").withColumn("ts", F.coalesce("ts", F.lit(0.0)))
-    return rows.where(F.col("ts") >= now - days * 86400).orderBy(F.desc("ts")).limit(most).orderBy("ts")
+    return rows.where(F.col("ts") >= since).orderBy(F.desc("ts")).limit(most).orderBy("ts")
 
 
 def append_query_log(events: DataFrame, path: str, keep_days: int | None = None) -> None:
