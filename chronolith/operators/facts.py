@@ -5,6 +5,8 @@ interval [valid_at, invalid_at) and is null while the fact holds."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,18 @@ def contradictions(facts: DataFrame) -> DataFrame:
     return pairs.select("subject", F.col("uuid_a").alias("older"), F.col("uuid_b").alias("newer"), F.col("valid_at_b").alias("closes_at"))
 
 
+def judged_contradictions(facts: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As `contradictions`, by a judge of one's own: it gets (subject, facts), the listed facts in order as structs of uuid,
+    object, fact and valid_at, and returns pairs(subject, i, j) of places in that list, from 0. Pairs that name no two facts,
+    and facts of one time, which do not show which to close, are left out; a pair counts once in whatever order."""
+    listed = judge_input(facts).groupBy("subject").agg(F.sort_array(F.collect_list(F.struct((F.col("rn") - 1).alias("place"), "uuid", "object", "fact", "valid_at"))).alias("listed"))
+    said = judge(listed.select("subject", F.transform("listed", lambda f: F.struct(f["uuid"].alias("uuid"), f["object"].alias("object"), f["fact"].alias("fact"), f["valid_at"].alias("valid_at"))).alias("facts")))
+    met = said.join(listed, "subject").select("subject", F.get("listed", F.col("i")).alias("a"), F.get("listed", F.col("j")).alias("b"))
+    first = F.when(F.col("a.valid_at") < F.col("b.valid_at"), F.struct("a", "b")).when(F.col("b.valid_at") < F.col("a.valid_at"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = met.withColumn("p", first).where("p is not null")
+    return pairs.select("subject", F.col("p.a.uuid").alias("older"), F.col("p.b.uuid").alias("newer"), F.col("p.b.valid_at").alias("closes_at")).distinct()
+
+
 def close_contradicted(facts: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
     """facts with invalid_at and expired_at set where a pair closes them; of several pairs the earliest closing counts."""
     closing = pairs.groupBy(F.col("older").alias("uuid")).agg(F.min("closes_at").alias("closes_at"))

@@ -34,6 +34,16 @@ def receipts(requests: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.select("slug", result.when(F.col("had").isNull(), "blocked").when(F.col("had") == F.col("reason"), "already-blocked").otherwise("conflict").alias("result"))
 
 
+def wrapped(files: DataFrame) -> DataFrame:
+    """files(path, …) below an inbox, with each bare note x.md put in a folder of its own, as x/x.md; README.md stays. Where
+    that file is there already the bare one takes its place, as a move does."""
+    bare = F.regexp_extract("path", r"^([^/]+)\.md$", 1)
+    moves = (bare != "") & (bare != "README")
+    rows = files.withColumn("moved", moves).withColumn("path", F.when(moves, F.concat(bare, F.lit("/"), bare, F.lit(".md"))).otherwise(F.col("path")))
+    best = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("moved")))
+    return rows.withColumn("nth", best).where("nth = 1").drop("nth")
+
+
 def sections(lines: DataFrame) -> DataFrame:
     """lines(file, line_no, line) -> adds in_ingest: the current `## […]` heading, carried forward, is an ingest one."""
     head = F.when(F.col("line").startswith("## ["), F.col("line").rlike(r"^## \[[^\]]*\] (auto-)?ingest \|"))

@@ -81,5 +81,42 @@ def rotate(entries: DataFrame, today: Column, days: int = 14) -> DataFrame:
     return entries.withColumn("target", target).withColumn("ord", F.row_number().over(w))
 
 
+def archives(entries: DataFrame, archived: DataFrame, today: Column, days: int = 14) -> DataFrame:
+    """What the archives of the weeks that get something hold after a rotation: entries(date text, seq, text) older than `days`
+    join archived(week, date text, seq, text) of their week -> (week, ord, date, seq, text, moved), newest first; of one day
+    the newly moved stand before what was there, each in its own order. Weeks that get nothing are left alone, and so have no
+    row. Each week is one file and one group."""
+    aged = rotate(entries, today, days).where(~F.col("target").isin("live", "quarantine")).select(F.col("target").alias("week"), "date", "seq", "text", F.lit(True).alias("moved"))
+    there = archived.join(aged.select("week").distinct(), "week", "left_semi").select("week", "date", "seq", "text", F.lit(False).alias("moved"))
+    w = Window.partitionBy("week").orderBy(F.desc("date"), F.desc("moved"), "seq")
+    return aged.unionByName(there).select("week", F.row_number().over(w).alias("ord"), "date", "seq", "text", "moved")
+
+
+def archive_texts(merged: DataFrame) -> DataFrame:
+    """(week, text): each archive as a page of type log, its entries in order."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "date", "text"))), lambda e: F.concat(F.lit("## ["), e["date"], F.lit("] "), e["text"])), "\n\n")
+    return merged.groupBy("week").agg(body.alias("body")).select("week", F.concat(F.lit("---\ntype: log\n---\n\n# log "), "week", F.lit("\n\n"), "body", F.lit("\n")).alias("text"))
+
+
+def last_distill(pages: DataFrame) -> Column | None:
+    """The day of the newest page named distill-<day>, null if there is none, as a literal."""
+    day = F.try_to_date(F.regexp_extract("name", r"^distill-(\d{4}-\d{2}-\d{2})$", 1), "yyyy-MM-dd")
+    return F.lit(pages.agg(F.max(day)).first()[0]).cast("date")
+
+
+def since_last(changes: DataFrame, pages: DataFrame) -> DataFrame:
+    """The changes(…, at) from the day of the last distill on; all of them before the first."""
+    bound = last_distill(pages)
+    return changes.where(bound.isNull() | (F.col("at").cast("date") >= bound))
+
+
+def distill_text(counts: DataFrame, day: Column) -> DataFrame:
+    """One text of distill's counts (kind, type, n): a heading for each kind, its types by number."""
+    line = F.concat(F.lit("- "), F.coalesce("type", F.lit("pages")), F.lit(": "), F.col("n").cast("string"))
+    parts = counts.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("by"), line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    block = F.concat(F.lit("## "), "kind", F.lit("\n\n"), "lines")
+    return parts.agg(F.concat(F.lit("# distill "), F.date_format(day, "yyyy-MM-dd"), F.lit("\n\n"), F.array_join(F.array_sort(F.collect_list(block)), "\n\n"), F.lit("\n")).alias("text"))
+
+
 def per_week(entries: DataFrame) -> DataFrame:
     return entries.where(F.try_to_date("date", "yyyy-MM-dd").isNotNull()).groupBy(week(F.try_to_date("date", "yyyy-MM-dd")).alias("week")).agg(F.count("*").alias("n"))

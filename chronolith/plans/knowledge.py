@@ -106,6 +106,19 @@ def facts_contradictions(spark, sf):
     return facts.contradictions(view(spark, sf, "facts")).select("subject", "older", "newer", day("closes_at"))
 
 
+@query("F5 J9", cte("facts") + """, l as (select *, row_number() over (partition by subject order by valid_at, uuid) - 1 as place from facts where valid_at is not null and invalid_at is null or uuid % 3 = 0), k as (select * from l where place < 40)
+select a.subject, a.uuid as older, b.uuid as newer from k a join k b on a.subject = b.subject and b.place = a.place + 2 and a.valid_at < b.valid_at""")
+def facts_judged(spark, sf):
+    """Pairs by a judge of one's own: each listed fact against the one two places on, said twice and with places that no fact has."""
+    f = view(spark, sf, "facts").where("valid_at is not null and invalid_at is null or uuid % 3 = 0")
+
+    def judge(listed):
+        places = listed.select("subject", F.explode(F.sequence(F.lit(0), F.size("facts"))).alias("i"))
+        return places.select("subject", "i", (F.col("i") + 2).alias("j")).unionByName(places.select("subject", (F.col("i") + 2).alias("i"), F.col("i").alias("j")))
+
+    return facts.judged_contradictions(f, judge).select("subject", "older", "newer")
+
+
 @query("T5 S16", PAIRS + f"select f.uuid, {DAY.format('coalesce(c.closes_at, f.invalid_at)')} as invalid_at, c.closes_at is not null as expired from facts f left join (select older, min(closes_at) as closes_at from p group by 1) c on c.older = f.uuid")
 def facts_close_contradicted(spark, sf):
     f = view(spark, sf, "facts")

@@ -403,6 +403,31 @@ def report_rotate(spark, sf):
     return report.rotate(entries(spark, sf), F.lit("2001-08-01").cast("date")).select("seq", "target", "ord")
 
 
+STORED = f"select format('{{:d}}-W{{:02d}}', isoyear(o_orderdate), week(o_orderdate)) as week, strftime(o_orderdate, '%Y-%m-%d') as date, -o_orderkey as seq from orders where o_orderkey % 5 = 0"
+
+
+@query("R4", f"""with e as ({ENTRIES}), x as (select *, try_cast(date as date) as d from e where seq % 3 = 0), a as (select {WEEK} as week, date, seq, true as moved from x where d < date '2001-08-01' - 14)
+, m as (select * from a union all select week, date, seq, false from ({STORED}) where week in (select week from a)) select week, seq, moved, row_number() over (partition by week order by date desc, moved desc, seq) as ord from m""")
+def report_archives(spark, sf):
+    """A third of the entries rotated into archives that hold a fifth of them already."""
+    o, text = table(spark, sf, "orders"), F.lit("x").alias("text")
+    day = F.col("o_orderdate").cast("date")
+    stored = o.where("o_orderkey % 5 = 0").select(report.week(day).alias("week"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), (-F.col("o_orderkey")).alias("seq"), text)
+    return report.archives(entries(spark, sf).where("seq % 3 = 0").select("*", text), stored, F.lit("2001-08-01").cast("date")).select("week", "seq", "moved", "ord")
+
+
+@query("R3 A14", f"""with d as (select max(ts::date) as day from events where event_id % 700 = 5), c as (select event_id as seq, case event_type when 'click' then 'A' when 'error' then 'D' else 'M' end as status, concat('wiki/p', user_id, '.md') as path from events, d where ts::date >= d.day)
+, p as (select path, arg_min(status, seq) as first, arg_max(status, seq) as last from c group by 1), t as (select concat('wiki/p', c_custkey, '.md') as path, c_mktsegment as type from customer where c_custkey % 3 <> 0)
+, k as (select p.path, case when last = 'D' then 'deleted' when first = 'A' then 'added' else 'modified' end as kind, t.type from p left join t on t.path = p.path) select kind, case when kind <> 'deleted' then coalesce(type, '(unknown)') end as type, count(*) as n from k group by 1, 2""")
+def report_distill_since(spark, sf):
+    """What changed since the last distill, whose day its page's name has."""
+    e = table(spark, sf, "events")
+    log_ = changes(spark, sf).join(e.select(F.col("event_id").alias("seq"), F.col("ts").alias("at")), "seq")
+    written = e.where("event_id % 700 = 5").select(F.concat(F.lit("distill-"), F.date_format("ts", "yyyy-MM-dd")).alias("name"))
+    types = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("wiki/p"), "c_custkey", F.lit(".md")).alias("path"), F.col("c_mktsegment").alias("type"))
+    return report.distill(report.since_last(log_, written), types)
+
+
 @query("A16", f"with e as ({ENTRIES}), x as (select try_cast(date as date) as d from e) select {WEEK} as week, count(*) as n from x where d is not null group by 1")
 def report_per_week(spark, sf):
     return report.per_week(entries(spark, sf))

@@ -65,6 +65,31 @@ def ingest_remove_episodes(spark, sf):
     return kept.agg(F.count("*").alias("episodes"), F.countDistinct("slug").alias("slugs"))
 
 
+@query("G7 S17", cte("episodes", "notes") + """, gone as (select uuid from episodes where slug in (select slug from notes where doc_id % 3 = 0)), mentions as (select uuid as episode, concat('m', uuid) as uuid from episodes)
+, facts as (select concat('f', doc_id) as uuid, concat('e', doc_id, '-1') as a, concat('e', doc_id + 1 + doc_id % 2, '-2') as b from documents)
+select 'episode' as kind, uuid from episodes where uuid not in (select uuid from gone) union all select 'mention', uuid from mentions where episode not in (select uuid from gone)
+union all select 'fact', uuid from facts where not (a in (select uuid from gone) and b in (select uuid from gone))""")
+def ingest_removal_cascade(spark, sf):
+    """What is left of all three when every third note's episodes go: facts that another episode carries stay."""
+    e = view(spark, sf, "episodes")
+    mentions = e.select(F.col("uuid").alias("episode_uuid"), F.concat(F.lit("m"), "uuid").alias("entity_uuid"))
+    d = F.col("doc_id")
+    facts = table(spark, sf, "documents").select(F.concat(F.lit("f"), d).alias("uuid"), F.array(F.concat(F.lit("e"), d, F.lit("-1")), F.concat(F.lit("e"), d + 1 + d % 2, F.lit("-2"))).alias("episodes"))
+    parts = ingest.remove_episodes(e, mentions, facts, view(spark, sf, "notes").where("doc_id % 3 = 0"))
+    names = (("episode", "uuid"), ("mention", "entity_uuid"), ("fact", "uuid"))
+    rows = [part.select(F.lit(kind).alias("kind"), F.col(c).alias("uuid")) for part, (kind, c) in zip(parts, names)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+BARE = "select case doc_id % 4 when 0 then concat('note-', doc_id, '.md') when 1 then concat('note-', doc_id, '/note-', doc_id, '.md') when 2 then concat('note-', doc_id, '/NOTE.md') else concat('note-', doc_id - 3, '/note-', doc_id - 3, '.md') end as path, doc_id from documents union all select 'README.md', -1"
+
+
+@query("B1", f"with f as ({BARE}), w as (select case when regexp_matches(path, '^[^/]+[.]md$') and path <> 'README.md' then concat(left(path, -3), '/', path) else path end as to_, regexp_matches(path, '^[^/]+[.]md$') and path <> 'README.md' as moved, doc_id from f) select to_ as path, moved, doc_id from (select *, row_number() over (partition by to_ order by moved desc) as n from w) where n = 1")
+def queue_wrapped(spark, sf):
+    """Bare notes in folders of their own; some take an older file's place."""
+    return queues.wrapped(spark.sql(BARE.replace("from documents", "from {documents}"), documents=table(spark, sf, "documents"))).select("path", "moved", "doc_id")
+
+
 @query("J1", cte("episodes") + "select e.uuid, coalesce(m.n, 0) as mention_count from episodes e left join (select concat('e', l_orderkey, '-1') as uuid, count(*) as n from lineitem group by 1) m on m.uuid = e.uuid")
 def ingest_mention_counts(spark, sf):
     mentions = table(spark, sf, "lineitem").select(F.concat(F.lit("e"), "l_orderkey", F.lit("-1")).alias("episode_uuid"))
