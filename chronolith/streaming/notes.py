@@ -69,6 +69,13 @@ def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(one).start()
 
 
+def version(spark: SparkSession, checkpoint: str) -> str:
+    """The version of what a stream has written, for caches: the last batch that it committed, 'none' before the first. An
+    answer made while a batch is being written is kept under the version before, and goes when the batch is committed."""
+    numbers = [int(n) for n in Folders(spark, f"{checkpoint.rstrip('/')}/commits").names() if n.isdigit()]
+    return str(max(numbers)) if numbers else "none"
+
+
 def compact(spark: SparkSession, target: str, before: str) -> int:
     """Puts the batches of each day before the one given into one folder, batch=-1; returns how many days were put together.
     The new folder stands aside until it is whole; a run that broke off between taking the old ones away and moving it in

@@ -56,8 +56,10 @@ def test_a_batch_reads_its_own_days_only_and_days_can_be_put_together(spark, tmp
         run(notes.ingest(notes.note_stream(spark, source, schema), target, str(tmp_path / "cp")))
 
     slug = lambda day, n: f"2024-01-{day:02}-100000-n{n}"
+    assert notes.version(spark, str(tmp_path / "cp")) == "none"
     for day in range(1, 6):
         take([(slug(day, n), f"body {n}") for n in range(4)] + [("no-time", "x")])
+    assert notes.version(spark, str(tmp_path / "cp")) == "4"  # five batches
     read = {f: os.path.getsize(f) for f in glob.glob(f"{target}/day=2024-01-0[1-4]/*/*.parquet")}
     for f in read:
         os.rename(f, f"{f}.away")
