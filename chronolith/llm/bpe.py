@@ -279,7 +279,10 @@ def decode(rows: DataFrame, ids_col: str = "ids", keep: list[str] | None = None,
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): digests of each text's ids and of the bytes that they decode to."""
+    """(id, n_tokens, ids_sha256, decoded_sha256), one row for each row of docs: digests of each text's ids, joined by blanks,
+    and of the bytes that they decode to. Null and empty texts have no ids and decode to no bytes; null and repeated ids are
+    ids like others, and equal texts give equal digests; long texts count whole; other columns are not read, whatever their
+    names; an empty table gives no rows. There are no ties."""
     encoded = encode(docs, text_col, [id_col], ranks_path, pattern)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     kept = encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
