@@ -380,3 +380,11 @@ def test_generic_names_meet_names_that_end_in_other_characters(spark):
     df = spark.createDataFrame([(str(n), name, "") for n, name in enumerate(names)], "uuid string, name string, summary string")
     want = {("C++", "C++ service"), ("Acme Inc.", "Acme Inc. server"), ("Gateway (EU)", "the Gateway (EU)"), ("東京", "東京 cluster"), ("k3s", "k3s-cluster app")}
     assert {(r.shorter, r.longer) for r in resolve.generic_names(df).collect()} == want
+
+
+def test_a_reply_is_parsed_once_however_often_it_is_named(spark):
+    """Plans grow with the steps, not with their product: a reply's text stands in them a few times."""
+    df = spark.createDataFrame([(1, 'x {"answer": {"answer": 5}} y'), (2, None), (3, '[{"answer": 7}]'), (4, "{ {} no")], "n int, said string")
+    out = df.select("n", F.get_json_object(T.unwrapped(T.json_object(F.col("said"))), "$.answer").alias("a"))
+    assert {r.n: r.a for r in out.collect()} == {1: "5", 2: None, 3: "7", 4: None}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("said#") < 10
