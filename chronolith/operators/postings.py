@@ -10,43 +10,69 @@ score so far: the same scores and ranks as `search.bm25` over all texts."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.sources.published import Published, Version
 
+from . import scoring
 from .order import numbered, saved
-from .search import K1, B, few, terms, top_k
+from .search import K1, B, few, none_ranked, terms, top_k
 
-#: Documents of a slot, folders of postings, slots that a query scores first.
-SLOT, FOLDERS, FIRST = 256, 64, 16
+#: Documents of a slot, folders of postings and their slices by slot, slots that a query scores first, slots scored together.
+SLOT, FOLDERS, SLICES, FIRST, TOGETHER = 256, 64, 16, 16, 16
 ID = "id long"
+LISTS = "term string, slot long, n long, most long, shortest long, entries array<struct<id:long,tf:long,dl:long>>"
 
 
 def folder(h: Column) -> Column:
     return F.shiftrightunsigned(h, 58).cast("int")
 
 
+def lists(slot: pa.Table) -> pa.Table:
+    """The postings of one slot(id, dl, slot, words): a row for each term."""
+    slot = slot.sort_by("id").combine_chunks()
+    words, dl, ids = slot.column("words").combine_chunks(), slot.column("dl").to_numpy().astype(np.int64), slot.column("id").to_numpy()
+    told = pc.dictionary_encode(words.flatten())
+    n = len(ids)
+    key, tf = np.unique(told.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), dl), return_counts=True)
+    doc, start = key % n, np.searchsorted(key // n, np.arange(len(told.dictionary) + 1))
+    entries = pa.StructArray.from_arrays([pa.array(ids[doc]), pa.array(tf), pa.array(dl[doc])], ["id", "tf", "dl"])
+    if not len(key):
+        most = shortest = np.zeros(0, np.int64)
+    else:
+        most, shortest = np.maximum.reduceat(tf, start[:-1]), np.minimum.reduceat(dl[doc], start[:-1])
+    number = np.full(len(told.dictionary), slot.column("slot")[0].as_py(), np.int64)
+    return pa.table([told.dictionary, pa.array(number), pa.array(np.diff(start)), pa.array(most), pa.array(shortest), pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), entries)], ["term", "slot", "n", "most", "shortest", "entries"])
+
+
+def stored(store: Published, lists: DataFrame) -> str:
+    """Writes postings: in folders by the terms' hashes, each in a few files by slot, ordered by hash."""
+    hashed = lists.withColumn("h", F.xxhash64("term")).withColumn("folder", folder(F.col("h")))
+    return store.write(hashed.repartition("folder", F.pmod("slot", F.lit(SLICES))).sortWithinPartitions("folder", "h", "slot"), "postings", "folder")
+
+
 def segment(store: Published, docs: DataFrame, removed: DataFrame, earlier: Version | None) -> dict[str, str]:
-    """Writes the tables of a segment of docs(id, text), ids unique, over removed(id) and the earlier version."""
+    """Writes the tables of a segment of docs(id, text), ids unique, over removed(id) and the earlier version. A slot's texts
+    meet in one task, which counts their words."""
     words = docs.select("id", terms(F.col("text")).alias("words")).select("id", F.size("words").cast("long").alias("dl"), "words")
     placed = numbered(words, "dl", "id").select("id", "dl", F.floor(F.col("number") / SLOT).alias("slot"), "words")  # documents of like length share slots
-    tf = placed.select("id", "dl", "slot", F.explode("words").alias("term")).groupBy("id", "dl", "slot", "term").agg(F.count("*").alias("tf"))
-    lists = tf.groupBy("term", "slot").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("entries"))
-    hashed = lists.withColumn("h", F.xxhash64("term")).withColumn("folder", folder(F.col("h")))
-    made = {"postings": store.write(hashed.repartitionByRange("folder", "h", "slot").sortWithinPartitions("folder", "h", "slot"), "postings", "folder")}
-    living = placed.select("id", "dl", F.array_distinct("words").alias("terms")).withColumn("folder", folder(F.xxhash64("id")))
+    made = {"postings": stored(store, placed.groupBy("slot").applyInArrow(lists, LISTS))}
+    living = placed.select("id", "dl", "slot", F.array_distinct("words").alias("terms")).withColumn("folder", folder(F.xxhash64("id")))
     made["documents"] = store.write(living.repartition("folder"), "documents", "folder")
     ids = docs.select("id").unionByName(removed.select(F.col("id").cast("long"))).distinct()
     old = parts(store, earlier, "documents")
     if old is None:
-        made["dead"] = store.write(ids.limit(0).select("id", F.lit(0).alias("segment")), "dead")
+        made["dead"] = store.write(ids.limit(0).select("id", F.lit(0).alias("segment"), F.lit(0).cast("long").alias("slot")), "dead")
         made["minus"] = store.write(ids.limit(0).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("words")), "minus")
         return made
     ids = saved(ids)
     touched = old.join(few(ids.withColumn("folder", folder(F.xxhash64("id")))), ["folder", "id"])  # opens the ids' folders
     alive = saved(without_dead(store, earlier, touched))
-    made["dead"] = store.write(alive.select("id", "segment"), "dead")
+    made["dead"] = store.write(alive.select("id", "segment", "slot"), "dead")
     # what no longer counts: documents and words under no term, and documents by term
     gone = alive.agg(F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
     by_term = alive.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("words"))
@@ -66,9 +92,15 @@ def parts(store: Published, version: Version | None, name: str) -> DataFrame | N
     return out
 
 
+def with_dead(store: Published, version: Version, rows: DataFrame) -> DataFrame:
+    """rows(segment, slot, …) with the array gone of their slot's ids that no longer live, or null."""
+    gone = parts(store, version, "dead").groupBy("segment", "slot").agg(F.collect_set("id").alias("gone"))
+    return rows.join(few(gone, 20_000), ["segment", "slot"], "left")
+
+
 def without_dead(store: Published, version: Version, rows: DataFrame) -> DataFrame:
-    """rows(id, segment, …) of documents that live in their segment."""
-    return rows.join(few(parts(store, version, "dead").select("id", "segment")), ["id", "segment"], "left_anti")
+    """rows(id, segment, slot, …) of documents that live in their segment."""
+    return with_dead(store, version, rows).where(~F.coalesce(F.array_contains("gone", F.col("id")), F.lit(False))).drop("gone")
 
 
 def statistics(store: Published, version: Version) -> tuple[int, float]:
@@ -93,17 +125,27 @@ def ingest(store: Published, docs: DataFrame, removed: DataFrame | None = None)
 
 
 def merge(store: Published) -> Version:
-    """All living documents as one segment. Postings are put together from the segments' own; no text is read."""
+    """All living documents as one segment. Postings are put together from the segments' own, slot by slot: the dead leave
+    their lists, slots are numbered anew by their shortest document, and where they are less than half full several become
+    one. No text is read, and no list is taken apart."""
     last = store.latest()
-    living = saved(without_dead(store, last, parts(store, last, "documents")).select("id", "dl", "terms", "segment"))
-    slots = saved(numbered(living.select("id", "dl"), "dl", "id").select("id", F.floor(F.col("number") / SLOT).alias("slot")))
-    entries = parts(store, last, "postings").select("segment", "term", F.inline("entries"))
-    tf = without_dead(store, last, entries).join(slots, "id")
-    lists = tf.groupBy("term", "slot").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("entries"))
-    hashed = lists.withColumn("h", F.xxhash64("term")).withColumn("folder", folder(F.col("h")))
+    living = saved(without_dead(store, last, parts(store, last, "documents").select("id", "dl", "terms", "segment", "slot")))
+    sizes = saved(living.groupBy("segment", "slot").agg(F.count("*").alias("living"), F.min("dl").alias("shortest")))
+    held = sizes.agg(F.count("*").alias("slots"), F.coalesce(F.sum("living"), F.lit(0)).alias("living")).first()
+    full = held.living / (SLOT * max(held.slots, 1))
+    joined = full < 0.5
+    to = F.floor(F.col("number") * full) if joined else F.col("number")
+    slots = saved(numbered(sizes.drop("living"), "shortest", "segment", "slot").select("segment", "slot", to.cast("long").alias("to")))
+    alive = F.when(F.col("gone").isNull(), F.col("entries")).otherwise(F.filter("entries", lambda e: ~F.array_contains("gone", e["id"])))
+    lists = with_dead(store, last, parts(store, last, "postings").select("segment", "slot", "term", "entries")).select("segment", "slot", "term", alive.alias("entries")).where(F.size("entries") > 0)
+    lists = lists.join(few(slots), ["segment", "slot"]).select("term", F.col("to").alias("slot"), "entries")
+    if joined:
+        lists = lists.groupBy("term", "slot").agg(F.sort_array(F.flatten(F.collect_list("entries"))).alias("entries"))
+    lists = lists.select("term", "slot", F.size("entries").cast("long").alias("n"), F.array_max("entries.tf").alias("most"), F.array_min("entries.dl").alias("shortest"), "entries")
     number = 1 + max(int(at.split("/")[0]) for at in last.tables)
-    made = {"postings": store.write(hashed.repartitionByRange("folder", "h", "slot").sortWithinPartitions("folder", "h", "slot"), "postings", "folder")}
-    made["documents"] = store.write(living.drop("segment").withColumn("folder", folder(F.xxhash64("id"))).repartition("folder"), "documents", "folder")
+    made = {"postings": stored(store, lists)}
+    documents = living.join(few(slots), ["segment", "slot"]).select("id", "dl", F.col("to").alias("slot"), "terms")
+    made["documents"] = store.write(documents.withColumn("folder", folder(F.xxhash64("id"))).repartition("folder"), "documents", "folder")
     made["dead"] = store.write(parts(store, last, "dead").limit(0), "dead")
     made["minus"] = store.write(parts(store, last, "minus").drop("segment").limit(0), "minus")
     return store.commit({f"{number}/{k}": v for k, v in made.items()}, about=last.about, after=last)
@@ -113,7 +155,15 @@ def search(store: Published, queries: DataFrame, k: int, digits: int = 6, versio
     """(query_id, id, score, rank): the k best documents of each of queries(query_id, query) by BM25, of the latest version
     or the one given. Queries are a stated set; up to `most_terms` different terms of them choose the folders and pages that
     are read, more are joined. Queries without a known term, and an empty index, give no rows."""
-    version = version or store.latest()
+    version, out = version or store.latest(), None
+    for some in scoring.blocks(queries, scoring.ASKED):
+        best = top_k(search_block(store, some, k, digits, version, most_terms), k, "id")
+        out = best if out is None else out.unionByName(best)
+    return out if out is not None else none_ranked(queries, parts(store, version, "documents"))
+
+
+def search_block(store: Published, queries: DataFrame, k: int, digits: int, version: Version, most_terms: int) -> DataFrame:
+    """(query_id, id, score) with the k best documents of each of a block of queries."""
     n, mean = version.about["documents"], version.about["mean_length"] or 1.0
     asked = saved(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).withColumn("h", F.xxhash64("term")))
     hashes = [r.h for r in asked.select("h").distinct().limit(most_terms + 1).collect()]
@@ -127,21 +177,53 @@ def search(store: Published, queries: DataFrame, k: int, digits: int = 6, versio
     df = bounds.groupBy("term").agg(F.sum("n").alias("df")).join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = saved(asked.join(df, "term").where("df > 0").select("query_id", "term", idf.alias("idf")))
-
-    def part(tf: Column, dl: Column) -> Column:
-        return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
-
-    by_slot = bounds.join(few(weights), "term").groupBy("query_id", "segment", "slot").agg(F.sum(part(F.col("most"), F.col("shortest"))).alias("bound"))
-    slots = saved(top_k(by_slot.withColumnRenamed("bound", "score"), 2**31 - 1, "segment", "slot").select("query_id", "segment", "slot", F.col("score").alias("bound"), "rank"))
+    part = F.col("idf") * F.col("most") * (K1 + 1) / (F.col("most") + K1 * (1 - B + B * F.col("shortest") / F.lit(mean)))
+    by_slot = bounds.join(few(weights), "term").groupBy("query_id", "segment", "slot").agg(F.sum(part).alias("score"))
+    own = [(F.col(c) + 0).alias(c) for c in ("segment", "slot")]  # columns of their own: the postings are met again below
+    slots = saved(top_k(by_slot, 2**31 - 1, "segment", "slot").select("query_id", *own, F.col("score").alias("bound"), "rank"))
+    of = scoring.Question(weights)
+    by_term = {r.term: r.idf for r in weights.select("term", "idf").distinct().collect()}  # the block's terms
+    told = queries.sparkSession.sparkContext.broadcast((of, of.cells * np.array([by_term[t] for t in of.terms.to_pylist()])))
+    numbers = queries.sparkSession.createDataFrame(pa.table({"query_id": of.ids, "query": pa.array(np.arange(len(of.ids)))}))
+    together, names = F.floor(F.col("slot") / TOGETHER).alias("group"), ["query_id", "id", "score"]
+
+    def meet(entries: pa.Table, chosen: pa.Table) -> pa.Table:
+        """The best documents of a few slots: entries(term, slot, ids, tf, dl), and chosen(slot, query or null, dead or null)."""
+        of, asked = told.value
+        entries, chosen = entries.combine_chunks(), chosen.combine_chunks()
+        dead, pairs = chosen.column("dead").drop_null().to_numpy(), chosen.filter(pc.is_valid(chosen.column("query")))
+        if not entries.num_rows or not pairs.num_rows:
+            return pa.table([of.ids.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+        size = pc.list_value_length(entries.column("ids")).to_numpy()
+        ids, tf, dl = (entries.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "tf", "dl"))
+        term, slot = np.repeat(of.codes(entries.column("term").combine_chunks()), size), np.repeat(entries.column("slot").to_numpy(), size)
+        on = (term >= 0) & ~np.isin(ids, dead)
+        ids, tf, dl, term, slot = ids[on], tf[on], dl[on], term[on], slot[on]
+        doc, row = np.unique(ids, return_inverse=True)
+        order = np.argsort(row, kind="stable")
+        slot_of = np.zeros(len(doc), np.int64)
+        slot_of[row] = slot % TOGETHER
+        may = np.zeros((len(asked), TOGETHER))
+        may[pairs.column("query").to_numpy(), pairs.column("slot").to_numpy() % TOGETHER] = 1.0
+        least, found = np.full(len(asked), -np.inf), []
+        cells = scoring.weight(tf[order].astype(np.float64), dl[order].astype(np.float64), mean)
+        for i, j, score in scoring.scored(asked, of, row[order], term[order], cells, len(doc), k, digits, least, lambda a, b, lo, hi: may[a:b][:, slot_of[lo:hi]]):
+            found.append((i, doc[j], score))
+        i, j, score = (np.concatenate([f[c] for f in found] or [np.zeros(0, np.int64)]) for c in range(3))
+        return pa.table([of.ids.take(pa.array(i.astype(np.int64))), pa.array(j.astype(np.int64)), pa.array(score.astype(np.float64))], names)
 
     def scored(chosen: DataFrame) -> DataFrame:
-        """Of the chosen (query, segment, slot) all living documents with their scores."""
-        mine = chosen.join(few(weights), "query_id").select("query_id", "segment", "slot", "term", "idf")
-        entries = postings.join(few(mine), ["segment", "slot", "term"]).select("query_id", "segment", "idf", F.inline("entries"))
-        return without_dead(store, version, entries).groupBy("query_id", "id").agg(F.round(F.sum(part(F.col("tf"), F.col("dl"))), digits).alias("score"))
+        """Of the chosen (query, segment, slot) the living documents that may be best, with their scores."""
+        opened = chosen.select("segment", "slot").distinct()
+        none = F.lit(None).cast("long")
+        told_ = chosen.join(F.broadcast(numbers), "query_id").select("segment", together, "slot", "query", none.alias("dead"))
+        gone = parts(store, version, "dead").select("segment", together, "slot", none.alias("query"), F.col("id").alias("dead"))
+        entries = postings.join(few(opened), ["segment", "slot"], "left_semi").select("segment", together, "term", "slot", F.col("entries.id").alias("ids"), F.col("entries.tf").alias("tf"), F.col("entries.dl").alias("dl"))
+        met = entries.groupBy("segment", "group").cogroup(told_.unionByName(gone).groupBy("segment", "group")).applyInArrow(meet, scoring.schema(queries, parts(store, version, "documents")))
+        return met.withColumn("score", F.round("score", digits))
 
     first = saved(scored(slots.where(F.col("rank") <= FIRST)))
     reached = top_k(first, k, "id").groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
     # bounds are sums of the same terms in another order: half a unit of the last digit is far more than they may be off
     rest = slots.where(F.col("rank") > FIRST).join(few(reached), "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-digits))
-    return top_k(first.unionByName(scored(rest)), k, "id")
+    return first.unionByName(scored(rest))
