@@ -11,6 +11,7 @@ from chronolith.sources.files import HASH_FORMATS
 from chronolith.sources.published import DEGRADED, READY, Published, Version
 
 from .order import saved
+from .search import few
 
 #: What a cached vector's hash was taken of: the body, or the embedding's input.
 LEGACY, EXACT = HASH_FORMATS
@@ -29,6 +30,14 @@ def with_cached(scanned: DataFrame, cached: DataFrame | None) -> DataFrame:
     return joined.withColumn("vector", F.when(same | legacy, F.col("vector"))).withColumn("legacy", F.coalesce(legacy & ~same, F.lit(False))).drop("was", "was_body", "hash_format")
 
 
+def texts(scanned: DataFrame, rows: DataFrame, some: bool) -> DataFrame:
+    """(name, text) of the pages without a vector; some: not of all pages. A page that changed since is none of them."""
+    if not some:
+        return scanned.select("name", "text")
+    want = few(rows.where("vector is null").select(F.col("name").alias("of"), F.col("embedding_hash").alias("was")))
+    return scanned.join(want, F.col("name").eqNullSafe(F.col("of")) & F.col("embedding_hash").eqNullSafe(F.col("was")), "left_semi").select("name", "text")
+
+
 def reindex(store: Published, scanned: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> dict:
     """Publishes scanned(name, text, embedding_hash, body_hash, …), names unique, with vectors: those whose input is unchanged
     from the last version, and `embed` of the rest, rows(name, text) -> (name, vector). While there is something to embed
@@ -37,14 +46,14 @@ def reindex(store: Published, scanned: DataFrame, embed: Callable[[DataFrame], D
     without pages publishes nothing and is an error. Returns what was done."""
     last = store.latest()
     cached = store.table(last.tables[PAGES]) if last else None
-    rows = saved(with_cached(scanned, cached))
+    rows = saved(with_cached(scanned.drop("text"), cached))  # texts are neither joined nor written
     count = rows.agg(F.count("*").alias("pages"), F.count("vector").alias("unchanged"), F.count_if("legacy").alias("migrated")).first()
     if not count.pages:
         return {"ok": False, "retry_needed": True, "error": "NoPages", "version": last.number if last else None}
     removed = cached.join(rows, "name", "left_anti").count() if cached is not None else 0
     missing = count.pages - count.unchanged
     said = {"pages": count.pages, "unchanged": count.unchanged, "legacy_migrated": count.migrated, "removed": removed}
-    shown = rows.drop("legacy", "text").withColumn("hash_format", F.lit(EXACT))
+    shown = rows.drop("legacy").withColumn("hash_format", F.lit(EXACT))
 
     def publish(pages: DataFrame, status: str, after: Version | None, omitted: int, error: str | None) -> Version:
         return store.commit({PAGES: store.write(pages, PAGES)}, status, {"omitted": omitted, "scanned": count.pages, "error": error}, after)
@@ -55,7 +64,7 @@ def reindex(store: Published, scanned: DataFrame, embed: Callable[[DataFrame], D
     if count.unchanged:
         last = publish(shown, DEGRADED, last, missing, None)
     try:
-        new = saved(embed(rows.where("vector is null").select("name", "text")).select("name", F.col("vector").alias("made")).where("made is not null"))
+        new = saved(embed(texts(scanned, rows, missing < count.pages)).select("name", F.col("vector").alias("made")).where("made is not null"))
         if (got := new.select("name").distinct().count()) != missing:
             raise ValueError(f"{got} vectors for {missing} pages")
     except Exception as e:  # whatever a provider raises: the catalog stays readable

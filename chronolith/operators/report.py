@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import text as T
 
 from . import pages as P
-from .order import numbered
+from .order import numbered, saved
 
 
 def entry(prefix: Column) -> Column:
@@ -23,19 +23,30 @@ def index_lines(pages: DataFrame, categories: tuple[str, ...] = ()) -> DataFrame
     order = F.array(*map(F.lit, categories)) if categories else F.array().cast("array<string>")
     at = F.array_position(order, F.col("category"))
     slot = F.when(F.coalesce("category", F.lit("")) == "", 10_000).when(at > 0, at).otherwise(5_000)
-    part = lambda kind, n, prefix=link: pages.where(F.col("type") == kind).select(F.lit(n).alias("section"), (F.when(F.lit(kind == "entity"), slot).otherwise(0)).cast("long").alias("slot"), F.when(F.lit(kind == "entity"), F.coalesce("category", F.lit("Uncategorized"))).alias("category"), F.lower("name").alias("key"), entry(prefix).alias("line"))
-    rows = part("entity", 1).unionByName(part("concept", 2)).unionByName(part("synthesis", 3))
-    rows = rows.unionByName(part("decision", 4, F.concat(link, F.lit(" **["), F.coalesce("status", F.lit("?")), F.lit("]**"))))
-    months = by_month(pages).select(F.lit(5).alias("section"), (-F.row_number().over(Window.orderBy("month"))).cast("long").alias("slot"), F.lit(None).cast("string").alias("category"), F.lit("").alias("key"), F.format_string("- **%s** — %d sources", "month", "n").alias("line"))
+    kind, sections = F.col("type"), {"entity": 1, "concept": 2, "synthesis": 3, "decision": 4, "source": 5}
+    section = F.coalesce(*[F.when(kind == t, n) for t, n in sections.items()])
+    prefix = F.when(kind == "decision", F.concat(link, F.lit(" **["), F.coalesce("status", F.lit("?")), F.lit("]**"))).otherwise(link)
+    # pages are read once: what the lines and the months need of them is written
+    said = saved(pages.where(kind.isin(*sections)).select(
+        section.alias("section"), F.when(kind == "entity", slot).otherwise(0).cast("long").alias("slot"), F.when(kind == "entity", F.coalesce("category", F.lit("Uncategorized"))).alias("category"),
+        F.when(kind != "source", F.lower("name")).alias("key"), F.when(kind != "source", entry(prefix)).alias("line"), F.when(kind == "source", month()).alias("month"),
+    ))
+    rows = said.where("section < 5").drop("month")
+    counts = said.where("section = 5").groupBy("month").agg(F.count("*").alias("n"))
+    months = counts.select(F.lit(5).alias("section"), (-F.row_number().over(Window.orderBy("month"))).cast("long").alias("slot"), F.lit(None).cast("string").alias("category"), F.lit("").alias("key"), F.format_string("- **%s** — %d sources", "month", "n").alias("line"))
     lines = rows.unionByName(months).withColumn("named", F.coalesce("category", F.lit("")))
     placed = numbered(lines, "section", "slot", "named", "key", "line")
     first = placed.groupBy("section").agg(F.min("number").alias("first"))  # five rows
     return placed.join(F.broadcast(first), "section").select("section", "category", (F.col("number") - F.col("first") + 1).alias("ord"), "line")
 
 
+def month() -> Column:
+    return T.month_key(F.col("created"), P.stem(F.col("path")), F.col("name"))
+
+
 def by_month(pages: DataFrame) -> DataFrame:
     """(month, n) of source pages."""
-    return pages.where("type = 'source'").groupBy(T.month_key(F.col("created"), P.stem(F.col("path")), F.col("name")).alias("month")).agg(F.count("*").alias("n"))
+    return pages.where("type = 'source'").groupBy(month().alias("month")).agg(F.count("*").alias("n"))
 
 
 def by_type(pages: DataFrame) -> DataFrame:

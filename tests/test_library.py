@@ -388,3 +388,14 @@ def test_a_reply_is_parsed_once_however_often_it_is_named(spark):
     out = df.select("n", F.get_json_object(T.unwrapped(T.json_object(F.col("said"))), "$.answer").alias("a"))
     assert {r.n: r.a for r in out.collect()} == {1: "5", 2: None, 3: "7", 4: None}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("said#") < 10
+
+
+def test_an_index_reads_its_pages_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    read = F.udf(lambda x: (seen.add(1), x)[1], "string").asNondeterministic()
+    kinds = ["entity", "concept", "synthesis", "decision", "source", "memo", None]
+    rows = [(f"n{i}", f"wiki/n{i}.md", kinds[i % 7], None, "live", "2024-03-01", "about") for i in range(21)]
+    p = spark.createDataFrame(rows, "name string, path string, type string, category string, status string, created string, description string").withColumn("type", read("type"))
+    lines = report.index_lines(p).collect()
+    assert sorted((r.section, r.ord) for r in lines) == [(s, o) for s in (1, 2, 3, 4) for o in (1, 2, 3)] + [(5, 1)]
+    assert seen.value <= 2 * len(rows)

@@ -146,3 +146,17 @@ def test_legacy_hashes_count_once(spark, store):
     report = reindex.reindex(store, pages(spark, [("a", "x"), ("b", "changed")]), embedded)
     assert (report["legacy_migrated"], report["embedded"]) == (1, 1) and vectors(store) == {"a": [9.0], "b": [7.0]}
     assert {r.hash_format for r in store.table(store.latest().tables["pages"]).collect()} == {reindex.EXACT}
+
+
+def test_texts_are_not_written_with_the_index(spark, tmp_path, monkeypatch):
+    """A build keeps what it knows of pages, and opens texts for the embedder only."""
+    kept, save = [], reindex.saved
+    monkeypatch.setattr(reindex, "saved", lambda df: (kept.append(df.columns), save(df))[1])
+    store = Published(spark, str(tmp_path / "store"))
+    pages = lambda more: spark.range(9).select(F.concat(F.lit("p"), "id").alias("name"), F.concat(F.lit("t"), "id", F.lit(more)).alias("text")).select("*", F.sha2("text", 256).alias("embedding_hash"), F.sha2("text", 224).alias("body_hash"))
+    seen = []
+    embed = lambda rows: (seen.append(sorted(r.text for r in rows.collect())), rows.select("name", F.array(F.length("text").cast("double")).alias("vector")))[1]
+    reindex.reindex(store, pages(""), embed)
+    half = pages("").where("name < 'p5'").unionByName(pages(" new").where("name >= 'p5'"))
+    assert reindex.reindex(store, half, embed)["embedded"] == 4
+    assert seen == [[f"t{n}" for n in range(9)], [f"t{n} new" for n in range(5, 9)]] and not any("text" in c for c in kept)
