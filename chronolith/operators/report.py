@@ -19,6 +19,8 @@ def entry(prefix: Column) -> Column:
 def index_lines(pages: DataFrame, categories: tuple[str, ...] = ()) -> DataFrame:
     """(section, category, ord, line): entities by category (the given order, others by name, then uncategorised),
     concepts, syntheses, decisions with status, and sources by month, newest first."""
+    # pages are read once, and what is said of each is reckoned once: conditions over it would repeat its expressions
+    pages = saved(pages.select("name", "path", "type", "category", "status", "created", "description"))
     link = F.concat(F.lit("- [["), F.col("name"), F.lit("]]"))
     order = F.array(*map(F.lit, categories)) if categories else F.array().cast("array<string>")
     at = F.array_position(order, F.col("category"))
@@ -26,11 +28,10 @@ def index_lines(pages: DataFrame, categories: tuple[str, ...] = ()) -> DataFrame
     kind, sections = F.col("type"), {"entity": 1, "concept": 2, "synthesis": 3, "decision": 4, "source": 5}
     section = F.coalesce(*[F.when(kind == t, n) for t, n in sections.items()])
     prefix = F.when(kind == "decision", F.concat(link, F.lit(" **["), F.coalesce("status", F.lit("?")), F.lit("]**"))).otherwise(link)
-    # pages are read once: what the lines and the months need of them is written
-    said = saved(pages.where(kind.isin(*sections)).select(
+    said = pages.where(kind.isin(*sections)).select(
         section.alias("section"), F.when(kind == "entity", slot).otherwise(0).cast("long").alias("slot"), F.when(kind == "entity", F.coalesce("category", F.lit("Uncategorized"))).alias("category"),
         F.when(kind != "source", F.lower("name")).alias("key"), F.when(kind != "source", entry(prefix)).alias("line"), F.when(kind == "source", month()).alias("month"),
-    ))
+    )
     rows = said.where("section < 5").drop("month")
     counts = said.where("section = 5").groupBy("month").agg(F.count("*").alias("n"))
     months = counts.select(F.lit(5).alias("section"), (-F.row_number().over(Window.orderBy("month"))).cast("long").alias("slot"), F.lit(None).cast("string").alias("category"), F.lit("").alias("key"), F.format_string("- **%s** — %d sources", "month", "n").alias("line"))
