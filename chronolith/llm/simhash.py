@@ -10,7 +10,7 @@ Exact copies meet before the index (one row for each distinct fingerprint), and
 connect, as one edge from each fingerprint to the least it reaches, not all pairs; reachability is the same.
 
 With at most 7 differing bits of 64, t = 8 - r is guaranteed. A word-shingle similarity of 0.8 is an angle of 0.15 pi, beyond
-what bytes can guarantee: see jaccard.py, which finds such pairs by other postings, and links and verifies them.
+what bytes can guarantee: see jaccard.py, which finds by other postings the pairs that the index does not, and verifies all.
 """
 
 from __future__ import annotations
