@@ -5,28 +5,28 @@ zero. Windows end at the multiples of a step and hold the samples after their st
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import status
+from .order import dealt, saved
 
 #: A window's edge is reached if it is nearer than so many mean distances of samples; else half of one is added.
 NEAR, REST = 1.1, 2
 LOOKBACK = 300
 
 
-def with_previous(samples: DataFrame, labels: Sequence[str], width: int = 3600) -> DataFrame:
-    """Adds before, the struct (at, value) of the same series' last sample before. Series are cut into pieces of `width`
-    seconds, so that a long one is no single group; what stands before a piece is carried from a table with one row for each
-    series and piece."""
-    rows = samples.withColumn("piece", F.floor(F.col("at") / width))
-    told = F.struct("at", "value")
-    pieces = rows.groupBy(*labels, "piece").agg(F.max(told).alias("last"))
-    carried = pieces.select(*labels, "piece", F.lag("last").over(Window.partitionBy(*labels).orderBy("piece")).alias("carried"))
-    own = F.lag(told).over(Window.partitionBy(*labels, "piece").orderBy("at", "value"))
-    return rows.withColumn("own", own).join(carried, [*labels, "piece"]).withColumn("before", F.coalesce("own", "carried")).drop("own", "carried", "piece")
+def with_previous(pieces: DataFrame, labels: Sequence[str], width: int = 3600) -> DataFrame:
+    """Adds before, the last sample of the same series' piece before. Long series are cut into parts of `width` pieces' places,
+    so that none is a single group; what stands before a part is carried from a table with one row for each series and part."""
+    rows = pieces.withColumn("part", F.floor(F.col("piece") / width))
+    parts = rows.groupBy(*labels, "part").agg(F.max("last").alias("behind"))
+    carried = parts.select(*labels, "part", F.lag("behind").over(Window.partitionBy(*labels).orderBy("part")).alias("carried"))
+    own = F.lag("last").over(Window.partitionBy(*labels, "part").orderBy("piece"))
+    return rows.withColumn("own", own).join(carried, [*labels, "part"]).withColumn("before", F.coalesce("own", "carried")).drop("own", "carried", "part")
 
 
 def ends_of_windows(at: Column, window: int, step: int) -> Column:
@@ -42,10 +42,19 @@ def increases(samples: DataFrame, labels: Sequence[str], window: int, step: int,
     with all of them at one time, has no row. Null labels are ''; samples with a null time or value are left out; of samples
     of one series and time the larger counts as the later."""
     named = samples.where("at is not null and value is not null").select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in labels], F.col("at").cast("double").alias("at"), F.col("value").cast("double").alias("value"))
-    rows = with_previous(named, labels, width).withColumn("end", F.explode(ends_of_windows(F.col("at"), window, step)))
-    reset = (F.col("value") < F.col("before.value")) & (F.col("before.at") > F.col("end") - window)
-    told = F.struct("at", "value")
-    seen = rows.groupBy(*labels, "end").agg(F.count("*").alias("n"), F.min(told).alias("first"), F.max(told).alias("last"), F.sum(F.when(reset, F.col("before.value")).otherwise(0.0)).alias("undone"))
+    grid = math.gcd(window, step)
+    told = lambda at, value: F.struct(F.col(at).alias("at"), F.col(value).alias("value"))
+    # the windows are made of pieces of the grid: within a piece samples are put in order once, and one row is left of it
+    piece = dealt(named.withColumn("piece", F.ceil(F.col("at") / grid)), *labels, "piece")
+    by = Window.partitionBy(*labels, "piece").orderBy("at", "value")
+    fell = F.col("value") < F.lag("value").over(by)
+    pieces = saved(piece.withColumn("undone", F.when(fell, F.lag("value").over(by)).otherwise(0.0)).groupBy(*labels, "piece").agg(
+        F.count("*").alias("n"), F.min(told("at", "value")).alias("first"), F.max(told("at", "value")).alias("last"), F.sum("undone").alias("undone"),
+    ))
+    # a reset between two pieces counts in the windows that have the sample before it
+    rows = with_previous(pieces, labels, width).withColumn("end", F.explode(ends_of_windows(F.col("piece") * grid, window, step)))
+    reset = (F.col("first.value") < F.col("before.value")) & (F.col("before.at") > F.col("end") - window)
+    seen = rows.groupBy(*labels, "end").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.col("undone") + F.when(reset, F.col("before.value")).otherwise(0.0)).alias("undone"))
     shown = seen.withColumn("span", F.col("last.at") - F.col("first.at")).where("n > 1 and span > 0").withColumn("rise", F.col("last.value") - F.col("first.value") + F.col("undone"))
     mean = F.col("span") / (F.col("n") - 1)
     reach = lambda gap: F.when(gap < mean * NEAR, gap).otherwise(mean / REST)

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from chronolith.operators import counters
+from chronolith.operators import counters, order
 
 
 def plain_increases(samples, window, step):
@@ -115,3 +115,13 @@ def test_rules_hold_over_counters(spark):
     assert set(fired) == {"index_unready", "answer_quality", "note_drop_failures"} | ({"server_down"} & set(fired))
     assert min(fired["index_unready"]) == 600 and max(fired["index_unready"]) < 960
     assert min(fired["note_drop_failures"]) == 2340 and max(fired["note_drop_failures"]) <= 2640
+
+
+def test_samples_are_ordered_once_and_by_no_task_as_a_whole(spark, monkeypatch):
+    made, parts = counters.saved, []
+    monkeypatch.setattr(counters, "saved", lambda df: (parts.append(df.rdd.getNumPartitions()), made(df))[1])
+    monkeypatch.setattr(counters, "dealt", lambda rows, *keys: order.dealt(rows, *keys, most=100))
+    samples = [(s, float(t), float(t % 700)) for s in "ab" for t in range(0, 6000, 5)]
+    df = spark.createDataFrame(samples, "series string, at double, value double")
+    got = counters.increases(df, ["series"], 60, 20)
+    assert as_dict(got) == plain_increases(samples, 60, 20) and parts == [24]
