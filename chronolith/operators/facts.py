@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import dealt
+
 NEW_LIMIT, OLD_LIMIT, ENTITY_LIMIT, HITS, KEPT = 25, 15, 25, 15, 10
 
 
@@ -34,21 +36,25 @@ def as_of_join(points: DataFrame, facts: DataFrame, key: str, at: str) -> DataFr
     return points.join(facts, key).where((F.col("valid_at") <= F.col(at)) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > F.col(at))))
 
 
-def as_of_merge(points: DataFrame, facts: DataFrame, key: str, at: str, days: int = 90) -> DataFrame:
+def as_of_merge(points: DataFrame, facts: DataFrame, key: str, at: str, days: int = 90, rows: int | None = None) -> DataFrame:
     """Each point with the fact of its key that holds at its time, for keys whose facts don't overlap: points and facts are
     laid in one line by key and time, and the last fact that began is carried forward. A key's line is cut every `days` days,
-    so that a hot key is no single group; the fact that stands before a piece is carried to it from a table with one row for
-    each key and piece. Of facts that begin together the last by uuid counts, as the others are empty. Points and facts
+    so that a hot key is no single group; the fact that stands before a piece is carried to it from a table with one row
+    for each key and piece. rows: about how many points and facts there are, if known; else they are counted. Of facts that begin together the last by uuid counts, as the others are empty. Points and facts
     without key or time match nothing; a point that no fact holds for has no row; other columns need different names."""
     own = [c for c in facts.columns if c != key]
     if clash := set(own) & set(points.columns):
         raise ValueError(f"points and facts both have {sorted(clash)}")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    told = facts.where(F.col(key).isNotNull() & F.col("valid_at").isNotNull()).select(F.col(key).alias("k"), micros("valid_at").alias("t"), F.struct(micros("valid_at").alias("begun"), "uuid", micros("invalid_at").alias("ended"), F.struct(*own).alias("own")).alias("fact"))
-    asked = points.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("k"), micros(at).alias("t"), F.struct(*points.columns).alias("point"))
-    line = told.unionByName(asked, allowMissingColumns=True).withColumn("piece", F.floor(F.col("t") / (days * 86_400_000_000)))
-    pieces = line.groupBy("k", "piece").agg(F.max_by("fact", F.when(F.col("fact").isNotNull(), F.struct("t", "fact.uuid"))).alias("last"))
-    carried = pieces.select("k", "piece", F.last("last", ignorenulls=True).over(Window.partitionBy("k").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    piece = F.floor(F.col("t") / (days * 86_400_000_000)).alias("piece")
+    told = facts.where(F.col(key).isNotNull() & F.col("valid_at").isNotNull()).select(F.col(key).alias("k"), micros("valid_at").alias("t"), F.struct(micros("valid_at").alias("begun"), "uuid", micros("invalid_at").alias("ended"), F.struct(*own).alias("own")).alias("fact")).withColumn("piece", piece)
+    asked = points.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("k"), micros(at).alias("t"), F.struct(*[c for c in points.columns if c != key]).alias("point")).withColumn("piece", piece)
+    # only facts are ordered to find a piece's last one; of the points, pieces that have some are enough
+    ends = told.groupBy("k", "piece").agg(F.max_by("fact", F.struct("t", "fact.uuid")).alias("last"))
+    pieces = ends.unionByName(asked.select("k", "piece").distinct().withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy("k").orderBy("piece").rangeBetween(Window.unboundedPreceding, -1))
+    carried = pieces.withColumn("before", before).where("asked").select("k", "piece", "before")
+    line = dealt(told.unionByName(asked, allowMissingColumns=True), "k", "piece", count=rows if rows is not None else points.count() + facts.count())
     # a fact stands before the points of its own time
     passed = Window.partitionBy("k", "piece").orderBy("t", F.col("point").isNotNull(), "fact.uuid").rowsBetween(Window.unboundedPreceding, 0)
     met = line.withColumn("inside", F.last("fact", ignorenulls=True).over(passed)).where("point is not null").join(carried, ["k", "piece"])

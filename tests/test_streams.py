@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.operators import facts
+from chronolith.operators import facts, order
 from chronolith.streaming import notes
 
 DAY = datetime(2024, 1, 1)
@@ -113,3 +113,12 @@ def test_calls_are_paired_in_the_jvm_and_a_lost_start_comes_out(spark, tmp_path)
     pairs = take(("u", "y", 9002.0, "tool_start"), ("u", "z", 9003.0, "tool_end"))
     assert rows_of(spark.read.parquet(out), "session", "call_id", "started", "ended") == [("s", "c", 1.0, 3.0), ("s", "d", 2.0, None), ("t", "c", 4.0, None), ("u", "x", 9000.0, 9001.0)]
     assert "Python" not in pairs._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_merge_deals_many_rows_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(facts, "dealt", lambda rows, *keys, count: order.dealt(rows, *keys, count=count, most=50))
+    f = facts.close_intervals(spark.createDataFrame([(n, n % 9, f"o{n}", DAY + timedelta(days=n)) for n in range(300)], FACT), "subject")
+    points = spark.createDataFrame([(n % 9, n, DAY + timedelta(hours=7 * n)) for n in range(900)], "subject long, point long, at timestamp")
+    got = facts.as_of_merge(points, f, "subject", "at", rows=1200)
+    assert got.rdd.getNumPartitions() == 24
+    assert rows_of(got, "point", "uuid") == rows_of(facts.as_of_join(points, f, "subject", "at"), "point", "uuid")
