@@ -65,3 +65,11 @@ def test_kinds_without_vectors_and_without_rows(spark):
     assert {(r.kind, r.id) for r in hits} == {("fact", "1"), ("fact", "2"), ("episode", "8")}
     only = answer.facts_only(kinds(spark)["fact"].withColumns({"valid_at": F.lit("a"), "invalid_at": F.lit(None)}), asked, 1).collect()
     assert [(r.id, r.fact) for r in only] == [("1", "cache runs on valkey")] or [(r.id) for r in only] == ["2"]
+
+
+def test_a_kind_is_ranked_once(spark, monkeypatch):
+    made, ranked = answer.saved, []
+    monkeypatch.setattr(answer, "saved", lambda df: (ranked.append(df.columns), made(df))[1])
+    asked = spark.createDataFrame([(1, "cache", None)], "query_id long, query string, vector array<double>")
+    hits = answer.graph_search(kinds(spark), asked, 2)
+    assert len(ranked) == 4 and "MapInArrow" not in hits._jdf.queryExecution().optimizedPlan().toString()
