@@ -34,6 +34,9 @@ from .common import Scratch, Shared, buckets_for, byte_column, pack, tidy, tidy_
 
 BATCH_TOKENS = 800_000
 BUCKET_BYTES = 8_000_000
+PORTION_BYTES = 2_000_000
+AT_ONCE = 1 << 16
+SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 END_HASH = xxhash.xxh64_intdigest(b"", 1)
 DOCS, TOKENS = 0, 1
 COUNTS, LEVELS = 0, 1
@@ -59,46 +62,101 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngram_hashes(flow: np.ndarray, sizes: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the texts' token numbers `flow` and the upper halves of the tokens' hashes: hashes of the distinct unigrams (by
-    token number), of each place's bigram and trigram, and the places where texts start. A text's first token follows the
-    end of a text; its trigram is not used."""
-    u = upper.astype(np.uint64)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-    before = np.concatenate(([0], flow[:-1]))
-    before[starts] = 0
-    two = mix(u[before] << np.uint64(32) | u[flow])
-    three = mix(np.concatenate(([np.uint64(0)], two[:-1])) + u[flow] * np.uint64(0x9E3779B97F4A7C15))
-    return mix(~u), two, three, starts
+def ordered(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values below 2 ** bits in ascending order, their places; equal values by place). Values and places are sorted as
+    one number if 64 bits hold both, which takes a fifth of the time of sorting places by values."""
+    at = np.uint64(max(len(values) - 1, 0).bit_length())
+    if bits + int(at) > 64:
+        order = np.argsort(values, kind="stable")
+        return values[order], order
+    both = np.sort(values << at | np.arange(len(values), dtype=np.uint64))
+    return both >> at, (both & ((np.uint64(1) << at) - np.uint64(1))).astype(np.int64)
+
+
+def groups(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value begins in an ascending array, and the number of each place's value among them."""
+    new = np.ones(len(ascending), dtype=bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def numbered(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values below 2 ** bits, and the number of each place's value among them."""
+    ascending, order = ordered(values, bits)
+    first, number = groups(ascending)
+    out = np.empty(len(values), np.int64)
+    out[order] = number
+    return ascending[first], out
 
 
 def distinct_ngrams(flow: np.ndarray, sizes: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of all distinct n-grams of a batch, and the number of each place's unigram, bigram and trigram among
-    them). Unigrams come first, by token number; starts have the trigram -1."""
-    one, two, three, starts = ngram_hashes(flow, sizes, upper)
+    """For the texts' token numbers `flow` and the upper halves of the tokens' hashes: hashes of all distinct n-grams of a
+    batch, and the number of each place's unigram, bigram and trigram among them. Unigrams come first, by token number.
+    A text's first token follows the end of a text and has the trigram -1. A bigram is told by the numbers of its tokens, a
+    trigram by those of its bigram and its token, so that only distinct ones are hashed."""
+    u, starts = upper.astype(np.uint64), np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+    before = np.concatenate(([0], flow[:-1]))
+    before[starts] = 0
+    bits = max(len(u) - 1, 1).bit_length()
+    shift, mask = np.uint64(bits), np.uint64((1 << bits) - 1)
+    pairs, second = numbered((before << bits | flow).astype(np.uint64), 2 * bits)
+    two = mix(u[(pairs >> shift).astype(np.int64)] << np.uint64(32) | u[(pairs & mask).astype(np.int64)])
     inner = np.ones(len(flow), dtype=bool)
     inner[starts] = False
-    pairs, second = np.unique(two, return_inverse=True)
-    triples, at = np.unique(three[inner], return_inverse=True)
+    inner = np.flatnonzero(inner)
+    triples, at = numbered((second[inner - 1] << bits | flow[inner]).astype(np.uint64), max(len(pairs) - 1, 1).bit_length() + bits)
+    three = mix(two[(triples >> shift).astype(np.int64)] + u[(triples & mask).astype(np.int64)] * np.uint64(0x9E3779B97F4A7C15))
     third = np.full(len(flow), -1)
-    third[inner] = at + len(one) + len(pairs)
-    return np.concatenate((one, pairs, triples)), flow, second + len(one), third
+    third[inner] = at + len(u) + len(pairs)
+    return np.concatenate((mix(~u), two, three)), flow, second + len(u), third
 
 
 def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts hashes by bucket and then by upper half, and where buckets begin in it."""
-    bucket = hashes % np.uint64(buckets)
-    order = np.argsort(bucket << np.uint64(32) | hashes >> np.uint64(32), kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    """An order that puts hashes by bucket and by as much of the upper half as 64 bits hold beside bucket and place, and
+    where buckets begin in it. The same hashes always have the same order."""
+    of, at = max(buckets - 1, 1).bit_length(), max(len(hashes) - 1, 0).bit_length()
+    upper = min(32, 64 - of - at)
+    bucket, order = ordered(hashes % np.uint64(buckets) << np.uint64(upper) | hashes >> np.uint64(64 - upper), of + upper)
+    return order, np.append(np.searchsorted(bucket, np.arange(buckets, dtype=np.uint64) << np.uint64(upper)), len(hashes))
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending 32-bit keys by their differences."""
-    return planes(np.diff(keys.astype(np.int64), prepend=0))
+    """32-bit keys by their differences, which are small where keys ascend; keys that don't are kept by wrapping around."""
+    return planes(np.diff(keys.astype(np.uint32), prepend=np.uint32(0)))
 
 
 def unpack_keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(blob)).astype(np.uint64)
+    return np.cumsum(unplanes(blob).astype(np.uint32), dtype=np.uint32).astype(np.uint64)
+
+
+def portions(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of some PORTION_BYTES; a longer text stands alone."""
+    first, size = 0, 0
+    for n, text in enumerate(texts):
+        if n > first and size + len(text) > PORTION_BYTES:
+            yield texts[first:n]
+            first, size = n, 0
+        size += len(text)
+    if texts:
+        yield texts[first:]
+
+
+def tokens(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each text, A-Z in lower case: the number of tokens, their bytes without what parts them, and their lengths. They
+    are cut as bytes.split cuts them, all texts at once."""
+    joined = np.frombuffer(b"\n".join([*texts, b""]).lower(), dtype=np.uint8)
+    inside = ~SPACE[joined]
+    edges = np.flatnonzero(np.diff(inside, prepend=False))  # starts and ends by turns: a space stands last
+    lengths = edges[1::2] - edges[::2]
+    cuts = np.searchsorted(edges[::2], np.cumsum([0, *[len(t) + 1 for t in texts]]))
+    letters, at = joined[inside], np.append(0, np.cumsum(lengths))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield b - a, letters[at[a] : at[b]], lengths[a:b]
+
+
+def token_array(letters: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.append(0, np.cumsum(lengths, dtype=np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
 
 
 def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
@@ -109,22 +167,17 @@ def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
     out. TOKENS: a = hashes, b = counts in training texts."""
     names = ["kind", "batch", "bucket", "a", "b", "c", "d", "e"]
 
-    def emit(batch: int, ids: list[int], held: list[bool], texts: list[list[bytes]]) -> list[tuple]:
-        sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-        number: dict[bytes | None, int] = {None: 0}
-        for words in texts:
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-        parts = []
-        for words in texts:
-            parts += map(number.__getitem__, words)
-            parts.append(0)
-        flow = np.array(parts, dtype=np.int64)
-        del parts
-        hashes = np.fromiter((END_HASH if w is None else xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
+    def emit(batch: int, ids: list[int], held: list[bool], sizes: list[int], letters: list[np.ndarray], lengths: list[np.ndarray]) -> list[tuple]:
+        sizes = np.array(sizes, dtype=np.int64)
+        number = token_array(np.concatenate(letters), np.concatenate(lengths)).dictionary_encode()
+        ends = np.cumsum(sizes) - 1
+        words = np.ones(sizes.sum(), dtype=bool)
+        words[ends] = False
+        flow = np.zeros(len(words), dtype=np.int64)  # 0 is the end
+        flow[words] = number.indices.to_numpy() + 1
+        hashes = np.array([END_HASH, *map(xxhash.xxh64_intdigest, number.dictionary.to_numpy(zero_copy_only=False))], dtype=np.uint64)
         learn = np.repeat(~np.array(held, dtype=bool), sizes)
-        counts = np.bincount(flow[learn], minlength=len(number))
+        counts = np.bincount(flow[learn], minlength=len(hashes))
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((hashes, bucket))
         rows = [(DOCS, batch, -1, pack(np.array(ids, dtype=np.int64)), pack(sizes), planes(np.concatenate((flow, order))), pack((hashes >> np.uint64(32)).astype(np.uint32)), pack(np.array(held, dtype=np.uint8)))]
@@ -136,24 +189,27 @@ def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = TaskContext.get().partitionId() << 32
-        ids, held, texts, size = [], [], [], 0
+        ids, held, sizes, letters, lengths, size = [], [], [], [], [], 0
 
         def close():
-            nonlocal seq, ids, held, texts, size
-            cols = list(zip(*emit(seq, ids, held, texts)))
-            seq, ids, held, texts, size = seq + 1, [], [], [], 0
+            nonlocal seq, ids, held, sizes, letters, lengths, size
+            cols = list(zip(*emit(seq, ids, held, sizes, letters, lengths)))
+            seq, ids, held, sizes, letters, lengths, size = seq + 1, [], [], [], [], [], 0
             types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         for b in batches:
-            for i, h, text in zip(b.column("id").to_pylist(), b.column("held").to_pylist(), byte_column(b, "text")):
-                words = text.lower().split()
-                if size and size + len(words) + 1 > BATCH_TOKENS:
-                    yield close()
-                ids.append(i if i is not None else NO_ID)
-                held.append(bool(h))
-                texts.append(words)
-                size += len(words) + 1
+            row, own_ids, own_held = 0, b.column("id").to_pylist(), b.column("held").to_pylist()
+            for texts in portions(byte_column(b, "text")):
+                for n, chars, lens in tokens(texts):
+                    if size and size + n + 1 > BATCH_TOKENS:
+                        yield close()
+                    ids.append(own_ids[row] if own_ids[row] is not None else NO_ID)
+                    held.append(bool(own_held[row]))
+                    sizes.append(n + 1)
+                    letters.append(chars)
+                    lengths.append(lens)
+                    row, size = row + 1, size + n + 1
         if ids:
             yield close()
 
@@ -184,8 +240,8 @@ def count_ngrams(texts: DataFrame, buckets: int) -> DataFrame:
                 sizes = unpack(sizes, np.int64)
                 flow = unplanes(flow)[: sizes.sum()]
                 hashes, *places = distinct_ngrams(flow, sizes, unpack(upper, np.uint32))
-                learn = np.repeat(unpack(held, np.uint8) == 0, sizes)
-                counts = sum(np.bincount(p[learn & (p >= 0)], minlength=len(hashes)) for p in places)
+                learn = np.flatnonzero(np.repeat(unpack(held, np.uint8) == 0, sizes))
+                counts = np.bincount(np.concatenate([p[learn] for p in places]) + 1, minlength=len(hashes) + 1)[1:]  # less trigram -1
                 order, cuts = dealt(hashes, buckets)
                 keys, counts = (hashes >> np.uint64(32))[order], counts[order]
                 rows = [(n, batch, pack_keys(keys[a:b]), planes(counts[a:b])) for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
@@ -198,53 +254,86 @@ class BloomCounts:
     """Log-frequency Bloom filter: a segment of bits for each bucket; PROBES bits stand for each (key, level)."""
 
     def __init__(self, segments: list[np.ndarray]):
-        self.bits = np.array([8 * len(x) for x in segments], dtype=np.uint64)
-        self.start = np.concatenate(([0], np.cumsum(self.bits)[:-1])).astype(np.int64) if segments else np.zeros(0, np.int64)
-        self.data = np.concatenate(segments) if segments else np.zeros(0, np.uint8)
+        self.segments = segments
 
     @staticmethod
-    def seeds(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and stride of the places of (key, level)."""
+    def seeds(keys: np.ndarray, level: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and stride, modulo bits, of the places of (key, level)."""
         h = mix(keys.astype(np.uint64) * np.uint64(64) + np.uint64(level) + np.uint64(0x9E3779B97F4A7C15))
-        return h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+        of = np.uint32 if bits < 1 << 31 else np.uint64  # holds the sum of two places
+        start, stride = (h >> np.uint64(32)).astype(of), h.astype(np.uint32).astype(of) | of(1)
+        return start - start // of(bits) * of(bits), stride - stride // of(bits) * of(bits)  # numpy divides faster than it takes %
+
+    @staticmethod
+    def step(at: np.ndarray, stride: np.ndarray, bits: int) -> np.ndarray:
+        """The next places: at + stride modulo bits; below zero, unsigned numbers are large."""
+        at = at + stride
+        return np.minimum(at, at - at.dtype.type(bits))
 
     @classmethod
     def segment(cls, keys: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
         """A bucket's bits, a multiple of 8."""
-        on = np.zeros(bits, dtype=bool)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            start, stride = cls.seeds(keys[levels >= level], level)
-            for k in range(PROBES):
-                on[((start + np.uint64(k) * stride) % np.uint64(bits)).astype(np.int64)] = True
+        on, level = np.zeros(bits, dtype=bool), 1
+        while len(keys):
+            for a in range(0, len(keys), AT_ONCE):
+                at, stride = cls.seeds(keys[a : a + AT_ONCE], level, bits)
+                for _ in range(PROBES):
+                    on[at.astype(np.intp)] = True
+                    at = cls.step(at, stride, bits)
+            more = np.flatnonzero(levels > level)
+            keys, levels, level = keys[more], levels[more], level + 1
         return np.packbits(on, bitorder="little")
 
+    @classmethod
+    def members(cls, data: np.ndarray, keys: np.ndarray, level: int) -> np.ndarray:
+        """Where in keys those stand whose bits of a level are all set."""
+        at, stride = cls.seeds(keys, level, 8 * len(data))
+        left, on = np.arange(len(keys)), np.ones(len(keys), dtype=np.uint8)
+        for _ in range(PROBES):
+            on &= data[(at >> 3).astype(np.intp)] >> (at & 7).astype(np.uint8)
+            if 4 * np.count_nonzero(on) < 3 * len(on):  # the missing go
+                some = np.flatnonzero(on.view(bool))
+                left, at, stride, on = left[some], at[some], stride[some], on[some]
+            at = cls.step(at, stride, 8 * len(data))
+        return left[np.flatnonzero(on.view(bool))]
+
     def levels(self, hashes: np.ndarray, buckets: int) -> np.ndarray:
         """The level read back for each n-gram hash, 0 if none is stored."""
-        return self.probe(hashes >> np.uint64(32), (hashes % np.uint64(buckets)).astype(np.int64))
+        order, cuts = dealt(hashes, buckets)
+        keys, out = (hashes >> np.uint64(32))[order], np.empty(len(hashes), dtype=np.uint8)
+        out[order] = np.concatenate([self.probe(keys[a:b], n) for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))])
+        return out
 
-    def probe(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Probes go on level by level while a level's bits are all set."""
-        out, base, size = np.zeros(len(keys), dtype=np.uint8), self.start[bucket], self.bits[bucket]
-        left, level = np.arange(len(keys)), 1
+    def probe(self, keys: np.ndarray, bucket: int) -> np.ndarray:
+        """The levels of a bucket's keys. Probes go on level by level while a level's bits are all set."""
+        data, out, left, level = self.segments[bucket], np.zeros(len(keys), dtype=np.uint8), np.arange(len(keys)), 1
         while len(left) and level < 64:
-            start, stride = self.seeds(keys[left], level)
-            for k in range(PROBES):
-                at = base[left] + ((start + np.uint64(k) * stride) % size[left]).astype(np.int64)
-                on = (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0
-                left, start, stride = left[on], start[on], stride[on]
+            some = [left[a : a + AT_ONCE] for a in range(0, len(left), AT_ONCE)]
+            left = np.concatenate([x[self.members(data, keys[x], level)] for x in some])
             out[left] = level
             level += 1
         return out
 
 
-def filter_part(pdf: pd.DataFrame, bits_per_member: float) -> BloomCounts:
-    """One bucket of n-grams -> its part of the filter, with the levels of all that training texts have."""
-    keys, where = np.unique(np.concatenate([unpack_keys(x) for x in pdf["keys"]]), return_inverse=True)
-    totals = np.bincount(where, weights=np.concatenate([unplanes(x) for x in pdf["counts"]]))
-    keys, totals = keys[totals > 0], totals[totals > 0]
-    level = (1 + np.floor(np.log2(totals))).astype(np.uint8)
+def filter_part(keys: list[np.ndarray], counts: list[np.ndarray], bits_per_member: float) -> tuple[BloomCounts, np.ndarray, np.ndarray, np.ndarray]:
+    """The batches' n-grams of one bucket -> its part of the filter, with the levels of all that training texts have; the
+    bucket's distinct keys; and of all keys in ascending order, the places and the numbers among the distinct ones."""
+    ascending, order = ordered(np.concatenate(keys), 32)
+    first, number = groups(ascending)
+    distinct, totals = ascending[first], np.add.reduceat(np.concatenate(counts)[order], first)
+    learned = np.flatnonzero(totals)
+    level = np.frexp(totals[learned])[1].astype(np.uint8)  # 1 + floor(log2(total))
     bits = max(64, int(level.sum(dtype=np.int64) * bits_per_member) // 8 * 8 + 8)
-    return BloomCounts([BloomCounts.segment(keys, level, bits)])
+    return BloomCounts([BloomCounts.segment(distinct[learned], level, bits)]), distinct, order, number
+
+
+def read_back(keys: list[np.ndarray], counts: list[np.ndarray], bits_per_member: float) -> list[np.ndarray]:
+    """The batches' n-grams of one bucket -> the level that its part of the filter gives for each; a key that many batches
+    have is probed once."""
+    part, distinct, order, number = filter_part(keys, counts, bits_per_member)
+    levels = np.empty(len(order), np.uint8)
+    levels[order] = part.probe(distinct, 0)[number]
+    return np.split(levels, np.cumsum([len(x) for x in keys])[:-1])
 
 
 def level_count(level: np.ndarray) -> np.ndarray:
@@ -288,7 +377,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     if 3 * int(n) * bits_per_member + 128 * buckets <= max_bits:
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"bucket": pdf["bucket"][:1], "data": [filter_part(pdf, bits_per_member).data.tobytes()]})
+            part, *_ = filter_part([unpack_keys(x) for x in pdf["keys"]], [unplanes(x) for x in pdf["counts"]], bits_per_member)
+            return pd.DataFrame({"bucket": pdf["bucket"][:1], "data": [part.segments[0].tobytes()]})
 
         segments = [np.zeros(8, np.uint8) for _ in range(buckets)]
         for r in ngrams.groupBy("bucket").applyInPandas(tidy(build), "bucket int, data binary").toLocalIterator():
@@ -297,8 +387,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     else:
 
         def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-            part = filter_part(pdf, bits_per_member)
-            found = [pack(part.probe(keys, np.zeros(len(keys), np.int64))) for keys in map(unpack_keys, pdf["keys"])]
+            found = [pack(x) for x in read_back([unpack_keys(x) for x in pdf["keys"]], [unplanes(x) for x in pdf["counts"]], bits_per_member)]
             return pd.DataFrame({"batch": pdf["batch"], "kind": LEVELS, "bucket": pdf["bucket"], "data": found})
 
         asked = ngrams.groupBy("bucket").applyInPandas(tidy(ask), "batch long, kind int, bucket int, data binary")

@@ -105,3 +105,60 @@ def test_score_is_the_smoothed_model(spark, sf, monkeypatch, max_bits):
     want = sorted((i, log_p(t)) for i, t in rows)
     assert [i for i, _ in got] == [i for i, _ in want]
     assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-6)
+
+
+def test_work_is_done_once_for_each_distinct_ngram(monkeypatch):
+    """A text that stands 50 times, in one batch and in 50: its n-grams are hashed once, and probed once."""
+    flow, sizes, upper = np.tile(np.arange(1, 40), 50), np.full(50, 39), np.arange(40, dtype=np.uint32) * 7919
+    mixed, mix = [], lm.mix
+    monkeypatch.setattr(lm, "mix", lambda x: mixed.append(len(x)) or mix(x))
+    hashes, *places = lm.distinct_ngrams(flow, sizes, upper)
+    assert sum(mixed) == len(hashes) == 40 + 39 + 38
+    assert all(len(set(zip(flow[2:39], p[2:39]))) == 37 for p in places)
+    probed, probe = [], lm.BloomCounts.probe
+    monkeypatch.setattr(lm.BloomCounts, "probe", lambda self, keys, n: probed.append(len(keys)) or probe(self, keys, n))
+    keys = np.sort(np.random.default_rng(0).choice(2**32, 1000, replace=False).astype(np.uint64))
+    found = lm.read_back([keys] * 50, [np.arange(1000) % 3] * 50, 60)
+    assert probed == [1000]
+    assert len(found) == 50 and all((x == np.where(np.arange(1000) % 3, 6 + np.arange(1000) % 3 // 2, 0)).all() for x in found)
+
+
+def test_a_filters_places_are_start_and_strides():
+    keys = np.random.default_rng(1).integers(0, 2**32, 500, dtype=np.uint64)
+    for bits in (64, 1 << 20, (1 << 31) - 8, (1 << 33) + 8):  # the last in 64-bit numbers
+        h = lm.mix(keys * np.uint64(64) + np.uint64(3) + np.uint64(0x9E3779B97F4A7C15)).tolist()
+        at, stride = lm.BloomCounts.seeds(keys, 3, bits)
+        for k in range(lm.PROBES):
+            assert at.tolist() == [((x >> 32) + k * (x & 0xFFFFFFFF | 1)) % bits for x in h]
+            at = lm.BloomCounts.step(at, stride, bits)
+
+
+@pytest.mark.parametrize("size", [1, 30, 2_000_000])
+def test_tokens_are_those_of_split(monkeypatch, size):
+    monkeypatch.setattr(lm, "PORTION_BYTES", size)
+    texts = [b"", b" ", b"a", b"A\tb\n\nc\v\fD\r", "É x Y z\x1c\x85".encode(), b"\x00 \xff\x1f", b"", bytes(range(256)) * 3, b" end "]
+    for some in (texts, texts[:1], texts[2:3], []):
+        got = []
+        for run in lm.portions(some):
+            for n, letters, lengths in lm.tokens(run):
+                got.append(lm.token_array(letters, lengths).to_pylist())
+                assert n == len(got[-1])
+        assert got == [t.lower().split() for t in some]
+
+
+def test_numbers_and_orders_with_and_without_room():
+    """Values and places in one 64-bit number, and apart; keys of so many buckets that they ascend only in part."""
+    values = np.random.default_rng(2).integers(0, 50, 300, dtype=np.uint64)
+    for bits in (6, 60):
+        distinct, number = lm.numbered(values, bits)
+        assert distinct.tolist() == sorted(set(values.tolist())) and (distinct[number] == values).all()
+        assert [x.tolist() for x in lm.ordered(values, bits)] == [np.sort(values).tolist(), np.argsort(values, kind="stable").tolist()]
+    assert [len(x) for x in lm.numbered(values[:0], 6)] == [0, 0]
+    hashes = np.random.default_rng(3).integers(0, 2**63, 3000, dtype=np.uint64)
+    for buckets in (1, 7, 64, 1 << 24):
+        order, cuts = lm.dealt(hashes, buckets)
+        assert sorted(order.tolist()) == list(range(3000)) and len(cuts) == buckets + 1
+        bucket = (hashes % np.uint64(buckets))[order]
+        assert (np.repeat(np.arange(buckets), np.diff(cuts)) == bucket).all()
+        keys = (hashes >> np.uint64(32))[order]
+        assert (lm.unpack_keys(lm.pack_keys(keys)) == keys).all()
