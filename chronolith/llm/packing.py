@@ -20,9 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, default_parallelism, text_column
+from .common import Scratch, default_parallelism, expand, text_column
 
 CACHE_WORDS = 300_000
+#: Parts that one call of the tokenizer encodes.
+PARTS_A_CALL = 20_000
+#: Characters of plain text after which a block is split and looked up.
+BLOCK_CHARS = 8 << 20
+
+SPACE, LETTER, DIGIT, OTHER = range(4)
+#: What each Latin-1 byte is to the tokenizer below, and its lower case.
+KINDS = np.array([SPACE if c in "\t\n\r " else DIGIT if c in "0123456789" else LETTER if c.isalpha() else OTHER for c in map(chr, range(256))], dtype=np.uint8)
+LOWER = "".join(map(chr, range(256))).lower().encode("latin-1")
 
 
 def default_tokenizer() -> str:
@@ -31,52 +40,100 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def blobs_of(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of ids up to each of the ends, from the one before."""
+    data, stops = ids.tobytes(), (ids.itemsize * ends).tolist()
+    return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer of the word_bpe kind: it composes (NFC), collapses white space, lower-cases, splits
-    by the pattern below, and ends each part with a token marked as a word's end.
+    into contractions ('s 't 're 've 'm 'll 'd), runs of letters, single digits and runs of anything else, and ends each part
+    with a token marked as a word's end.
 
-    Texts of plain characters are split here by the same pattern, and each part's ids are kept in a bounded cache;
-    parts not yet known are encoded together, one call for many, and told apart by their end tokens. Any other text
-    (control characters, letters beyond Latin-1, special tokens' marks) is encoded by the tokenizer as it is."""
+    Texts of plain characters, which are one Latin-1 byte each and stay so in lower case, are split here in that way, many at
+    once: a block's parts become an Arrow dictionary, so that only its distinct ones are looked up in the bounded cache.
+    Parts not yet known are encoded together, one call for many, and told apart by their end tokens; they are split and
+    lower-cased already, which their tokenizer need not do again. Any other text (control characters, letters beyond
+    Latin-1, special tokens' marks) is encoded by the tokenizer as it is."""
 
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00c0-\u00ff]*")
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.of_parts = Tokenizer(self.tokenizer.model)
+        self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def ids(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def learn(self, parts: set[str]) -> None:
-        new = list(parts)
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = self.ids(" ".join(some))
+    def learn(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), PARTS_A_CALL):
+            some = new[at : at + PARTS_A_CALL]
+            ids = self.ids(b" ".join(some).decode("latin-1"), self.of_parts)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(some):  # not told apart: one by one
-                self.cache.update((w, self.ids(w).tobytes()) for w in some)
+                self.cache.update((w, self.ids(w.decode("latin-1")).tobytes()) for w in some)
                 continue
-            data, stops = ids.tobytes(), (cut * 4).tolist()
-            self.cache.update(zip(some, (data[a:b] for a, b in zip([0, *stops], stops))))
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if "<|" in text or not self.PLAIN.fullmatch(text):
-            return self.ids(text).tobytes()
-        parts = self.PARTS.findall(text.lower())
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        if new := {*parts}.difference(self.cache):
-            self.learn(new)
-        return b"".join(map(self.cache.__getitem__, parts))
+            self.cache.update(zip(some, blobs_of(ids, cut)))
+
+    def split(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The parts of plain texts in lower case, and where in them each text ends."""
+        data = np.frombuffer("\n".join([*texts, "", ""]).encode("latin-1").translate(LOWER), dtype=np.uint8)
+        kind = KINDS[data]
+        solid = kind != SPACE
+        first = solid.copy()
+        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        at = np.flatnonzero(first & (data == ord("'")))
+        one, two = data[at + 1], data[at + 2]
+        pair = (one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        size = np.where(np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8)), 2, np.where(pair, 3, 0))
+        at, size = at[size > 0], size[size > 0]
+        first[at + 1] = False
+        first[at + size] |= kind[at + size] == LETTER
+        ends = np.searchsorted(np.flatnonzero(first), np.cumsum([len(t) + 1 for t in texts]))
+        letters = data[solid]
+        offsets = np.append(np.flatnonzero(first[solid]), len(letters)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+        return parts.dictionary_encode(), ends
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        parts, ends = self.split(texts)
+        words, which = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy()
+        blobs = list(map(self.cache.get, words))
+        if new := [n for n, b in enumerate(blobs) if b is None]:
+            self.learn([words[n] for n in new])
+            for n in new:
+                blobs[n] = self.cache[words[n]]
+        if len(self.cache) > CACHE_WORDS:  # what the last block had stays
+            self.cache = dict(zip(words, blobs))
+        size = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
+        ids = np.frombuffer(b"".join(blobs), dtype="<u4")[expand((np.cumsum(size) - size)[which], size[which])]
+        return blobs_of(ids, np.append(0, np.cumsum(size[which]))[ends])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as little-endian unsigned 32-bit numbers."""
+        out, block, room = [b""] * len(texts), [], BLOCK_CHARS
+        for n, text in enumerate(texts):
+            if "<|" in text or not self.PLAIN.fullmatch(text):
+                out[n] = self.ids(text).tobytes()
+                continue
+            block.append(n)
+            room -= len(text)
+            if room <= 0:
+                for k, data in zip(block, self.plain([texts[k] for k in block])):
+                    out[k] = data
+                block, room = [], BLOCK_CHARS
+        for k, data in zip(block, self.plain([texts[k] for k in block])):
+            out[k] = data
+        return out
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer_path: str, end_id: int = 0) -> DataFrame:
@@ -86,8 +143,8 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokeniz
         tok, end = WordTokenizer(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             ids, rows = b.column("id").to_pylist(), []
-            for i, text in zip(ids, text_column(b, "text")):
-                data = tok.encode(text) + end
+            for i, data in zip(ids, tok.encode(text_column(b, "text"))):
+                data += end
                 for n, s in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[s : s + 4 * capacity]
                     rows.append((i, n, s // 4, len(part) // 4, zlib.crc32(part)))

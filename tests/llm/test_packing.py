@@ -70,3 +70,52 @@ def test_plan_uses_each_piece_once():
         for k, c in combination:
             used[k] += c * times
     assert dict(used) == histogram
+
+
+def library_ids(texts):
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
+class Counted(dict):
+    looked_up = 0
+
+    def get(self, *a):
+        self.looked_up += 1
+        return super().get(*a)
+
+    def __getitem__(self, k):
+        self.looked_up += 1
+        return super().__getitem__(k)
+
+
+def test_a_part_is_looked_up_once_for_a_block():
+    tok = packing.WordTokenizer(packing.default_tokenizer())
+    tok.cache = Counted()
+    texts = ["It's the blue-green 42nd THE end.", "\nthe   end of it's"] * 3000
+    assert tok.encode(texts) == library_ids(texts[:2]) * 3000
+    assert tok.cache.looked_up <= 2 * 12  # it 's the blue - green 4 2 nd end . of; each text has 5 or more
+
+
+def test_parts_of_the_last_block_stay_known(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    monkeypatch.setattr(packing, "BLOCK_CHARS", 200)
+    tok, learnt = packing.WordTokenizer(packing.default_tokenizer()), []
+    learn = tok.learn
+    monkeypatch.setattr(tok, "learn", lambda new: (learnt.extend(new), learn(new)))
+    word = lambda n: "".join(chr(ord("a") + int(d)) for d in str(n))
+    texts = [f"{'of the common kind ' * 20}{word(10 * n)} {word(10 * n + 1)} {word(10 * n + 2)}" for n in range(100)]
+    assert tok.encode(texts) == library_ids(texts)
+    assert len(tok.cache) <= 50 + 7
+    assert sum(learnt.count(w) for w in (b"of", b"the", b"common", b"kind")) == 4
+
+
+def test_parts_are_those_of_the_tokenizer(monkeypatch):
+    rng = np.random.default_rng(3)
+    signs = [*"stmdrevlabzSTMDREVL''''\"!.-<| \t\n\r0123456789àÀßÿÞ×÷éÉ", "'s", "'LL", "'re", "́", "ª", "²", "’", "\x0b", "\xa0", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(3000)] + ["", " ", "'", "''", "'l", "x'", "'s's", "'llll", "'re5", "'s'", "\n"]
+    expected = library_ids(texts)
+    for chars, parts in ((packing.BLOCK_CHARS, packing.PARTS_A_CALL), (1, 1), (100, 7)):
+        monkeypatch.setattr(packing, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(packing, "PARTS_A_CALL", parts)
+        assert packing.WordTokenizer(packing.default_tokenizer()).encode(texts) == expected
