@@ -49,11 +49,11 @@ def rules(df: DataFrame, *checks: tuple[str, str, Column, Column]) -> DataFrame:
     return df.select(F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
-def alerts(status: DataFrame) -> DataFrame:
+def alerts(status: DataFrame, unknown: bool = False) -> DataFrame:
     """status(wiki_ready, graph_ready, git_ready, ingest_error, pending, lag_seconds, community_count, community_age,
-    blocked, review) -> (severity, rule, msg)."""
-    ready = [("fail", f"{c}_ready", ~F.coalesce(F.col(f"{c}_ready"), F.lit(False)), F.lit(f"component {c} not ready")) for c in ("wiki", "graph", "git")]
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    blocked, review) -> (severity, rule, msg). What a status does not say is not ready and 0; unknown: it meets no rule."""
+    ready = [("fail", f"{c}_ready", ~F.coalesce(F.col(f"{c}_ready"), F.lit(None if unknown else False)), F.lit(f"component {c} not ready")) for c in ("wiki", "graph", "git")]
+    n = lambda c: F.coalesce(F.col(c), F.lit(None if unknown else 0))
     return rules(
         status, *ready,
         ("fail", "ingest_error", F.coalesce("ingest_error", F.lit("")) != "", F.concat(F.lit("ingest status unavailable: "), F.col("ingest_error"))),
@@ -65,17 +65,17 @@ def alerts(status: DataFrame) -> DataFrame:
     )
 
 
-def gauges(status: DataFrame) -> DataFrame:
-    """(name, value): the 13 gauges; an age that never was is infinite."""
-    n = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+def gauges(status: DataFrame, unknown: bool = False) -> DataFrame:
+    """(name, value): the 13 gauges; an age that never was is infinite. What a status does not say is 0; unknown: it stays
+    null, and makes no age infinite."""
+    n = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(None if unknown else 0.0))
     inf = F.lit(float("inf"))
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
     values = {
-        "wiki_index_ready": flag("wiki_ready"), "wiki_index_degraded": flag("degraded"), "wiki_pages_indexed": n("pages_indexed"),
-        "wiki_index_age_seconds": F.coalesce(F.col("index_age").cast("double"), F.when(~F.coalesce("wiki_ready", F.lit(False)), inf).otherwise(0.0)),
-        "graph_ready": flag("graph_ready"), "inbox_notes": n("inbox"), "deferred_notes": n("deferred"), "blocked_notes": n("blocked"), "review_queue_open": n("review"),
+        "wiki_index_ready": n("wiki_ready"), "wiki_index_degraded": n("degraded"), "wiki_pages_indexed": n("pages_indexed"),
+        "wiki_index_age_seconds": F.coalesce(F.col("index_age").cast("double"), F.when(n("wiki_ready") == 0, inf).otherwise(0.0)),
+        "graph_ready": n("graph_ready"), "inbox_notes": n("inbox"), "deferred_notes": n("deferred"), "blocked_notes": n("blocked"), "review_queue_open": n("review"),
         "ingest_pending_notes": n("pending"), "ingest_partial_notes": n("partial"), "ingest_lag_seconds": n("lag_seconds"),
-        "community_age_seconds": F.coalesce(F.col("community_age").cast("double"), F.when(F.coalesce("graph_ready", F.lit(False)) & (n("community_count") == 0), inf).otherwise(0.0)),
+        "community_age_seconds": F.coalesce(F.col("community_age").cast("double"), F.when((n("graph_ready") == 1) & (n("community_count") == 0), inf).otherwise(0.0)),
     }
     return status.select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in values.items()])))
 

@@ -139,7 +139,7 @@ union all select 'fail', 'ingest_error' from s where ingest_error <> '' union al
 union all select 'fail', 'communities_stale' from s where community_count <> 0 and community_age > 691200 union all select 'warn', 'blocked' from s where blocked > 0 union all select 'warn', 'review' from s where review > 0)
 select severity, rule, count(*) as n from r group by 1, 2""")
 def status_alerts(spark, sf):
-    return status.alerts(statuses(spark, sf)).groupBy("severity", "rule").agg(F.count("*").alias("n"))
+    return status.alerts(statuses(spark, sf), unknown=True).groupBy("severity", "rule").agg(F.count("*").alias("n"))
 
 
 GAUGES = f"""with s as ({STATUS}), v as (select k, unnest([
@@ -153,7 +153,7 @@ GAUGES = f"""with s as ({STATUS}), v as (select k, unnest([
 @query("R8", GAUGES + "select x.name as name, x.value as value from v")
 def status_gauges(spark, sf):
     """All gauges of every status."""
-    return status.gauges(statuses(spark, sf))
+    return status.gauges(statuses(spark, sf), unknown=True)
 
 
 COUNTED = f"select case when tool in {TOOLS} then tool else 'other' end as tool, {{outcome}} as outcome, count(*) as n from query_log group by 1, 2"

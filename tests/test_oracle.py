@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from chronolith.operators import status
 from chronolith.plans import catalog
 
 
@@ -46,3 +47,22 @@ def test_query_equals_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["status_gauges", "status_alerts"])
+def test_statuses_of_null_keys_equal_sql(spark, tmp_path, name):
+    """What a status does not say is null to its SQL."""
+    con = duckdb.connect()
+    con.execute("create view customer as select case when i % 5 <> 3 then i end as c_custkey from range(60) t(i)")
+    con.execute(f"copy customer to '{tmp_path}/customer.parquet' (format parquet)")
+    rows = lambda found: sorted(tuple(map(cell, r)) for r in found)
+    want = con.execute(catalog.ORACLE_SQL[name])
+    assert rows(catalog.QUERIES[name](spark, str(tmp_path)).select(*[d[0] for d in want.description]).collect()) == rows(want.fetchall())
+
+
+def test_gauges_of_an_empty_status_are_those_of_the_reference(spark):
+    """By themselves gauges and alerts take what is not there for 0 and not ready."""
+    c = "wiki_ready boolean, degraded boolean, graph_ready boolean, git_ready boolean, ingest_error string, pages_indexed long, index_age long, inbox long, deferred long, blocked long, review long, pending long, partial long, lag_seconds long, community_age long, community_count long"
+    none = spark.createDataFrame([(None,) * 16], c)
+    assert {r.name: r.value for r in status.gauges(none).collect() if r.value} == {"wiki_index_age_seconds": math.inf}
+    assert sorted(r.rule for r in status.alerts(none).collect()) == ["git_ready", "graph_ready", "no_communities", "wiki_ready"]
