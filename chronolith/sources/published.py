@@ -47,10 +47,11 @@ class Published:
         finally:
             stream.close()
 
-    def write(self, table: DataFrame, name: str, partition_by: str | None = None) -> str:
-        """Writes a table that no version has yet; a commit may name it by what is returned."""
+    def write(self, table: DataFrame, name: str, partition_by: str | None = None, row_group: int = 128 << 20) -> str:
+        """Writes a table that no version has yet; a commit may name it by what is returned. row_group: bytes that a reader
+        of its files may hold at once."""
         at = f"data/{name}-{uuid.uuid4().hex[:12]}"
-        table.write.parquet(f"{self.path}/{at}", partitionBy=partition_by)
+        table.write.option("parquet.block.size", row_group).parquet(f"{self.path}/{at}", partitionBy=partition_by, compression="zstd")
         self.schemas[at] = table.schema.json()
         return at
 

@@ -160,3 +160,41 @@ def test_texts_are_not_written_with_the_index(spark, tmp_path, monkeypatch):
     half = pages("").where("name < 'p5'").unionByName(pages(" new").where("name >= 'p5'"))
     assert reindex.reindex(store, half, embed)["embedded"] == 4
     assert seen == [[f"t{n}" for n in range(9)], [f"t{n} new" for n in range(5, 9)]] and not any("text" in c for c in kept)
+
+
+def test_an_index_takes_less_disk_than_its_texts(spark, store, monkeypatch):
+    """Texts and their words are neither written nor shuffled; what an ingest and a merge leave on disk is small beside them."""
+    from chronolith.operators.order import shared_dir
+
+    def size():
+        tops = (store.path, shared_dir(spark).removeprefix("file:"))
+        return sum(os.path.getsize(f"{d}/{f}") for top in tops for d, _, names in os.walk(top) for f in names)
+
+    kept, plans, save, write = [], {}, postings.saved, Published.write
+    monkeypatch.setattr(postings, "saved", lambda df: (kept.append(df.columns), save(df))[1])
+    monkeypatch.setattr(Published, "write", lambda self, df, name, *a, **b: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), write(self, df, name, *a, **b))[1])
+    word = lambda n: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(n)), F.lit(3000)))
+    docs = spark.range(0, 3000, 1, 2).select("id", F.concat_ws(" ", *[word(n) for n in range(250)]).alias("text")).cache()
+    texts, before = docs.agg(F.sum(F.length("text"))).first()[0], size()
+    postings.ingest(store, docs)
+    one = size() - before
+    postings.merge(store)
+    assert one < texts and size() - before < 2 * texts, (texts, one, size() - before)
+    assert not any({"text", "words", "entries"} & set(c) for c in kept) and "Exchange" not in plans["slots"].replace("BroadcastExchange", "")
+
+
+def test_slots_that_lost_most_documents_become_one(spark, store, monkeypatch):
+    """Merging where less than half lives; empty texts, and ids that come twice, the larger text counting."""
+    monkeypatch.setattr(postings, "SLOT", 8)
+    docs = {i: " ".join(f"t{i % m}" for m in (2, 3, 5, 7, 11)[: i % 6]) for i in range(90)}
+    twice = [(3, "t0"), (4, None), *docs.items()]
+    postings.ingest(store, spark.createDataFrame(twice, "id long, text string"))
+    postings.ingest(store, spark.createDataFrame([(500, "t1 t1")], "id long, text string"), spark.createDataFrame([(i,) for i in range(90) if i % 4], "id long"))
+    queries = {1: "t0 t1", 2: "t3 t6", 3: "t10"}
+    asked = spark.createDataFrame(list(queries.items()), "query_id long, query string")
+    want = plain_bm25({i: max(docs[i], "") for i in docs if i % 4 == 0} | {500: "t1 t1"}, queries, 5)
+    assert found(postings.search(store, asked, 5)) == want
+    before = store.table(next(p for t, p in store.latest().tables.items() if t == "1/slots")).count()
+    postings.merge(store)
+    slots = store.table(next(p for t, p in store.latest().tables.items() if t.endswith("slots")))
+    assert slots.count() < before and found(postings.search(store, asked, 5)) == want
